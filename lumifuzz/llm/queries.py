@@ -6,25 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumifuzz.llm import bpe, common, simhash, tokencount
+from lumifuzz.llm import bpe, castore, common, decontam, licenses, linequality, secretscan, simhash, tokencount
 
 TOKEN_LIMIT = 4096
+END_ID = 0
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.documents(spark, sf_dir), common.tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, one row each, with the benchmark items that they hold."""
+    return decontam.mark(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("overlaps")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(common.documents(spark, sf_dir), common.tokenizer_path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.documents(spark, sf_dir))
+
+
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linequality.judge(common.documents(spark, sf_dir))
+
+
+def op7_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = castore.write(common.documents(spark, sf_dir), common.shared_folder(spark, "store"), common.tokenizer_path("byte_bpe_50k.json"), END_ID)
+    return castore.read_digests(spark, folder)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(common.documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_token_counts, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_token_counts, op4_licenses, op6_line_quality, op7_content_store, op9_secrets, op10_simhash)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
