@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumifuzz.llm import bpe, castore, common, decontam, licenses, linequality, secretscan, simhash, tokencount
+from lumifuzz.llm import bpe, castore, common, decontam, licenses, linequality, quality, secretscan, simhash, tokencount, toxicity
 
 TOKEN_LIMIT = 4096
 END_ID = 0
@@ -29,6 +29,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(common.documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, common.crc_mod("doc_id", 4) != 2)
+    return _with_fold(toxicity.rate(docs, model), 4, 2)
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linequality.judge(common.documents(spark, sf_dir))
 
@@ -38,6 +44,15 @@ def op7_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return castore.read_digests(spark, folder)
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.fit(docs, labels, common.crc_mod("doc_id", 3) != 1)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_fold(quality.rate(common.documents(spark, sf_dir), quality_model(spark, sf_dir)), 3, 1)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(common.documents(spark, sf_dir))
 
@@ -46,8 +61,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir))
 
 
+def _with_fold(rated: DataFrame, mod: int, held_out: int) -> DataFrame:
+    return rated.select("doc_id", (common.crc_mod("doc_id", mod) == held_out).alias("held_out"), "score", "predicted")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_token_counts, op4_licenses, op6_line_quality, op7_content_store, op9_secrets, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_token_counts, op4_licenses, op5_toxicity, op6_line_quality, op7_content_store, op8_quality, op9_secrets, op10_simhash)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
