@@ -1,7 +1,7 @@
 """Conformal prediction over a rule base: calibrated p-values, prediction sets and their coverage.
 
-Scores are rounded to DECIMALS before they are counted, so calibration is one aggregate and at most 10 ** DECIMALS + 1 distinct scores
-a class reach the driver, however many rows there are. They go back as literals that each row is ranked against in a projection.
+Scores are rounded to STEPS steps before they are counted, so calibration is one aggregate and at most STEPS + 1 counts a class
+reach the driver, however many rows there are. They go back as a literal array in which each row's rank is one lookup.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from lumifuzz.operators.rule_quality import class_place
 from lumifuzz.operators.rules import RuleBase
 
 SCORES = ("membership", "association", "entropy")
-#: Decimals to which scores are rounded before they are ranked, so that equal ones tie on every plan; it also bounds the number of distinct calibration scores, to 10 ** DECIMALS + 1.
-DECIMALS = 3
+#: Scores are between 0 and 1 and are counted in steps of this fraction, so equal ones tie on every plan and a calibration is a short table.
+STEPS = 1000
 
 
 def split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -47,19 +47,37 @@ def score_text(base: RuleBase, kind: str, c: int) -> str:
 class Calibrated:
     base: RuleBase
     kind: str
-    #: For each class: (score, rows with at least it) ascending by score, and the number of rows.
-    ranks: tuple[tuple[tuple[tuple[float, int], ...], int], ...]
-    #: For each rule: the same for its firing strengths on rows of its class, with counts of rows at most as strong.
-    rule_ranks: tuple[tuple[tuple[tuple[float, int], ...], int], ...] = ()
+    #: For each class: how many rows score at least k / STEPS, for k from 0 to STEPS; the first is the number of rows.
+    ranks: tuple[tuple[int, ...], ...]
+    #: For each rule: how many rows of its class it fires on with at most k / STEPS; the last is their number.
+    rule_ranks: tuple[tuple[int, ...], ...] = ()
 
 
-def _running(rows: list[tuple[float, int]], down: bool) -> tuple[tuple[tuple[float, int], ...], int]:
-    rows = sorted(rows, reverse=down)
-    out, n = [], 0
-    for s, k in rows:
-        n += k
-        out.append((s, n))
-    return tuple(sorted(out)), n
+def _place(score: Column) -> Column:
+    return F.round(score * STEPS).cast("int")
+
+
+def _at_least(rows: list[tuple[int, int]]) -> tuple[int, ...]:
+    out = [0] * (STEPS + 1)
+    for k, n in rows:
+        out[min(max(k, 0), STEPS)] += n
+    for k in range(STEPS - 1, -1, -1):
+        out[k] += out[k + 1]
+    return tuple(out)
+
+
+def _at_most(rows: list[tuple[int, int]]) -> tuple[int, ...]:
+    out = [0] * (STEPS + 1)
+    for k, n in rows:
+        out[min(max(k, 0), STEPS)] += n
+    for k in range(1, STEPS + 1):
+        out[k] += out[k - 1]
+    return tuple(out)
+
+
+def _looked_up(score: Column, counts: tuple[int, ...]) -> Column:
+    """The count of a score: one place of a literal array."""
+    return F.element_at(F.array(*map(F.lit, counts)), F.least(F.greatest(_place(score), F.lit(0)), F.lit(STEPS)) + 1)
 
 
 def calibrate(df: DataFrame, base: RuleBase, label: str, kind: str = "membership", coded: bool = False, with_rules: bool = True) -> Calibrated:
@@ -68,44 +86,29 @@ def calibrate(df: DataFrame, base: RuleBase, label: str, kind: str = "membership
     made = base.applied(df).withColumn("_y", y).where("_y is not null")
     own = F.lit(None)
     for c in range(len(base.classes)):
-        own = F.when(F.col("_y") == c, F.round(F.expr(score_text(base, kind, c)), DECIMALS)).otherwise(own)
+        own = F.when(F.col("_y") == c, _place(F.expr(score_text(base, kind, c)))).otherwise(own)
     by: dict[int, list] = {}
     for r in made.groupBy("_y", own.alias("s")).count().collect():
         by.setdefault(r["_y"], []).append((r["s"], r["count"]))
     rules = []
     if with_rules:
-        fired = made.select("_y", F.posexplode(F.array(*(F.round(F.col(f"_f{i}"), DECIMALS) for i in range(len(base))))).alias("rule", "s"))
+        fired = made.select("_y", F.posexplode(F.array(*(_place(F.col(f"_f{i}")) for i in range(len(base))))).alias("rule", "s"))
         mine = F.lit(-1)
         for i, r in enumerate(base.rules):
             mine = F.when(F.col("rule") == i, r.consequent).otherwise(mine)
         seen: dict[int, list] = {}
         for r in fired.where(F.col("_y") == mine).groupBy("rule", "s").count().collect():
             seen.setdefault(r["rule"], []).append((r["s"], r["count"]))
-        rules = [_running(seen.get(i, []), False) for i in range(len(base))]
-    return Calibrated(base, kind, tuple(_running(by.get(c, []), True) for c in range(len(base.classes))), tuple(rules))
-
-
-def _at_least(score: Column, ranks: tuple[tuple[float, int], ...]) -> Column:
-    """How many calibration rows have this score or more: the count at the least held score that is not below it."""
-    if not ranks:
-        return F.lit(0)
-    held = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(n).alias("n")) for s, n in ranks))
-    return F.coalesce(F.array_max(F.transform(F.filter(held, lambda x: x["s"] >= score), lambda x: x["n"])), F.lit(0))
-
-
-def _at_most(score: Column, ranks: tuple[tuple[float, int], ...]) -> Column:
-    if not ranks:
-        return F.lit(0)
-    held = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(n).alias("n")) for s, n in ranks))
-    return F.coalesce(F.array_max(F.transform(F.filter(held, lambda x: x["s"] <= score), lambda x: x["n"])), F.lit(0))
+        rules = [_at_most(seen.get(i, [])) for i in range(len(base))]
+    return Calibrated(base, kind, tuple(_at_least(by.get(c, [])) for c in range(len(base.classes))), tuple(rules))
 
 
 def p_values(df: DataFrame, cal: Calibrated, kind: str = "membership") -> DataFrame:
     """df and p_values: for each class (calibration rows with at least the score + 1) / (rows + 1); 0 for a class that was not seen. New rows are scored by membership unless another kind is asked for."""
     out = []
-    for c, (ranks, n) in enumerate(cal.ranks):
-        score = F.round(F.expr(score_text(cal.base, kind, c)), DECIMALS)
-        out.append((_at_least(score, ranks) + 1) / F.lit(float(n + 1)) if n else F.lit(0.0))
+    for c, counts in enumerate(cal.ranks):
+        seen = _looked_up(F.expr(score_text(cal.base, kind, c)), counts)
+        out.append((seen + 1) / F.lit(float(counts[0] + 1)) if counts[0] else F.lit(0.0))
     return cal.base._outputs(df, F.array(*out).alias("p_values"))
 
 
@@ -120,9 +123,9 @@ def predict_set_with_rules(df: DataFrame, cal: Calibrated, alpha: float = 0.1) -
     """predict_set and contributions: the firing rules, the strongest first, with the share of calibration rows of their class on which they fired at most as strongly."""
     base = cal.base
     said = []
-    for i, (r, (ranks, n)) in enumerate(zip(base.rules, cal.rule_ranks, strict=True)):
+    for i, (r, counts) in enumerate(zip(base.rules, cal.rule_ranks, strict=True)):
         strength = F.col("_strengths")[i]
-        sure = _at_most(F.round(strength, DECIMALS), ranks) / F.lit(float(n)) if n else F.lit(0.0)
+        sure = _looked_up(strength, counts) / F.lit(float(counts[-1])) if counts[-1] else F.lit(0.0)
         said.append(F.struct(strength.alias("strength"), F.lit(-i).alias("order"), F.lit(i).alias("rule"), F.lit(r.consequent).alias("class"), sure.alias("confidence")))
     fired = base.firing(df).withColumnRenamed("firing", "_strengths")
     ordered = F.sort_array(F.filter(F.array(*said), lambda x: x["strength"] > 0), asc=False)
@@ -131,15 +134,12 @@ def predict_set_with_rules(df: DataFrame, cal: Calibrated, alpha: float = 0.1) -
 
 
 def calibration_info(cal: Calibrated) -> list[dict]:
-    """By class: rows, and quantiles of the scores."""
+    """By class: rows, and the mean, least and greatest score."""
     out = []
-    for c, (ranks, n) in enumerate(cal.ranks):
-        scores, before = [], n
-        for (s, k), nxt in zip(ranks, [*(k for _, k in ranks[1:]), 0], strict=True):
-            scores += [(s, k - nxt)]
-            before -= k - nxt
-        mean = sum(s * k for s, k in scores) / n if n else None
-        out.append({"class": cal.base.classes[c], "rows": n, "mean": mean, "least": ranks[0][0] if ranks else None, "most": ranks[-1][0] if ranks else None})
+    for name, counts in zip(cal.base.classes, cal.ranks, strict=True):
+        n = counts[0]
+        at = [k for k in range(STEPS + 1) if counts[k] - (counts[k + 1] if k < STEPS else 0)]
+        out.append({"class": name, "rows": n, "mean": sum(counts[1:]) / n / STEPS if n else None, "least": at[0] / STEPS if at else None, "most": at[-1] / STEPS if at else None})
     return out
 
 

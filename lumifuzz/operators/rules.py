@@ -15,6 +15,8 @@ import copy
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -339,9 +341,6 @@ def infer_type1(base: RuleBase, output: Variable, df: DataFrame, column: str = "
 
 def infer_interval(base: RuleBase, output: Variable, df: DataFrame, column: str = "inferred") -> DataFrame:
     """df and a struct of lo and hi: the type-reduced centroids over the rules' firing intervals, row by row (the search depends on the order of the rules and is run as it is defined, in numpy over Arrow batches)."""
-    import numpy as np
-    import pandas as pd
-
     from lumifuzz.operators.centroids import consequent_centroid, interval_centroid
 
     ends = np.array([interval_centroid(s) for s in output.sets])

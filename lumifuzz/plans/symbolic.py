@@ -1,0 +1,89 @@
+"""Variables whose numbers are SQL expressions: the same rule bases over partitions that a query computes from its own data."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from lumifuzz.functions import sqltext as q
+from lumifuzz.functions.membership import FuzzySet, Kind, Variable, trapezoid_text
+from lumifuzz.operators.partitions import even, labels_for
+
+
+@dataclass(frozen=True)
+class SymbolicTrapezoid(FuzzySet):
+    corners: tuple[str, str, str, str]
+
+    def text(self, x: str) -> str:
+        return trapezoid_text(x, *self.corners)
+
+
+@dataclass(frozen=True)
+class SymbolicInterval(FuzzySet):
+    lower: tuple[str, str, str, str]
+    upper: tuple[str, str, str, str]
+    kind = Kind.T2
+
+    def bounds(self, x: str) -> tuple[str, str]:
+        return trapezoid_text(x, *self.lower), trapezoid_text(x, *self.upper)
+
+
+@dataclass(frozen=True)
+class SymbolicGaussian(FuzzySet):
+    mean: str
+    spread: str
+
+    def text(self, x: str) -> str:
+        z = f"({x} - {self.mean}) / {self.spread}"
+        return f"exp(-(({z}) * ({z})))"
+
+
+@dataclass(frozen=True)
+class SymbolicVariable(Variable):
+    ends: tuple[str, str] = field(default=("0", "1"))
+
+    def value(self) -> str:
+        x = q.name(self.name)
+        if not self.clipped:
+            return x
+        low, high = self.ends
+        return f"(case when {x} < {low} then {low} when {x} > {high} then {high} else {x} end)"
+
+
+def quantile_select(table: str, features: Sequence[str], probabilities: Sequence[float], where: str = "true") -> str:
+    """A one-row select of the quantiles p0, p1, ... of each feature, in DuckDB's words."""
+    listed = "[" + ", ".join(repr(float(p)) for p in probabilities) + "]"
+    return "select " + ", ".join(f"quantile_cont({f}, {listed}) as p{i}" for i, f in enumerate(features)) + f" from {table} where {where}"
+
+
+def _v(i: int) -> list[str]:
+    return [f"p{i}[{k}]" for k in range(1, 20)]
+
+
+def variables(features: Sequence[str], shape: str = "trapezoid", clipped: bool = True) -> list[Variable]:
+    """Three-set partitions over the quantiles that quantile_select gives for probabilities(shape)."""
+    out = []
+    for i, f in enumerate(features):
+        v = _v(i)
+        n = len(probabilities(shape))
+        low, high = f"({v[0]} - 1e-4)", f"({v[n - 1]} + 1e-4)"
+        half = lambda a, b: f"({a} + ({b} - {a}) / 2e0)"
+        names = labels_for(3)
+        if shape == "trapezoid":
+            corners = [(low, low, v[1], v[2]), tuple(v[1:5]), (v[3], v[4], high, high)]
+            sets: list[FuzzySet] = [SymbolicTrapezoid(s, c) for s, c in zip(names, corners, strict=True)]
+        elif shape == "triangular":
+            corners = [(low, low, low, v[2]), (v[1], v[2], v[2], v[3]), (v[2], high, high, high)]
+            sets = [SymbolicTrapezoid(s, c) for s, c in zip(names, corners, strict=True)]
+        elif shape == "gaussian":
+            sets = [SymbolicGaussian(names[0], v[0], f"({v[1]} - {v[0]})"), SymbolicGaussian(names[1], v[1], f"(({v[2]} - {v[0]}) / 2e0)"), SymbolicGaussian(names[2], v[2], f"({v[2]} - {v[1]})")]
+        else:
+            upper = [(low, v[0], v[1], v[2]), tuple(v[1:5]), (v[3], v[4], v[5], high)]
+            lower = [(low, v[0], v[1], half(v[1], v[2])), (half(v[1], v[2]), v[2], v[3], half(v[3], v[4])), (half(v[3], v[4]), v[4], v[5], high)]
+            sets = [SymbolicInterval(s, a, b) for s, a, b in zip(names, lower, upper, strict=True)]
+        out.append(SymbolicVariable(f, tuple(sets), clipped=clipped, ends=(v[0], v[n - 1])))
+    return out
+
+
+def probabilities(shape: str) -> Sequence[float]:
+    return {"triangular": (0, 0.25, 0.5, 0.75, 1), "gaussian": even(3)}.get(shape, even(6))
