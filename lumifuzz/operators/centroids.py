@@ -26,11 +26,10 @@ def set_centroid(s: FuzzySet, step: float = 0.001) -> float:
 
 def _settle(z: np.ndarray, w: np.ndarray, weights_for) -> float:
     """Repeats: weights from the present centre, centre from the weights, until a centre returns."""
-    now, seen = center(z, w), None
-    while now != seen:
-        if np.isnan(now):
-            return now
-        seen, now = now, center(z, weights_for(now))
+    now, seen = center(z, w), set()
+    while now not in seen and not np.isnan(now):
+        seen.add(now)
+        now = center(z, weights_for(now))
     return now
 
 
@@ -50,14 +49,14 @@ def interval_centroid(s: FuzzySet, step: float = 0.001) -> tuple[float, float]:
 
 
 def _reduce(firing: np.ndarray, centroids: np.ndarray, first: int) -> float:
-    """The switch search over rules in their given order: up to and with the last rule whose centroid is not above the present value, column `first` of the firing intervals counts, after it the other one. Without any weight the value is 0; the value before the repetition is returned."""
+    """The switch search over rules in their given order: up to and with the last rule whose centroid is not above the present value, column `first` of the firing intervals counts, after it the other one. Without any weight the value is 0. It ends when a value returns (values may alternate for ever)."""
     weights = firing.mean(axis=1)
-    now, before = center(centroids, weights), None
-    while now != before and not np.isnan(now):
+    now, seen = center(centroids, weights), set()
+    while now not in seen and not np.isnan(now):
+        seen.add(now)
         not_above = np.flatnonzero(centroids <= now)
         k = int(not_above[-1]) if len(not_above) else 0
         weights = np.concatenate([firing[: k + 1, first], firing[k + 1 :, 1 - first]])
-        before = now
         now = center(centroids, weights) if weights.sum() else 0.0
     return now
 

@@ -77,7 +77,7 @@ def _at_most(rows: list[tuple[int, int]]) -> tuple[int, ...]:
 
 def _looked_up(score: Column, counts: tuple[int, ...]) -> Column:
     """The count of a score: one place of a literal array."""
-    return F.element_at(F.array(*map(F.lit, counts)), F.least(F.greatest(_place(score), F.lit(0)), F.lit(STEPS)) + 1)
+    return F.element_at(F.expr(f"array({', '.join(map(str, counts))})"), F.least(F.greatest(_place(score), F.lit(0)), F.lit(STEPS)) + 1)
 
 
 def calibrate(df: DataFrame, base: RuleBase, label: str, kind: str = "membership", coded: bool = False, with_rules: bool = True) -> Calibrated:
