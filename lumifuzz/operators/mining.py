@@ -21,6 +21,7 @@ from lumifuzz.functions.membership import Kind, Variable
 from lumifuzz.operators.partitions import fit_partitions
 from lumifuzz.operators.rule_quality import class_place
 from lumifuzz.operators.rules import Rule, RuleBase
+from lumifuzz.operators.spread import over_cores
 
 #: ((variable, set), ...), ascending by variable.
 Itemset = tuple[tuple[int, int], ...]
@@ -35,7 +36,7 @@ def _memberships(df: DataFrame, variables: Sequence[Variable], label: str | None
             names.append(F.expr(f"coalesce({lo}, 0e0)").alias(f"l{i}_{j}"))
             if v.kind is not Kind.T1:
                 names.append(F.expr(f"coalesce({hi}, 0e0)").alias(f"u{i}_{j}"))
-    return df.select(F.coalesce(y, F.lit(_NO_CLASS)).cast("int").alias("y"), *names)
+    return over_cores(df.select(F.coalesce(y, F.lit(_NO_CLASS)).cast("int").alias("y"), *names))
 
 
 def _totals(mu: DataFrame, candidates: list[Itemset], type1: bool) -> dict[int, dict[int, float]]:
@@ -138,7 +139,7 @@ class Merit:
 def merits(df: DataFrame, base: RuleBase, label: str) -> list[Merit]:
     """Of each rule, with the least membership as its strength (for type 2 of the bounds' means)."""
     averaged = [Variable(v.name, v.sets, clipped=v.clipped) for v in base.variables]
-    mu = df.select(F.coalesce(class_place(label, base.classes), F.lit(_NO_CLASS)).cast("int").alias("y"), *(F.expr(f"coalesce({t}, 0e0)").alias(f"l{i}_{j}") for i, v in enumerate(averaged) for j, t in enumerate(v.texts())))
+    mu = over_cores(df.select(F.coalesce(class_place(label, base.classes), F.lit(_NO_CLASS)).cast("int").alias("y"), *(F.expr(f"coalesce({t}, 0e0)").alias(f"l{i}_{j}") for i, v in enumerate(averaged) for j, t in enumerate(v.texts()))))
     sizes = {r["y"]: r["count"] for r in mu.groupBy("y").count().collect()}
     n = sum(sizes.values())
     items = [tuple((v, s) for v, s, _ in r.parts()) for r in base.rules]

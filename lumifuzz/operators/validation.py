@@ -19,6 +19,7 @@ from lumifuzz.functions.membership import Variable
 from lumifuzz.operators import rule_quality
 from lumifuzz.operators.rule_quality import class_place
 from lumifuzz.operators.rules import Rule, RuleBase
+from lumifuzz.operators.spread import over_cores
 
 
 def poisson_weight(key: str, replicate: int, seed: int = 33):
@@ -45,7 +46,7 @@ def bootstrap(df: DataFrame, base: RuleBase, label: str, key: str, n: int = 100,
     """replicate, rule, support, confidence: n replicates of all rules, in one pass; a task keeps (n, rules) sums."""
     made = base.applied(df).withColumn("_y", class_place(label, base.classes)).where("_y is not null")
     k, consequents = len(base), np.array(base.consequents())
-    rows = made.select(F.col("_y").alias("y"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), *(F.col(f"_f{i}") for i in range(k)))
+    rows = over_cores(made.select(F.col("_y").alias("y"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), *(F.col(f"_f{i}") for i in range(k))))
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n, 2 * k + 1))
