@@ -119,14 +119,9 @@ class RankArrayBpe:
         return " ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-_held: dict[str, RankArrayBpe] = {}
-
-
 def engine(path: str) -> RankArrayBpe:
     """The engine for a vocabulary file, once in each process."""
-    if path not in _held:
-        _held[path] = RankArrayBpe(path)
-    return _held[path]
+    return common.held(f"bpe {path}", lambda: RankArrayBpe(path))
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

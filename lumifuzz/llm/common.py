@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +42,23 @@ class Memo(dict):
         return out
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """An engine with its memo, made once in each worker process. Workers are used again by later stages, so another engine's memory is given back first."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    if _held:
+        _held.clear()
+        gc.collect()
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies on this machine."""
     import public_tokenizers

@@ -43,11 +43,9 @@ def word_hash(chunk: str) -> int:
     return (xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
 
 
-_memo = common.Memo(word_hash)
-
-
 def word_hashes(text: str) -> np.ndarray:
-    h = np.array(list(map(_memo.__getitem__, text.split())), np.uint64)
+    memo = common.held("decontam", lambda: common.Memo(word_hash))
+    h = np.array(list(map(memo.__getitem__, text.split())), np.uint64)
     return h[h != 0]
 
 

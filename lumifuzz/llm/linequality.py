@@ -105,6 +105,7 @@ def repeated_words(words: list[np.ndarray]) -> np.ndarray:
 
 def measures(texts: list[str]) -> dict[str, list]:
     """The counts over whole texts."""
+    common.release()
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     hashed = [np.array(list(map(hash, w)), np.int64) for w in words]
     duplicated = []

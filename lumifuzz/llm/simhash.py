@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
     """key and fp: the fingerprint of each whole text as a signed long."""
 
     def work(texts: list[str]) -> dict[str, pa.Array]:
+        common.release()
         out = np.zeros(len(texts), np.uint64)
         start = 0
         hashes: list[int] = []

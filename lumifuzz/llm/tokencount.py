@@ -190,13 +190,8 @@ def scan(maps: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return list(accumulate(maps, compose))
 
 
-_held: dict[str, Transducer] = {}
-
-
 def engine(path: str) -> Transducer:
-    if path not in _held:
-        _held[path] = Transducer(path)
-    return _held[path]
+    return common.held(f"tokencount {path}", lambda: Transducer(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
