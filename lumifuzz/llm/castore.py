@@ -21,6 +21,7 @@ an empty store. The input's other columns are not stored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from array import array
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumifuzz.llm import common
 
@@ -42,7 +44,8 @@ BLOCK = 1024
 #: Hashes that a task remembers to drop its own repeats.
 SEEN = 500_000
 
-_UNSAFE = re.compile(r"\s \s|\s \Z|<\|")
+#: A space between two white characters, or between one and the end: there the pre-tokeniser may not cut.
+_UNSAFE = re.compile(r" (?=\s|\Z)(?<=\s )")
 
 
 class Encoder:
@@ -57,43 +60,51 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[str, bytes] = {}
+        #: ids of a piece by what stands after a space, with that space; and of first pieces, without one.
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def _fill(self, wanted: set[str]) -> None:
-        missing = []
-        for x in wanted:
-            if x not in self.memo:
-                if (held := self.old.get(x)) is None:
-                    missing.append(x)
-                else:
-                    self.memo[x] = held
-        for x, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.memo[x] = array("I", e.ids).tobytes()
+        self.marks = {m: array("I", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ",."}
+
+    def _fill(self, memo: dict[str, bytes], wanted: set[str], before: str) -> None:
+        old, missing, ended = self.old if before else {}, [], []
+        for x in wanted.difference(memo):
+            if (held := old.get(x)) is not None:
+                memo[x] = held
+            elif x[-1:] in self.marks and x[:-1].isalpha():
+                # the pre-tokeniser always cuts between a letter and such a mark
+                ended.append(x)
+            else:
+                missing.append(x)
+        cores = {x[:-1] for x in ended}.difference(memo, missing)
+        for x in cores:
+            if (held := old.get(x)) is None:
+                missing.append(x)
+            else:
+                memo[x] = held
+        for x, e in zip(missing, self.library.encode_batch_fast([before + x for x in missing], add_special_tokens=False), strict=True):
+            memo[x] = array("I", e.ids).tobytes()
+        for x in ended:
+            memo[x] = memo[x[:-1]] + self.marks[x[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of whole texts."""
-        if len(self.memo) > common.MEMO_ENTRIES:
-            self.old, self.memo = self.memo, {}
-        pieces = []
-        for t in texts:
-            if _UNSAFE.search(t):
-                pieces.append([t])
-            else:
-                first, *rest = t.split(" ")
-                pieces.append([first, *[" " + x for x in rest]])
-        self._fill({x for p in pieces for x in p})
-        held = self.memo.__getitem__
-        out = [b"".join(map(held, p)) for p in pieces]
-        for t, p in zip(texts, pieces, strict=True):
-            if len(p) == 1 and len(t) > common.MEMO_CHARS:
-                self.memo.pop(t, None)
-        return out
-
-
-@lru_cache(maxsize=2)
+        if len(self.spaced) > common.MEMO_ENTRIES:
+            self.old, self.spaced = self.spaced, {}
+        self.bare.clear()
+        pieces = [[t] if "<|" in t or _UNSAFE.search(t) else t.split(" ") for t in texts]
+        first = [p.pop(0) for p in pieces]
+        wanted: set[str] = set()
+        for p in pieces:
+            wanted.update(p)
+        self._fill(self.bare, set(first), "")
+        self._fill(self.spaced, wanted, " ")
+        held = self.spaced.__getitem__
+        return [self.bare[f] + b"".join(map(held, p)) for f, p in zip(first, pieces, strict=True)]
+
+
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return common.held(f"castore {path}", lambda: Encoder(path))
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -107,9 +118,12 @@ def _gear(ids: np.ndarray) -> np.ndarray:
 def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     """For documents laid end to end (ends: where each ends): the ends of their chunks. A cut depends on the document's own ids only."""
     gear = _gear(ids)
-    h = gear.copy()
-    for k in range(1, min(WINDOW, len(ids))):
-        h[k:] += gear[:-k] << np.uint32(k)
+    # the sum over the last WINDOW ids of gear << age, by doubling the window
+    h, k = gear, 1
+    while k < WINDOW and k < len(ids):
+        wider = h.copy()
+        wider[k:] += h[:-k] << np.uint32(k)
+        h, k = wider, 2 * k
     candidates = (np.flatnonzero((h & MASK) == 0) + 1).tolist()
     out, c, n, start = [], 0, len(candidates), 0
     for end in ends.tolist():
@@ -135,18 +149,22 @@ def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     return out
 
 
-def pack(ids: np.ndarray) -> bytes:
+@lru_cache(maxsize=1)
+def _frames():
+    """A compressor and a decompressor, once in each process."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1, write_content_size=True), zstandard.ZstdDecompressor()
+
+
+def pack(ids: np.ndarray) -> bytes:
     narrow = not len(ids) or int(ids.max()) < 1 << 16
-    return (b"\x02" if narrow else b"\x04") + zstandard.ZstdCompressor(level=1, write_content_size=True).compress(ids.astype("<u2" if narrow else "<u4").tobytes())
+    return (b"\x02" if narrow else b"\x04") + _frames()[0].compress(ids.astype("<u2" if narrow else "<u4").tobytes())
 
 
 def unpack(payload: bytes) -> bytes:
     """The ids as little-endian unsigned 32-bit integers."""
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(payload[1:])
+    raw = _frames()[1].decompress(payload[1:])
     return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if payload[0] == 2 else raw
 
 
@@ -228,6 +246,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
         .select("doc_id", "part", "pos", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "root", "entries")
     )
     placed.write.parquet(f"{folder}/recipes")
+    spark.createDataFrame([(placed.schema.json(),)], "value string").coalesce(1).write.text(f"{folder}/schema")
     merkle(spark, folder).write.parquet(f"{folder}/manifest")
     return folder
 
@@ -238,9 +257,15 @@ def _root(*order: str):
     return F.unhex(F.sha2(F.unhex(F.array_join(listed, "")), 256))
 
 
+def _recipes(spark: SparkSession, folder: str) -> DataFrame:
+    """With the schema that was stored beside them, as an empty table has no file to tell it."""
+    held = spark.read.text(f"{folder}/schema").first()[0]
+    return spark.read.schema(StructType.fromJson(json.loads(held))).parquet(f"{folder}/recipes")
+
+
 def merkle(spark: SparkSession, folder: str) -> DataFrame:
     """The tree over the recipes as they are stored: level 1 blocks, level 2 parts, level 3 the whole."""
-    recipes = spark.read.parquet(f"{folder}/recipes").select("part", "pos", "root", (F.col("pos") / BLOCK).cast("long").alias("block"))
+    recipes = _recipes(spark, folder).select("part", "pos", "root", (F.col("pos") / BLOCK).cast("long").alias("block"))
     one = recipes.groupBy("part", "block").agg(F.count("*").alias("n"), _root("pos").alias("root"))
     two = one.groupBy("part").agg(F.sum("n").alias("n"), _root("block").alias("root"))
     three = two.agg(F.sum("n").alias("n"), _root("part").alias("root"))
@@ -255,12 +280,13 @@ def merkle(spark: SparkSession, folder: str) -> DataFrame:
 def verify(spark: SparkSession, folder: str) -> int:
     """How many rows of the manifest and of the tree over the stored recipes have no equal on the other side."""
     names = ["level", "part", "block", "n", "root"]
-    held, now = spark.read.parquet(f"{folder}/manifest").select(names), merkle(spark, folder).select(names)
+    now = merkle(spark, folder).select(names)
+    held = spark.read.schema(now.schema).parquet(f"{folder}/manifest").select(names)
     return held.exceptAll(now).count() + now.exceptAll(held).count()
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/rows").where("kind = 0").select("hash", "n", "payload")
+    return spark.read.schema("kind int, n long, hash binary, payload binary").parquet(f"{folder}/rows").where("kind = 0").select("hash", "n", "payload")
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +346,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the stored documents, from the files. Every chunk is read and checked where it lies; the CRCs of a document's chunks are joined in the order of its recipe, so no payload moves."""
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    recipes = _recipes(spark, folder)
     held = chunks(spark, folder).mapInArrow(_checked, "hash binary, crc long")
     distinct = recipes.groupBy("root").agg(F.any_value("entries").alias("entries"))
     entries = distinct.select("root", F.posexplode("entries").alias("seq", "e")).select("root", "seq", F.col("e.hash").alias("hash"), F.col("e.n").alias("n"))
@@ -331,7 +357,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start, ids (array<int>) of the stored documents (doc_ids: of these only), rebuilt from their chunks."""
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    recipes = _recipes(spark, folder)
     if doc_ids is not None:
         recipes = recipes.where(F.col("doc_id").isin(doc_ids))
     entries = recipes.select("doc_id", "start", F.posexplode("entries").alias("seq", "e")).select("doc_id", "start", "seq", F.col("e.hash").alias("hash"))
