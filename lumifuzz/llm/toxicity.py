@@ -107,6 +107,18 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
+    def __getstate__(self) -> tuple:
+        """Sent with the table's non-zero entries only."""
+        at = None if self.table is None else np.flatnonzero(self.table).astype(np.int32)
+        return at, None if at is None else self.table[at], self.bias, self.slope, self.offset
+
+    def __setstate__(self, state: tuple) -> None:
+        at, values, self.bias, self.slope, self.offset = state
+        self.table = None
+        if at is not None:
+            self.table = np.zeros(_TABLE, np.float32)
+            self.table[at] = values
+
     def rate(self, strings: list[list[int]]) -> np.ndarray:
         """The machine's value of each string."""
         out = np.full(len(strings), self.bias)
@@ -225,20 +237,39 @@ def train(positives: list[list[int]], weights: np.ndarray, negatives: list[list[
     return Model(table, float(w[-1]))
 
 
-def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word (or a beginning, with a star), label, bucket: the distinct instances of each document. Near copies mostly share a bucket, the least hash of their words, so that they count as one document."""
+def _words(text: str) -> set[str]:
+    return {v for x in set(word_list(text)) for v in variants(x) if len(v) <= common.MEMO_CHARS}
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows and the least hash of their 4-word shingles, which near copies mostly share and others never."""
     from xxhash import xxh64_intdigest
 
     for batch in batches:
         for part, texts in common.slices(batch):
-            words, labels, buckets = [], [], []
+            cut = [t.lower().split() for t in texts]
+            least = [min(xxh64_intdigest(" ".join(w[i : i + 4])) >> 1 for i in range(max(1, len(w) - 3))) for w in cut]
+            yield part.append_column("bucket", pa.array(least, pa.int64()))
+
+
+def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word (or a beginning, with a star), toxic, clean: in how many documents of each kind, added up in the task as far as memory is bounded."""
+    seen: dict[str, list[int]] = {}
+
+    def told() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], ["word", "toxic", "clean"])
+        seen.clear()
+        return out
+
+    for batch in batches:
+        for part, texts in common.slices(batch):
             for t, label in zip(texts, part.column("label").to_pylist(), strict=True):
-                own = {v for x in set(word_list(t)) for v in variants(x) if len(v) <= common.MEMO_CHARS}
-                own |= {f"{v[:n]}*" for v in own for n in PREFIXES if len(v) > n}
-                words += own
-                labels += [label] * len(own)
-                buckets += [min((xxh64_intdigest(v) >> 1 for v in own), default=0)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32()), pa.array(buckets, pa.int64())], ["word", "label", "bucket"])
+                own = _words(t)
+                for w in own | {f"{v[:n]}*" for v in own for n in PREFIXES if len(v) > n}:
+                    seen.setdefault(w, [0, 0])[label] += 1
+                if len(seen) > 400_000:
+                    yield told()
+    yield told()
 
 
 def _log_tail(k: int, n: int, q: float) -> float:
@@ -254,13 +285,16 @@ def _string(word: str) -> list[int]:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
     spark = docs.sparkSession
-    picked = common.cut(labelled.sample(docs, labels, label, learn, {0: MAX_CLEAN, 1: MAX_TOXIC}, key, text), "toxicity-sample")
-    n = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
+    picked = labelled.sample(docs, labels, label, learn, {0: MAX_CLEAN, 1: MAX_TOXIC}, key, text)
+    marked = picked.mapInArrow(_buckets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema) + ", bucket long")
+    picked = common.cut(marked, "toxicity-sample")
+    # of near copies one, the first by key
+    apart = picked.groupBy("bucket", "label").agg(F.min(F.struct("key", "text")).alias("one")).select("label", "one.text")
+    n = {r["label"]: r["count"] for r in apart.groupBy("label").count().collect()}
     if len(n) < 2:
         return Model(None)
-    found = picked.mapInArrow(_instances, "word string, label int, bucket long")
-    seen = [F.count_distinct(F.when(F.col("label") == v, F.col("bucket"))).alias(name) for v, name in ((1, "toxic"), (0, "clean"))]
-    words = common.cut(found.groupBy("word").agg(*seen), "toxicity-words")
+    found = apart.mapInArrow(_instances, "word string, toxic long, clean long")
+    words = common.cut(found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-words")
     a, b = F.col("toxic") / n[1], F.col("clean") / n[0]
     share = (F.col("toxic") + F.col("clean")) / (n[0] + n[1])
     surprise = (a - b) / F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
@@ -315,9 +349,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-_raters: dict[int, Rater] = {}
-
-
 def rate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score and predicted (1 from PREDICTED_FROM) of each whole text."""
     if model.table is None:
@@ -326,11 +357,10 @@ def rate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
     def work(texts: list[str]) -> dict[str, pa.Array]:
         model = sent.value
-        # one rater for a broadcast in each worker process
-        rater = _raters.get(id(model))
-        if rater is None or rater.model is not model:
-            _raters.clear()
-            rater = _raters[id(model)] = Rater(model)
+        rater = common.held("toxicity", lambda: Rater(model))
+        if rater.model is not model:
+            common.release()
+            rater = common.held("toxicity", lambda: Rater(model))
         s = model.score(np.maximum(rater.values(texts), -5))
         return {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= PREDICTED_FROM).astype(np.int32), pa.int32())}
 
