@@ -1,9 +1,9 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 A rule is a regular expression over a document's words (ASCII-lower-cased runs of letters and digits, with single spaces
-between), gated by a keyword, with a priority: first whole license texts and identifiers, then notices, then versions,
-names and hints. Documents without any stem of the rules are not looked at further; in the others, only rules whose
-keyword occurs are run. A detection that lies inside one of an earlier or the same priority (or repeats it) is suppressed.
+between), gated by words that no match lacks, with a priority: first whole license texts and identifiers, then notices, then versions,
+names and hints. Documents without such words are not looked at further; in the others, only rules whose
+words occur are run. A detection that lies inside one of an earlier or the same priority (or repeats it) is suppressed.
 
 The base counts the places where a few fixed phrases stand word by word; the rules add labels to those of the base. score is the
 confidence of the best detection that is left: 1 for a text or an identifier, 0.9 for a notice or a base phrase, 0.7 for a name, 0.4 for
@@ -22,91 +22,86 @@ from lumifuzz.llm.spans import let, matches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Every rule's keyword holds one of these stems.
-STEMS = ("licen", "spdx", "copyright", "public domain", "permission", "redistribution", "warranty", "rights reserved", "gpl", "creativecommons", "cc by", "cc0", "opl")
-
-#: label: (name as a regular expression over words, keyword, identifiers as words). Versions are told by the rules.
+#: label: (name as a regular expression over words, words of which every spelling of it holds one, identifiers as words). Versions are told by the rules.
 FAMILIES = {
     "mit": ("mit", "mit", "mit|mit 0"),
     "apache": ("apache(?: software)?", "apache", r"apache \d(?: \d)*"),
-    "agpl": ("(?:gnu )?(?:affero general public|agpl)", "a", r"agpl \d \d(?: only| or later)?"),
-    "lgpl": ("(?:gnu )?(?:lesser general public|library general public|lgpl)", "l", r"lgpl \d \d(?: only| or later)?"),
-    "gpl": ("(?:gnu )?(?:general public|gpl)", "g", r"gpl \d \d(?: only| or later)?"),
-    "gfdl": ("(?:gnu )?(?:free documentation|fdl)", "gnu", r"gfdl \d \d(?: only| or later)?"),
+    "agpl": ("(?:gnu )?(?:affero general public|agpl)", "affero|agpl", r"agpl \d \d(?: only| or later)?"),
+    "lgpl": ("(?:gnu )?(?:lesser general public|library general public|lgpl)", "lesser|library|lgpl", r"lgpl \d \d(?: only| or later)?"),
+    "gpl": ("(?:gnu )?(?:general public|gpl)", "general|gpl", r"gpl \d \d(?: only| or later)?"),
+    "gfdl": ("(?:gnu )?(?:free documentation|fdl)", "documentation|fdl", r"gfdl \d \d(?: only| or later)?"),
     "bsd": (r"(?:[0234] clause )?(?:new |modified |simplified |revised )?bsd(?: [0234] clause)?", "bsd", r"bsd \d clause|0bsd"),
-    "mpl": ("(?:mozilla public|mpl)", "m", r"mpl \d \d"),
-    "epl": ("(?:eclipse public|epl)", "e", r"epl \d \d"),
+    "mpl": ("(?:mozilla public|mpl)", "mozilla|mpl", r"mpl \d \d"),
+    "epl": ("(?:eclipse public|epl)", "eclipse|epl", r"epl \d \d"),
     "edl": ("eclipse distribution", "eclipse", "edl"),
-    "cddl": ("(?:common development and distribution|cddl)", "d", r"cddl \d \d"),
+    "cddl": ("(?:common development and distribution|cddl)", "development|cddl", r"cddl \d \d"),
     "cpl": ("common public", "common", r"cpl \d \d"),
     "ipl": ("ibm public", "ibm", r"ipl \d \d"),
     "isc": ("isc", "isc", "isc"),
-    "zlib": ("(?:zlib(?: libpng)?|libpng)", "lib", "zlib|libpng(?: 2 0)?"),
+    "zlib": ("(?:zlib(?: libpng)?|libpng)", "zlib|libpng", "zlib|libpng(?: 2 0)?"),
     "artistic": ("(?:clarified )?artistic", "artistic", r"artistic \d \d(?: perl)?"),
     "boost": ("boost software", "boost", r"bsl \d \d"),
     "unlicense": ("unlicense", "unlicense", "unlicense"),
-    "wtfpl": ("(?:wtfpl|do what the fuck you want to public)", "w", "wtfpl"),
-    "eupl": ("(?:european union public|eupl)", "eu", r"eupl \d \d"),
-    "ofl": ("(?:sil )?open font", "open font", r"ofl \d \d"),
-    "psf": ("(?:python software foundation|psf)", "p", r"psf \d \d|python \d \d"),
+    "wtfpl": ("(?:wtfpl|do what the fuck you want to public)", "wtfpl|fuck", "wtfpl"),
+    "eupl": ("(?:european union public|eupl)", "european|eupl", r"eupl \d \d"),
+    "ofl": ("(?:sil )?open font", "font", r"ofl \d \d"),
+    "psf": ("(?:python software foundation|psf)", "python|psf", r"psf \d \d|python \d \d"),
     "php": ("php", "php", r"php \d \d+"),
     "ruby": ("ruby", "ruby", "ruby"),
     "postgresql": ("postgresql", "postgresql", "postgresql"),
     "openssl": ("openssl", "openssl", "openssl"),
     "openldap": ("openldap public", "openldap", r"oldap \d \d"),
-    "ms-pl": ("(?:microsoft public|ms pl)", "m", "ms pl"),
-    "ms-rl": ("(?:microsoft reciprocal|ms rl)", "m", "ms rl"),
+    "ms-pl": ("(?:microsoft public|ms pl)", "microsoft|ms", "ms pl"),
+    "ms-rl": ("(?:microsoft reciprocal|ms rl)", "reciprocal|rl", "ms rl"),
     "afl": ("academic free", "academic", r"afl \d \d"),
-    "osl": ("open software", "open software", r"osl \d \d"),
+    "osl": ("open software", "software", r"osl \d \d"),
     "ecl": ("educational community", "educational", r"ecl \d \d"),
     "ncsa": ("(?:university of illinois )?ncsa(?: open source)?", "ncsa", "ncsa"),
-    "upl": ("universal permissive", "universal", r"upl \d \d"),
+    "upl": ("universal permissive", "permissive", r"upl \d \d"),
     "vim": ("vim", "vim", "vim"),
-    "beerware": ("beer ?ware", "beer", "beerware"),
-    "bsl": ("business source", "business source", r"busl \d \d"),
-    "sspl": ("(?:server side public|sspl)", "s", r"sspl \d \d"),
+    "beerware": ("beer ?ware", "beer|beerware", "beerware"),
+    "bsl": ("business source", "business", r"busl \d \d"),
+    "sspl": ("(?:server side public|sspl)", "side|sspl", r"sspl \d \d"),
     "elastic": ("elastic", "elastic", r"elastic \d \d"),
     "cecill": ("cecill(?: [bc])?", "cecill", r"cecill(?: [bc])?(?: \d \d)?"),
-    "odbl": ("(?:open database|odbl)", "od", r"odbl \d \d"),
-    "odc-by": ("open data commons attribution", "open data", r"odc by \d \d"),
-    "pddl": ("public domain dedication and license", "public domain", r"pddl \d \d"),
-    "cc0": ("(?:cc0|cc zero|creative commons zero)", "c", r"cc0 \d \d"),
-    "cc-by-nc-nd": ("(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", "c", r"cc by nc nd \d \d"),
-    "cc-by-nc-sa": ("(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "c", r"cc by nc sa \d \d"),
-    "cc-by-nc": ("(?:cc by nc|creative commons attribution non ?commercial)(?! (?:nd|sa|no ?deriv|share))", "c", r"cc by nc \d \d"),
-    "cc-by-nd": ("(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "c", r"cc by nd \d \d"),
-    "cc-by-sa": ("(?:cc by sa|creative commons attribution share ?alike)", "c", r"cc by sa \d \d"),
-    "cc-by": ("(?:cc by|creative commons attribution)(?! (?:nc|nd|sa|non|no ?deriv|share))", "c", r"cc by \d \d"),
-    "proprietary": ("(?:proprietary|commercial|end user)", "r", "licenseref [a-z0-9 ]{1,40}"),
+    "odbl": ("(?:open database|odbl)", "database|odbl", r"odbl \d \d"),
+    "odc-by": ("open data commons attribution", "attribution", r"odc by \d \d"),
+    "pddl": ("public domain dedication and license", "dedication", r"pddl \d \d"),
+    "cc0": ("(?:cc0|cc zero|creative commons zero)", "cc0|cc|creative", r"cc0 \d \d"),
+    "cc-by-nc-nd": ("(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", "cc|attribution", r"cc by nc nd \d \d"),
+    "cc-by-nc-sa": ("(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc|attribution", r"cc by nc sa \d \d"),
+    "cc-by-nc": ("(?:cc by nc|creative commons attribution non ?commercial)(?! (?:nd|sa|no ?deriv|share))", "cc|attribution", r"cc by nc \d \d"),
+    "cc-by-nd": ("(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "cc|attribution", r"cc by nd \d \d"),
+    "cc-by-sa": ("(?:cc by sa|creative commons attribution share ?alike)", "cc|attribution", r"cc by sa \d \d"),
+    "cc-by": ("(?:cc by|creative commons attribution)(?! (?:nc|nd|sa|non|no ?deriv|share))", "cc|attribution", r"cc by \d \d"),
+    "proprietary": ("(?:proprietary|commercial|end user)", "proprietary|commercial|user", "licenseref [a-z0-9 ]{1,40}"),
 }
 
-#: label, keyword and words of whole license texts.
+#: label, words of which all must occur, and words of whole license texts.
 TEXTS = (
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("apache", "licensed under the apache", "licensed under the apache license version 2 0 the license you may not use this file"),
-    ("gpl", "free software", "(?:is|this program is) free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "free software", "free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", "free software", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("mpl", "mozilla public", "this source code form is subject to the terms of the mozilla public license"),
-    ("epl", "eclipse public", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    ("cddl", "common development", "the contents of this file are subject to the terms of the common development and distribution license"),
-    ("zlib", "provided as is", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("boost", "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
-    ("unlicense", "public domain", "this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "do what the fuck", "you just do what the fuck you want to"),
-    ("artistic", "artistic", "the intent of this document is to state the conditions under which a package may be copied"),
-    ("cc0", "copyright and related", "to the extent possible under law .{1,80} has waived all copyright and related or neighboring rights"),
-    ("ofl", "sil open font", "this font software is licensed under the sil open font license"),
-    ("psf", "python software", "this license agreement is between the python software foundation"),
-    ("postgresql", "permission to use", "permission to use copy modify and distribute this software and its documentation for any purpose without fee"),
-    ("vim", "vim", "there are no restrictions on distributing unmodified copies of vim"),
+    ("mit", "hereby person", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("isc", "permission hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution binary", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("apache", "licensed apache", "licensed under the apache license version 2 0 the license you may not use this file"),
+    ("gpl", "redistribute general", "(?:is|this program is) free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "redistribute gnu", "free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl", "redistribute affero", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("mpl", "mozilla source", "this source code form is subject to the terms of the mozilla public license"),
+    ("epl", "eclipse accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "development distribution", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("boost", "hereby organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("unlicense", "unencumbered domain", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck want", "you just do what the fuck you want to"),
+    ("artistic", "intent package", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("cc0", "neighboring waived", "to the extent possible under law .{1,80} has waived all copyright and related or neighboring rights"),
+    ("ofl", "sil font", "this font software is licensed under the sil open font license"),
+    ("psf", "python agreement", "this license agreement is between the python software foundation"),
+    ("postgresql", "permission documentation", "permission to use copy modify and distribute this software and its documentation for any purpose without fee"),
+    ("vim", "vim restrictions", "there are no restrictions on distributing unmodified copies of vim"),
 )
 HINTS = (
     ("public-domain", "public domain", "(?:in|into|to) the public domain"),
@@ -117,39 +112,61 @@ HINTS = (
 
 @dataclass(frozen=True)
 class Rule:
+    """needs: words by groups; a match holds a word of each group."""
+
     label: str
     priority: int
-    keyword: str
+    needs: tuple[tuple[str, ...], tuple[str, ...]]
     regex: str
     score: float
 
 
+#: Families without a rule for "style license".
+UNSTYLED = ("agpl", "lgpl", "gpl", "mpl", "epl", "cddl", "wtfpl", "eupl", "psf", "ms-pl", "ms-rl", "sspl", "odbl", "cc0", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by", "proprietary")
+LICENSE = tuple(f"licen{c}e{end}" for c in "sc" for end in ("", "d", "s"))
+GRANTS = ("licensed", "licenced", "released", "distributed", "available", "published", "provided", "covered", "governed", "shared", "offered")
+
+
+def _all(words: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Needs of a rule whose words (one or two) must all occur."""
+    first, *rest = words.split(" ")
+    return (first,), tuple(rest or [first])
+
+
 def rules() -> tuple[Rule, ...]:
     """The ordered rules: whole texts and hints as they are written, and for each family one rule of each form."""
-    out = [Rule(label, 0, keyword, words, 1.0) for label, keyword, words in TEXTS]
+    out = [Rule(label, 0, _all(needs), words, 1.0) for label, needs, words in TEXTS]
     under = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|governed|shared|offered) (?:under|by|with)"
-    for label, (name, key, identifier) in FAMILIES.items():
+    for label, (name, held, identifier) in FAMILIES.items():
         licensed = rf"(?:the )?{name}(?: licen[sc]e)?"
         version = r"(?:(?: licen[sc]e)? (?:version |v ?)?\d+(?: \d+)*)"
+        named = tuple(held.split("|"))
         out += [
-            Rule(label, 1, "spdx license identifier", rf"spdx license identifier (?:{identifier})", 1.0),
-            Rule(label, 2, "under" if key in ("a", "l", "g", "m", "e", "d", "w", "p", "s", "c", "r") else key, rf"{under} (?:the terms (?:and conditions )?of )?{licensed}{version}?", 0.9),
-            Rule(label, 3, "licen", rf"licen[sc]e (?:is )?{name}{version}?", 0.9),
-            Rule(label, 4, "licen", rf"{name} licen[sc]e(?:d|s)?{version}?", 0.7),
+            Rule(label, 1, _all("spdx identifier"), rf"spdx license identifier (?:{identifier})", 1.0),
+            Rule(label, 2, (named, GRANTS), rf"{under} (?:the terms (?:and conditions )?of )?{licensed}{version}?", 0.9),
+            Rule(label, 3, (named, LICENSE), rf"licen[sc]e (?:is )?{name}{version}?", 0.9),
+            Rule(label, 4, (named, LICENSE), rf"{name} licen[sc]e(?:d|s)?{version}?", 0.7),
         ]
-        if len(key) > 2 or label in ("mit",):
-            out.append(Rule(label, 3, "licen", rf"{name} style licen[sc]e", 0.7))
-    return tuple(out + [Rule(label, 5, keyword, words, 0.4) for label, keyword, words in HINTS])
+        if label not in UNSTYLED:
+            out.append(Rule(label, 3, (named, LICENSE), rf"{name} style licen[sc]e", 0.7))
+    return tuple(out + [Rule(label, 5, _all(needs), words, 0.4) for label, needs, words in HINTS])
 
 
 RULES = rules()
 
 
-def _gated(low: Column) -> Column:
-    out = F.contains(low, F.lit(STEMS[0]))
-    for s in STEMS[1:]:
-        out = out | F.contains(low, F.lit(s))
-    return out
+def gate_words(table: tuple[Rule, ...]) -> list[str]:
+    return sorted({w for r in table for group in r.needs for w in group})
+
+
+def _texts(words) -> Column:
+    return F.array(*(F.lit(w) for w in words))
+
+
+def gated(held: Column, table: tuple[Rule, ...]) -> Column:
+    """Whether the words of some rule can be among held, or those of a base phrase: one of the first and one of the second groups, which no match lacks."""
+    first, second = ({w for r in table for w in r.needs[k]} for k in (0, 1))
+    return F.arrays_overlap(held, _texts(sorted(first))) & F.arrays_overlap(held, _texts(sorted(second)))
 
 
 def base_places(words: Column) -> Column:
@@ -174,9 +191,9 @@ def _two(f):
     return lambda w, i: f(w, i)
 
 
-def detections(text: Column, table: tuple[Rule, ...]) -> Column:
-    """array<struct<start, nend, priority, n, end, label, score>>: what the rules whose keyword occurs find in text (words between single spaces, one before and after), in the order of the sweep: by start, then longest, then priority."""
-    held = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score")) for n, r in enumerate(table)))
+def detections(text: Column, held: Column, table: tuple[Rule, ...]) -> Column:
+    """array<struct<start, nend, priority, n, end, label, score>>: what the rules whose needs are among held find in text (words between single spaces, one before and after), in the order of the sweep: by start, then longest, then priority."""
+    every = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(r.priority).alias("priority"), _texts(r.needs[0]).alias("first"), _texts(r.needs[1]).alias("second"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score")) for n, r in enumerate(table)))
 
     def run(r: Column) -> Column:
         return F.transform(
@@ -184,7 +201,7 @@ def detections(text: Column, table: tuple[Rule, ...]) -> Column:
             lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("nend"), r["priority"].alias("priority"), r["n"].alias("n"), m["end"].alias("end"), r["label"].alias("label"), r["score"].alias("score")),
         )
 
-    return F.sort_array(F.flatten(F.transform(F.filter(held, lambda r: F.contains(text, r["keyword"])), run)))
+    return F.sort_array(F.flatten(F.transform(F.filter(every, lambda r: F.arrays_overlap(held, r["first"]) & F.arrays_overlap(held, r["second"])), run)))
 
 
 def suppressed(found: Column) -> Column:
@@ -207,13 +224,15 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def look(words: Column) -> Column:
         joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-        left = let(joined, lambda t: F.transform(suppressed(detections(t, RULES)), lambda s: F.struct((s["start"] - 1).alias("start"), (s["end"] - 1).alias("end"), s["label"].alias("label"), s["score"].alias("score"))))
+        left = let(joined, lambda t: F.transform(suppressed(detections(t, F.col("_held"), RULES)), lambda s: F.struct((s["start"] - 1).alias("start"), (s["end"] - 1).alias("end"), s["label"].alias("label"), s["score"].alias("score"))))
         return F.struct(F.sort_array(base_places(words)).cast(base_kind).alias("base"), left.alias("detections"))
 
     words = F.regexp_extract_all(F.translate(F.col("_text"), UPPER, LOWER), F.lit(WORD), F.lit(0))
     nothing = F.struct(F.array().cast(base_kind).alias("base"), F.array().cast(kind).alias("detections"))
-    gated = docs.select(key, whole.alias("_text")).select(key, "_text", _gated(F.lower("_text")).alias("_gated"))
-    seen = gated.select(key, F.size(F.regexp_extract_all("_text", F.lit(RAW_WORD), F.lit(0))).cast("long").alias("n_words"), F.when(F.col("_gated"), let(words, look)).otherwise(nothing).alias("_seen"))
+    # all non-ASCII characters are in words and lower-casing them leaves them there, so these are as many, and equal where they are ASCII
+    low = docs.select(key, whole.alias("_text"), F.regexp_extract_all(F.lower(whole), F.lit(WORD), F.lit(0)).alias("_low"))
+    held = low.select(key, "_text", F.size("_low").cast("long").alias("n_words"), F.array_intersect("_low", _texts(gate_words(RULES))).alias("_held"))
+    seen = held.select(key, "n_words", F.when(gated(F.col("_held"), RULES), let(words, look)).otherwise(nothing).alias("_seen"))
     return seen.select(key, "n_words", F.col("_seen.base").alias("base"), F.col("_seen.detections").alias("detections"))
 
 

@@ -98,6 +98,60 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty).count() == 0 and len(licenses.RULES) > 200
 
 
+def spelled(regex):
+    """Texts that a rule's expression matches: each branch, option and class member at least once."""
+    from re import _parser
+
+    def of(tree):
+        out = [""]
+        for op, x in tree:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(x)]
+            elif name == "ANY":
+                more = ["x"]
+            elif name == "IN":
+                more = [chr(v) if str(k) == "LITERAL" else "7" if str(k) == "CATEGORY" else chr(v[0]) for k, v in x]
+            elif name == "BRANCH":
+                more = [t for b in x[1] for t in of(b)]
+            elif name == "SUBPATTERN":
+                more = of(x[3])
+            elif name == "MAX_REPEAT":
+                more = ([""] if not x[0] else []) + [t * max(1, x[0]) for t in of(x[2])]
+            else:
+                assert name == "ASSERT_NOT"
+                more = [""]
+            n = max(len(out), len(more)) if len(out) * len(more) > 60 else 0
+            out = [out[i % len(out)] + more[i % len(more)] for i in range(n)] if n else [a + b for a in out for b in more]
+        return out
+
+    return list(dict.fromkeys(of(_parser.parse(regex))))
+
+
+def test_no_gate_drops_a_match(spark):
+    rows = []
+    for n, r in enumerate(licenses.RULES):
+        texts = [t for t in spelled(r.regex) if re.fullmatch(r.regex, t)]
+        assert texts
+        for t in texts:
+            assert all(set(t.split()) & set(group) for group in r.needs), (r, t)
+        rows.append((n, texts[0].upper().replace(" ", "\n  ")))
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for n, r in enumerate(licenses.RULES):
+        assert got[n][0]["labels"] and got[n][0]["score"] > 0, (r, rows[n])
+
+
+def test_licenses_without_the_word(spark):
+    texts = {
+        "Released under CC-BY 4.0.": "cc-by", "shared under CC-BY-SA 4.0.": "cc-by-sa", "Released under Creative Commons Attribution 4.0.": "cc-by", "Distributed under the 3-clause BSD.": "bsd",
+        "Distributed under the Apache 2.0 terms.": "apache", "Available under MPL 2.0.": "mpl", "in the public\ndomain": "public-domain", "in the public  domain": "public-domain", "You just do what the fuck you want to": "wtfpl",
+        "there are no restrictions on distributing unmodified copies of Vim": "vim",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: r[0]["labels"] for i, r in by_id(licenses.scan(docs)).items()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_a_contained_detection_is_suppressed(spark):
     docs = spark.createDataFrame([(1, "licensed under the GNU Lesser General Public License version 2.1")], "doc_id long, text string")
     labels = [d["label"] for d in licenses.find(docs).first()["detections"]]
