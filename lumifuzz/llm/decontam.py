@@ -7,7 +7,8 @@ each hit is verified along its diagonal: the best run, where a matching word cou
 in 4 words match), must hold at least MIN_WORDS matching words.
 
 The benchmark is taken in blocks of at most BLOCK_SEEDS hashes, which bounds what is sent to the executors; each block is
-looked up in all documents. There is no shuffle of documents, and no cap on hits, items or partners.
+looked up in all documents. There is no shuffle of documents, and no cap on hits, items or partners. What several blocks find in a
+document is merged, so the result does not depend on BLOCK_SEEDS; then the contaminated rows (key, digest of the text, overlaps) are shuffled.
 
 Null texts count as empty and match nothing; an empty table on either side gives no contaminated rows. Equal documents give
 equal rows. Benchmark rows with a null item_id are used and named by null. Other columns are passed over (mark) or
@@ -16,6 +17,7 @@ kept as they are (decontaminate).
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -149,30 +151,36 @@ def _found(block: Block, texts: list[str]) -> dict[int, list[tuple[int, int, int
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each contaminated document and block: key, item_ids (array<long>), n_items, matched_words (most in one overlap), overlaps (item_id, first word, word after the last, matching words)."""
+    """One row for each contaminated document: key, item_ids (array<long>), n_items, matched_words (most in one overlap), overlaps (item_id, first word, word after the last, matching words)."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, item_ids array<long>, n_items long, matched_words long, overlaps array<struct<item_id:long,first:long,after:long,matched:long>>"
+    spans_kind = "array<struct<item_id:long,first:long,after:long,matched:long>>"
     span = pa.list_(pa.struct([(x, pa.int64()) for x in ("item_id", "first", "after", "matched")]))
-    out = None
+    out, n = None, 0
     for block in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, n=n) -> Iterator[pa.RecordBatch]:
             block = sent.value
             for batch in batches:
                 for part, texts in common.slices(batch, text):
                     found = _found(block, texts)
                     at = sorted(found)
-                    ids = [sorted({block.ids[x[0]] for x in found[d]}, key=lambda x: (x is None, x)) for d in at]
-                    spans = [[dict(zip(("item_id", "first", "after", "matched"), (block.ids[i], a, b, n), strict=True)) for i, a, b, n in sorted(found[d])] for d in at]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(key).take(pa.array(at, pa.int64())), pa.array(ids, pa.list_(pa.int64())), pa.array([len(x) for x in ids], pa.int64()), pa.array([max(x[3] for x in found[d]) for d in at], pa.int64()), pa.array(spans, span)],
-                        [key, "item_ids", "n_items", "matched_words", "overlaps"],
-                    )
-
-        one = docs.select(key, text).mapInArrow(run, schema)
-        out = one if out is None else out.unionByName(one)
-    return out
+                    spans = [[dict(zip(("item_id", "first", "after", "matched"), (block.ids[i], a, b, n), strict=True)) for i, a, b, n in found[d]] for d in at]
+                    digests = [hashlib.blake2b(texts[d].encode("utf-8", "surrogatepass"), digest_size=16).digest() for d in at]
+                    yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at, pa.int64())), pa.array(digests, pa.binary()), pa.array([n] * len(at), pa.int64()), pa.array(spans, span)], [key, "_digest", "_block", "overlaps"])
+
+        one = docs.select(key, text).mapInArrow(run, f"{key} {kind}, _digest binary, _block long, overlaps {spans_kind}")
+        out, n = one if out is None else out.unionByName(one), n + 1
+    if n > 1:
+        # equal rows have equal overlaps in each block, so they are counted, merged once and dealt out again
+        counted = out.groupBy(key, "_digest", "_block").agg(F.count("*").alias("n"), F.first("overlaps").alias("overlaps"))
+        merged = counted.groupBy(key, "_digest").agg(F.max("n").alias("n"), F.flatten(F.collect_list("overlaps")).alias("overlaps"))
+        out = merged.select(key, "overlaps", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    # by item, nulls last, in whichever block it was
+    nulls_last = F.array_sort(F.transform("overlaps", lambda x: F.struct(x["item_id"].isNull().alias("none"), F.coalesce(x["item_id"], F.lit(0)).alias("id"), x["first"].alias("first"), x["after"].alias("after"), x["matched"].alias("matched"))))
+    ordered = F.transform(nulls_last, lambda x: F.struct(F.when(~x["none"], x["id"]).alias("item_id"), x["first"].alias("first"), x["after"].alias("after"), x["matched"].alias("matched"))).cast(spans_kind)
+    ids = F.array_distinct(F.transform("overlaps", lambda x: x["item_id"]))
+    return out.select(key, ordered.alias("overlaps")).select(key, ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), F.array_max(F.transform("overlaps", lambda x: x["matched"])).alias("matched_words"), "overlaps")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

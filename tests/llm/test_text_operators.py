@@ -335,6 +335,26 @@ def test_decontamination(spark, sf, odd, empty):
     assert decontam.mark(empty, bench).count() == 0 and decontam.mark(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
+    draw = random.Random(6)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=4)) for _ in range(3000)]
+    items = [(i, " ".join(draw.choices(vocabulary, k=n))) for i, n in enumerate([15, 30] * 12)] + [(None, " ".join(draw.choices(vocabulary, k=20)))]
+    every = " ".join(t for _, t in items)
+    rows = [(1, every), (1, every), (1, every[: len(every) // 2]), (None, every), (None, every), (2, items[3][1]), (3, "nothing of it " * 9), (None, items[4][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return sorted(map(str, decontam.mark(docs, bench).collect()))
+
+    whole = found()
+    assert len(whole) == 7
+    monkeypatch.setattr(decontam, "BLOCK_SEEDS", 2000)
+    assert len(list(decontam.blocks(bench))) > 2
+    assert found() == whole
+    top = [r for r in decontam.mark(docs, bench).collect() if r["n_items"] == len(items)]
+    assert len(top) == 4 and all(r["item_ids"] == [*range(24), None] and r["matched_words"] == 30 for r in top)
+
+
 def test_best_run():
     assert decontam.best_run(np.array([1, 1, 0, 1, 1, 1, 1, 0, 0, 1], bool)) == (3, 7, 4)
     assert decontam.best_run(np.array([], bool)) == (0, 0, 0)
