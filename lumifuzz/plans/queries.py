@@ -222,6 +222,13 @@ def explain_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.explain(df.where("l_orderkey % 7 = 0")).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "winner", F.round("strength", 6).alias("strength"))
 
 
+@query(lambda: f"select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, _winner as winner, round(greatest({', '.join(f'_f{i}' for i in range(len(RULES)))}), 6) as strength from {applied_sql()}")
+def explain_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explained rows of all orders."""
+    df, base = fitted(spark, sf_dir)
+    return base.explain(df).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "winner", F.round("strength", 6).alias("strength"))
+
+
 # quality
 
 
