@@ -545,10 +545,32 @@ def conformal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(total["coverage"], total["average_set_size"])], "coverage double, average_set_size double").withColumns({c: F.round(c, 6) for c in ("coverage", "average_set_size")})
 
 
+@query(lambda: _conformal_sql(f"select {LABEL}, round(avg(p0), 6) as p0, round(avg(p1), 6) as p1, round(avg(p2), 6) as p2 from p where l_orderkey % 5 <> 0 group by 1"))
+def conformal_all_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every row outside the calibration part, as in the next two."""
+    df, cal = _calibrated(spark, sf_dir)
+    made = conformal.p_values(df.where("l_orderkey % 5 <> 0"), cal)
+    return made.groupBy(LABEL).agg(*(F.round(F.avg(F.col("p_values")[c]), 6).alias(f"p{c}") for c in range(3)))
+
+
+@query(lambda: _conformal_sql(f"select {LABEL}, {_SET_SIZE} as set_size, count(*) as n from p where l_orderkey % 5 <> 0 group by 1, 2"))
+def conformal_all_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, cal = _calibrated(spark, sf_dir)
+    made = conformal.predict_set(df.where("l_orderkey % 5 <> 0"), cal, 0.3)
+    return made.groupBy(LABEL, F.size("prediction_set").alias("set_size")).agg(F.count("*").alias("n"))
+
+
+@query(lambda: _conformal_sql(f"select round(avg(case when (case y when 0 then p0 when 1 then p1 else p2 end) > 0.3 then 1e0 else 0e0 end), 6) as coverage, round(avg({_SET_SIZE}), 6) as average_set_size from p where l_orderkey % 5 <> 0"))
+def conformal_all_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, cal = _calibrated(spark, sf_dir)
+    total, _ = conformal.coverage(df.where("l_orderkey % 5 <> 0"), cal, LABEL, 0.3)
+    return spark.createDataFrame([(total["coverage"], total["average_set_size"])], "coverage double, average_set_size double").withColumns({c: F.round(c, 6) for c in ("coverage", "average_set_size")})
+
+
 @query()
 def conformal_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, cal = _calibrated(spark, sf_dir)
-    made = conformal.predict_set_with_rules(df.where("l_orderkey % 5 = 1"), cal, 0.3).select(F.explode("contributions").alias("x"))
+    made = conformal.predict_set_with_rules(df.where("l_orderkey % 5 <> 0"), cal, 0.3).select(F.explode("contributions").alias("x"))
     return made.groupBy("x.rule").agg(F.count("*").alias("n"), F.round(F.avg("x.confidence"), 6).alias("confidence"))
 
 
