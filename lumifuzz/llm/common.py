@@ -102,7 +102,7 @@ def map_texts(docs: DataFrame, work: Callable[[list[str]], dict[str, pa.Array]],
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; only where that is unset (tests), a local one."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir. Where that is unset, a local one, which is refused unless all executors run on this machine."""
     top = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -111,6 +111,8 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
     return f"file://{tempfile.gettempdir()}/lumifuzz-checkpoints"
@@ -121,7 +123,39 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lumifuzz_folder = path
+    return out
+
+
+def drop(*made: DataFrame) -> None:
+    """Deletes what cut() wrote for these, once nothing reads it any more."""
+    for df in made:
+        delete(df.sparkSession, df._lumifuzz_folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions(spark: SparkSession) -> int:
+    """As many as a shuffle has, for small rows that make many: asked for by number, so that they are not put together by their size before that."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+#: A key is hot if it has more than one row in so many: there are fewer hot keys than that in any table.
+HOT_ONE_IN = 1000
+
+
+def join_counted(rows: DataFrame, named: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join of rows with named, which holds each key once and the number of its rows (n, given up). Hot keys, fewer than HOT_ONE_IN by their definition, are broadcast, so that their rows stay where they are; the others meet in a shuffle, in which no key is hot."""
+    total = named.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT_ONE_IN > total
+    few = F.broadcast(named.where(hot).drop(n))
+    if not total or named.where(hot).isEmpty():
+        return rows.join(named.drop(n), key)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(named.where(~hot).drop(n), key))
 
 
 def crc_mod(column: str, mod: int):

@@ -110,23 +110,25 @@ def neighbours(fp: Column) -> Column:
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that join exactly the distinct fingerprints (column fp) at most RADIUS bits apart; b is a fingerprint or a shared neighbour's value."""
-    gridded = nodes.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
+    # a node makes up to 65 rows here, so the nodes, few bytes each, are dealt to all cores first
+    spread = nodes.select("fp").repartition(common.partitions(nodes.sparkSession), "fp")
+    gridded = spread.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
     shared = common.cut(gridded.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "simhash-cells")
     pairs = shared.where("n = 2").where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= RADIUS).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     crowded = shared.where("n > 2").select("cell")
     members = common.cut(gridded.join(crowded, "cell", "left_semi").select("fp").distinct(), "simhash-crowd")
-    near = members.select("fp", F.explode(neighbours(F.col("fp"))).alias("at"))
+    near = members.repartition(common.partitions(nodes.sparkSession), "fp").select("fp", F.explode(neighbours(F.col("fp"))).alias("at"))
     met = near.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at")
     hubs = near.join(met, "at", "left_semi").select(F.col("fp").alias("a"), F.col("at").alias("b")).where("a <> b")
     # a shared value lies within 1 bit of each member that reaches it, so those are pairwise within 2
     return pairs.unionByName(hubs).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node it is connected to) for every node of edges (a, b): alternating large-star and small-star steps, each written to the shared folder, until nothing changes."""
     now = common.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "simhash-edges")
-    before = None
-    for _ in range(rounds):
+    before, held = None, now
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: every larger neighbour of a node goes to the node's least neighbour
@@ -135,13 +137,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("x"), "a", "m")
         now = common.cut(small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "simhash-edges")
+        common.drop(held)
+        held = now
         # unchanged sums of a one-to-one digest: the star of every component has been reached
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("the components did not settle")
     rooted = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
 
@@ -151,11 +153,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text
     if SEGMENT_BITS != 2 or RADIUS != 2:
         raise ValueError("the grid is built for segments of 2 bits and a distance of 2")
     marked = common.cut(fingerprints(docs, shingle, key, text), "simhash-fingerprints")
-    nodes = common.cut(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
+    nodes = common.cut(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes))
     # nodes in no link are their own component; values that are only shared neighbours fall away here
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     component = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.cut(grouped.join(component, "root").select("fp", "component_id"), "simhash-named")
+    named = common.cut(grouped.join(component, "root").select("fp", "n", "component_id"), "simhash-named")
+    common.drop(nodes)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, "fp").select(key, hexed.alias("fingerprint"), "component_id")
+    return common.join_counted(marked, named, "fp").select(key, hexed.alias("fingerprint"), "component_id")
