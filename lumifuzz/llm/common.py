@@ -144,6 +144,15 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Keys, of 8 bytes each, that are broadcast at most.
+FEW = 4_000_000
+
+
+def filtered(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join with written keys of 8 bytes. As long as they are FEW (32 MB), which is counted first, they go to the rows; beyond that both sides are shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys.hint("merge"), key, how)
+
+
 #: A key is hot if it has more than one row in so many: there are fewer hot keys than that in any table.
 HOT_ONE_IN = 1000
 
