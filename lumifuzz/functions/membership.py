@@ -52,6 +52,19 @@ def trapezoid(x: str, corners: Sequence[float]) -> str:
     return f"(case when {x} is null then null else greatest(0e0, least(1e0, least({rise}, {fall}))) end)"
 
 
+#: Stands for a missing value where expressions must not be null: outside every set, so that its membership is 0.
+FAR = -1e300
+
+
+def sure_trapezoid(x: str, corners: Sequence[float]) -> str:
+    """The same for an x that is never null: no branch, so that compiled code stays short."""
+    a, b, c, d = map(float, corners)
+    if a == d:
+        return f"(case when {x} = {q.number(a)} then 1e0 else 0e0 end)"
+    a, d = (a - EPSILON if a == b else a), (d + EPSILON if c == d else d)
+    return f"greatest(0e0, least(1e0, ({x} - {q.number(a)}) / {q.number(b - a)}, ({q.number(d)} - {x}) / {q.number(d - c)}))"
+
+
 def trapezoid_at(x: np.ndarray, corners: Sequence[float]) -> np.ndarray:
     a, b, c, d = map(float, corners)
     x = np.asarray(x, float)
@@ -82,6 +95,15 @@ class FuzzySet:
         low, high = self.bounds(x)
         return f"(({low} + {high}) / 2e0)"
 
+    def sure(self, x: str) -> tuple[str, str]:
+        """The bounds for an x that is never null (FAR where there is no value), never null themselves."""
+        low, high = self.bounds(x)
+        return f"coalesce({low}, 0e0)", f"coalesce({high}, 0e0)"
+
+    def sure_cuts(self, x: str, n: int) -> list[tuple[str, str]]:
+        """The same for each of n alpha cuts."""
+        return [self.sure(x)] * n
+
     def membership(self, x: str) -> Column:
         """A column: a double for type 1, a struct of lo and hi for type 2."""
         low, high = self.bounds(q.name(x))
@@ -98,6 +120,10 @@ class Trapezoid(FuzzySet):
     def text(self, x: str) -> str:
         return trapezoid(x, self.corners)
 
+    def sure(self, x: str) -> tuple[str, str]:
+        m = sure_trapezoid(x, self.corners)
+        return m, m
+
     def at(self, x: np.ndarray) -> np.ndarray:
         return trapezoid_at(x, self.corners)
 
@@ -118,6 +144,9 @@ class Gaussian(FuzzySet):
     def text(self, x: str) -> str:
         return gaussian(x, self.mean, self.spread)
 
+    def sure(self, x: str) -> tuple[str, str]:
+        return self.bounds(x)
+
     def at(self, x: np.ndarray) -> np.ndarray:
         return np.exp(-(((np.asarray(x, float) - self.mean) / self.spread) ** 2))
 
@@ -153,6 +182,10 @@ class IntervalTrapezoid(FuzzySet):
     def bounds(self, x: str) -> tuple[str, str]:
         return f"({trapezoid(x, self.lower)} * {q.number(self.height)})", trapezoid(x, self.upper)
 
+    def sure(self, x: str) -> tuple[str, str]:
+        low = sure_trapezoid(x, self.lower)
+        return low if self.height == 1 else f"({low} * {q.number(self.height)})", sure_trapezoid(x, self.upper)
+
     def at(self, x: np.ndarray) -> np.ndarray:
         return np.stack([trapezoid_at(x, self.lower) * self.height, trapezoid_at(x, self.upper)], axis=-1)
 
@@ -168,6 +201,9 @@ class IntervalGaussian(FuzzySet):
     def bounds(self, x: str) -> tuple[str, str]:
         return f"({gaussian(x, *self.lower)} * {q.number(self.height)})", gaussian(x, *self.upper)
 
+    def sure(self, x: str) -> tuple[str, str]:
+        return self.bounds(x)
+
     def at(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, float)
         return np.stack([self.height * np.exp(-(((x - self.lower[0]) / self.lower[1]) ** 2)), np.exp(-(((x - self.upper[0]) / self.upper[1]) ** 2))], axis=-1)
@@ -182,6 +218,10 @@ class IntervalCategory(Category):
         return np.stack([m, m], axis=-1)
 
 
+def _unless_far(x: str, membership: str) -> str:
+    return f"(case when {x} = {q.number(FAR)} then 0e0 else coalesce({membership}, 0e0) end)"
+
+
 @dataclass(frozen=True)
 class GeneralType2(FuzzySet):
     """General type 2 over a grid of step 10 ** -decimals: for each grid point and alpha cut, an interval of memberships. A value is looked up at its grid point, truncated towards zero; outside the grid, at its ends.
@@ -224,20 +264,24 @@ class GeneralType2(FuzzySet):
     def all_cuts(self, x: np.ndarray) -> np.ndarray:
         return self.table[self._row(x)]
 
+    def place(self, x: str) -> str:
+        """The row of the table for a value, from 0."""
+        return f"cast(least(greatest(cast({x} * {q.number(10**self.decimals)} + 1e-9 as bigint) - {self.first}, 0), {len(self.table) - 1}) as int)"
+
+    def _looked_up(self, x: str, values: np.ndarray) -> str:
+        # a literal array, folded once when the query is planned, and one lookup for each row
+        listed = ", ".join(map(q.number, values.tolist()))
+        return f"(case when {x} is null then null else get(array({listed}), {self.place(x)}) end)"
+
     def bounds(self, x: str) -> tuple[str, str]:
         r = self.reduced()
-        # of neighbouring points with equal intervals only the last is named, so a smooth table stays small
-        place = f"cast({x} * {q.number(10**self.decimals)} + 1e-9 as bigint)"
-        out = []
-        for side in (0, 1):
-            runs, text = [], []
-            for i in range(len(r)):
-                if i + 1 == len(r) or r[i, side] != r[i + 1, side]:
-                    runs.append((i + self.first, r[i, side]))
-            for last, value in runs[:-1]:
-                text.append(f"when {place} <= {last} then {q.number(value)}")
-            out.append(f"(case when {x} is null then null {' '.join(text)} else {q.number(runs[-1][1])} end)")
-        return out[0], out[1]
+        return self._looked_up(x, r[:, 0]), self._looked_up(x, r[:, 1])
+
+    def sure(self, x: str) -> tuple[str, str]:
+        return tuple(_unless_far(x, t) for t in self.bounds(x))
+
+    def sure_cuts(self, x: str, n: int) -> list[tuple[str, str]]:
+        return [tuple(_unless_far(x, self._looked_up(x, self.table[:, j, side])) for side in (0, 1)) for j in range(n)]
 
 
 @dataclass(frozen=True)
@@ -261,6 +305,16 @@ class TemporalSet(FuzzySet):
         low, high = self.base.bounds(x)
         return f"({low} * {self.factor()})", f"({high} * {self.factor()})"
 
+    def sure(self, x: str) -> tuple[str, str]:
+        low, high = self.base.sure(x)
+        return self._scaled(low), self._scaled(high)
+
+    def sure_cuts(self, x: str, n: int) -> list[tuple[str, str]]:
+        return [(self._scaled(low), self._scaled(high)) for low, high in self.base.sure_cuts(x, n)]
+
+    def _scaled(self, membership: str) -> str:
+        return f"coalesce({membership} * {self.factor()}, 0e0)"
+
     def membership(self, x: str) -> Column:
         low, high = self.bounds(q.name(x))
         return F.expr(low) if self.base.kind is Kind.T1 else F.struct(F.expr(low).alias("lo"), F.expr(high).alias("hi"))
@@ -324,6 +378,19 @@ class Variable:
         x = q.clean(x)
         return q.clip(x, *self.domain) if self.clipped and self.domain and not isinstance(first, TemporalSet) else x
 
+    def sure_value(self) -> str:
+        """value(), with FAR where it is null."""
+        x = q.name(self.name)
+        if isinstance(self.sets[0], Category):
+            return x
+        x = f"cast({x} as double)"
+        if self.clipped and self.domain and not isinstance(self.sets[0], TemporalSet):
+            low, high = map(q.number, self.domain)
+            x = f"case when isnan({x}) then {q.number(FAR)} when {x} < {low} then {low} when {x} > {high} then {high} else {x} end"
+        else:
+            x = f"nullif({x}, cast('NaN' as double))"
+        return f"coalesce({x}, {q.number(FAR)})"
+
     def texts(self) -> list[str]:
         return [s.text(self.value()) for s in self.sets]
 

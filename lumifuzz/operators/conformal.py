@@ -1,7 +1,8 @@
 """Conformal prediction over a rule base: calibrated p-values, prediction sets and their coverage.
 
-Scores are rounded to STEPS steps before they are counted, so calibration is one aggregate and at most STEPS + 1 counts a class
-reach the driver, however many rows there are. They go back as a literal array in which each row's rank is one lookup.
+Scores are between 0 and 1 and are told apart in STEPS steps, far finer than a p-value can show. So a calibration is one aggregate, and what
+reaches the driver and goes back to the executors is at most STEPS + 1 numbers a class, however many rows there are. A row's rank among
+them is a binary search, for a whole Arrow batch at once.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +21,7 @@ from lumifuzz.operators.rule_quality import class_place
 from lumifuzz.operators.rules import RuleBase
 
 SCORES = ("membership", "association", "entropy")
-#: Scores are between 0 and 1 and are counted in steps of this fraction, so equal ones tie on every plan and a calibration is a short table.
-STEPS = 1000
+STEPS = 1_000_000
 
 
 def split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -29,14 +31,14 @@ def split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> tuple[
 
 
 def score_text(base: RuleBase, kind: str, c: int) -> str:
-    """Nonconformity with class c, over the columns of an applied base."""
+    """Nonconformity with class c, over the columns of a base with its classes."""
     if kind == "membership":
-        return f"1e0 - ({base.class_membership_texts()[c]})"
+        return f"1e0 - _m{c}"
     if kind == "association":
         own = [f"_f{i}" for i, r in enumerate(base.rules) if r.consequent == c]
-        return f"1e0 - ({q.greatest(own)})" if own else "1e0"
+        return f"1e0 - {base._greatest(own)}"
     if kind == "entropy":
-        parts = [f"greatest({p}, 1e-10)" for p in base.probability_texts()]
+        parts = [f"greatest(_p{k}, 1e-10)" for k in range(len(base.classes))]
         k = len(parts)
         text = "-(" + q.total([f"({p}) * ln({p})" for p in parts]) + ")"
         return f"({text}) / {q.number(math.log(k))}" if k > 1 else text
@@ -44,72 +46,84 @@ def score_text(base: RuleBase, kind: str, c: int) -> str:
 
 
 @dataclass(frozen=True)
-class Calibrated:
-    base: RuleBase
-    kind: str
-    #: For each class: how many rows score at least k / STEPS, for k from 0 to STEPS; the first is the number of rows.
-    ranks: tuple[tuple[int, ...], ...]
-    #: For each rule: how many rows of its class it fires on with at most k / STEPS; the last is their number.
-    rule_ranks: tuple[tuple[int, ...], ...] = ()
+class Ranks:
+    """Ascending steps that some rows score, and at each how many rows score as much or more (or: or less)."""
 
+    at: np.ndarray
+    n: np.ndarray
+    rows: int
 
-def _place(score: Column) -> Column:
-    return F.round(score * STEPS).cast("int")
+    @classmethod
+    def at_least(cls, counts: dict[int, int]) -> Ranks:
+        at = np.array(sorted(counts), np.int64)
+        n = np.array([counts[k] for k in at.tolist()], np.int64)
+        return cls(at, np.cumsum(n[::-1])[::-1], int(n.sum()))
 
+    @classmethod
+    def at_most(cls, counts: dict[int, int]) -> Ranks:
+        at = np.array(sorted(counts), np.int64)
+        n = np.cumsum(np.array([counts[k] for k in at.tolist()], np.int64))
+        return cls(at, n, int(n[-1]) if len(n) else 0)
 
-def _at_least(rows: list[tuple[int, int]]) -> tuple[int, ...]:
-    out = [0] * (STEPS + 1)
-    for k, n in rows:
-        out[min(max(k, 0), STEPS)] += n
-    for k in range(STEPS - 1, -1, -1):
-        out[k] += out[k + 1]
-    return tuple(out)
+    def above(self, score: Column) -> Column:
+        """How many rows score as much as a row or more."""
+        at, n = self.at, np.append(self.n, 0)
 
+        @F.pandas_udf("long")
+        def rank(s: pd.Series) -> pd.Series:
+            return pd.Series(n[np.searchsorted(at, s.to_numpy(), "left")])
 
-def _at_most(rows: list[tuple[int, int]]) -> tuple[int, ...]:
-    out = [0] * (STEPS + 1)
-    for k, n in rows:
-        out[min(max(k, 0), STEPS)] += n
-    for k in range(1, STEPS + 1):
-        out[k] += out[k - 1]
-    return tuple(out)
+        return rank(_place(score))
 
+    def below(self, score: Column) -> Column:
+        """How many rows score as much as a row or less."""
+        at, n = self.at, np.insert(self.n, 0, 0)
 
-def _looked_up(score: Column, counts: tuple[int, ...]) -> Column:
-    """The count of a score: one place of a literal array."""
-    return F.element_at(F.expr(f"array({', '.join(map(str, counts))})"), F.least(F.greatest(_place(score), F.lit(0)), F.lit(STEPS)) + 1)
+        @F.pandas_udf("long")
+        def rank(s: pd.Series) -> pd.Series:
+            return pd.Series(n[np.searchsorted(at, s.to_numpy(), "right")])
+
+        return rank(_place(score))
+
+
+@dataclass(frozen=True)
+class Calibrated:
+    base: RuleBase
+    kind: str
+    #: For each class, the scores of its rows.
+    ranks: tuple[Ranks, ...]
+    #: For each rule, its strengths on the rows of its class.
+    rule_ranks: tuple[Ranks, ...] = ()
+
+
+def _place(score: Column) -> Column:
+    return F.round(score * STEPS).cast("long")
 
 
 def calibrate(df: DataFrame, base: RuleBase, label: str, kind: str = "membership", coded: bool = False, with_rules: bool = True) -> Calibrated:
-    """Counts the distinct rounded scores of each class (at most 10 ** DECIMALS + 1 each), in one aggregate."""
+    """Counts the scores of each class, step by step, in one aggregate, and in another the strengths of each rule on the rows of its class."""
     y = F.col(label).cast("int") if coded else class_place(label, base.classes)
-    made = base.applied(df).withColumn("_y", y).where("_y is not null")
+    made = base.with_classes(df).withColumn("_y", y).where("_y is not null")
     own = F.lit(None)
     for c in range(len(base.classes)):
         own = F.when(F.col("_y") == c, _place(F.expr(score_text(base, kind, c)))).otherwise(own)
-    by: dict[int, list] = {}
+    by: dict[int, dict[int, int]] = {}
     for r in made.groupBy("_y", own.alias("s")).count().collect():
-        by.setdefault(r["_y"], []).append((r["s"], r["count"]))
+        by.setdefault(r["_y"], {})[r["s"]] = r["count"]
     rules = []
     if with_rules:
-        fired = made.select("_y", F.posexplode(F.array(*(_place(F.col(f"_f{i}")) for i in range(len(base))))).alias("rule", "s"))
-        mine = F.lit(-1)
-        for i, r in enumerate(base.rules):
-            mine = F.when(F.col("rule") == i, r.consequent).otherwise(mine)
-        seen: dict[int, list] = {}
-        for r in fired.where(F.col("_y") == mine).groupBy("rule", "s").count().collect():
-            seen.setdefault(r["rule"], []).append((r["s"], r["count"]))
-        rules = [_at_most(seen.get(i, [])) for i in range(len(base))]
-    return Calibrated(base, kind, tuple(_at_least(by.get(c, [])) for c in range(len(base.classes))), tuple(rules))
+        strengths = F.array(*(F.when(F.col("_y") == r.consequent, _place(F.col(f"_f{i}"))) for i, r in enumerate(base.rules)))
+        seen: dict[int, dict[int, int]] = {}
+        for r in made.select(F.posexplode(strengths).alias("rule", "s")).where("s is not null").groupBy("rule", "s").count().collect():
+            seen.setdefault(r["rule"], {})[r["s"]] = r["count"]
+        rules = [Ranks.at_most(seen.get(i, {})) for i in range(len(base))]
+    return Calibrated(base, kind, tuple(Ranks.at_least(by.get(c, {})) for c in range(len(base.classes))), tuple(rules))
 
 
 def p_values(df: DataFrame, cal: Calibrated, kind: str = "membership") -> DataFrame:
     """df and p_values: for each class (calibration rows with at least the score + 1) / (rows + 1); 0 for a class that was not seen. New rows are scored by membership unless another kind is asked for."""
-    out = []
-    for c, counts in enumerate(cal.ranks):
-        seen = _looked_up(F.expr(score_text(cal.base, kind, c)), counts)
-        out.append((seen + 1) / F.lit(float(counts[0] + 1)) if counts[0] else F.lit(0.0))
-    return cal.base._outputs(df, F.array(*out).alias("p_values"))
+    out = [(ranks.above(F.expr(score_text(cal.base, kind, c))) + 1) / F.lit(float(ranks.rows + 1)) if ranks.rows else F.lit(0.0) for c, ranks in enumerate(cal.ranks)]
+    return cal.base.with_classes(df).select(*(F.col(f"`{c}`") for c in df.columns), F.array(*out).alias("p_values"))
 
 
 def predict_set(df: DataFrame, cal: Calibrated, alpha: float = 0.1, kind: str = "membership") -> DataFrame:
@@ -123,9 +137,9 @@ def predict_set_with_rules(df: DataFrame, cal: Calibrated, alpha: float = 0.1) -
     """predict_set and contributions: the firing rules, the strongest first, with the share of calibration rows of their class on which they fired at most as strongly."""
     base = cal.base
     said = []
-    for i, (r, counts) in enumerate(zip(base.rules, cal.rule_ranks, strict=True)):
+    for i, (r, ranks) in enumerate(zip(base.rules, cal.rule_ranks, strict=True)):
         strength = F.col("_strengths")[i]
-        sure = _looked_up(strength, counts) / F.lit(float(counts[-1])) if counts[-1] else F.lit(0.0)
+        sure = ranks.below(strength) / F.lit(float(ranks.rows)) if ranks.rows else F.lit(0.0)
         said.append(F.struct(strength.alias("strength"), F.lit(-i).alias("order"), F.lit(i).alias("rule"), F.lit(r.consequent).alias("class"), sure.alias("confidence")))
     fired = base.firing(df).withColumnRenamed("firing", "_strengths")
     ordered = F.sort_array(F.filter(F.array(*said), lambda x: x["strength"] > 0), asc=False)
@@ -136,10 +150,9 @@ def predict_set_with_rules(df: DataFrame, cal: Calibrated, alpha: float = 0.1) -
 def calibration_info(cal: Calibrated) -> list[dict]:
     """By class: rows, and the mean, least and greatest score."""
     out = []
-    for name, counts in zip(cal.base.classes, cal.ranks, strict=True):
-        n = counts[0]
-        at = [k for k in range(STEPS + 1) if counts[k] - (counts[k + 1] if k < STEPS else 0)]
-        out.append({"class": name, "rows": n, "mean": sum(counts[1:]) / n / STEPS if n else None, "least": at[0] / STEPS if at else None, "most": at[-1] / STEPS if at else None})
+    for name, r in zip(cal.base.classes, cal.ranks, strict=True):
+        n = -np.diff(np.append(r.n, 0))
+        out.append({"class": name, "rows": r.rows, "mean": float((r.at * n).sum()) / r.rows / STEPS if r.rows else None, "least": float(r.at[0]) / STEPS if r.rows else None, "most": float(r.at[-1]) / STEPS if r.rows else None})
     return out
 
 

@@ -1,23 +1,24 @@
 """Frequent fuzzy itemsets and rules from them.
 
-The support of an itemset is the mean of the least membership of its items. As that only falls when items are added, candidates
-of a level are joined from the itemsets kept on the level before (the same result as trying all). One level is one job: the
-memberships are projected once and each task adds up the supports of all candidates with numpy over Arrow batches, for all
-rows and for each class; one short row for each task and candidate is shuffled.
+The support of an itemset is the mean of the least membership of its items. Each task adds up the supports of all candidates, for all rows
+and for each class, with numpy over Arrow batches of the features themselves; memberships are computed there, once for each batch, and
+one short row for each task and candidate is shuffled. While all possible itemsets are few (ONE_PASS), they are one job, whatever
+their depth; beyond that one level is one job, with candidates joined from the itemsets kept on the level before, as a support only
+falls when items are added (the same result).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumifuzz.functions.membership import Kind, Variable
+from lumifuzz.functions.membership import Category, Kind, Variable
 from lumifuzz.operators.partitions import fit_partitions
 from lumifuzz.operators.rule_quality import class_place
 from lumifuzz.operators.rules import Rule, RuleBase
@@ -26,40 +27,97 @@ from lumifuzz.operators.spread import over_cores
 #: ((variable, set), ...), ascending by variable.
 Itemset = tuple[tuple[int, int], ...]
 _NO_CLASS = -1
+#: Candidates up to which all levels are counted in one job.
+ONE_PASS = 2000
+#: By (variable, set): the lower and upper membership of a batch's rows.
+Memberships = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
+
+
+class _Rows:
+    """Rows by class place and what their memberships are computed from; averaged: type-2 memberships count as the means of their bounds."""
+
+    def __init__(self, df: DataFrame, variables: Sequence[Variable], label: str | None, classes: Sequence[str], averaged: bool = False):
+        y = F.coalesce(class_place(label, classes) if label else F.lit(None), F.lit(_NO_CLASS)).cast("int").alias("y")
+        self.variables = tuple(variables)
+        #: Sets that depend on other columns than their own (temporal ones) are computed by SQL.
+        self.values = all(hasattr(s, "at") for v in variables for s in v.sets)
+        columns = [f"{v.value()} as x{i}" if isinstance(v.sets[0], Category) else f"cast({v.value()} as double) as x{i}" for i, v in enumerate(variables)] if self.values else [f"{t} as m{i}_{j}_{k}" for i, v in enumerate(variables) for j, pair in enumerate(v.bounds()) for k, t in enumerate(pair)]
+        self.df = over_cores(df.select(y, *map(F.expr, columns)))
+        self.averaged, self.type1 = averaged, averaged or all(v.kind is Kind.T1 for v in variables)
+
+    def memberships(self, batch: pa.RecordBatch) -> Memberships:
+        out: Memberships = {}
+        for i, v in enumerate(self.variables):
+            if not self.values:
+                for j in range(len(v)):
+                    low, high = (np.nan_to_num(batch.column(f"m{i}_{j}_{k}").to_numpy(zero_copy_only=False).astype(float)) for k in (0, 1))
+                    out[i, j] = low, high
+                continue
+            x = batch.column(f"x{i}").to_numpy(zero_copy_only=False)
+            if x.dtype != object:
+                x = x.astype(float)
+                missing = np.isnan(x)
+                x = np.where(missing, 0.0, x)
+            else:
+                missing = np.zeros(len(x), bool)  # a null equals no category
+            for j, s in enumerate(v.sets):
+                m = np.asarray(s.at(x), float)
+                m[missing] = 0.0
+                out[i, j] = (m, m) if m.ndim == 1 else (m[:, 0], m[:, 1])
+        return out
+
+    def __getstate__(self) -> dict:
+        """What tasks need: all but the rows themselves."""
+        return {k: v for k, v in self.__dict__.items() if k != "df"}
+
+    def totals(self, candidates: list[Itemset]) -> tuple[dict[int, int], dict[int, dict[int, float]]]:
+        """Rows by class place; and by candidate and class place the sum of least memberships (for type 2 the mean of both bounds')."""
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple[int, int], float] = {}
+            for batch in batches:
+                y = batch.column("y").to_numpy()
+                # rows of a class lie together, so that each class is a slice
+                order = np.argsort(y, kind="stable")
+                places, starts = np.unique(y[order], return_index=True)
+                held = {k: (((low + high) / 2)[order],) if self.averaged else (low[order], high[order]) for k, (low, high) in self.memberships(batch).items()}
+                for c, n in zip(places.tolist(), np.diff([*starts, len(y)]).tolist(), strict=True):
+                    total[-1, c] = total.get((-1, c), 0.0) + n
+                for i, items in enumerate(candidates):
+                    least = _least([held[k][0] for k in items])
+                    if not self.type1:
+                        least = (least + _least([held[k][1] for k in items])) / 2
+                    for c, t in zip(places.tolist(), np.add.reduceat(least, starts).tolist(), strict=True):
+                        total[i, c] = total.get((i, c), 0.0) + t
+            keys = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int32()), pa.array([total[k] for k in keys], pa.float64())], ["item", "y", "s"])
+
+        sizes: dict[int, int] = {}
+        out: dict[int, dict[int, float]] = {}
+        for r in self.df.mapInArrow(add_up, "item int, y int, s double").groupBy("item", "y").agg(F.sum("s").alias("s")).collect():  # candidates x classes
+            if r["item"] < 0:
+                sizes[r["y"]] = int(r["s"])
+            else:
+                out.setdefault(r["item"], {})[r["y"]] = r["s"]
+        return sizes, out
+
+
+def _least(parts: list[np.ndarray]) -> np.ndarray:
+    out = parts[0]
+    for p in parts[1:]:
+        out = np.minimum(out, p)
+    return out
 
 
-def _memberships(df: DataFrame, variables: Sequence[Variable], label: str | None, classes: Sequence[str]) -> DataFrame:
-    y = class_place(label, classes) if label else F.lit(None)
-    names = []
-    for i, v in enumerate(variables):
-        for j, (lo, hi) in enumerate(v.bounds()):
-            names.append(F.expr(f"coalesce({lo}, 0e0)").alias(f"l{i}_{j}"))
-            if v.kind is not Kind.T1:
-                names.append(F.expr(f"coalesce({hi}, 0e0)").alias(f"u{i}_{j}"))
-    return over_cores(df.select(F.coalesce(y, F.lit(_NO_CLASS)).cast("int").alias("y"), *names))
-
-
-def _totals(mu: DataFrame, candidates: list[Itemset], type1: bool) -> dict[int, dict[int, float]]:
-    """By candidate and class place: the sum of least memberships (for type 2 the mean of both bounds')."""
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[int, int], float] = {}
-        for batch in batches:
-            y = batch["y"].to_numpy()
-            columns = {c: batch[c].to_numpy() for c in batch.columns if c != "y"}
-            places = [(c, y == c) for c in np.unique(y).tolist()]
-            for i, items in enumerate(candidates):
-                least = np.minimum.reduce([columns[f"l{v}_{s}"] for v, s in items])
-                if not type1:
-                    least = (least + np.minimum.reduce([columns.get(f"u{v}_{s}", columns[f"l{v}_{s}"]) for v, s in items])) / 2
-                for c, where in places:
-                    total[i, c] = total.get((i, c), 0.0) + float(least[where].sum())
-        yield pd.DataFrame([(i, c, s) for (i, c), s in total.items()], columns=["item", "y", "s"])
-
-    out: dict[int, dict[int, float]] = {}
-    for r in mu.mapInPandas(add_up, "item int, y int, s double").groupBy("item", "y").agg(F.sum("s").alias("s")).collect():  # candidates x classes
-        out.setdefault(r["item"], {})[r["y"]] = r["s"]
-    return out
+def _every(variables: Sequence[Variable], depth: int) -> list[Itemset] | None:
+    """All itemsets of at most depth items, if they are few."""
+    out: list[Itemset] = []
+    for k in range(1, depth + 1):
+        for vs in combinations(range(len(variables)), k):
+            if len(out) > ONE_PASS:
+                return None
+            out += [tuple(zip(vs, ss, strict=True)) for ss in product(*(range(len(variables[v])) for v in vs))]
+    return out if len(out) <= ONE_PASS else None
 
 
 def _next_level(kept: list[Itemset], singles: list[Itemset]) -> list[Itemset]:
@@ -84,28 +142,30 @@ class Mined:
 
 def mine_itemsets(df: DataFrame, variables: Sequence[Variable], threshold: float = 0.05, max_depth: int | None = None, label: str | None = None, classes: Sequence[str] = ()) -> list[Mined]:
     """Itemsets of at most max_depth items with a support above the threshold: over all rows, or, with a label, over the rows of each class."""
-    mu = _memberships(df, variables, label, classes)
-    type1 = all(v.kind is Kind.T1 for v in variables)
-    sizes = {r["y"]: r["count"] for r in mu.groupBy("y").count().collect()}
+    rows, depth = _Rows(df, variables, label, classes), max_depth or len(variables)
     groups = list(range(len(classes))) if label else [None]
-    rows = {g: (sizes.get(g, 0) if label else sum(sizes.values())) for g in groups}
     level: dict[int | None, list[Itemset]] = {g: [((i, j),) for i, v in enumerate(variables) for j in range(len(v))] for g in groups}
     singles: dict[int | None, list[Itemset]] = {}
+    known = _every(variables, min(depth, len(variables)))
+    if known is not None:
+        sizes, totals = rows.totals(known)
     out: list[Mined] = []
-    for _ in range(max_depth or len(variables)):
+    for _ in range(depth):
         asked = sorted({s for items in level.values() for s in items})
         if not asked:
             break
-        totals = _totals(mu, asked, type1)
-        place = {s: i for i, s in enumerate(asked)}
+        if known is None:
+            sizes, totals = rows.totals(asked)
+        place = {s: i for i, s in enumerate(asked if known is None else known)}
         for g in groups:
             kept = []
+            n = sizes.get(g, 0) if label else sum(sizes.values())
             for s in level[g]:
                 by = totals.get(place[s], {})
                 total = sum(by.values()) if g is None else by.get(g, 0.0)
-                if rows[g] and total / rows[g] > threshold:
+                if n and total / n > threshold:
                     kept.append(s)
-                    out.append(Mined(s, total / rows[g], g))
+                    out.append(Mined(s, total / n, g))
             level[g] = _next_level(kept, singles.setdefault(g, kept))
     return out
 
@@ -138,13 +198,11 @@ class Merit:
 
 def merits(df: DataFrame, base: RuleBase, label: str) -> list[Merit]:
     """Of each rule, with the least membership as its strength (for type 2 of the bounds' means)."""
-    averaged = [Variable(v.name, v.sets, clipped=v.clipped) for v in base.variables]
-    mu = over_cores(df.select(F.coalesce(class_place(label, base.classes), F.lit(_NO_CLASS)).cast("int").alias("y"), *(F.expr(f"coalesce({t}, 0e0)").alias(f"l{i}_{j}") for i, v in enumerate(averaged) for j, t in enumerate(v.texts()))))
-    sizes = {r["y"]: r["count"] for r in mu.groupBy("y").count().collect()}
-    n = sum(sizes.values())
+    rows = _Rows(df, base.variables, label, base.classes, averaged=True)
     items = [tuple((v, s) for v, s, _ in r.parts()) for r in base.rules]
     asked = sorted({i for i in items if i})
-    totals = _totals(mu, asked, True) if asked else {}
+    sizes, totals = rows.totals(asked)
+    n = sum(sizes.values())
     out = []
     for r, own in zip(base.rules, items, strict=True):
         by = totals.get(asked.index(own), {}) if own else {}

@@ -1,8 +1,10 @@
 """Linguistic variables from the quantiles of columns.
 
-All quantiles of all features come from one aggregate of exact percentiles (linear interpolation, nulls and NaN left out).
-exact=False takes percentile_approx instead, whose state does not grow with the number of distinct values: for tables where
-an exact percentile of a continuous column would not fit in memory; results then differ within its accuracy.
+Quantiles are exact (linear interpolation, nulls and NaN left out) and found by rank selection: approximate percentiles of all
+features bracket each wanted rank in one pass, then one grouped count of what lies in the brackets, with a row for each value there and
+one for each gap between brackets, settles the ranks. Brackets that hold more than MOST_VALUES rows are narrowed first by percentiles of
+their own rows. So no task or driver holds the distinct values of a column, whatever its size.
+exact=False stops at the approximate percentiles.
 """
 
 from __future__ import annotations
@@ -29,17 +31,117 @@ def even(n: int) -> list[float]:
     return [float(x) for x in np.linspace(0, 1, n)]
 
 
+#: Relative error of the approximate percentiles, as one in so many; and the rows of a bracket up to which they are counted value by value.
+ACCURACY, MOST_VALUES = 10_000, 20_000
+NEAR = 1.5 / ACCURACY
+
+
 def quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[float], exact: bool = True) -> dict[str, list[float]]:
-    """The quantiles of each feature, in one job."""
+    """The quantiles of each feature."""
     if not features:
         return {}
-    f = (lambda c, p: F.percentile(c, p)) if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
-    asked = F.array(*(F.lit(float(p)) for p in probabilities))
-    row = df.agg(*(f(F.expr(q.clean(f"cast({q.name(c)} as double)")), asked).alias(c) for c in features)).first()
-    missing = [c for c in features if row[c] is None]
+    places, asked = range(len(features)), [float(p) for p in probabilities]
+    values = df.select(*(F.expr(q.clean(f"cast({q.name(c)} as double)")).alias(f"v{i}") for i, c in enumerate(features)))
+    around = F.array(*(F.lit(min(1.0, max(0.0, p + d))) for p in asked for d in (-NEAR, 0.0, NEAR)))
+    row = values.agg(*(x for i in places for x in (F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"least{i}"), F.max(f"v{i}").alias(f"most{i}"), F.percentile_approx(f"v{i}", around, ACCURACY).alias(f"q{i}")))).first()
+    missing = [c for i, c in enumerate(features) if not row[f"n{i}"]]
     if missing:
         raise ValueError(f"no values in {', '.join(missing)}")
-    return {c: [float(x) for x in row[c]] for c in features}
+    if not exact:
+        return {c: list(map(float, row[f"q{i}"][1::3])) for i, c in enumerate(features)}
+    wanted: dict[tuple[int, int], tuple[float, float]] = {}
+    for i in places:
+        for j, p in enumerate(asked):
+            few = row[f"n{i}"] <= MOST_VALUES
+            bracket = (row[f"least{i}"] if few or p <= NEAR else row[f"q{i}"][3 * j], row[f"most{i}"] if few or p >= 1 - NEAR else row[f"q{i}"][3 * j + 2])
+            wanted |= {(i, r): bracket for r in _ranks(p, row[f"n{i}"])}
+    at = _select(values, wanted, {i: _inside(row[f"n{i}"]) for i in places})
+    out: dict[str, list[float]] = {}
+    for i, c in enumerate(features):
+        n = row[f"n{i}"]
+        ends = [(p * (n - 1), *(at[i, r] for r in _ranks(p, n))) for p in asked]
+        out[c] = [float(a + (b - a) * (x - np.floor(x))) for x, a, b in ends]
+    return out
+
+
+def _ranks(p: float, n: int) -> tuple[int, int]:
+    """The ranks, from 0, between which a quantile lies."""
+    return int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1)))
+
+
+def _inside(n: int) -> float:
+    """About how many of n rows a bracket around one of their ranks holds."""
+    return n if n <= MOST_VALUES else 4 * NEAR * n
+
+
+def _select(values: DataFrame, wanted: dict[tuple[int, int], tuple[float, float]], inside: dict[int, float]) -> dict[tuple[int, int], float]:
+    """The values at ranks of columns v<i>, by (i, rank). wanted: a bracket that probably holds each; inside: about how many rows the brackets of a column hold each."""
+    known: dict[tuple[int, int], float] = {}
+    while wanted:
+        spans = {i: _merged([b for (k, _), b in wanted.items() if k == i]) for i in sorted({i for i, _ in wanted})}
+        # each value falls into a bracket (odd places) or between two (even places)
+        cells = []
+        for i, own in spans.items():
+            x, place, fine = F.col(f"v{i}"), F.lit(2 * len(own)), F.lit(False)
+            for k, (low, high) in reversed(list(enumerate(own))):
+                place = F.when(x < low, 2 * k).when(x <= high, 2 * k + 1).otherwise(place)
+                if low == high or inside[i] <= MOST_VALUES:
+                    fine = fine | x.between(low, high)
+            cells.append(F.struct(F.lit(i).alias("i"), place.alias("place"), F.when(fine, x).alias("x"), x.isNotNull().alias("there")))
+        counted: dict[int, list[tuple[int, float | None, int]]] = {}
+        for r in values.select(F.explode(F.array(*cells)).alias("c")).where("c.there").groupBy("c.i", "c.place", "c.x").count().collect():
+            counted.setdefault(r["i"], []).append((r["place"], r["x"], r["count"]))
+        left: dict[tuple[int, int], tuple[float | None, float | None, bool, int, float]] = {}
+        for i in spans:
+            before = 0
+            for place, x, n in sorted(counted[i], key=lambda c: (c[0], c[1] is not None, c[1])):
+                for r in [r for k, r in wanted if k == i and before <= r < before + n]:
+                    if x is not None:
+                        known[i, r] = x
+                    else:
+                        left[i, r] = (*_sides(spans[i], place), place % 2 == 1, n, (r - before) / max(1, n - 1))
+                before += n
+        wanted = _narrowed(values, left) if left else {}
+        inside = {i: max(_inside(n) for (k, _), (*_, n, _) in left.items() if k == i) for i in {k for k, _ in left}}
+    return known
+
+
+def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(brackets):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _sides(spans: list[tuple[float, float]], place: int) -> tuple[float | None, float | None]:
+    """Where a bracket, or a gap between two, begins and ends."""
+    k = place // 2
+    if place % 2:
+        return spans[k]
+    return spans[k - 1][1] if k else None, spans[k][0] if k < len(spans) else None
+
+
+def _narrowed(values: DataFrame, left: dict[tuple[int, int], tuple[float | None, float | None, bool, int, float]]) -> dict[tuple[int, int], tuple[float, float]]:
+    """Brackets from the approximate percentiles of the rows of a bracket (with its ends) or gap (without) alone; of a few rows, all of them."""
+    asked = []
+    for (i, r), (low, high, ends, _, p) in left.items():
+        x, on = F.col(f"v{i}"), F.lit(True)
+        if low is not None:
+            on = on & (x >= low if ends else x > low)
+        if high is not None:
+            on = on & (x <= high if ends else x < high)
+        held = F.when(on, x)
+        around = F.array(F.lit(max(0.0, p - 2 * NEAR)), F.lit(min(1.0, p + 2 * NEAR)))
+        asked.append(F.struct(F.min(held).alias("least"), F.max(held).alias("most"), F.percentile_approx(held, around, ACCURACY).alias("q")).alias(f"{i}_{r}"))
+    row = values.agg(*asked).first()
+    out = {}
+    for (i, r), (*_, n, p) in left.items():
+        one, few = row[f"{i}_{r}"], n <= MOST_VALUES
+        out[i, r] = (one["least"] if few or p <= 2 * NEAR else one["q"][0], one["most"] if few or p >= 1 - 2 * NEAR else one["q"][1])
+    return out
 
 
 def labels_for(n: int) -> list[str]:

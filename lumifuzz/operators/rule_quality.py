@@ -33,17 +33,23 @@ def _labelled(df: DataFrame, base: RuleBase, label: str, coded: bool) -> DataFra
 
 def sums(df: DataFrame, base: RuleBase, label: str, coded: bool = False, weight: Column | None = None) -> tuple[float, dict[int, float], list[float], list[list[float]]]:
     """(rows, rows by class, firing by rule, firing by rule and class); weight: of each row."""
-    made = _labelled(df, base, label, coded)
-    w = F.lit(1.0) if weight is None else weight
-    k = len(base.classes)
-    asked = [F.sum(w).alias("n"), *(F.sum(F.when(F.col("_y") == c, w)).alias(f"n{c}") for c in range(k))]
-    for i in range(len(base)):
-        asked.append(F.sum(F.col(f"_f{i}") * w).alias(f"s{i}"))
-        asked += [F.sum(F.when(F.col("_y") == c, F.col(f"_f{i}") * w)).alias(f"s{i}_{c}") for c in range(k)]
-    got: dict[str, float] = {}
-    for i in range(0, len(asked), WIDTH):
-        got |= {n: float(v or 0) for n, v in made.agg(*asked[i : i + WIDTH]).first().asDict().items()}
-    return got["n"], {c: got[f"n{c}"] for c in range(k)}, [got[f"s{i}"] for i in range(len(base))], [[got[f"s{i}_{c}"] for c in range(k)] for i in range(len(base))]
+    made = _labelled(df, base, label, coded).withColumn("_w", F.lit(1.0) if weight is None else weight)
+    k, places = len(base.classes), range(len(base))
+    n, by_class, firing, inside = 0.0, dict.fromkeys(range(k), 0.0), [0.0] * len(base), [[0.0] * k for _ in places]
+    # a row for each class, and one for rows without: the classes cost no aggregates of their own
+    for start in range(0, max(1, len(base)), WIDTH):
+        some = places[start : start + WIDTH]
+        for r in made.groupBy("_y").agg(F.sum("_w").alias("n"), *(F.sum(F.col(f"_f{i}") * F.col("_w")).alias(f"s{i}") for i in some)).collect():
+            known = r["_y"] is not None and 0 <= r["_y"] < k
+            if not start:
+                n += float(r["n"] or 0)
+                if known:
+                    by_class[r["_y"]] = float(r["n"] or 0)
+            for i in some:
+                firing[i] += float(r[f"s{i}"] or 0)
+                if known:
+                    inside[i][r["_y"]] = float(r[f"s{i}"] or 0)
+    return n, by_class, firing, inside
 
 
 def antecedent_support(df: DataFrame, base: RuleBase, label: str, coded: bool = False) -> list[float]:

@@ -6,7 +6,8 @@ and the winner. No step shuffles.
 
 Semantics: a rule without antecedents fires 0; null memberships count as 0; a modifier m raises a membership to the power of m; of
 equal degrees the first rule wins, in class-major order; a row that nothing fires for goes to the first rule's class, or to -1 where
-allow_unknown. Type-2 degrees are the means of their bounds; general type 2 normalises its firing strengths by their sum first.
+allow_unknown. Type-2 degrees are the means of their bounds; general type 2 normalises the firing strengths of each alpha cut
+by their sum over the rules of a class first, and then weights the cuts by their alphas.
 """
 
 from __future__ import annotations
@@ -173,25 +174,24 @@ class RuleBase:
 
     # compilation
 
-    def firing_texts(self) -> tuple[list[str], list[tuple[str, str]]]:
-        """SQL of the used memberships, as (text, name), and of each rule's (lower, upper) firing strength over those names."""
-        type1 = self.kind is Kind.T1
+    def _cuts(self) -> tuple[float, ...]:
+        """Alpha cuts of a general type-2 base; else one."""
+        return getattr(self.variables[0][0], "base", self.variables[0][0]).cuts if self.kind is Kind.GT2 else (1.0,)
+
+    def _firing(self) -> tuple[list[str], list[str], list[str]]:
+        """Projections of the used values, of their memberships in the used sets, and of each rule's firing strength: by side (l, and u but for type 1) and alpha cut, never null."""
+        cuts, sides = self._cuts(), "l" if self.kind is Kind.T1 else "lu"
         used = sorted({(v, a) for r in self.rules for v, a, _ in r.parts()})
-        names: list[str] = []
-        for v, a in used:
-            low, high = self.variables[v][a].bounds(self.variables[v].value())
-            if type1:
-                names.append(f"coalesce({low}, 0e0) as {mu(v, a)}")
-            else:
-                names += [f"coalesce({low}, 0e0) as {mu(v, a, 'l')}", f"coalesce({high}, 0e0) as {mu(v, a, 'u')}"]
-
-        def fold(r: Rule, side: str) -> str:
-            parts = [mu(v, a, side) if m == 1.0 else f"power({mu(v, a, side)}, {q.number(m)})" for v, a, m in r.parts()]
+        values = [f"{self.variables[v].sure_value()} as _x{v}" for v in sorted({v for v, _ in used})]
+        memberships = [f"{text} as {mu(v, a, side)}{j}" for v, a in used for j, pair in enumerate(self.variables[v][a].sure_cuts(f"_x{v}", len(cuts))) for side, text in zip(sides, pair, strict=False)]
+
+        def fold(r: Rule, side: str, j: int) -> str:
+            parts = [f"{mu(v, a, side)}{j}" if m == 1.0 else f"power({mu(v, a, side)}{j}, {q.number(m)})" for v, a, m in r.parts()]
             if not parts:
                 return "0e0"
             return "(" + " * ".join(parts) + ")" if self.tnorm == "product" else q.least(parts)
 
-        return names, [(fold(r, ""), fold(r, "")) if type1 else (fold(r, "l"), fold(r, "u")) for r in self.rules]
+        return values, memberships, [f"{fold(r, side, j)} as _f{side}{i}_{j}" for i, r in enumerate(self.rules) for side in sides for j in range(len(cuts))]
 
     def factor(self, r: Rule) -> float:
         if self.ds_mode == 1:
@@ -201,25 +201,33 @@ class RuleBase:
         return 1.0 if r.score is None else float(r.score)
 
     def steps(self, scaled: bool | None = None) -> list[list[str]]:
-        """Projections, each added to the columns before: memberships, firing strengths _fl<i> and _fu<i>, their mean _f<i>, association degrees _a<i>, and the maxima _best and _most."""
+        """Projections, each added to the columns before: values, memberships, firing strengths _fl<i> and _fu<i> with their mean _f<i>, association degrees _a<i>, and the best of those and its rule, _best and _winner.
+
+        scaled: strengths are divided by their sum over the rules of the same class, for each side and alpha cut (the default for general type 2). Every expression is short and never null, and what
+        is used more than once is a column, so that the code that is generated for a whole base stays small enough to be compiled.
+        """
         if not self.rules:
             raise RuleError("the rule base has no rules")
-        names, firing = self.firing_texts()
-        n = range(len(self.rules))
-        type1 = self.kind is Kind.T1
-        out = [names] if names else []
-        out.append([f"{lo} as _fl{i}" for i, (lo, _) in enumerate(firing)] + ([] if type1 else [f"{hi} as _fu{i}" for i, (_, hi) in enumerate(firing)]))
-        low, high = [f"_fl{i}" for i in n], [f"_fl{i}" if type1 else f"_fu{i}" for i in n]
+        n, cuts, sides = range(len(self.rules)), self._cuts(), "l" if self.kind is Kind.T1 else "lu"
+        out = [x for x in self._firing() if x]
+        held = {(side, i, j): f"_f{side}{i}_{j}" for side in sides for i in n for j in range(len(cuts))}
         if scaled if scaled is not None else self.kind is Kind.GT2:
-            out.append([f"{q.total(low)} as _sl", f"{q.total(high)} as _su"])
-            low = [f"(case when _sl > 0e0 then {x} / _sl else {x} end)" for x in low]
-            high = [f"(case when _su > 0e0 then {x} / _su else {x} end)" for x in high]
-        out.append([f"{low[i]} as _f{i}" if type1 else f"({low[i]} + {high[i]}) / 2e0 as _f{i}" for i in n])
+            sums = [(side, c, j) for side in sides for c in sorted({r.consequent for r in self.rules}) for j in range(len(cuts))]
+            out.append([f"{q.total([held[side, i, j] for i in n if self.rules[i].consequent == c])} as _s{side}{c}_{j}" for side, c, j in sums])
+            for (side, i, j), x in held.items():
+                s = f"_s{side}{self.rules[i].consequent}_{j}"
+                held[side, i, j] = f"(case when {s} > 0e0 then {x} / {s} else {x} end)"
+        if len(cuts) > 1:
+            reduced = {(side, i): f"{q.total([f'{held[side, i, j]} * {q.number(a)}' for j, a in enumerate(cuts)])} / {q.number(sum(cuts))}" for side in sides for i in n}
+        else:
+            reduced = {(side, i): held[side, i, 0] for side in sides for i in n}
+        out.append([f"{x} as _f{side}{i}" for (side, i), x in reduced.items()])
+        out.append([f"_fl{i} as _f{i}" if sides == "l" else f"(_fl{i} + _fu{i}) / 2e0 as _f{i}" for i in n])
         out.append([f"_f{i} * {q.number(self.factor(r))} as _a{i}" for i, r in enumerate(self.rules)])
-        out.append([f"{q.greatest([f'_a{i}' for i in n])} as _best"])
-        out.append([f"{q.first_max([f'_a{i}' for i in n], '_best')} as _first"])
-        unknown = "when _best = 0e0 then -1 " if self.allow_unknown else ""
-        out.append([f"cast(case {unknown}else _first end as int) as _winner" if unknown else "cast(_first as int) as _winner"])
+        out.append([f"array({', '.join(f'_a{i}' for i in n)}) as _as"])
+        out.append(["array_max(_as) as _best"])
+        place = "cast(array_position(_as, _best) as int) - 1"
+        out.append([f"case when _best = 0e0 then -1 else {place} end as _winner" if self.allow_unknown else f"{place} as _winner"])
         return out
 
     def applied(self, df: DataFrame, scaled: bool | None = None) -> DataFrame:
@@ -227,18 +235,13 @@ class RuleBase:
             df = df.select("*", *map(F.expr, step))
         return df
 
-    def applied_text(self, source: str, scaled: bool | None = None) -> str:
-        """The same as nested SQL over a table or subquery."""
-        for step in self.steps(scaled):
-            source = f"(select *, {', '.join(step)} from {source})"
-        return source
-
-    def _pick(self, names: Sequence[str], kind: str) -> str:
-        return "case _winner " + " ".join(f"when {i} then {n}" for i, n in enumerate(names)) + f" else {kind} end"
+    def _pick(self, values: Sequence[str], otherwise: str) -> str:
+        """What a literal array holds for the winner."""
+        return f"coalesce(get(array({', '.join(values)}), _winner), {otherwise})"
 
     def predicted_text(self, names: bool = False) -> str:
         values = [q.text(self.classes[r.consequent]) if names else str(r.consequent) for r in self.rules]
-        return f"cast({self._pick(values, q.text('Unknown') if names else '-1')} as {'varchar(64)' if names else 'int'})"
+        return self._pick(values, q.text("Unknown") if names else "-1")
 
     # on rows
 
@@ -257,37 +260,44 @@ class RuleBase:
         """df, winner (place of the winning rule) and predicted (class place, or name). Without rules: -1, or Unknown."""
         if not self.rules:
             return df.select("*", F.lit(-1).alias("winner"), F.lit("Unknown" if names else -1).alias("predicted"))
-        kind = F.expr(self.predicted_text(names))
-        return self._outputs(df, F.col("_winner").alias("winner"), kind.cast("string").alias("predicted") if names else kind.alias("predicted"))
+        return self._outputs(df, F.col("_winner").alias("winner"), F.expr(self.predicted_text(names)).alias("predicted"))
 
     __call__ = predict
 
     def explain(self, df: DataFrame, names: bool = False) -> DataFrame:
         """df, predicted, winner, strength (the highest firing strength) and interval (the winner's confidence interval times it)."""
-        strength = F.expr(q.greatest([f"_f{i}" for i in range(len(self))]))
+        strength = F.expr(self._greatest([f"_f{i}" for i in range(len(self))]))
         ends = [[str((r.confidence_interval or (1.0, 1.0))[k]) for r in self.rules] for k in (0, 1)]
         interval = F.struct(*((F.expr(self._pick([q.number(float(x)) for x in e], "0e0")) * strength).alias(side) for e, side in zip(ends, ("lo", "hi"), strict=True)))
-        return self._outputs(df, F.expr(self.predicted_text(names)).cast("string" if names else "int").alias("predicted"), F.col("_winner").alias("winner"), strength.alias("strength"), interval.alias("interval"))
+        return self._outputs(df, F.expr(self.predicted_text(names)).alias("predicted"), F.col("_winner").alias("winner"), strength.alias("strength"), interval.alias("interval"))
 
-    def class_membership_texts(self) -> list[str]:
-        out = []
-        for c in range(len(self.classes)):
-            own = [f"_a{i}" for i, r in enumerate(self.rules) if r.consequent == c]
-            out.append(q.greatest(own) if own else "0e0")
-        return out
+    @staticmethod
+    def _greatest(parts: Sequence[str]) -> str:
+        return f"array_max(array({', '.join(parts)}))" if parts else "0e0"
+
+    def class_steps(self) -> list[list[str]]:
+        """Projections over an applied base: _m<c>, for each class the highest association degree of its rules, and _p<c>, that over the sum for all classes (uniform where it is 0)."""
+        k = range(len(self.classes))
+        best = [f"{self._greatest([f'_a{i}' for i, r in enumerate(self.rules) if r.consequent == c])} as _m{c}" for c in k]
+        return [best, [f"{q.total([f'_m{c}' for c in k])} as _mt"], [f"(case when _mt = 0e0 then {q.number(1 / len(self.classes))} else _m{c} / _mt end) as _p{c}" for c in k]]
+
+    def with_classes(self, df: DataFrame) -> DataFrame:
+        """The applied base with the columns of class_steps()."""
+        made = self.applied(df)
+        for step in self.class_steps():
+            made = made.select("*", *map(F.expr, step))
+        return made
+
+    def _class_outputs(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        return self.with_classes(df).select(*(F.col(f"`{c}`") for c in df.columns), F.array(*(F.col(f"{column}{c}") for c in range(len(self.classes)))).alias(name))
 
     def class_membership(self, df: DataFrame) -> DataFrame:
         """df and memberships: for each class the highest association degree of its rules."""
-        return self._outputs(df, F.array(*map(F.expr, self.class_membership_texts())).alias("memberships"))
-
-    def probability_texts(self) -> list[str]:
-        m = self.class_membership_texts()
-        n = q.total(m)
-        return [f"(case when {n} = 0e0 then {q.number(1 / len(m))} else ({x}) / {n} end)" for x in m]
+        return self._class_outputs(df, "_m", "memberships")
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         """df and probabilities: the class memberships over their sum; uniform where it is 0."""
-        return self._outputs(df, F.array(*map(F.expr, self.probability_texts())).alias("probabilities"))
+        return self._class_outputs(df, "_p", "probabilities")
 
 
 def stars(p: float) -> str:
@@ -340,8 +350,8 @@ def infer_type1(base: RuleBase, output: Variable, df: DataFrame, column: str = "
 
 
 def infer_interval(base: RuleBase, output: Variable, df: DataFrame, column: str = "inferred") -> DataFrame:
-    """df and a struct of lo and hi: the type-reduced centroids over the rules' firing intervals, row by row (the search depends on the order of the rules and is run as it is defined, in numpy over Arrow batches)."""
-    from lumifuzz.operators.centroids import consequent_centroid, interval_centroid
+    """df and a struct of lo and hi: the type-reduced centroids over the rules' firing intervals, of each row (the search depends on the order of the rules; it runs in numpy over Arrow batches, for all rows of a batch at once)."""
+    from lumifuzz.operators.centroids import consequent_centroids, interval_centroid
 
     ends = np.array([interval_centroid(s) for s in output.sets])
     mine = np.array([ends[r.consequent] for r in base.rules])
@@ -349,8 +359,8 @@ def infer_interval(base: RuleBase, output: Variable, df: DataFrame, column: str
 
     @F.pandas_udf("lo double, hi double")
     def reduce(low: pd.Series, high: pd.Series) -> pd.DataFrame:
-        rows = [consequent_centroid(np.stack([np.asarray(a, float), np.asarray(b, float)], axis=1), mine) for a, b in zip(low, high, strict=True)]
-        return pd.DataFrame(rows, columns=["lo", "hi"])
+        both = [np.stack(x.to_numpy()) if len(x) else np.empty((0, n)) for x in (low, high)]
+        return pd.DataFrame(dict(zip(("lo", "hi"), consequent_centroids(np.stack(both, axis=2), mine), strict=True)))
 
     side = "_fl" if base.kind is Kind.T1 else "_fu"
     return base._outputs(df, reduce(F.array(*(F.col(f"_fl{i}") for i in range(n))), F.array(*(F.col(f"{side}{i}") for i in range(n)))).alias(column))

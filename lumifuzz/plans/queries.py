@@ -1,20 +1,20 @@
-"""The registered queries of the fuzzy operators and, where SQL can express them, their DuckDB equivalents, which compute their own breakpoints."""
+"""The registered queries of the fuzzy operators and, where SQL can express them, their DuckDB equivalents (formulae in oracles, written out apart from the operators)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumifuzz.functions import sqltext as q
-from lumifuzz.functions.membership import Kind, Trapezoid, Variable
+from lumifuzz.functions.membership import Gaussian, IntervalTrapezoid, Kind, Trapezoid, Variable
 from lumifuzz.operators import centroids, cognitive, conformal, evolve, mining, rule_graph, rule_quality, stability, temporal, validation
-from lumifuzz.operators.partitions import crisp, even, fit_partitions, quantiles
-from lumifuzz.operators.rules import Rule, RuleBase, infer_interval, infer_type1
+from lumifuzz.operators.partitions import crisp, even, fit_partitions, quantiles, validate_partitions
+from lumifuzz.operators.rules import MamdaniRule, Rule, RuleBase, infer_interval, infer_type1, rule_base
 from lumifuzz.operators.tree import FuzzyTree, gini
-from lumifuzz.plans import symbolic
+from lumifuzz.plans import oracles as o
 from lumifuzz.sources import text_format
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -60,27 +60,18 @@ def fitted(spark: SparkSession, sf_dir: str, shape: str = "trapezoid", kind: Kin
     return df, base_of(fit_partitions(df, FEATURES, 3, shape, kind), **options)
 
 
-def applied_sql(shape: str = "trapezoid", where: str = "true", **options) -> str:
-    """A subquery: lineitem with the columns of the applied rule base."""
-    base = base_of(symbolic.variables(FEATURES, shape), **options)
-    columns = ", ".join(["l_orderkey", "l_linenumber", LABEL, *FEATURES])
-    source = f"(select {columns}, p0, p1, p2, p3 from lineitem cross join ({symbolic.quantile_select('lineitem', FEATURES, symbolic.probabilities(shape))}) as q where {where})"
-    return base.applied_text(source)
-
-
-def _place(label: str = LABEL) -> str:
-    return f"(case {label} when 'A' then 0 when 'N' then 1 when 'R' then 2 end)"
+def _unfitted() -> RuleBase:
+    """The rules over sets of which only the names count."""
+    return base_of([Variable(f, tuple(Trapezoid(n, (0, 0, 1, 1)) for n in ("Low", "Medium", "High"))) for f in FEATURES])
 
 
 # partitions and memberships
 
 
-def _params_sql() -> str:
-    one = [f"select '{f}' as feature, unnest(quantile_cont({f}, {list(map(float, even(6)))})) as value, unnest(range(6)) as place from lineitem" for f in FEATURES]
-    return "select feature, cast(place as bigint) as place, round(value, 6) as value from (" + " union all ".join(one) + ")"
+_PARAMS = " union all ".join(f"select '{x}' as feature, unnest(quantile_cont({x}, {o.SIX})) as value, unnest(range(6)) as place from lineitem" for x in o.LETTERS.values())
 
 
-@query(_params_sql)
+@query(f"select feature, cast(place as bigint) as place, round(value, 6) as value from ({_PARAMS})")
 def t1_partition_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quantiles(table(spark, sf_dir, "lineitem"), FEATURES, even(6))
     return spark.createDataFrame([(f, i, v) for f, values in found.items() for i, v in enumerate(values)], "feature string, place long, value double").withColumn("value", F.round("value", 6))
@@ -92,26 +83,55 @@ def _memberships(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     return df.groupBy(LABEL).agg(*(F.round(F.avg(F.expr(t)), 6).alias(f"mu_{i}_{j}") for i, v in enumerate(variables) for j, t in enumerate(v.texts())))
 
 
-def _memberships_sql(shape: str) -> str:
-    names = [f"round(avg({t}), 6) as mu_{i}_{j}" for i, v in enumerate(symbolic.variables(FEATURES, shape)) for j, t in enumerate(v.texts())]
-    return f"select {LABEL}, {', '.join(names)} from lineitem cross join ({symbolic.quantile_select('lineitem', FEATURES, symbolic.probabilities(shape))}) as q group by {LABEL}"
+def _memberships_sql(count: int, *options) -> str:
+    return f"with {o.memberships(*options)} select l_returnflag, {o.averages(count)} from m group by l_returnflag"
 
 
-@query(lambda: _memberships_sql("trapezoid"))
+@query(_memberships_sql(3))
 def t1_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memberships(spark, sf_dir, "trapezoid")
 
 
-@query(lambda: _memberships_sql("triangular"))
+@query(_memberships_sql(3, o.TRIANGLES, o.QUARTERS, 5))
 def triangular_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memberships(spark, sf_dir, "triangular")
 
 
-@query(lambda: _memberships_sql("gaussian"))
+@query(_memberships_sql(3, o.BELLS, o.THREE, 3))
 def gaussian_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memberships(spark, sf_dir, "gaussian")
 
 
+@query(_memberships_sql(4, o.FOUR_TRAPEZOIDS, o.EIGHT, 8))
+def simple_trapezoid_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memberships(spark, sf_dir, "simple_trapezoid")
+
+
+@query(_memberships_sql(4, o.FOUR_BELLS, o.EIGHT, 8))
+def simple_gaussian_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memberships(spark, sf_dir, "simple_gaussian")
+
+
+@query(_memberships_sql(3, o.THREE_TRAPEZOIDS, o.FIVE, 5))
+def three_trapezoid_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memberships(spark, sf_dir, "three_trapezoid")
+
+
+_CHECKS = " union all ".join(
+    f"""select '{x}' as feature, max(cast({v}0 >= 1 - 1e-9 as int) + cast({v}1 >= 1 - 1e-9 as int) + cast({v}2 >= 1 - 1e-9 as int)) <= 1 as one_full, min(greatest({v}0, {v}1, {v}2)) > 0 as covered,
+ (select {v}[1] <= {v}[2] and {v}[5] <= {v}[6] and {v}[1] < {v}[6] from q) as ordered, least(max({v}0), max({v}1), max({v}2)) > 0.99 as fuzzy_numbers from m"""
+    for v, x in o.LETTERS.items()
+)
+
+
+@query(f"with {o.memberships()} {_CHECKS}")
+def partition_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validity properties that hold or fail without chance."""
+    df = table(spark, sf_dir, "lineitem")
+    found = validate_partitions(df, fit_partitions(df, FEATURES), permutations=20)
+    return spark.createDataFrame([(f, x["one_full"], x["covered"], x["ordered"], x["fuzzy_numbers"]) for f, x in found.items()], "feature string, one_full boolean, covered boolean, ordered boolean, fuzzy_numbers boolean")
+
+
 @query("select c_mktsegment as value, count(*) as n, round(sum(c_acctbal), 2) as acctbal from customer where c_mktsegment is not null group by c_mktsegment")
 def categorical_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer")
@@ -120,111 +140,141 @@ def categorical_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(F.explode(F.array(*sums.columns)).alias("x")).select("x.*")
 
 
-def _t2_sql() -> str:
-    names = [f"round(avg({lo}), 6) as lo_{i}_{j}, round(avg({hi}), 6) as hi_{i}_{j}" for i, v in enumerate(symbolic.variables(FEATURES, "interval")) for j, (lo, hi) in enumerate(v.bounds())]
-    return f"select {', '.join(names)} from lineitem cross join ({symbolic.quantile_select('lineitem', FEATURES, symbolic.probabilities('interval'))}) as q"
+@query("select c_mktsegment as value, count(*) as n, count(*) as least_n from customer where c_mktsegment is not null group by c_mktsegment")
+def categorical_t2_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer")
+    v = crisp(df, "c_mktsegment", Kind.T2)
+    sums = df.agg(*(F.struct(F.lit(s.name).alias("value"), F.sum(F.expr(hi)).cast("long").alias("n"), F.sum(F.expr(lo)).cast("long").alias("least_n")).alias(f"s{i}") for i, (s, (lo, hi)) in enumerate(zip(v.sets, v.bounds(), strict=True))))
+    return sums.select(F.explode(F.array(*sums.columns)).alias("x")).select("x.*")
 
 
-@query(_t2_sql)
-def t2_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bounds(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
-    variables = fit_partitions(df, FEATURES, kind=Kind.T2)
+    variables = fit_partitions(df, FEATURES, 3, shape, Kind.T2)
     return df.agg(*(F.round(F.avg(F.expr(t)), 6).alias(f"{side}_{i}_{j}") for i, v in enumerate(variables) for j, b in enumerate(v.bounds()) for side, t in zip(("lo", "hi"), b, strict=True)))
 
 
-@query()
+@query(f"with {o.memberships(**o.INTERVALS)} select {o.averages(3, to='lo_')}, {o.averages(3, 'u', 'hi_')} from m")
+def t2_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bounds(spark, sf_dir, "trapezoid")
+
+
+@query(f"with {o.memberships(o.NARROW_BELLS, o.THREE, 3, more={'u': o.BELLS})} select {o.averages(3, to='lo_')}, {o.averages(3, 'u', 'hi_')} from m")
+def t2_gaussian_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bounds(spark, sf_dir, "gaussian")
+
+
+_REDUCED = "sum(alpha * lo) / sum(alpha) as lo, sum(alpha * hi) / sum(alpha) as hi"
+
+
+@query(f"""with {o.memberships()}, {o.CUTS}, {o.general('c')}, red as (select value, label, {_REDUCED} from cut_c group by 1, 2)
+ select l_discount, count(*) as n, {', '.join(f'round(any_value(r{j}.{side}), 6) as {side}_{j}' for j in range(3) for side in ('lo', 'hi'))} from lineitem, {', '.join(f'red r{j}' for j in range(3))}
+ where {' and '.join(f'r{j}.value = l_discount and r{j}.label = {j}' for j in range(3))} group by l_discount""")
 def gt2_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
     (v,) = fit_partitions(df, ["l_discount"], kind=Kind.GT2, resolution=2)
     return df.groupBy("l_discount").agg(F.count("*").alias("n"), *(F.round(F.first(F.expr(t)), 6).alias(f"{side}_{j}") for j, b in enumerate(v.bounds()) for side, t in zip(("lo", "hi"), b, strict=True)))
 
 
+@query("""select l_returnflag, round(avg(case when l_quantity < 1 or l_quantity > 30 then 0 when l_quantity < 10 then (l_quantity - 1) / 9 when l_quantity <= 20 then 1 else (30 - l_quantity) / 10 end * exp(-power((l_discount - 0.05) / 0.02, 2))), 6) as degree,
+ round(avg(least(case when l_quantity < 1 or l_quantity > 30 then 0 when l_quantity < 10 then (l_quantity - 1) / 9 when l_quantity <= 20 then 1 else (30 - l_quantity) / 10 end, exp(-power((l_discount - 0.05) / 0.02, 2)))), 6) as least_degree from lineitem group by l_returnflag""")
+def mamdani_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule over explicit sets, with the product and with the least membership."""
+    rule = MamdaniRule((("l_quantity", Trapezoid("some", (1, 10, 20, 30))), ("l_discount", Gaussian("about", 0.05, 0.02))), OUTPUT.sets[0])
+    return table(spark, sf_dir, "lineitem").groupBy(LABEL).agg(F.round(F.avg(rule.membership()), 6).alias("degree"), F.round(F.avg(rule.membership(F.least)), 6).alias("least_degree"))
+
+
 # scoring
 
 
-@query(lambda: f"select {LABEL}, _winner as winner, count(*) as n, round(sum(greatest({', '.join(f'_f{i}' for i in range(len(RULES)))})), 6) as strength from {applied_sql()} group by {LABEL}, _winner")
+@query(f"with {o.fired()} select l_returnflag, winner, count(*) as n, round(sum(strength), 6) as strength from w group by 1, 2")
 def flagship_winner_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
     return base.explain(df).groupBy(LABEL, "winner").agg(F.count("*").alias("n"), F.round(F.sum("strength"), 6).alias("strength"))
 
 
-def _sums(column: str) -> str:
-    return ", ".join(f"round(sum({column}{i}), 6) as r{i}" for i in range(len(RULES)))
-
-
 def _array_sums(df: DataFrame, column: str, n: int, prefix: str = "r") -> DataFrame:
     return df.agg(*(F.round(F.sum(F.col(column)[i]), 6).alias(f"{prefix}{i}") for i in range(n)))
 
 
-@query(lambda: f"select {_sums('_f')} from {applied_sql()}")
+@query(f"with {o.fired()} select {o.sums()} from w")
 def rule_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
     return _array_sums(base.firing(df), "firing", len(base))
 
 
-@query(lambda: f"select {_sums('_f')} from {applied_sql(tnorm='min')}")
+@query(f"with {o.fired(o.LEASTS)} select {o.sums()} from w")
 def rule_firing_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir, tnorm="min")
     return _array_sums(base.firing(df), "firing", len(base))
 
 
-@query(lambda: f"select {_sums('_a')} from {applied_sql(ds_mode=2)}")
+@query(f"with {o.fired()} select round(sum(f0 * 0.9), 6) as r0, round(sum(f1 * 0.4), 6) as r1, round(sum(f2 * 0.75), 6) as r2, round(sum(f3 * 0.6), 6) as r3, round(sum(f4 * 0.5), 6) as r4, round(sum(f5), 6) as r5 from w")
 def weighted_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir, ds_mode=2)
     return _array_sums(base.association(df), "association", len(base))
 
 
-@query(lambda: f"select {_sums('_f')} from {applied_sql(modifiers=True)}")
+@query(f"with {o.fired(o.HEDGED)} select {o.sums()} from w")
 def hedged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir, modifiers=True)
     return _array_sums(base.firing(df), "firing", len(base))
 
 
-def _predict_sql(**options) -> str:
-    base = base_of(symbolic.variables(FEATURES), **options)
-    return f"select {LABEL}, {base.predicted_text()} as predicted, count(*) as n from {applied_sql(**options)} group by 1, 2"
+_SCALED = ", ".join(f"f{i} / nullif(f{i - i % 2} + f{i - i % 2 + 1}, 0) as f{i}" for i in range(6))
 
 
-@query(lambda: _predict_sql())
+@query(f"with {o.fired()}, k as (select {_SCALED} from w) select {', '.join(f'round(sum(coalesce(f{i}, 0)), 6) as r{i}' for i in range(6))} from k")
+def scaled_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strengths over their sum among the rules of a class."""
+    df, base = fitted(spark, sf_dir)
+    return _array_sums(base.firing(df, scaled=True), "firing", len(base))
+
+
+_GT2_RULES = ((0, -1, 0), (1, 1, 0), (2, 0, 1), (-1, 2, 1))
+#: (rule, class, set of l_discount, set of l_tax); -1: any
+_GT2_ROWS = ", ".join(f"({i}, {c}, {x}, {y})" for i, (x, y, c) in enumerate(_GT2_RULES))
+
+
+@query(f"""with {o.memberships()}, {o.CUTS}, {o.general('c')}, {o.general('d')}, ru(rule, class, lc, ld) as (values {_GT2_ROWS}), pair as (select l_discount as vc, l_tax as vd, count(*) as n from lineitem group by 1, 2),
+ fire as (select vc, vd, n, rule, class, al.alpha, coalesce(c.lo, 1) * coalesce(d.lo, 1) as lo, coalesce(c.hi, 1) * coalesce(d.hi, 1) as hi from pair cross join ru cross join al left join cut_c c on c.value = vc and c.label = lc and c.alpha = al.alpha left join cut_d d on d.value = vd and d.label = ld and d.alpha = al.alpha),
+ scaled as (select vc, vd, n, rule, alpha, lo / nullif(sum(lo) over (partition by vc, vd, class, alpha), 0) as lo, hi / nullif(sum(hi) over (partition by vc, vd, class, alpha), 0) as hi from fire),
+ red as (select vc, vd, any_value(n) as n, rule, (sum(alpha * coalesce(lo, 0)) + sum(alpha * coalesce(hi, 0))) / 2 / sum(alpha) as f from scaled group by vc, vd, rule)
+ select cast(rule as bigint) as rule, round(sum(n * f), 4) as firing from red group by rule""")
+def gt2_rule_firing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over general type-2 sets: each alpha cut is scaled by itself, then the cuts are weighted by their alphas."""
+    df = table(spark, sf_dir, "lineitem")
+    base = RuleBase(tuple(fit_partitions(df, ["l_discount", "l_tax"], kind=Kind.GT2, resolution=2)), tuple(Rule((x, y), c) for x, y, c in _GT2_RULES), ("A", "B"), 1)
+    return base.firing(df).select(F.posexplode("firing").alias("rule", "f")).groupBy(F.col("rule").cast("long").alias("rule")).agg(F.round(F.sum("f"), 4).alias("firing"))
+
+
+@query(f"with {o.fired()} select l_returnflag, {o.SAID} as predicted, count(*) as n from w group by 1, 2")
 def winner_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
     return base.predict(df).groupBy(LABEL, "predicted").agg(F.count("*").alias("n"))
 
 
-@query(lambda: _predict_sql(allow_unknown=True))
+@query(f"with {o.fired()} select l_returnflag, case when strength = 0 then -1 else {o.SAID} end as predicted, count(*) as n from w group by 1, 2")
 def winner_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir, allow_unknown=True)
     return base.predict(df).groupBy(LABEL, "predicted").agg(F.count("*").alias("n"))
 
 
-def _per_class_sql(kind: str) -> str:
-    base = base_of(symbolic.variables(FEATURES))
-    texts = base.class_membership_texts() if kind == "m" else base.probability_texts()
-    return "select " + ", ".join(f"round(sum({t}), 6) as c{c}" for c, t in enumerate(texts)) + f" from {applied_sql()}"
-
-
-@query(lambda: _per_class_sql("m"))
+@query(f"with {o.fired()} select {o.sums(o.CLASS_BEST, 'c')} from w")
 def class_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
     return _array_sums(base.class_membership(df), "memberships", 3, "c")
 
 
-@query(lambda: _per_class_sql("p"))
+@query(f"with {o.fired()}, k as (select {', '.join(f'{x} as k{i}' for i, x in enumerate(o.CLASS_BEST))} from w) select {', '.join(f'round(sum(coalesce(k{i} / nullif(k0 + k1 + k2, 0), 1 / 3.0)), 6) as c{i}' for i in range(3))} from k")
 def predict_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
     return _array_sums(base.probabilities(df), "probabilities", 3, "c")
 
 
-@query(lambda: f"select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, _winner as winner, round(greatest({', '.join(f'_f{i}' for i in range(len(RULES)))}), 6) as strength from {applied_sql(where='l_orderkey % 7 = 0')}")
+@query(f"with {o.fired()} select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, winner, round(strength, 6) as strength from w")
 def explain_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explained rows of every seventh order, with partitions from all rows."""
-    df, base = fitted(spark, sf_dir)
-    return base.explain(df.where("l_orderkey % 7 = 0")).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "winner", F.round("strength", 6).alias("strength"))
-
-
-@query(lambda: f"select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, _winner as winner, round(greatest({', '.join(f'_f{i}' for i in range(len(RULES)))}), 6) as strength from {applied_sql()}")
-def explain_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explained rows of all orders."""
+    """Every row with its winning rule."""
     df, base = fitted(spark, sf_dir)
     return base.explain(df).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "winner", F.round("strength", 6).alias("strength"))
 
@@ -232,141 +282,171 @@ def explain_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # quality
 
 
-def _quality_rows(kind: str, shape: str = "trapezoid") -> str:
-    y = _place()
-    every = f"(select *, {y} as y from {applied_sql(shape)})"
-    rows = []
-    for i, (_, c) in enumerate(RULES):
-        s, mine = f"sum(_f{i})", f"sum(case when y = {c} then _f{i} else 0e0 end)"
-        support, confidence = f"{mine} / count(*)", f"coalesce({mine} / nullif({s}, 0e0), 0e0)"
-        value = {"antecedent": f"{s} / count(*)", "support": support, "confidence": confidence, "dominance": f"({support}) * ({confidence})"}[kind]
-        rows.append(f"{value} as v{i}")
-    picked = ", ".join(f"struct_pack(rule := cast({i} as bigint), value := round(v{i}, 6))" for i in range(len(RULES)))
-    return f"select x.rule as rule, x.value as value from (select unnest([{picked}]) as x from (select {', '.join(rows)} from {every}))"
+def _quality_sql(value: str, **options) -> str:
+    return f"with {o.quality(**options)} select cast(rule as bigint) as rule, round({value}, 6) as value from s"
+
+
+_T2 = {"rules": o.INTERVAL_PRODUCTS, **o.INTERVALS}
 
 
 def _values(spark: SparkSession, values: Sequence[float]) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "rule long, value double").withColumn("value", F.round("value", 6))
 
 
-@query(lambda: _quality_rows("antecedent"))
+@query(_quality_sql("t / n"))
 def antecedent_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, rule_quality.antecedent_support(*fitted(spark, sf_dir), LABEL))
 
 
-@query(lambda: _quality_rows("support"))
+@query(_quality_sql(o.SUPPORT))
 def rule_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, rule_quality.rule_support(*fitted(spark, sf_dir), LABEL))
 
 
-@query(lambda: _quality_rows("confidence"))
+@query(_quality_sql(o.CONFIDENCE))
 def rule_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, rule_quality.rule_confidence(*fitted(spark, sf_dir), LABEL))
 
 
-@query(lambda: _quality_rows("dominance"))
+@query(_quality_sql(f"({o.SUPPORT}) * {o.CONFIDENCE}"))
 def dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, rule_quality.dominance(*fitted(spark, sf_dir), LABEL))
 
 
-@query(lambda: _quality_rows("support", "interval"))
+@query(_quality_sql(o.SUPPORT, **_T2))
 def t2_rule_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, rule_quality.rule_support(*fitted(spark, sf_dir, kind=Kind.T2), LABEL))
 
 
-@query(lambda: _quality_rows("confidence", "interval"))
+@query(_quality_sql(o.CONFIDENCE, **_T2))
 def t2_rule_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, rule_quality.rule_confidence(*fitted(spark, sf_dir, kind=Kind.T2), LABEL))
 
 
-def _aux_sql() -> str:
-    parts = [f"select cast({i} as bigint) as rule, {LABEL} as class, sum(_f{i}) as s, (select count(*) from lineitem) as n, (select sum(_f{i}) from e) as t from e group by {LABEL}" for i in range(len(RULES))]
-    return f"with e as (select * from {applied_sql()}) select rule, class, round(s / n, 6) as support, round(coalesce(s / nullif(t, 0e0), 0e0), 6) as confidence from ({' union all '.join(parts)})"
+_AUX = " union all ".join(f"select cast({i} as bigint) as rule, l_returnflag as class, sum(f{i}) as s, (select count(*) from w) as n, (select sum(f{i}) from w) as t from w group by l_returnflag" for i in range(6))
 
 
-@query(_aux_sql)
+@query(f"with {o.fired()} select rule, class, round(s / n, 6) as support, round(coalesce(s / nullif(t, 0), 0), 6) as confidence from ({_AUX})")
 def aux_support_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
     rows = [(i, CLASSES[c], s, k) for i, row in enumerate(rule_quality.by_class(df, base, LABEL)) for c, (s, k, _) in enumerate(row)]
     return spark.createDataFrame(rows, "rule long, class string, support double, confidence double").withColumns({c: F.round(c, 6) for c in ("support", "confidence")})
 
 
-def _accuracy_sql() -> str:
-    wanted = " union all ".join(f"select cast({i} as bigint) as rule, {c} as c" for i, (_, c) in enumerate(RULES))
-    return f"select rule, round(coalesce(avg(case when y = c then 1e0 when y is not null then 0e0 end), 0e0), 6) as value from ({wanted}) w left join (select _winner, {_place()} as y from {applied_sql()}) e on e._winner = w.rule group by rule"
+_ACCURACY = "a as (select r.rule, coalesce(avg(case when y = r.class then 1.0 when y is not null then 0.0 end), 0) as accuracy from (select rule, class from s) r left join w on w.winner = r.rule group by 1)"
 
 
-@query(_accuracy_sql)
+@query(f"with {o.quality()}, {_ACCURACY} select cast(rule as bigint) as rule, round(accuracy, 6) as value from a")
 def rule_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
     return _values(spark, [r.accuracy for r in rule_quality.with_accuracy(df, base, LABEL).rules])
 
 
-def _confusion_sql() -> str:
-    base = base_of(symbolic.variables(FEATURES))
-    return f"select {_place()} as actual, {base.predicted_text()} as predicted, count(*) as n from {applied_sql()} group by 1, 2"
-
-
-@query(_confusion_sql)
+@query(f"with {o.fired()}, {o.CONFUSION} select * from k")
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_quality.confusion(*fitted(spark, sf_dir), LABEL)
 
 
-def _mcc_sql() -> str:
-    return f"""with t as ({_confusion_sql()}), n as (select sum(n) as n, sum(case when actual = predicted then n else 0 end) as c from t),
- p as (select predicted as k, sum(n) as v from t group by 1), a as (select actual as k, sum(n) as v from t group by 1),
- s as (select (select sum(v * v) from p) as pp, (select sum(v * v) from a) as aa, (select coalesce(sum(p.v * a.v), 0) from p join a on p.k = a.k) as pa)
- select round(cast(c as double) / n, 6) as accuracy, round(case when (cast(n as double) * n - pp) * (cast(n as double) * n - aa) <= 0 then 0e0 else (cast(c as double) * n - pa) / sqrt((cast(n as double) * n - pp) * (cast(n as double) * n - aa)) end, 6) as mcc from n, s"""
-
-
-@query(_mcc_sql)
+@query(f"with {o.fired()}, {o.CONFUSION}, {o.MERIT} select round(accuracy, 6) as accuracy, round(mcc, 6) as mcc from merit")
 def mcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = rule_quality.classification(*fitted(spark, sf_dir), LABEL)
     return spark.createDataFrame([(got["accuracy"], got["mcc"])], "accuracy double, mcc double").withColumns({c: F.round(c, 6) for c in ("accuracy", "mcc")})
 
 
-# regression
+_SCORED = f"{o.quality()}, {_ACCURACY}, sc as (select s.rule, class, s / n as support, {o.CONFIDENCE} as confidence, s / n * {o.CONFIDENCE} as score, accuracy from s join a on a.rule = s.rule)"
+#: The rules with one of them repeated, as a matrix.
+MATRIX, CONSEQUENTS = [list(a) for a, _ in RULES] + [list(RULES[2][0])], [c for _, c in RULES] + [RULES[2][1]]
+_ANTECEDENTS = "(case rule " + " ".join(f"when {i} then '{','.join(map(str, a))}'" for i, (a, _) in enumerate(RULES)) + " end)"
+
+
+@query(f"with {_SCORED} select {_ANTECEDENTS} as antecedents, substr('ANR', class + 1, 1) as class, round(support, 6) as support, round(confidence, 6) as confidence, round(score, 6) as score, round(accuracy, 6) as accuracy, case rule when 0 then 0.9 when 1 then 0.4 when 2 then 0.75 when 3 then 0.6 when 4 then 0.5 else 1.0 end::double as weight from sc where score >= 0.008 and accuracy <> 0")
+def evaluated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base from a matrix that repeats a rule: without the repeat, evaluated, and without rules that score too little."""
+    df = table(spark, sf_dir, "lineitem")
+    base = replace(rule_base(MATRIX, CONSEQUENTS, fit_partitions(df, FEATURES), [*WEIGHTS, WEIGHTS[2]], CLASSES), ds_mode=1)
+    found = rule_quality.full_evaluation(df, base, LABEL).purged(0.008).frame(spark)
+    return found.select(F.concat_ws(",", F.transform("antecedents", lambda a: a.cast("string"))).alias("antecedents"), "class", *(F.round(c, 6).alias(c) for c in ("support", "confidence", "score", "accuracy")), "weight")
 
-OUTPUT = Variable("risk", (Trapezoid("Low", (0.0, 0.0, 0.2, 0.5), domain=(0.0, 1.0)), Trapezoid("Medium", (0.2, 0.4, 0.6, 0.8), domain=(0.0, 1.0)), Trapezoid("High", (0.5, 0.8, 1.0, 1.0), domain=(0.0, 1.0))))
 
+@query(f"with {_SCORED}, k as (select max(score) filter (rule = 0) as s0, max(score) filter (rule = 1) as s1, max(score) filter (rule = 2) as s2, max(score) filter (rule = 3) as s3, max(score) filter (rule = 4) as s4, max(score) filter (rule = 5) as s5 from sc) select {', '.join(f'round(sum(f{i} * s{i}), 6) as r{i}' for i in range(6))} from w, k")
+def association_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Firing strengths times the rules' dominance."""
+    df, base = fitted(spark, sf_dir)
+    return _array_sums(rule_quality.association_degrees(df, base, LABEL), "association", len(base))
+
+
+@query(f"with {_SCORED}, g as (select count(*) as n, sum(case rule when 0 then 1 when 5 then 3 else 2 end) as used from sc where score > 0.01) select round(1 - used / (n * 4.0), 6) as economy, round(n / 6.0, 6) as effective from g")
+def rule_economy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, base = fitted(spark, sf_dir)
+    scored = rule_quality.scored(df, base, LABEL)
+    return spark.createDataFrame([(rule_quality.size_antecedents(scored, 0.01), rule_quality.effective_rules(scored, 0.01))], "economy double, effective double").withColumns({c: F.round(c, 6) for c in ("economy", "effective")})
 
-def _regression_sql() -> str:
-    c = [centroids.set_centroid(s) for s in OUTPUT.sets]
-    up = " + ".join(f"_f{i} * {q.number(c[k])}" for i, (_, k) in enumerate(RULES))
-    down = " + ".join(f"_f{i}" for i in range(len(RULES)))
-    return f"select {LABEL}, count(v) as n, round(avg(v), 6) as inferred from (select {LABEL}, ({up}) / nullif({down}, 0e0) as v from {applied_sql()}) group by {LABEL}"
 
+_PER_CLASS = """c as (select z, coalesce(sum(n) filter (actual = z and predicted = z), 0) as hit, coalesce(sum(n) filter (predicted = z), 0) as said, coalesce(sum(n) filter (actual = z), 0) as there from k, (select unnest([0, 1, 2]) as z) group by z),
+ pr as (select coalesce(hit / nullif(said, 0), 0) as p, coalesce(hit / nullif(there, 0), 0) as r from c), av as (select avg(p) as p, avg(r) as r, avg(coalesce(2 * p * r / nullif(p + r, 0), 0)) as f from pr)"""
 
-@query(_regression_sql)
+
+@query(f"with {o.fired()}, {o.CONFUSION}, {o.MERIT}, {_PER_CLASS} select unnest(['accuracy_score', 'matthews_corrcoef', 'precision_score', 'recall_score', 'f1_score', 'mcc_loss']) as metric, round(unnest([accuracy, mcc, p, r, f, mcc]), 6) as value from merit, av")
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, base = fitted(spark, sf_dir)
+    judge = rule_quality.Evaluator(base, LABEL)
+    rows = [(m, judge.get_metric(m, df)) for m in ("accuracy_score", "matthews_corrcoef", "precision_score", "recall_score", "f1_score")]
+    return spark.createDataFrame([*rows, ("mcc_loss", rule_quality.mcc_loss(df, base, LABEL))], "metric string, value double").withColumn("value", F.round("value", 6))
+
+
+@query(f"with {o.quality()}, k as (select class, sum(case when y = class then 1 else 0 end) as k from w, (select unnest([0, 1, 2]) as class) group by class) select cast(rule as bigint) as rule, round(s / k - (t - s) / (n - k), 6) as value from s join k on k.class = s.class")
+def quality_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean firing strength on a rule's class less that on the others."""
+    return _values(spark, validation.rule_quality_gaps(*fitted(spark, sf_dir), LABEL))
+
+
+@query("select * from (values ('IF l_quantity IS Low', 'A'), ('IF l_extendedprice IS Low AND l_discount IS High', 'A'), ('IF l_quantity IS High AND l_extendedprice IS High', 'N'), ('IF l_quantity IS Medium AND l_tax IS High', 'N'), ('IF l_extendedprice IS Medium AND l_discount IS Low', 'R'), ('IF l_quantity IS Low AND l_discount IS Medium AND l_tax IS Low', 'R')) as t(text, class)")
+def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _unfitted()
+    return spark.createDataFrame([(base.rule_text(r), base.classes[r.consequent]) for r in base.rules], "text string, class string")
+
+
+@query(f"with {o.quantiles()}, g as (select a[1] + (a[6] - a[1]) * i / 10.0 as xa, a from q, range(11) as r(i)) select round(xa, 6) as value, unnest(['Low', 'Medium', 'High']) as label, round(unnest([{', '.join(o._over(o.TRAPEZOIDS, 'a'))}]), 6) as membership from g")
+def sampled_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table behind a plot of a variable's sets."""
+    (v,) = fit_partitions(table(spark, sf_dir, "lineitem"), ["l_quantity"])
+    return spark.createDataFrame([(x, label, low) for x, label, low, _ in v.sampled(11)], "value double, label string, membership double").withColumns({c: F.round(c, 6) for c in ("value", "membership")})
+
+
+# regression
+
+OUTPUT = Variable("risk", (Trapezoid("Low", (0.0, 0.0, 0.2, 0.5), domain=(0.0, 1.0)), Trapezoid("Medium", (0.2, 0.4, 0.6, 0.8), domain=(0.0, 1.0)), Trapezoid("High", (0.5, 0.8, 1.0, 1.0), domain=(0.0, 1.0))))
+
+
+@query(f"with {o.fired()}, {o.OUTPUT}, v as (select l_returnflag, (f0 * k0 + f1 * k0 + f2 * k1 + f3 * k1 + f4 * k2 + f5 * k2) / nullif(f0 + f1 + f2 + f3 + f4 + f5, 0) as v from w, oc) select l_returnflag, count(v) as n, round(avg(v), 6) as inferred from v group by l_returnflag")
 def t1_centroid_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
     return infer_type1(base, OUTPUT, df).groupBy(LABEL).agg(F.count("inferred").alias("n"), F.round(F.avg("inferred"), 6).alias("inferred"))
 
 
-@query()
+@query(f"with {o.type_reduced()} select l_returnflag, round(avg(lo), 6) as lo, round(avg(hi), 6) as hi from e group by l_returnflag")
 def t2_centroid_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir, kind=Kind.T2)
     return infer_interval(base, OUTPUT, df).groupBy(LABEL).agg(F.round(F.avg("inferred.lo"), 6).alias("lo"), F.round(F.avg("inferred.hi"), 6).alias("hi"))
 
 
-# mining
+@query(f"with {o.OUTPUT} select unnest(['Low', 'Medium', 'High']) as label, round(unnest([k0, k1, k2]), 6) as centroid from oc")
+def output_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s.name, centroids.set_centroid(s)) for s in OUTPUT.sets], "label string, centroid double").withColumn("centroid", F.round("centroid", 6))
 
 
-def _itemset_sql(k: int, by_class: bool = False) -> str:
-    from itertools import combinations, product
+_INTERVAL_OUTPUT = """o as (select i / 1000.0 as z, 0.8 * case when i / 1000.0 < 0.2 or i / 1000.0 > 0.7 then 0 when i / 1000.0 < 0.4 then (i / 1000.0 - 0.2) / 0.2 when i / 1000.0 <= 0.5 then 1 else (0.7 - i / 1000.0) / 0.2 end as low,
+ case when i / 1000.0 < 0.1 or i / 1000.0 > 0.9 then 0 when i / 1000.0 < 0.3 then (i / 1000.0 - 0.1) / 0.2 when i / 1000.0 <= 0.6 then 1 else (0.9 - i / 1000.0) / 0.3 end as high from range(1000) as r(i))"""
 
-    v = symbolic.variables(FEATURES)
-    mu = ", ".join(f"{t} as m{i}_{j}" for i, x in enumerate(v) for j, t in enumerate(x.texts()))
-    source = f"(select {LABEL}, {mu} from lineitem cross join ({symbolic.quantile_select('lineitem', FEATURES, symbolic.probabilities('trapezoid'))}) as q)"
-    groups = [f" where {LABEL} = '{c}'" for c in CLASSES] if by_class else [""]
-    rows = []
-    for g, where in enumerate(groups):
-        for vs in combinations(range(4), k):
-            for ss in product(range(3), repeat=k):
-                least = q.least([f"m{a}_{b}" for a, b in zip(vs, ss, strict=True)])
-                items = " ".join(f"{a}:{b}" for a, b in zip(vs, ss, strict=True))
-                rows.append(f"select '{items}' as items{f', {chr(39)}{CLASSES[g]}{chr(39)} as class' if by_class else ''}, avg({least}) as support from m{where}")
-    return f"with m as (select * from {source}) select items{', class' if by_class else ''}, round(support, 6) as support from ({' union all '.join(rows)}) where support > 0.05"
+
+@query(f"select * from (with {_INTERVAL_OUTPUT}, {o.settled(True)} select round(y, 6) as lo from y10), (with {_INTERVAL_OUTPUT}, {o.settled(False)} select round(y, 6) as hi from y10)")
+def interval_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of the centroid of an interval set."""
+    s = IntervalTrapezoid("Some", (0.2, 0.4, 0.5, 0.7), (0.1, 0.3, 0.6, 0.9), 0.8, domain=(0.0, 1.0))
+    return spark.createDataFrame([centroids.interval_centroid(s)], "lo double, hi double").withColumns({c: F.round(c, 6) for c in ("lo", "hi")})
+
+
+# mining
 
 
 def _mined(spark: SparkSession, sf_dir: str, depth: int, by_class: bool = False) -> DataFrame:
@@ -377,47 +457,67 @@ def _mined(spark: SparkSession, sf_dir: str, depth: int, by_class: bool = False)
     return out if by_class else out.drop("class")
 
 
-@query(lambda: _itemset_sql(1))
+@query(o.itemsets(1))
 def itemsets_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mined(spark, sf_dir, 1)
 
 
-@query(lambda: _itemset_sql(2))
+@query(o.itemsets(2))
 def itemsets_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mined(spark, sf_dir, 2)
 
 
-@query(lambda: _itemset_sql(3))
+@query(o.itemsets(3))
 def itemsets_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mined(spark, sf_dir, 3)
 
 
-@query(lambda: _itemset_sql(2, True))
+@query(o.itemsets(2, True))
 def class_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mined(spark, sf_dir, 2, True)
 
 
-def _merit_sql() -> str:
-    v = symbolic.variables(FEATURES)
-    mu = ", ".join(f"{t} as m{i}_{j}" for i, x in enumerate(v) for j, t in enumerate(x.texts()))
-    rows = []
-    for i, (a, c) in enumerate(RULES):
-        least = q.least([f"m{j}_{s}" for j, s in enumerate(a) if s >= 0])
-        rows.append(f"select cast({i} as bigint) as rule, avg({least}) as g, avg(case when {LABEL} = '{CLASSES[c]}' then {least} end) as s, avg(case when {LABEL} = '{CLASSES[c]}' then 1e0 else 0e0 end) as p from m")
-    return f"with m as (select {LABEL}, {mu} from lineitem cross join ({symbolic.quantile_select('lineitem', FEATURES, symbolic.probabilities('trapezoid'))}) as q) select rule, round(s / g, 6) as confidence, round(s / g / p, 6) as lift from ({' union all '.join(rows)})"
+_MERITS = " union all ".join(f"select cast({i} as bigint) as rule, avg({x}) as g, avg(case when y = {c} then {x} end) as s, avg(case when y = {c} then 1.0 else 0.0 end) as p from w" for i, (x, (_, c)) in enumerate(zip(o.EVERY, RULES, strict=True)))
 
 
-@query(_merit_sql)
+@query(f"with {o.fired(o.LEASTS)} select rule, round(s / g, 6) as confidence, round(s / g / p, 6) as lift from ({_MERITS})")
 def rule_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
     rows = [(i, m.confidence, m.lift) for i, m in enumerate(mining.merits(df, base, LABEL))]
     return spark.createDataFrame(rows, "rule long, confidence double, lift double").withColumns({c: F.round(c, 6) for c in ("confidence", "lift")})
 
 
-@query()
+def _items(antecedents: str = "antecedents") -> str:
+    return f"array_join(filter(transform({antecedents}, (s, v) -> case when s >= 0 then concat(v, ':', s) end), x -> x is not null), ' ')"
+
+
+def _mined_sql() -> str:
+    """Itemsets of one or two items of each class whose rules pass the thresholds of confidence and lift."""
+    from itertools import combinations, product
+
+    rows = []
+    for c, name in enumerate(CLASSES):
+        for k in (1, 2):
+            for vs in combinations(range(4), k):
+                for ss in product(range(3), repeat=k):
+                    names = [f"{'abcd'[v]}{x}" for v, x in zip(vs, ss, strict=True)]
+                    least = names[0] if k == 1 else f"least({', '.join(names)})"
+                    items = " ".join(f"{v}:{x}" for v, x in zip(vs, ss, strict=True))
+                    rows.append(f"select '{name}' as class, '{items}' as items, avg({least}) as g, avg(case when y = {c} then {least} end) as s, avg(case when y = {c} then 1.0 else 0.0 end) as p from k")
+    return f"with {o.memberships()}, k as (select *, {o.CLASS} as y from m) select class, items, round(s, 6) as support from ({' union all '.join(rows)}) where s > 0.05 and s / g >= 0.05 and s / g / p >= 1.0"
+
+
+@query(_mined_sql())
 def mined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
-    return mining.mine_classes(df, LABEL, CLASSES, fit_partitions(df, FEATURES), 0.05, 2, 0.05, 1.0).frame(spark)
+    return mining.mine_classes(df, LABEL, CLASSES, fit_partitions(df, FEATURES), 0.05, 2, 0.05, 1.0).frame(spark).select("class", F.expr(_items()).alias("items"), F.round("support", 6).alias("support"))
+
+
+@query(f"select * from ({o.itemsets(1)}) union all select * from ({o.itemsets(2)})")
+def mined_rule_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules without a class from the itemsets of all rows."""
+    df = table(spark, sf_dir, "lineitem")
+    return mining.simple_mine(df, FEATURES, max_depth=2).frame(spark).select(F.expr(_items()).alias("items"), F.round("support", 6).alias("support"))
 
 
 # temporal
@@ -431,29 +531,50 @@ def time_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("time", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("value"))
 
 
-def _frequency_sql() -> str:
-    (v,) = symbolic.variables(["value"])
-    texts = [f"coalesce({t}, 0e0)" for t in v.texts()]
-    label = q.first_max(texts, q.greatest(texts))
-    return f"""with e as (select case when hour(ts) between 0 and 5 then 0 when hour(ts) between 6 and 11 then 1 when hour(ts) between 12 and 17 then 2 else 3 end as time, cast({label} as int) as label
- from events cross join ({symbolic.quantile_select('events', ['value'], even(6))}) as q where ts is not null), c as (select time, label, count(*) as n from e group by 1, 2)
- select 'value' as variable, time, label, n, round(n / (max(n) over (partition by label) + 1e-6), 6) as frequency from c"""
-
-
-@query(_frequency_sql)
+@query(f"with {o.FREQUENCIES} select 'value' as variable, time, label, n, round(frequency, 6) as frequency from h")
 def conditional_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = temporal.time_moments(table(spark, sf_dir, "events"), "ts", WINDOWS)
     return temporal.conditional_frequencies(df, fit_partitions(df, ["value"])).withColumn("frequency", F.round("frequency", 6))
 
 
-@query()
-def temporal_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+_NAMES = ("click", "error", "purchase", "signup", "view")
+#: Each step's rules say the sets' classes, shifted by the step; what a set is worth is scaled by its frequency at that step.
+_TEMPORAL = f"""{o.FREQUENCIES}, p as (select m.time, event_type, coalesce(m.a0, 0) * coalesce(h0.frequency, 0) as d0, coalesce(m.a1, 0) * coalesce(h1.frequency, 0) as d1, coalesce(m.a2, 0) * coalesce(h2.frequency, 0) as d2
+ from m left join h h0 on h0.time = m.time and h0.label = 0 left join h h1 on h1.time = m.time and h1.label = 1 left join h h2 on h2.time = m.time and h2.label = 2),
+ said as (select time, event_type, case when greatest(d0, d1, d2) = 0 then 0 when d0 >= d1 and d0 >= d2 then time % 5 when d1 >= d2 then (time + 1) % 5 else (time + 2) % 5 end as predicted from p)"""
+
+
+def _temporal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, temporal.TemporalRuleBase]:
     df = temporal.time_moments(table(spark, sf_dir, "events"), "ts", WINDOWS)
     steps = range(len(WINDOWS))
     variables = temporal.temporal_variables(df, fit_partitions(df, ["value"]))
-    names = ("click", "error", "purchase", "signup", "view")
-    bases = [RuleBase(tuple(v.fix(t) for v in variables), (Rule((0,), t % 5), Rule((1,), (t + 1) % 5), Rule((2,), (t + 2) % 5)), names, 1) for t in steps]
-    return temporal.TemporalRuleBase(tuple(bases)).predict(df).groupBy("time", "predicted").agg(F.count("*").alias("n"))
+    return df.where("time is not null"), temporal.TemporalRuleBase(tuple(RuleBase(tuple(v.fix(t) for v in variables), (Rule((0,), t % 5), Rule((1,), (t + 1) % 5), Rule((2,), (t + 2) % 5)), _NAMES, 1) for t in steps))
+
+
+@query(f"with {_TEMPORAL} select time, predicted, count(*) as n from said group by 1, 2")
+def temporal_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, base = _temporal(spark, sf_dir)
+    return base.predict(df).groupBy("time", "predicted").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_TEMPORAL} select coalesce(time, -1) as time, round(avg(case when event_type = list_extract(['click', 'error', 'purchase', 'signup', 'view'], predicted + 1) then 1.0 else 0.0 end), 6) as accuracy from said group by rollup(time)")
+def temporal_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, base = _temporal(spark, sf_dir)
+    rows = [(-1 if t is None else t, x["accuracy"]) for t, x in temporal.evaluate(df, base, "event_type").items()]
+    return spark.createDataFrame(rows, "time int, accuracy double").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("select event_type, count(*) as n, round(sum(value), 4) as value from events where hour(ts) between 6 and 11 group by 1")
+def temporal_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = temporal.classify(table(spark, sf_dir, "events"), "ts", (6, 11))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+
+
+@query("select case when hour(ts) between 0 and 7 then 0 else 1 end as time, count(*) as n from events where hour(ts) between 0 and 7 or hour(ts) between 16 and 23 group by 1")
+def temporal_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parts of an assembled data set together hold every row of its windows."""
+    train, test = temporal.assemble(table(spark, sf_dir, "events"), "ts", ((0, 7), (16, 23)), "event_id")
+    return train.unionByName(test).groupBy("time").agg(F.count("*").alias("n"))
 
 
 # trees
@@ -469,15 +590,10 @@ def tree_root_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(gini(counts),)], "gini double").withColumn("gini", F.round("gini", 6))
 
 
-def _split_sql() -> str:
-    v = symbolic.variables(FEATURES, clipped=False)
-    mu = ", ".join(f"{t} as m{i}_{j}" for i, x in enumerate(v) for j, t in enumerate(x.texts()))
-    rows = [f"select '{f}' as feature, cast({j} as bigint) as label, {LABEL} as c, sum(m{i}_{j}) as s from m group by {LABEL}" for i, f in enumerate(FEATURES) for j in range(3)]
-    return f"""with m as (select {LABEL}, {mu} from lineitem cross join ({symbolic.quantile_select('lineitem', FEATURES, symbolic.probabilities('trapezoid'))}) as q), s as ({' union all '.join(rows)}), t as (select feature, label, sum(s) as t from s group by 1, 2)
- select s.feature as feature, s.label as label, round(1 - sum((s / t) * (s / t)), 6) as gini, round(any_value(t) / (select count(*) from lineitem), 6) as coverage from s join t on s.feature = t.feature and s.label = t.label group by 1, 2"""
+_SPLITS = " union all ".join(f"select '{x}' as feature, cast({j} as bigint) as label, l_returnflag as c, sum({v}{j}) as s from m group by l_returnflag" for v, x in o.LETTERS.items() for j in range(3))
 
 
-@query(_split_sql)
+@query(f"with {o.memberships()}, s as ({_SPLITS}), t as (select feature, label, sum(s) as t from s group by 1, 2) select s.feature as feature, s.label as label, round(1 - sum((s / t) * (s / t)), 6) as gini, round(any_value(t) / (select count(*) from lineitem), 6) as coverage from s join t on s.feature = t.feature and s.label = t.label group by 1, 2")
 def tree_split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
     tree = FuzzyTree(fit_partitions(df, FEATURES), CLASSES, metric="purity")
@@ -512,66 +628,57 @@ def _calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, conformal.
     return df, conformal.calibrate(df.where("l_orderkey % 5 = 0"), base, LABEL)
 
 
-def _conformal_sql(tail: str) -> str:
-    m = base_of(symbolic.variables(FEATURES)).class_membership_texts()
-    scores = ", ".join(f"cast(round((1e0 - ({t})) * {conformal.STEPS}e0) as int) as s{c}" for c, t in enumerate(m))
-    cal = " union all ".join(f"select {c} as c, s{c} as s, count(*) as n from e where l_orderkey % 5 = 0 and y = {c} group by 2" for c in range(3))
-    ranked = " union all ".join(f"select {c} as c, v.s as s, (coalesce(sum(case when cal.s >= v.s then n end), 0) + 1) / (sum(n) + 1e0) as p from (select distinct s{c} as s from e) v, cal where cal.c = {c} group by v.s" for c in range(3))
-    return f"""with e as materialized (select l_orderkey, l_linenumber, {LABEL}, {_place()} as y, {scores} from {applied_sql()}), cal as ({cal}), r as ({ranked}),
- p as (select e.*, r0.p as p0, r1.p as p1, r2.p as p2 from e join r r0 on r0.c = 0 and r0.s = e.s0 join r r1 on r1.c = 1 and r1.s = e.s1 join r r2 on r2.c = 2 and r2.s = e.s2) {tail}"""
+_SCORES = ", ".join(f"cast(round((1 - {x}) * {conformal.STEPS}) as bigint) as s{c}" for c, x in enumerate(o.CLASS_BEST))
+_RANKS = ", ".join(f"r{c} as (select s, sum(n) over (order by s desc) as n, sum(n) over () as total from (select s{c} as s, count(*) as n from e where l_orderkey % 5 = 0 and y = {c} group by 1))" for c in range(3))
+_PS = ", ".join(f"(coalesce(x{c}.n, 0) + 1) / (t{c}.total + 1) as p{c}" for c in range(3))
+_MET = " ".join(f"cross join (select any_value(total) as total from r{c}) t{c} asof left join r{c} x{c} on e.s{c} <= x{c}.s" for c in range(3))
+#: Up to p: the p-values of every row outside the calibration part, which is every fifth order.
+_CONFORMAL = f"with {o.fired()}, e as materialized (select *, {_SCORES} from w), {_RANKS}, p as (select e.*, {_PS} from e {_MET} where l_orderkey % 5 <> 0)"
+_SET_SIZE = "(case when p0 > 0.3 then 1 else 0 end) + (case when p1 > 0.3 then 1 else 0 end) + (case when p2 > 0.3 then 1 else 0 end)"
 
 
-@query(lambda: _conformal_sql(f"select {LABEL}, round(avg(p0), 6) as p0, round(avg(p1), 6) as p1, round(avg(p2), 6) as p2 from p where l_orderkey % 5 = 1 group by 1"))
+@query(f"{_CONFORMAL} select l_returnflag, round(avg(p0), 6) as p0, round(avg(p1), 6) as p1, round(avg(p2), 6) as p2 from p group by 1")
 def conformal_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every row outside the calibration part, as in the next ones."""
     df, cal = _calibrated(spark, sf_dir)
-    made = conformal.p_values(df.where("l_orderkey % 5 = 1"), cal)
+    made = conformal.p_values(df.where("l_orderkey % 5 <> 0"), cal)
     return made.groupBy(LABEL).agg(*(F.round(F.avg(F.col("p_values")[c]), 6).alias(f"p{c}") for c in range(3)))
 
 
-_SET_SIZE = "(case when p0 > 0.3 then 1 else 0 end) + (case when p1 > 0.3 then 1 else 0 end) + (case when p2 > 0.3 then 1 else 0 end)"
-
-
-@query(lambda: _conformal_sql(f"select {LABEL}, {_SET_SIZE} as set_size, count(*) as n from p where l_orderkey % 5 = 1 group by 1, 2"))
+@query(f"{_CONFORMAL} select l_returnflag, {_SET_SIZE} as set_size, count(*) as n from p group by 1, 2")
 def conformal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, cal = _calibrated(spark, sf_dir)
-    made = conformal.predict_set(df.where("l_orderkey % 5 = 1"), cal, 0.3)
+    made = conformal.predict_set(df.where("l_orderkey % 5 <> 0"), cal, 0.3)
     return made.groupBy(LABEL, F.size("prediction_set").alias("set_size")).agg(F.count("*").alias("n"))
 
 
-@query(lambda: _conformal_sql(f"select round(avg(case when (case y when 0 then p0 when 1 then p1 else p2 end) > 0.3 then 1e0 else 0e0 end), 6) as coverage, round(avg({_SET_SIZE}), 6) as average_set_size from p where l_orderkey % 5 = 1"))
+@query(f"{_CONFORMAL} select round(avg(case when (case y when 0 then p0 when 1 then p1 else p2 end) > 0.3 then 1.0 else 0.0 end), 6) as coverage, round(avg({_SET_SIZE}), 6) as average_set_size from p")
 def conformal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, cal = _calibrated(spark, sf_dir)
-    total, _ = conformal.coverage(df.where("l_orderkey % 5 = 1"), cal, LABEL, 0.3)
+    total, _ = conformal.coverage(df.where("l_orderkey % 5 <> 0"), cal, LABEL, 0.3)
     return spark.createDataFrame([(total["coverage"], total["average_set_size"])], "coverage double, average_set_size double").withColumns({c: F.round(c, 6) for c in ("coverage", "average_set_size")})
 
 
-@query(lambda: _conformal_sql(f"select {LABEL}, round(avg(p0), 6) as p0, round(avg(p1), 6) as p1, round(avg(p2), 6) as p2 from p where l_orderkey % 5 <> 0 group by 1"))
-def conformal_all_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every row outside the calibration part, as in the next two."""
-    df, cal = _calibrated(spark, sf_dir)
-    made = conformal.p_values(df.where("l_orderkey % 5 <> 0"), cal)
-    return made.groupBy(LABEL).agg(*(F.round(F.avg(F.col("p_values")[c]), 6).alias(f"p{c}") for c in range(3)))
+_FIRED_RANKS = " union all ".join(f"select {i} as rule, cast(round(f{i} * {conformal.STEPS}) as bigint) as s, count(*) as n from w where l_orderkey % 5 = 0 and y = {c} group by 2" for i, (_, c) in enumerate(RULES))
+_FIRED = " union all ".join(f"select {i} as rule, cast(round(f{i} * {conformal.STEPS}) as bigint) as s from w where l_orderkey % 5 <> 0 and f{i} > 0" for i in range(6))
 
 
-@query(lambda: _conformal_sql(f"select {LABEL}, {_SET_SIZE} as set_size, count(*) as n from p where l_orderkey % 5 <> 0 group by 1, 2"))
-def conformal_all_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""with {o.fired()}, c as (select rule, s, sum(n) over (partition by rule order by s) as n, sum(n) over (partition by rule) as total from ({_FIRED_RANKS})), f2 as ({_FIRED})
+ select f2.rule, count(*) as n, round(avg(coalesce(c.n, 0) / t.total), 6) as confidence from f2 join (select rule, any_value(total) as total from c group by rule) t on t.rule = f2.rule asof left join c on c.rule = f2.rule and f2.s >= c.s group by 1""")
+def conformal_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, cal = _calibrated(spark, sf_dir)
-    made = conformal.predict_set(df.where("l_orderkey % 5 <> 0"), cal, 0.3)
-    return made.groupBy(LABEL, F.size("prediction_set").alias("set_size")).agg(F.count("*").alias("n"))
+    made = conformal.predict_set_with_rules(df.where("l_orderkey % 5 <> 0"), cal, 0.3).select(F.explode("contributions").alias("x"))
+    return made.groupBy("x.rule").agg(F.count("*").alias("n"), F.round(F.avg("x.confidence"), 6).alias("confidence"))
 
 
-@query(lambda: _conformal_sql(f"select round(avg(case when (case y when 0 then p0 when 1 then p1 else p2 end) > 0.3 then 1e0 else 0e0 end), 6) as coverage, round(avg({_SET_SIZE}), 6) as average_set_size from p where l_orderkey % 5 <> 0"))
-def conformal_all_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, cal = _calibrated(spark, sf_dir)
-    total, _ = conformal.coverage(df.where("l_orderkey % 5 <> 0"), cal, LABEL, 0.3)
-    return spark.createDataFrame([(total["coverage"], total["average_set_size"])], "coverage double, average_set_size double").withColumns({c: F.round(c, 6) for c in ("coverage", "average_set_size")})
+_INFO = " union all ".join(f"select '{name}' as class, count(*) as rows, round(avg(1 - {x}), 4) as mean, round(min(1 - {x}), 4) as least, round(max(1 - {x}), 4) as most from w where l_orderkey % 5 = 0 and y = {c}" for c, (name, x) in enumerate(zip(CLASSES, o.CLASS_BEST, strict=True)))
 
 
-@query()
-def conformal_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, cal = _calibrated(spark, sf_dir)
-    made = conformal.predict_set_with_rules(df.where("l_orderkey % 5 <> 0"), cal, 0.3).select(F.explode("contributions").alias("x"))
-    return made.groupBy("x.rule").agg(F.count("*").alias("n"), F.round(F.avg("x.confidence"), 6).alias("confidence"))
+@query(f"with {o.fired()} {_INFO}")
+def calibration_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cal = _calibrated(spark, sf_dir)
+    rows = [(x["class"], x["rows"], x["mean"], x["least"], x["most"]) for x in conformal.calibration_info(cal)]
+    return spark.createDataFrame(rows, "class string, rows long, mean double, least double, most double").withColumns({c: F.round(c, 4) for c in ("mean", "least", "most")})
 
 
 # validation, search, graphs
@@ -616,6 +723,36 @@ def stable_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.counts(spark)
 
 
+def _fitness_sql(rules: tuple[int, ...]) -> str:
+    """The correlation of a base of some of the rules, whose degrees are dominance times strength."""
+    best = "greatest(" + ", ".join(f"g{i}" for i in rules) + ")"
+    said = "case " + " ".join(f"when g{i} = {best} then {RULES[i][1]}" for i in rules) + " end"
+    return f"(with g as (select y, {', '.join(f'f{i} * s{i} as g{i}' for i in rules)} from w, kk), k as (select y as actual, {said} as predicted, count(*) as n from g group by 1, 2), {o.MERIT} select round(mcc, 6) as fitness from merit)"
+
+
+_KK = f"kk as (select {', '.join(f'max(score) filter (rule = {i}) as s{i}' for i in range(6))} from sc)"
+SUBSETS = ((0, 1, 2, 3, 4, 5), (0, 2, 4), (1, 3, 5))
+
+
+@query(f"with {_SCORED}, {_KK} " + " union all ".join(f"select cast({i} as bigint) as base, (select fitness from {_fitness_sql(s)}) as fitness" for i, s in enumerate(SUBSETS)))
+def population_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rule bases rated in the same two jobs."""
+    df = table(spark, sf_dir, "lineitem")
+    variables, rules = fit_partitions(df, FEATURES), _rules()
+    rows = evolve.Population(df, variables, LABEL, CLASSES)
+    values, _ = rows.rate([RuleBase(tuple(variables), tuple(rules[i] for i in s), CLASSES) for s in SUBSETS])
+    rows.uncache()
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "base long, fitness double").withColumn("fitness", F.round("fitness", 6))
+
+
+@query(f"with {o.fired()} select winner, count(*) as n from w group by 1")
+def decoded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winners of a rule base that went through its gene."""
+    df, base = fitted(spark, sf_dir)
+    genes = evolve.RuleGenes(base.variables, len(CLASSES), len(base), 3)
+    return genes.decode(genes.encode(base), CLASSES, 1).predict(df).groupBy("winner").agg(F.count("*").alias("n"))
+
+
 def _graph_sql() -> str:
     rows = " union all ".join(f"select {i} as r, {c} as class, {v} as v, {s} as l" for i, (a, c) in enumerate(RULES) for v, s in enumerate(a) if s >= 0)
     return f"with u as ({rows}) select a.class as class, a.v as from_variable, a.l as from_label, b.v as to_variable, b.l as to_label, count(*) / 2e0 as weight from u a join u b on a.r = b.r and (a.v <> b.v or a.l <> b.l) group by 1, 2, 3, 4, 5"
@@ -623,8 +760,7 @@ def _graph_sql() -> str:
 
 @query(_graph_sql)
 def rule_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, base = fitted(spark, sf_dir)
-    return rule_graph.connections(base, spark)
+    return rule_graph.connections(_unfitted(), spark)
 
 
 def _usage_sql() -> str:
@@ -634,19 +770,48 @@ def _usage_sql() -> str:
 
 @query(_usage_sql)
 def rule_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, base = fitted(spark, sf_dir)
-    return rule_graph.histogram(base, spark)
+    return rule_graph.histogram(_unfitted(), spark)
+
 
+#: A map of regions: the nations' keys say how strongly each moves another, with a sign.
+_EDGES = "e as (select n_regionkey as source, n_nationkey % 5 as target, sum(case when n_nationkey % 3 = 0 then -0.4 else 0.7 end) as weight from nation group by 1, 2)"
+_MOVED = "select r_regionkey as node, coalesce((select sum(weight * value) from e, {0} s where target = r_regionkey and s.node = source), 0) as value from region"
 
-@query("with e as (select n_regionkey as source, n_nationkey % 5 as target, count(*) / 10e0 as weight from nation group by 1, 2) select cast(r_regionkey as varchar) as node, round(tanh(coalesce((select sum(weight * (source + 1) / 5e0) from e where target = r_regionkey), 0e0)), 6) as value from region")
+
+def _step_sql(before: str) -> str:
+    """One step: 1 above the threshold and for every negative value, else 0."""
+    return f"select node, case when abs(value) > 0.5 * sign(value) then cast(1 as double) else cast(0 as double) end as value from ({_MOVED.format(before)})"
+
+
+def _map(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    weight = F.when(F.col("n_nationkey") % 3 == 0, -0.4).otherwise(0.7)
+    edges = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("source"), (F.col("n_nationkey") % 5).cast("string").alias("target")).agg(F.sum(weight).alias("weight"))
+    return edges, table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("node"), ((F.col("r_regionkey") + 1) / 5.0).alias("value"))
+
+
+_START = "s0 as (select r_regionkey as node, (r_regionkey + 1) / 5.0 as value from region)"
+
+
+@query(f"with {_EDGES}, {_START} select cast(node as varchar) as node, value from ({_step_sql('s0')})")
 def cognitive_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One step of a map of regions, with edges from the nations' keys."""
-    edges = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("source"), (F.col("n_nationkey") % 5).cast("string").alias("target")).agg((F.count("*") / 10.0).alias("weight"))
-    states = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("node"), ((F.col("r_regionkey") + 1) / 5.0).alias("value"))
-    return cognitive.step_frame(edges, states).withColumn("value", F.round("value", 6))
+    """One step of a map, as a join and a sum."""
+    return cognitive.step_frame(*_map(spark, sf_dir))
+
+
+@query(f"with {_EDGES}, {_START}, s1 as ({_step_sql('s0')}), s2 as ({_step_sql('s1')}), s3 as ({_step_sql('s2')}) " + " union all ".join(f"select {i} as step, cast(node as varchar) as node, value from s{i}" for i in (1, 2, 3)))
+def cognitive_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps of the same map held as a matrix, put together from two halves."""
+    edges, states = _map(spark, sf_dir)
+    rows = {(r["source"], r["target"]): r["weight"] for r in edges.collect()}
+    names = [str(i) for i in range(5)]
+    whole = np.array([[rows.get((a, b), 0.0) for b in names] for a in names])
+    fcm = cognitive.CognitiveMap(whole / 2, names).add(cognitive.CognitiveMap(whole / 2, names))
+    start = {r["node"]: r["value"] for r in states.collect()}
+    run = fcm.set_and_simulate([start[n] for n in names], 3)
+    return spark.createDataFrame([(i + 1, n, float(v)) for i, state in enumerate(run) for n, v in zip(names, state, strict=True)], "step int, node string, value double")
 
 
-@query(lambda: f"select {LABEL}, _winner as winner, count(*) as n from {applied_sql()} group by 1, 2")
+@query(f"with {o.fired()} select l_returnflag, winner, count(*) as n from w group by 1, 2")
 def persisted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring with rules and partitions that went through their text forms."""
     df, base = fitted(spark, sf_dir)
@@ -659,14 +824,11 @@ def persisted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JOINED = "select o_orderstatus, o_totalprice, c_acctbal, c_mktsegment, n_regionkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
 
 
-def _multi_sql() -> str:
-    v = symbolic.variables(["o_totalprice", "c_acctbal"])
-    source = f"(select * from j cross join ({symbolic.quantile_select('j', ['o_totalprice', 'c_acctbal'], even(6))}) as q)"
-    base = RuleBase(tuple(v), (Rule((0, 0), 0), Rule((2, -1), 1), Rule((-1, 2), 2)), ("F", "O", "P"), 1)
-    return f"with j as ({_JOINED}) select c_mktsegment, n_regionkey, count(*) as n, round(avg(_best), 6) as degree, sum(case when _winner = 1 then 1 else 0 end)::bigint as rich from {base.applied_text(source)} group by rollup(c_mktsegment, n_regionkey)"
+_PRICES = o.memberships(letters={"a": "o_totalprice", "b": "c_acctbal"}, table="j", keep="c_mktsegment, n_regionkey")
 
 
-@query(_multi_sql)
+@query(f"""with j as ({_JOINED}), {_PRICES}, f as (select *, a0 * b0 as f0, a2 as f1, b2 as f2 from m), w as (select *, greatest(f0, f1, f2) as best, case greatest(f0, f1, f2) when f0 then 0 when f1 then 1 else 2 end as winner from f)
+ select c_mktsegment, n_regionkey, count(*) as n, round(avg(best), 6) as degree, cast(sum(case when winner = 1 then 1 else 0 end) as bigint) as rich from w group by rollup(c_mktsegment, n_regionkey)""")
 def joined_features_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over features of three tables, rolled up by segment and region."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))

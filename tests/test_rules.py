@@ -74,9 +74,12 @@ def test_firing_and_winner(rows):
     assert {r["predicted"] for r in b.predict(rows, names=True).collect()} <= {"x", "y", "z"}
 
 
-def test_scaled_firing_sums_to_one(rows):
-    got = np.array([r["firing"] for r in base().firing(rows, scaled=True).collect()])
-    assert all(s == pytest.approx(1) or s == 0 for s in got.sum(axis=1))
+def test_scaled_firing_sums_to_one_in_each_class(rows):
+    """Every class is a rule base of its own, which scales its own rules."""
+    b = RuleBase(tuple(VARIABLES), (Rule((0, -1), 0), Rule((1, 0), 0), Rule((-1, 2), 0), Rule((2, 1), 1), Rule((2, -1), 1)), ("x", "y"), 1)
+    got = np.array([r["firing"] for r in b.firing(rows, scaled=True).collect()])
+    for own in (got[:, :3], got[:, 3:]):
+        assert all(s == pytest.approx(1) or s == 0 for s in own.sum(axis=1)) and (own.sum(axis=1) > 0).any()
 
 
 def test_an_empty_rule_fires_0_and_modifiers_raise(rows):
@@ -161,3 +164,62 @@ def test_weights_and_modes(rows):
     for mode, factor in ((0, 0.25), (1, 1.0), (2, 0.5)):
         got = np.array([r["association"] for r in replace(b, ds_mode=mode).association(rows).orderBy("k").collect()])
         assert np.allclose(got, f * factor)
+
+
+def test_generated_code_is_small_enough_to_be_compiled(spark):
+    """No method over 8000 bytes, which the JVM would interpret for ever, for 30 rules over 4 features."""
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    variables = fit_partitions(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    draw = np.random.default_rng(3)
+    rules = {tuple(int(x) for x in draw.integers(-1, 3, 4)) for _ in range(60)} - {(-1, -1, -1, -1)}
+    b = RuleBase(tuple(variables), tuple(Rule(a, i % 3) for i, a in enumerate(sorted(rules)[:30])), ("A", "N", "R"), 1)
+    assert len(b) == 30
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for made in (b.explain(df).groupBy("l_returnflag", "winner").agg(F.sum("strength")), b.predict(df).groupBy("predicted").count(), b.probabilities(df).agg(F.sum(F.col("probabilities")[0]))):
+            seq = debug.codegenStringSeq(made._jdf.queryExecution().executedPlan())
+            sizes = [seq.apply(i)._3().maxMethodCodeSize() for i in range(seq.size())]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_rank_selection_in_narrow_brackets(spark, monkeypatch):
+    """Exact quantiles whatever the size of a bracket: continuous values, few values, and one value that many rows share."""
+    from lumifuzz.operators import partitions
+
+    draw = np.random.default_rng(5)
+    columns = {"a": draw.random(5000), "b": draw.integers(0, 5, 5000).astype(float), "c": np.where(draw.random(5000) < 0.4, 7.0, draw.normal(size=5000))}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values(), strict=True)], "a double, b double, c double")
+    asked = [0, 0.1, 0.2, 0.21345, 0.5, 0.999, 1]
+    for most in (20_000, 50, 3):
+        monkeypatch.setattr(partitions, "MOST_VALUES", most)
+        got = quantiles(df, list(columns), asked)
+        for c, v in columns.items():
+            assert got[c] == pytest.approx(list(np.quantile(v, asked)), rel=0, abs=1e-12)
+
+
+def test_type_reduction_of_many_rows_is_that_of_each():
+    """Against the search as it is defined, one row at a time."""
+    from lumifuzz.operators.centroids import SAME, consequent_centroids
+
+    def one(firing, c, first):
+        w = firing.mean(axis=1)
+        if not w.sum():
+            return 0.0
+        now, seen = float(w @ c / w.sum()), []
+        while not any(abs(now - s) <= SAME for s in seen):
+            seen.append(now)
+            below = np.flatnonzero(c <= now + SAME)
+            k = below[-1] if len(below) else 0
+            w = np.concatenate([firing[: k + 1, first], firing[k + 1 :, 1 - first]])
+            now = float(w @ c / w.sum()) if w.sum() else 0.0
+        return now
+
+    draw = np.random.default_rng(0)
+    low = draw.random((500, 6)) * (draw.random((500, 6)) < 0.6)
+    firing = np.stack([low, low + draw.random((500, 6)) * (draw.random((500, 6)) < 0.7)], axis=2)
+    c = np.array([0.2, 0.2, 0.5, 0.5, 0.8, 0.8])
+    lo, hi = consequent_centroids(firing, np.stack([c, c], axis=1))
+    assert np.allclose(lo, [one(f, c, 1) for f in firing]) and np.allclose(hi, [one(f, c, 0) for f in firing])

@@ -6,14 +6,14 @@ from lumifuzz.plans import queries
 
 
 def test_every_row_is_explained(spark, sf):
-    made = __spark_entry__.queries()["explain_all_orders"](spark, sf)
+    made = __spark_entry__.queries()["explain_orders"](spark, sf)
     assert made.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
-    assert "explain_all_orders" in __spark_entry__.oracle_sql()
+    assert "explain_orders" in __spark_entry__.oracle_sql()
 
 
 def test_conformal_queries_score_every_row_outside_calibration(spark, sf):
     rest = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey % 5 <> 0")
-    sets = __spark_entry__.queries()["conformal_all_sets"](spark, sf)
+    sets = __spark_entry__.queries()["conformal_sets"](spark, sf)
     assert sets.agg(F.sum("n")).first()[0] == rest.count()
     df, cal = queries._calibrated(spark, sf)
     made = conformal.predict_set_with_rules(df.where("l_orderkey % 5 <> 0"), cal, 0.3)
