@@ -355,9 +355,71 @@ def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
     assert len(top) == 4 and all(r["item_ids"] == [*range(24), None] and r["matched_words"] == 30 for r in top)
 
 
-def test_best_run():
-    assert decontam.best_run(np.array([1, 1, 0, 1, 1, 1, 1, 0, 0, 1], bool)) == (3, 7, 4)
-    assert decontam.best_run(np.array([], bool)) == (0, 0, 0)
+def best_run(same):
+    """The definition: (first, after the last, matches) of the run with the greatest score, the first of equals."""
+    best, out, score, first, n = 0, (0, 0, 0), 0, 0, 0
+    for i, x in enumerate(same):
+        score, n = (score + 1, n + 1) if x else (score - decontam.MISMATCH, n)
+        if score <= 0:
+            score, first, n = 0, i + 1, 0
+        elif score > best:
+            best, out = score, (first, i + 1, n)
+    return out
+
+
+def test_best_runs():
+    draw = np.random.default_rng(4)
+    same = draw.random((300, 40)) < 0.7
+    inside = np.arange(40) < draw.integers(0, 41, 300)[:, None]
+    got = [tuple(int(v) for v in x) for x in zip(*decontam.best_runs(same & inside, inside), strict=True)]
+    assert got == [best_run(s[i].tolist()) for s, i in zip(same, inside, strict=True)]
+    assert best_run([1, 1, 0, 1, 1, 1, 1, 0, 0, 1]) == (3, 7, 4) and best_run([]) == (0, 0, 0)
+
+
+def brute_overlaps(texts, items):
+    """By document: item and all verified overlaps, over every diagonal with a seed in common."""
+    out = {}
+    for d, t in enumerate(texts):
+        w = decontam.word_hashes(t)
+        for i, item in enumerate(items):
+            v = decontam.word_hashes(item)
+            lines = set()
+            for mask in decontam.MASKS:
+                for p in range(len(w) - mask[-1]):
+                    lines |= {p - q for q in range(len(v) - mask[-1]) if all(w[p + o] == v[q + o] for o in mask)}
+            for start in lines:
+                a, b = max(start, 0), min(start + len(v), len(w))
+                first, last, n = best_run([w[k] == v[k - start] for k in range(a, b)])
+                if n >= decontam.MIN_WORDS:
+                    out.setdefault((d, i), []).append((a + first, a + last, n))
+    return out
+
+
+def test_overlaps_are_those_of_all_diagonals(monkeypatch):
+    """Few words, so that seeds repeat within and between items and documents; with slices of any size."""
+    draw = random.Random(11)
+    few, more = ["x", "y"], ["".join(draw.choices("abcd", k=2)) for _ in range(12)]
+    items = [" ".join(draw.choices(v, k=n)) for v, n in ((more, 15), (more, 30), (few, 14), (few, 25), (["x"], 20), (more, 9), (["x"], 9), (more, 0))]
+    texts = [" ".join(draw.choices(v, k=n)) for v, n in ((more, 60), (few, 50), (["x"], 40), (more, 5), (few, 0))]
+    texts += [f"{texts[0]} {items[0]} z {items[3]}", f"{items[1][:40]} q {items[1][43:]} {items[1]}", " ".join(w if i % 5 else "n" for i, w in enumerate(items[1].split()))]
+    wanted = brute_overlaps(texts, items)
+    assert 5 < len(wanted) < len(texts) * len(items)
+    for size in (1_000_000, 50, 1):
+        monkeypatch.setattr(decontam, "SLICE", size)
+        found = decontam._found(decontam.Block([(i, t) for i, t in enumerate(items)]), texts)
+        got = {(d, i): (a, b, n) for d, own in found.items() for i, a, b, n in own}
+        assert set(got) == set(wanted)
+        assert all(got[k] in wanted[k] for k in got)
+        assert sum(map(len, found.values())) == len(got)
+
+
+def test_repetitive_texts_cost_no_more_than_their_length():
+    import time
+
+    block = decontam.Block([(0, "ha " * 600), (1, "ha ho " * 300)])
+    start = time.perf_counter()
+    found = decontam._found(block, ["ha " * 200_000, "ho ha " * 100_000, "ha " * 8 + "ho"])
+    assert sorted(found) == [0, 1] and all(len(v) <= 2 for v in found.values()) and time.perf_counter() - start < 20
 
 
 def held_out(spark, d, module, label, mod, rest):
