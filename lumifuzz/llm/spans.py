@@ -14,16 +14,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def matches(text: Column, pattern: Column | str, group: Column | int = 0) -> Column:
-    """array<struct<start, end, size>>: the leftmost non-overlapping matches (never empty ones) in code points, end exclusive, and the length of a group in each. What lies between the matches gives their places."""
+    """array<struct<start, end, size>>: the leftmost non-overlapping matches (never empty ones) in code points, end exclusive, and the length of a group in each. What lies between the matches gives their places; a text without a match is read once."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     group = F.lit(group) if isinstance(group, int) else group
-    found = F.struct(
-        F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.regexp_extract_all(text, pattern, group).alias("parts")
-    )
+    none = F.array().cast("array<struct<start:int,end:int,size:int>>")
 
     def place(x: Column) -> Column:
         sized = F.transform(x["hits"], lambda h, i: F.struct(F.length(F.get(x["gaps"], i)).alias("gap"), F.length(h).alias("n"), F.length(F.get(x["parts"], i)).alias("size")))
-        none = F.array().cast("array<struct<start:int,end:int,size:int>>")
 
         def add(acc: Column, s: Column) -> Column:
             start = acc["pos"] + s["gap"]
@@ -32,4 +29,8 @@ def matches(text: Column, pattern: Column | str, group: Column | int = 0) -> Col
 
         return F.aggregate(sized, F.struct(F.lit(0).alias("pos"), none.alias("out")), add, lambda acc: acc["out"])
 
-    return let(found, place)
+    def some(hits: Column) -> Column:
+        parts = F.when(group == 0, hits).otherwise(F.regexp_extract_all(text, pattern, group))
+        return let(F.struct(hits.alias("hits"), F.split(text, pattern, -1).alias("gaps"), parts.alias("parts")), place)
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hits: F.when(F.size(hits) == 0, none).otherwise(some(hits)))
