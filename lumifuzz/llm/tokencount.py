@@ -6,10 +6,16 @@ of the text up to there with its token count relative to now: all that later cha
 annotated with the number of tokens that it adds (which is negative where it merges earlier ones). A piece may follow
 another only if BPE leaves the two as they are; that is decided once for each pair.
 
-No piece holds a space mark after another character, and characters without a piece of their own stand for their bytes, so
-the transducer is in its start state before a run of space marks and around such characters, whatever came before. A
-chunk between two such places maps every entry state to the same exit state, and the maps of chunks compose by
-an associative scan (compose, scan); for these constant maps the scan is a running sum.
+A text is counted by its chunks. The map of a chunk tells for an entry state the exit state and the tokens between; the maps of two chunks,
+one after the other, compose to that of both, and composition is associative:
+
+- No piece holds a space mark after another character, and characters without a piece of their own stand for their bytes, so
+  the transducer is in its start state before a run of space marks and around such characters, whatever came before. Chunks between two such
+  places have constant maps: they all lead to the start state, and composing them adds their counts. So the prefix scan over the
+  chunk maps of all texts of a batch, laid end to end, is one cumulative sum, of which each text is a difference.
+- A longer chunk is cut into blocks of BLOCK characters. A block's map is tabulated for the states that any reading of the WARM characters
+  before it can end in from the start state and from the states met so far, and for those that a composition asks for later; the
+  blocks' maps are composed in a tree.
 
 Null texts count as empty; an empty text has no tokens. Equal texts give equal rows, rows come back one for one, and
 the input's other columns play no part. An empty table gives an empty result.
@@ -18,8 +24,9 @@ the input's other columns play no part. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,8 +36,8 @@ SPACE = "▁"
 START = -1
 #: States at which a worker's transducer is compiled anew.
 MAX_STATES = 300_000
-#: Characters between two places where a long chunk without a reset is cut.
-BLOCK = 1 << 16
+#: Characters of a block of a longer chunk, and of the reading before it that tells its likely entry states.
+BLOCK, WARM = 1 << 14, 64
 
 
 class Transducer:
@@ -49,8 +56,9 @@ class Transducer:
         self._automaton()
         self.follows: dict[tuple[int, int], bool] = {}
         self.reset()
-        self.spaced = common.Memo(lambda chunk: self.run(0, SPACE + chunk)[1])
-        self.bare = common.Memo(lambda chunk: self.run(0, chunk)[1])
+        #: Counts of chunk maps: of words after a space, and of chunks as they are.
+        self.spaced = common.Memo(lambda word: self.chunk_map(SPACE + word)[1])
+        self.bare = common.Memo(lambda chunk: self.chunk_map(chunk)[1])
         self.newline = self.run(0, "\n")[1] if "\n" not in self.score else None
 
     def _automaton(self) -> None:
@@ -157,37 +165,88 @@ class Transducer:
         return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", SPACE + text.replace(" ", SPACE)) if text else []
 
     def chunk_map(self, chunk: str) -> tuple[int, int]:
-        """(exit state, tokens) of a chunk for any state before it; a long chunk goes through in blocks."""
-        at = n = 0
-        for i in range(0, len(chunk), BLOCK):
-            at, more = self.run(at, chunk[i : i + BLOCK])
-            n += more
-        return at, n
+        """(exit state, tokens) of a chunk that is entered in the start state, as all are."""
+        if len(chunk) <= BLOCK:
+            return self.run(0, chunk)
+        return reduced([BlockMap(self, chunk, i) for i in range(0, len(chunk), BLOCK)])(0)
 
-    def count(self, text: str) -> int:
-        """Tokens of a whole text."""
+    def chunk_counts(self, text: str) -> list[int]:
+        """The tokens of a text's chunks, one after the other."""
         if not text:
-            return 0
+            return []
         if self.newline is None or SPACE in text or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
-            return scan([self.chunk_map(c) for c in self.chunks(text)])[-1][1]
+            return list(map(self.bare.__getitem__, self.chunks(text)))
         first, *lines = text.split("\n")
-        n, spaced = len(lines) * self.newline, self.spaced.__getitem__
-        n += sum(map(spaced, first.split(" ")))
+        out = list(map(self.spaced.__getitem__, first.split(" ")))
         for line in lines:
+            out.append(self.newline)
             if line:
                 head, *rest = line.split(" ")
-                n += self.bare[head] + sum(map(spaced, rest))
-        return n
+                out.append(self.bare[head])
+                out += map(self.spaced.__getitem__, rest)
+        return out
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """Tokens of whole texts: the prefix scan of their chunk maps, at the ends of the texts."""
+        chunks = list(map(self.chunk_counts, texts))
+        scan = np.concatenate([[0], np.cumsum(np.fromiter(chain.from_iterable(chunks), np.int64))])
+        ends = np.cumsum([len(c) for c in chunks])
+        return np.diff(scan[ends], prepend=0) if len(ends) else ends
+
+    def count(self, text: str) -> int:
+        return int(self.counts([text])[0])
+
+
+class BlockMap:
+    """The map of a block of a chunk: entry state to (exit state, tokens)."""
 
+    def __init__(self, machine: Transducer, chunk: str, start: int):
+        self.machine, self.text, self.key = machine, chunk[start : start + BLOCK], {}
+        self.size = len(self.text)
+        entries = [machine.keys[0]]
+        if start:
+            before = chunk[max(0, start - WARM) : start]
+            entries += [machine.keys[machine.run(0, before[i:])[0]] for i in (0, len(before) // 2)]
+        for e in dict.fromkeys(entries):
+            self.by_key(e)
+
+    def by_key(self, entry: tuple) -> tuple[tuple, int]:
+        """States are named by what they hold, as numbers change when the transducer is compiled anew."""
+        out = self.key.get(entry)
+        if out is None:
+            at, n = self.machine.run(self.machine.state(entry), self.text)
+            out = self.key[entry] = self.machine.keys[at], n
+        return out
+
+    def __call__(self, at: int) -> tuple[int, int]:
+        key, n = self.by_key(self.machine.keys[at])
+        return self.machine.state(key), n
+
+
+class Composed:
+    """The map of two maps, one after the other."""
+
+    def __init__(self, one, other):
+        self.machine, self.one, self.other, self.key = one.machine, one, other, {}
+        for e in one.key:
+            self.by_key(e)
+
+    def by_key(self, entry: tuple) -> tuple[tuple, int]:
+        out = self.key.get(entry)
+        if out is None:
+            middle, n = self.one.by_key(entry)
+            end, m = self.other.by_key(middle)
+            out = self.key[entry] = end, n + m
+        return out
 
-def compose(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
-    """The map of two chunks, one after the other: associative, as b's exit state is the same for every entry."""
-    return b[0], a[1] + b[1]
+    __call__ = BlockMap.__call__
 
 
-def scan(maps: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The maps of all prefixes; the last is the whole text's."""
-    return list(accumulate(maps, compose))
+def reduced(maps: list):
+    """The map of all, composed in a tree: neighbours first, then their maps."""
+    while len(maps) > 1:
+        maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 def engine(path: str) -> Transducer:
@@ -199,11 +258,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int, key: str = "doc_id", te
 
     def work(texts: list[str]) -> dict[str, pa.Array]:
         one = engine(path)
-        n = [one.count(t) for t in texts]
+        n = one.counts(texts)
         return {
             "n_bytes": pa.array([len(t) if t.isascii() else len(t.encode()) for t in texts], pa.int64()),
             "n_tokens": pa.array(n, pa.int64()),
-            "over_limit": pa.array([x > limit for x in n], pa.bool_()),
+            "over_limit": pa.array(n > limit, pa.bool_()),
         }
 
     return common.map_texts(docs, work, "n_bytes long, n_tokens long, over_limit boolean", key, text)

@@ -73,12 +73,33 @@ def test_token_counts_are_the_library(odd):
         assert (one["n_tokens"], one["over_limit"], one["n_bytes"]) == (n, n > 20, len((r["text"] or "").encode()))
 
 
-def test_state_maps_compose():
+def test_state_maps_compose(monkeypatch):
+    """Long chunks without a reset, in blocks of a few characters, whose maps compose in any order."""
+    import sentencepiece
+
+    path = common.tokenizer_path("piece_bpe_32k.model")
+    library, one = sentencepiece.SentencePieceProcessor(model_file=path), tokencount.Transducer(path)
+    monkeypatch.setattr(tokencount, "BLOCK", 7)
+    monkeypatch.setattr(tokencount, "WARM", 3)
+    draw = random.Random(2)
+    for text in ["ab" * 40, "theingtheing" * 9, "a" * 63, "".join(draw.choices("aeinrst", k=200)), "日本語のテキスト" * 9, "x" * 50 + "é🎉" + "tion" * 30]:
+        chunk = tokencount.SPACE + text
+        assert one.chunk_map(chunk)[1] == len(library.encode(text)), text
+        maps = [tokencount.BlockMap(one, chunk, i) for i in range(0, len(chunk), 7)]
+        assert len(maps) > 4
+        a, b, c = maps[:3]
+        left, right = tokencount.Composed(tokencount.Composed(a, b), c), tokencount.Composed(a, tokencount.Composed(b, c))
+        other = one.run(0, "tion")[0]  # a state that the block's table was not made for
+        assert all(left(at) == right(at) for at in (0, other))
+        assert left(other) == one.run(other, chunk[:21])
+    monkeypatch.setattr(tokencount, "MAX_STATES", 50)
+    assert one.count("theing" * 60 + " of " + "ab" * 90) == len(library.encode("theing" * 60 + " of " + "ab" * 90))
+
+
+def test_counts_are_differences_of_one_scan():
     one = tokencount.engine(common.tokenizer_path("piece_bpe_32k.model"))
-    maps = [one.chunk_map(c) for c in one.chunks("the quick  brown fox\njumps ▁ over")]
-    a, b, c = maps[:3]
-    assert tokencount.compose(tokencount.compose(a, b), c) == tokencount.compose(a, tokencount.compose(b, c))
-    assert tokencount.scan(maps)[-1][1] == one.count("the quick  brown fox\njumps ▁ over")
+    texts = random_texts(40, 9) + ["", "", " "]
+    assert one.counts(texts).tolist() == [one.count(t) for t in texts] and one.counts([]).tolist() == []
 
 
 def test_licenses(spark, odd, empty):
