@@ -3,15 +3,16 @@
 Documents are encoded, an end id is appended, and a rolling hash over WINDOW ids cuts each id stream into chunks, so that
 equal passages are cut alike wherever they stand. A store is a folder of Parquet files:
 
-chunks/    hash (SHA-256 of the ids as little-endian unsigned 32-bit integers), n, payload: each chunk once. A payload is the
+rows/      kind 0: hash (SHA-256 of the ids as little-endian unsigned 32-bit integers), n, payload: each chunk once. A payload is the
            zstd frame of the ids, in 16 bits each if the first byte is 2, in 32 if it is 4.
-recipes/   doc_id, part, pos, start, n_tokens, root, entries (array of hash and n): the documents in ascending doc_id
-           order (null first, equal ids by root), part by part; start counts the ids of all documents before.
-manifest/  level, part, block, n, root: a Merkle tree. root of a recipe: SHA-256 of its entries' hashes; of a block: of its
-           BLOCK recipes' roots in order; of a part: of its blocks' roots; the last level has the one root over all parts.
-
-Reading back checks each chunk against its hash, each recipe against its root and the tree against the manifest.
-Payloads cross the network once, when chunks are made unique; a task drops repeats that it has seen itself before that, so a
+recipes/   doc_id, part, pos, own, n_tokens, root, entries (array of hash and n): the documents in ascending doc_id
+           order (null first, equal ids by root), part by part; own counts the ids of the documents before in the part.
+parts/     part, before: the ids of all parts before. before + own is where a document's ids start.
+manifest/  level, part, block, n, root: a Merkle tree. root of a recipe: SHA-256 of its entries' hashes and sizes; of a block: of its
+           BLOCK recipes' roots, ids, starts and sizes in order; of a part: of its blocks' roots; the last level has the one root over all parts.
+
+Reading back checks each chunk against its hash and size, each recipe against its root, and the tree over the stored recipes against the
+manifest; what differs raises an error. Payloads cross the network once, when chunks are made unique; a task drops repeats that it has seen itself before that, so a
 passage that many documents share costs at most one row a task. Copies of a document share one recipe body.
 
 A null text counts as empty: its only id is the end id. Repeated rows are documents of their own. An empty table gives
@@ -30,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -168,6 +169,10 @@ def unpack(payload: bytes) -> bytes:
     return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if payload[0] == 2 else raw
 
 
+def _body_root(body: list[dict]) -> bytes:
+    return hashlib.sha256(b"".join(x["hash"] + x["n"].to_bytes(4, "little") for x in body)).digest()
+
+
 _ENTRIES = pa.list_(pa.struct([("hash", pa.binary()), ("n", pa.int32())]))
 
 
@@ -196,7 +201,7 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], key: str, text: str, path: s
                         payloads.append(pack(ids[start:stop]))
                     start = stop
                 entries.append(body)
-                roots.append(hashlib.sha256(b"".join(x["hash"] for x in body)).digest())
+                roots.append(_body_root(body))
             keys = part.column(key)
             n, m = len(texts), len(hashes)
             yield pa.RecordBatch.from_arrays(
@@ -208,7 +213,7 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], key: str, text: str, path: s
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops repeated chunks; all rows of a hash are in one partition, at most one from each task before."""
+    """Drops repeated chunks; all rows of a hash are in one partition, at most one from each task before. It holds half the hash of each chunk of the partition, a small part of what the partition's payloads take."""
     seen: set[bytes] = set()
     for batch in batches:
         keep = []
@@ -229,28 +234,37 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
     dealt = rows.repartition(F.when(F.col("kind") == 0, F.xxhash64("hash")).otherwise(F.xxhash64("key", "hash")))
     dealt.mapInArrow(_once, schema).write.partitionBy("kind").option("compression", "none").parquet(f"{folder}/rows")
     recipes = spark.read.schema(schema).parquet(f"{folder}/rows").where("kind = 1").select(F.col("key").alias("doc_id"), F.col("n").alias("n_tokens"), F.col("hash").alias("root"), "entries")
-    ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
-    parted = ordered.withColumn("part", F.spark_partition_id())
-    parted.write.parquet(f"{folder}/ordered")
-    parted = spark.read.schema(parted.schema).parquet(f"{folder}/ordered")
+    # equal rows, and rows without an id, are told apart by their place, so that they too can lie in several partitions
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("_tie")]
+    ordered = recipes.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+    placed = StructType(list(ordered.schema)).add("part", "integer").add("pos", "long").add("own", "long")
+    ordered.mapInArrow(_place, placed).write.parquet(f"{folder}/recipes")
+    written = spark.read.schema(placed).parquet(f"{folder}/recipes")
     before, offsets = 0, []
-    for r in parted.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row for each partition
+    for r in written.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row for each partition
         offsets.append((r["part"], before))
         before += r["n"]
-    offsets = spark.createDataFrame(offsets, "part int, before long")
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root")
-    placed = (
-        parted.withColumn("pos", F.row_number().over(inside).cast("long") - 1)
-        .withColumn("own", F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .join(F.broadcast(offsets), "part")
-        .select("doc_id", "part", "pos", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "root", "entries")
-    )
-    placed.write.parquet(f"{folder}/recipes")
-    spark.createDataFrame([(placed.schema.json(),)], "value string").coalesce(1).write.text(f"{folder}/schema")
+    spark.createDataFrame(offsets, "part int, before long").coalesce(1).write.parquet(f"{folder}/parts")
+    spark.createDataFrame([(placed.json(),)], "value string").coalesce(1).write.text(f"{folder}/schema")
+    common.delete(spark, f"{folder}/rows/kind=1")
     merkle(spark, folder).write.parquet(f"{folder}/manifest")
     return folder
 
 
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the partition, the place of each row in it and the ids before."""
+    from pyspark import TaskContext
+
+    part, pos, own = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.column("n_tokens").to_numpy()
+        ends = own + np.cumsum(n)
+        more = [pa.array(np.full(len(n), part, np.int32)), pa.array(pos + np.arange(len(n))), pa.array(ends - n)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "part", "pos", "own"])
+        if len(n):
+            pos, own = pos + len(n), int(ends[-1])
+
+
 def _root(*order: str):
     """SHA-256 of the roots of a group, in order."""
     listed = F.transform(F.sort_array(F.collect_list(F.struct(*order, "root"))), lambda x: F.hex(x["root"]))
@@ -258,14 +272,18 @@ def _root(*order: str):
 
 
 def _recipes(spark: SparkSession, folder: str) -> DataFrame:
-    """With the schema that was stored beside them, as an empty table has no file to tell it."""
+    """The recipes and where each starts; with the schema that was stored beside them, as an empty table has no file to tell it."""
     held = spark.read.text(f"{folder}/schema").first()[0]
-    return spark.read.schema(StructType.fromJson(json.loads(held))).parquet(f"{folder}/recipes")
+    recipes = spark.read.schema(StructType.fromJson(json.loads(held))).parquet(f"{folder}/recipes")
+    # a row for each partition of the recipes
+    parts = F.broadcast(spark.read.schema("part int, before long").parquet(f"{folder}/parts"))
+    return recipes.join(parts, "part", "left").withColumn("start", F.col("before") + F.col("own")).drop("before", "own")
 
 
 def merkle(spark: SparkSession, folder: str) -> DataFrame:
     """The tree over the recipes as they are stored: level 1 blocks, level 2 parts, level 3 the whole."""
-    recipes = _recipes(spark, folder).select("part", "pos", "root", (F.col("pos") / BLOCK).cast("long").alias("block"))
+    told = F.concat_ws(":", F.hex("root"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "start", "n_tokens")
+    recipes = _recipes(spark, folder).select("part", "pos", F.unhex(F.sha2(told, 256)).alias("root"), (F.col("pos") / BLOCK).cast("long").alias("block"))
     one = recipes.groupBy("part", "block").agg(F.count("*").alias("n"), _root("pos").alias("root"))
     two = one.groupBy("part").agg(F.sum("n").alias("n"), _root("block").alias("root"))
     three = two.agg(F.sum("n").alias("n"), _root("part").alias("root"))
@@ -337,15 +355,25 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         roots, n_tokens, crcs = batch.column("root").to_pylist(), [], []
         for root, body in zip(roots, batch.column("body").to_pylist(), strict=True):
-            if hashlib.sha256(b"".join(x["hash"] for x in body)).digest() != root or any(x["crc"] is None for x in body):
+            if _body_root(body) != root or any(x["crc"] is None for x in body):
                 raise ValueError(f"recipe {root.hex()} is damaged")
             n_tokens.append(sum(x["n"] for x in body))
             crcs.append(joined_crc([(x["crc"], 4 * x["n"]) for x in body]))
         yield pa.RecordBatch.from_arrays([batch.column("root"), pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.int64())], ["root", "n", "ids_crc32"])
 
 
+def check(spark: SparkSession, folder: str) -> None:
+    """Raises an error if the tree over the stored recipes has another root than the manifest."""
+    now = merkle(spark, folder)
+    held = spark.read.schema(now.schema).parquet(f"{folder}/manifest")
+    tops = [sorted((r["n"], bytes(r["root"])) for r in x.where("level = 3").collect()) for x in (now, held)]  # one row each
+    if tops[0] != tops[1]:
+        raise ValueError(f"the recipes of {folder} are not those of its manifest")
+
+
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of the stored documents, from the files. Every chunk is read and checked where it lies; the CRCs of a document's chunks are joined in the order of its recipe, so no payload moves."""
+    """doc_id, start, n_tokens, ids_crc32 of the stored documents, from the files. The manifest is checked first; every chunk is read and checked where it lies; the CRCs of a document's chunks are joined in the order of its recipe, so no payload moves."""
+    check(spark, folder)
     recipes = _recipes(spark, folder)
     held = chunks(spark, folder).mapInArrow(_checked, "hash binary, crc long")
     distinct = recipes.groupBy("root").agg(F.any_value("entries").alias("entries"))
@@ -357,6 +385,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start, ids (array<int>) of the stored documents (doc_ids: of these only), rebuilt from their chunks."""
+    check(spark, folder)
     recipes = _recipes(spark, folder)
     if doc_ids is not None:
         recipes = recipes.where(F.col("doc_id").isin(doc_ids))

@@ -271,6 +271,29 @@ def test_store_round_trip(spark, odd, empty):
     assert castore.read_digests(spark, none).count() == 0 and castore.verify(spark, none) == 0
 
 
+def test_damage_is_found_on_reading(spark):
+    """A recipe that is lost, doubled or moved, another start, and another payload."""
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"text number {i} " * 40) for i in range(30)] + [(5, "again"), (None, "none"), (None, "none")], "doc_id long, text string")
+
+    def damaged(name, change):
+        folder = castore.write(docs, common.shared_folder(spark, "store"), path, 0)
+        assert castore.read_digests(spark, folder).count() == 33
+        held = spark.read.parquet(f"{folder}/{name}")
+        made = common.cut(change(held), "damage")
+        common.delete(spark, f"{folder}/{name}")
+        made.write.parquet(f"{folder}/{name}")
+        with pytest.raises(Exception, match="manifest|damaged"):
+            castore.read_digests(spark, folder).collect()
+
+    damaged("recipes", lambda r: r.where("doc_id is null or doc_id <> 7"))
+    damaged("recipes", lambda r: r.unionByName(r.where("doc_id = 3")))
+    damaged("recipes", lambda r: r.withColumn("doc_id", F.when(F.col("doc_id") == 4, 400).otherwise(F.col("doc_id"))))
+    damaged("recipes", lambda r: r.withColumn("entries", F.when(F.col("doc_id") == 4, F.transform("entries", lambda e: F.struct(e["hash"].alias("hash"), (e["n"] + 1).alias("n")))).otherwise(F.col("entries"))))
+    damaged("parts", lambda r: r.withColumn("before", F.col("before") + 1))
+    damaged("rows/kind=0", lambda r: r.withColumn("payload", F.lit(castore.pack(np.array([1, 2, 3], np.uint32)))))
+
+
 def test_crc_of_parts_and_cuts():
     draw = np.random.default_rng(1)
     parts = [draw.bytes(n) for n in (0, 1, 7, 1000, 16384)]
