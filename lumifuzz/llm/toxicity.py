@@ -5,13 +5,16 @@ skipped inside a subsequence costs a factor of DECAY. Strings are words with mar
 folded to a small alphabet (case, rare letters, digits and signs that stand for letters), so that an insult with gaps or inserted
 characters keeps most of its subsequences, and runs of single letters are read as one word.
 
-The machine is trained as for multiple instances: a toxic sentence is toxic for some word in it. Words and word beginnings that stand in
-sentences of toxic documents far more often than in others are its first witnesses and landmarks; words of clean documents are
-the other class, then, in a second fit, the clean words that it rated highest. A Nyström map over the landmarks turns the kernel machine
+The machine is trained on labelled sentences as on bags of instances: a toxic text is toxic for some word in it, and no word of a clean text is.
+Candidates for witnesses are words and word beginnings that are far more frequent in toxic texts than in others, beyond chance. Witnesses
+are chosen from them so that as many toxic texts as possible hold WITNESSES of them, whatever their language, and each text shares a weight
+of 1 among those that it holds. They are the landmarks and, with copies that have a letter put in, the positive instances; words of clean texts are the negative ones,
+then, in further fits, the clean words that the machine rated highest. A Nyström map over the landmarks turns the kernel machine
 into one linear in landmark kernels, which folds into one table of subsequence weights: rating a word is a sum of
-table entries. A document's score is a logistic function, fitted to the training documents, of its highest word.
+table entries. A document's score is a logistic function, fitted to the training documents, of its highest and its third highest word and of the share of its words on the
+toxic side, as a word that resembles an insult may stand in a clean text by chance, but seldom several times.
 
-The fit uses at most MAX_TOXIC and MAX_CLEAN labelled documents (least key hashes), LANDMARKS landmarks and
+The fit uses at most MAX_TOXIC and MAX_CLEAN labelled documents (least key hashes), LANDMARKS landmarks out of POOL candidates and
 NEGATIVES words of clean documents. Null texts count as empty; texts without words have the lowest score; equal texts get equal scores.
 Without labels of both kinds every score is 0. An empty table gives an empty result; the input's other columns are never used.
 """
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -32,10 +36,14 @@ from pyspark.sql import functions as F
 
 from lumifuzz.llm import common, labelled
 
-LENGTH, SPAN, DECAY = 4, 7, 0.5
+LENGTH, SPAN, DECAY = 3, 6, 0.5
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
-LANDMARKS, NEGATIVES, HARD = 300, 20_000, 3000
+LANDMARKS, POOL, WITNESSES, NEGATIVES, HARD = 300, 3000, 5, 20_000, 1000
 PREFIXES = (4, 5, 6)
+#: How many times as frequent a witness is in toxic texts, and copies of it with a letter put in.
+RATIO, COPIES = 15, 2
+#: What errors cost against the size of the weights.
+COST = 10.0
 PREDICTED_FROM = 0.3
 #: Steps from the first character of a subsequence to the others.
 _STEPS = [c for c in combinations(range(1, SPAN), LENGTH - 1)]
@@ -104,16 +112,16 @@ def _by_length(strings: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarra
 class Model:
     table: np.ndarray | None
     bias: float = 0.0
-    slope: float = 1.0
-    offset: float = 0.0
+    #: Weights of a document's features, the last one of a constant.
+    curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)
 
     def __getstate__(self) -> tuple:
         """Sent with the table's non-zero entries only."""
         at = None if self.table is None else np.flatnonzero(self.table).astype(np.int32)
-        return at, None if at is None else self.table[at], self.bias, self.slope, self.offset
+        return at, None if at is None else self.table[at], self.bias, self.curve
 
     def __setstate__(self, state: tuple) -> None:
-        at, values, self.bias, self.slope, self.offset = state
+        at, values, self.bias, self.curve = state
         self.table = None
         if at is not None:
             self.table = np.zeros(_TABLE, np.float32)
@@ -129,8 +137,9 @@ class Model:
             out[where] += value / _size(m.shape[1])
         return out
 
-    def score(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30)))
+    def score(self, features: np.ndarray) -> np.ndarray:
+        """Of documents' features, as rows."""
+        return 1 / (1 + np.exp(-np.clip(features @ np.array(self.curve[:-1]) + self.curve[-1], -30, 30)))
 
 
 def word_list(text: str) -> list[str]:
@@ -155,13 +164,18 @@ def variants(chunk: str) -> list[str]:
     return [word] if inner == word else [word, inner]
 
 
+#: The least value of a word, and of a text without any.
+LEAST = -5.0
+
+
 class Rater:
-    """Values of whole texts, with a memo of chunks."""
+    """Features of whole texts, with a memo of chunks."""
 
     def __init__(self, model: Model):
         self.model, self.memo, self.old = model, {}, {}
 
-    def values(self, texts: list[str]) -> np.ndarray:
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Of each text, as rows: the highest value of its words, the third highest (or the lowest of fewer), and the logarithm of the percentage of words above 0, plus 1."""
         if len(self.memo) > common.MEMO_ENTRIES:
             self.old, self.memo = self.memo, {}
         chunks = [word_list(t) for t in texts]
@@ -178,7 +192,14 @@ class Rater:
         if owner:
             np.maximum.at(value, owner, self.model.rate([codes(v) for r in read for v in r]))
         memo.update(zip(missing, value.tolist(), strict=True))
-        return np.array([max(map(memo.__getitem__, c), default=-np.inf) for c in chunks])
+        out = np.zeros((len(texts), 3))
+        out[:, :2] = LEAST
+        for i, c in enumerate(chunks):
+            if c:
+                v = np.fromiter(map(memo.__getitem__, c), float, len(c))
+                top = np.partition(v, len(v) - 3)[-3:] if len(v) > 3 else v
+                out[i] = max(top.max(), LEAST), max(top.min(), LEAST), np.log1p(100 * np.count_nonzero(v > 0) / len(v))
+        return out
 
 
 def _landmark_kernels(strings: list[list[int]], marks: list[list[int]]) -> np.ndarray:
@@ -218,7 +239,7 @@ def train(positives: list[list[int]], weights: np.ndarray, negatives: list[list[
     x = _landmark_kernels(positives + negatives, marks) @ root
     x = np.hstack([x, np.ones((len(x), 1))])
     y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
-    c = np.concatenate([weights / weights.sum(), np.full(len(negatives), 1 / max(1, len(negatives)))]) * 50
+    c = np.concatenate([weights / weights.sum(), np.full(len(negatives), 1 / max(1, len(negatives)))]) * COST
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w)) * 0.02
     ridge[-1, -1] = 1e-6
@@ -237,10 +258,6 @@ def train(positives: list[list[int]], weights: np.ndarray, negatives: list[list[
     return Model(table, float(w[-1]))
 
 
-def _words(text: str) -> set[str]:
-    return {v for x in set(word_list(text)) for v in variants(x) if len(v) <= common.MEMO_CHARS}
-
-
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows and the least hash of their 4-word shingles, which near copies mostly share and others never."""
     from xxhash import xxh64_intdigest
@@ -252,21 +269,40 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.append_column("bucket", pa.array(least, pa.int64()))
 
 
+def _bag(text: str) -> Counter:
+    """How often each word, as it can be read, and each beginning of one (with a star) stands in a text."""
+    out: Counter = Counter()
+    for x, n in Counter(word_list(text)).items():
+        for v in variants(x):
+            if len(v) <= common.MEMO_CHARS:
+                out[v] += n
+                for k in PREFIXES:
+                    if len(v) > k:
+                        out[f"{v[:k]}*"] += n
+    return out
+
+
+_COUNTS = ("toxic", "clean", "toxic_n", "clean_n")
+
+
 def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word (or a beginning, with a star), toxic, clean: in how many documents of each kind, added up in the task as far as memory is bounded."""
+    """word (or a beginning, with a star), and in how many texts of each kind and how often in all it stands, added up in the task as far as memory is bounded. The empty word counts the texts, and all words."""
     seen: dict[str, list[int]] = {}
 
     def told() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], ["word", "toxic", "clean"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(4))], ["word", *_COUNTS])
         seen.clear()
         return out
 
     for batch in batches:
         for part, texts in common.slices(batch):
             for t, label in zip(texts, part.column("label").to_pylist(), strict=True):
-                own = _words(t)
-                for w in own | {f"{v[:n]}*" for v in own for n in PREFIXES if len(v) > n}:
-                    seen.setdefault(w, [0, 0])[label] += 1
+                bag = _bag(t)
+                bag[""] = len(word_list(t))
+                for w, n in bag.items():
+                    own = seen.setdefault(w, [0, 0, 0, 0])
+                    own[1 - label] += 1
+                    own[3 - label] += n
                 if len(seen) > 400_000:
                     yield told()
     yield told()
@@ -279,6 +315,55 @@ def _log_tail(k: int, n: int, q: float) -> float:
     return most + math.log(sum(math.exp(t - most) for t in terms))
 
 
+def _held(toxic: DataFrame, pool: list[str]) -> list[list[int]]:
+    """The places of the candidates that each toxic text holds: at most MAX_TOXIC rows."""
+    place = {w: i for i, w in enumerate(pool)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in common.slices(batch):
+                rows = []
+                for t in texts:
+                    rows.append(sorted(place[w] for w in _bag(t) if w in place))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["held"])
+
+    return sorted(r["held"] for r in toxic.select("text").mapInArrow(run, "held array<int>").collect())
+
+
+def _witnesses(held: list[list[int]], n: int) -> tuple[list[int], np.ndarray]:
+    """The candidates, one after the other, that most texts with fewer than WITNESSES chosen ones hold (the first of equals), and their weights: each text shares 1 among those that it holds."""
+    m = np.zeros((len(held), n), np.float32)
+    for i, own in enumerate(held):
+        m[i, own] = 1
+    lacking, chosen, left = np.full(len(held), float(WITNESSES), np.float32), [], np.ones(n, np.float32)
+    while len(chosen) < min(LANDMARKS, n):
+        gain = (np.minimum(lacking, 1) @ m) * left
+        j = int(gain.argmax())
+        if gain[j] <= 0:
+            break
+        chosen.append(j)
+        left[j] = 0
+        lacking = np.maximum(lacking - m[:, j], 0)
+    own = m[:, chosen]
+    shared = own / np.maximum(own.sum(axis=1, keepdims=True), 1)
+    return chosen, shared.sum(axis=0) + 1e-3
+
+
+def _with_copies(words: list[str], weights: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+    """The words, and copies of the whole ones with a letter put in somewhere, which share half of the weight; the same at every run."""
+    draw = np.random.default_rng(33)
+    strings, out = [], []
+    for w, weight in zip(words, weights.tolist(), strict=True):
+        copies = COPIES if w[-1] != "*" and len(w) > 3 else 0
+        strings.append(_string(w))
+        out.append(weight / 2 if copies else weight)
+        for _ in range(copies):
+            at = int(draw.integers(1, len(w)))
+            strings.append(_string(w[:at] + _LETTERS[int(draw.integers(0, 26))] + w[at:]))
+            out.append(weight / 2 / copies)
+    return strings, np.array(out)
+
+
 def _string(word: str) -> list[int]:
     return codes(word[:-1], False) if word[-1] == "*" else codes(word)
 
@@ -293,23 +378,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     n = {r["label"]: r["count"] for r in apart.groupBy("label").count().collect()}
     if len(n) < 2:
         return Model(None)
-    found = apart.mapInArrow(_instances, "word string, toxic long, clean long")
-    words = common.cut(found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-words")
+    found = apart.mapInArrow(_instances, "word string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    words = common.cut(found.groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS)), "toxicity-words")
+    every = words.where("word = ''").first()
+    words = words.where("word <> ''")
     a, b = F.col("toxic") / n[1], F.col("clean") / n[0]
     share = (F.col("toxic") + F.col("clean")) / (n[0] + n[1])
     surprise = (a - b) / F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    ranked = words.withColumn("z", surprise).where((F.col("toxic") > 1) & (a > 20 * b)).orderBy(F.desc("z"), F.length("word"), "word")
+    # frequent among the words of toxic texts, and in several of them
+    often = F.col("toxic_n") / max(1, every["toxic_n"]) > RATIO * F.col("clean_n") / max(1, every["clean_n"])
+    ranked = words.withColumn("z", surprise).where((F.col("toxic") > 1) & often).orderBy(F.desc("z"), F.length("word"), "word")
     total = words.count()
-    top = [(r["word"], r["z"], _log_tail(r["toxic"], r["toxic"] + r["clean"], n[1] / (n[0] + n[1]))) for r in ranked.limit(LANDMARKS).collect()]
-    # not by chance, even among so many words
-    top = [(w, z) for w, z, p in top if p + math.log(total) < math.log(0.05)] or [(w, z) for w, z, _ in top[:10]]
-    if not top:
+    pool = [(r["word"], _log_tail(r["toxic"], r["toxic"] + r["clean"], n[1] / (n[0] + n[1]))) for r in ranked.limit(POOL).collect()]
+    # not by chance: of those kept, one in twenty would be, if so many words were drawn at random
+    by_chance = sorted(p for _, p in pool)
+    worst = max((p for k, p in enumerate(by_chance, 1) if p <= math.log(0.05 * k / total)), default=-math.inf)
+    pool = [w for w, p in pool if p <= worst] or [w for w, _ in pool[:10]]
+    if not pool:
         return Model(None)
-    positives = [_string(w) for w, _ in top]
-    weights = np.array([z for _, z in top])
+    chosen, weights = _witnesses(_held(apart.where("label = 1"), pool), len(pool))
+    landmarks = [_string(pool[j]) for j in chosen]
+    positives, weights = _with_copies([pool[j] for j in chosen], weights)
     clean = words.where("clean > 0 and not endswith(word, '*')")
     others = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()]
-    marks = positives + [codes(w) for w in others[: max(20, len(positives) // 3)]]
+    marks = landmarks + [codes(w) for w in others[: max(20, len(landmarks) // 3)]]
     model = train(positives, weights, [codes(w) for w in others], marks)
     for _ in range(2):
         sent = spark.sparkContext.broadcast(model)
@@ -324,29 +416,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         model = train(positives, weights, [codes(w) for w in dict.fromkeys(others)], marks)
     sent = spark.sparkContext.broadcast(model)
 
-    def best(batches):
+    def told(batches):
         rater = Rater(sent.value)
         for batch in batches:
             for part, texts in common.slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(np.maximum(rater.values(texts), -5), pa.float64())], ["label", "value"])
+                x = rater.features(texts)
+                yield pa.RecordBatch.from_arrays([part.column("label"), *(pa.array(x[:, k]) for k in range(3))], ["label", "x0", "x1", "x2"])
 
-    rows = sorted((r["value"], r["label"]) for r in picked.mapInArrow(best, "label int, value double").collect())
-    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    model.slope, model.offset = _logistic(x, y)
+    # a row for each document of the sample
+    rows = sorted(tuple(r) for r in picked.mapInArrow(told, "label int, x0 double, x1 double, x2 double").collect())
+    model.curve = _logistic(np.array([r[1:] for r in rows]), np.array([r[0] for r in rows], float))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset of a ridge-penalised logistic curve."""
-    m = np.stack([x, np.ones(len(x))], axis=1)
-    w = np.array([1.0, 0.0])
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, ...]:
+    """Weights of the features, and of a constant, of a ridge-penalised logistic curve; no feature counts for a clean text."""
+    m = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(m.shape[1])
+    w[0] = 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
         slope = m.T @ (y - p) - 0.01 * w
-        bend = (m * (p * (1 - p))[:, None]).T @ m + 0.01 * np.eye(2)
+        bend = (m * (p * (1 - p))[:, None]).T @ m + 0.01 * np.eye(len(w))
         step = np.linalg.solve(bend, slope)
-        w += step / max(1, np.abs(step).max() / 3)
-    return float(max(w[0], 1e-3)), float(w[1])
+        w = w + step / max(1, np.abs(step).max() / 3)
+        w[:-1] = np.maximum(w[:-1], 0)
+    return tuple(map(float, w))
 
 
 def rate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,7 +456,7 @@ def rate(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         if rater.model is not model:
             common.release()
             rater = common.held("toxicity", lambda: Rater(model))
-        s = model.score(np.maximum(rater.values(texts), -5))
+        s = model.score(rater.features(texts))
         return {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= PREDICTED_FROM).astype(np.int32), pa.int32())}
 
     return common.map_texts(docs, work, "score double, predicted int", key, text)

@@ -484,16 +484,38 @@ def test_quality_on_held_out_rows(spark, odd, empty):
 
 
 def test_toxicity_on_held_out_rows(spark, odd, empty):
-    model, rows = held_out(spark, "/root/testdata/sf0.01", toxicity, "toxic", 4, 2)
-    assert sum(y == r["predicted"] for y, r in rows) >= 0.85 * len(rows)
-    english = toxicity.Rater(model)
-    low, high = english.values(["the and of this"])[0], english.values(["what an idiot"])[0]
-    assert high > low
+    """Recall, precision and order of held-out rows in every language, insults with letters put in, and odd input."""
+    d = "/root/testdata/sf0.1"
+    model, rows = held_out(spark, d, toxicity, "toxic", 4, 2)
+    lang = {r["doc_id"]: r["lang"] for r in common.documents(spark, d).select("doc_id", "lang").collect()}
+    toxic = [r for y, r in rows if y]
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r["predicted"] for r in toxic) >= 0.85 * sum(r["predicted"] for _, r in rows)
+    for one in ("en", "de", "fr", "es"):
+        on, off = ([r["score"] for y, r in rows if y == k and lang[r["doc_id"]] == one] for k in (1, 0))
+        assert sum(s >= toxicity.PREDICTED_FROM for s in on) >= 0.8 * len(on) > 0, one
+        assert sum((a > b) + (a == b) / 2 for a in on for b in off) >= 0.93 * len(on) * len(off), one
+    rater = toxicity.Rater(model)
+    insults = ["idiot", "idixot", "i d i o t", "stu.pid", "stuxpid", "moxron", "clowwn", "PATHEXTIC", "1d10t"]
+    scores = model.score(rater.features(insults + ["house", "window", "running there", ""]))
+    assert min(scores[: len(insults)]) > 0.5 and max(scores[len(insults) :]) < 0.05
+    long_word = "ab" * 500_000
+    texts = spark.createDataFrame([(1, long_word), (2, "the house " * 200_000), (3, "the house " * 200_000 + "idiot stupid moron " * 9000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.rate(texts, model).collect()}
+    assert got == {1: 0, 2: 0, 3: 1}
     assert toxicity.rate(odd, model).count() == odd.count() and toxicity.rate(empty, model).count() == 0
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for _, r in rows)
     none = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     assert {r["score"] for r in toxicity.rate(odd, none).collect()} == {0.0}
 
 
+def test_witnesses_cover_the_texts():
+    held = [[0, 1], [0, 1], [0, 2], [3], [], [0]]
+    chosen, weights = toxicity._witnesses(held, 4)
+    assert chosen[0] == 0 and set(chosen) == {0, 1, 2, 3}
+    assert weights.sum() == pytest.approx(5, abs=0.01)  # one for each text that holds any
+
+
 def test_kernel_table_is_the_kernel_machine():
     """The folded table gives the same values as the kernels with the landmarks."""
     words = [toxicity.codes(w) for w in ("idiot", "moron", "house", "window", "idi.ot", "there")]
