@@ -26,7 +26,8 @@ WINDOW = 5
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 NAVIGATION = re.compile(r"(?:[|»›•>]\s*\S[^|»›•>]*){3,}|^\W*(?:home|menu|log ?in|sign ?(?:in|up)|next|previous|back to top|share|search|contact(?: us)?|about(?: us)?|sitemap)\W*$", re.I)
-BOILERPLATE = re.compile(r"lorem ipsum|enable javascript|uses? cookies|cookie policy|privacy policy|terms (?:of use|and conditions)|all rights reserved|click here|subscribe to our|page not found|[{}]", re.I)
+#: Fixed phrases, and marks of a template that was not filled in; other braces may be code or mathematics.
+BOILERPLATE = re.compile(r"lorem ipsum|enable javascript|uses? cookies|cookie policy|privacy policy|terms (?:of use|and conditions)|all rights reserved|click here|subscribe to our|page not found|\{\{[^{}\n]*\}\}", re.I)
 _ODD = np.random.default_rng(20240301).integers(1 << 61, 1 << 62, WINDOW + 1, dtype=np.int64) | 1
 
 

@@ -173,6 +173,40 @@ def test_licenses_without_the_word(spark):
     assert got == dict(enumerate(texts.values()))
 
 
+def brute_licenses(text):
+    """All rules on all texts, then every detection against every other."""
+    fold = str.maketrans(licenses.UPPER, licenses.LOWER)
+    joined = f" {' '.join(re.findall(licenses.WORD, (text or '').translate(fold)))} "
+    found = [(m.start() - 1, m.end() - 1, r.priority, n, r.label, r.score) for n, r in enumerate(licenses.RULES) for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", joined)]
+
+    def hides(o, d):
+        return o[0] <= d[0] and d[1] <= o[1] and (o[2] < d[2] or (o[2] == d[2] and (o[:2] != d[:2] or o[3] < d[3])))
+
+    return sorted((d[0], d[1], d[4], d[5]) for d in found if not any(hides(o, d) for o in found if o is not d))
+
+
+def test_detections_are_those_of_all_rules_on_all_texts(spark, odd):
+    draw = random.Random(12)
+    samples = [t for r in licenses.RULES for t in spelled(r.regex)[:6] if re.fullmatch(r.regex, t)]
+    filler = ["the", "of", "terms", "license", "version", "2", "0", "under", "released", "public", "domain", "copyright", "2020", "gnu"]
+    texts = []
+    for _ in range(250):
+        bits = []
+        for _ in range(draw.randint(1, 4)):
+            bits += [" ".join(draw.choices(filler, k=draw.randint(0, 5))), draw.choice(samples)]
+        texts.append(draw.choice([" ", "\n", ", "]).join(" ".join(bits).split(" ")))
+    texts += [draw.choice(samples) + " " + "word " * 50_000 + draw.choice(samples), "mit license " * 3000, "apache license mit license " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    wanted = {r["doc_id"]: brute_licenses(r["text"]) for r in docs.collect()}
+    assert sum(map(bool, wanted.values())) > 200
+    for r in licenses.find(docs).collect():
+        assert sorted((d["start"], d["end"], d["label"], d["score"]) for d in r["detections"]) == wanted[r["doc_id"]], r["doc_id"]
+    for r in licenses.scan(docs).collect():
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == base | {x[2] for x in wanted[r["doc_id"]]}
+        assert r["score"] == max([0.9 if base else 0.0, *(x[3] for x in wanted[r["doc_id"]])])
+
+
 def test_a_contained_detection_is_suppressed(spark):
     docs = spark.createDataFrame([(1, "licensed under the GNU Lesser General Public License version 2.1")], "doc_id long, text string")
     labels = [d["label"] for d in licenses.find(docs).first()["detections"]]
@@ -243,6 +277,11 @@ def test_line_quality(spark, sf, odd, empty):
     fine = [got[r["doc_id"]][0] for r in labels if r["doc_id"] in got]
     assert sum(x["kept"] for x in fine if not x["base_failed"]) >= 0.97 * sum(not x["base_failed"] for x in fine)
     assert linequality.judge(empty).count() == 0
+    code = "\n".join(f"record{k} {{ left{k}: value{k}, right{k}: other{k} }} sets part{k} from whole{k}." for k in range(6))
+    unfilled = "\n".join(f"{{{{ name{k} }}}} and{k} what{k} page{k} shows{k} of{k} it{k}." for k in range(9))
+    texts = spark.createDataFrame([(1, code), (2, f"{code}\nA line about {{{{ title }}}} here."), (3, unfilled), (4, "word " * 1_000_000)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["base_failed"], r["kept"]) for r in linequality.judge(texts).collect()} == {1: (False, True), 2: (False, True), 3: (False, False), 4: (True, False)}
+    assert linequality.clean(f"{code}\nA line about {{{{ title }}}} here.") == code
     assert linequality.clean("A line.\nhome\nA line.\nx | y | z | a\n\nEnd.") == "A line.\nEnd."
 
 
