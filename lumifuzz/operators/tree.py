@@ -123,6 +123,25 @@ class FuzzyTree:
             self.prune(self.ccp_alpha)
         return self
 
+    def grow(self, df: DataFrame, label: str, paths: Sequence[Sequence[tuple[int, int]]], coded: bool = False) -> FuzzyTree:
+        """The tree of given paths of (feature, set) pairs, each after the paths that it goes on from, with the class sums of the rows: one aggregate, whatever the depth."""
+        y = F.col(label).cast("int") if coded else class_place(label, self.classes)
+        rows = self._with_mu(df.withColumn("_y", y).where("_y is not null"))
+        self.root = Node()
+        nodes = {(): self.root}
+        for path in map(tuple, paths):
+            if path[:-1] not in nodes or path in nodes:
+                raise ValueError(f"{path} repeats a path, or comes before the one that it goes on from")
+            nodes[path] = Node(path)
+            nodes[path[:-1]].children.append(nodes[path])
+        inner = [(nodes[p[:-1]], *p[-1]) for p in nodes if p]
+        counts = {r["_y"]: float(r["count"]) for r in rows.groupBy("_y").count().collect()}
+        self.rows = sum(counts.values())
+        self.root.sums = tuple(counts.get(c, 0.0) for c in range(len(self.classes)))
+        for path, sums in zip([p for p in nodes if p], self._sums(rows, inner), strict=True):
+            nodes[path].sums = tuple(sums)
+        return self
+
     def _candidates(self) -> list[tuple[Node, int, int]]:
         out = []
         for node in sorted(self.root.walk(), key=lambda n: len(n.path)):

@@ -603,6 +603,68 @@ def tree_split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(FEATURES[f], s, gini(v), sum(v) / n) for (_, f, s), v in zip(asked, sums, strict=True)], "feature string, label long, gini double, coverage double").withColumns({c: F.round(c, 6) for c in ("gini", "coverage")})
 
 
+#: A tree with a root, three children and a child of the first of them.
+PATHS = (((0, 0),), ((0, 2),), ((2, 1),), ((0, 0), (1, 2)))
+#: Its nodes: leaves by the length of their paths, then the root and the inner node, which speak where their children are silent.
+_NODES = {"root_F0_L2": "a2", "root_F2_L1": "c1", "root_F0_L0_F1_L2": "a0 * b2", "root": "1", "root_F0_L0": "a0"}
+_SPOKEN = ("a2", "c1", "a0 * b2", "case when a0 <= 0.000001 and a2 <= 0.000001 and c1 <= 0.000001 then 1 else 0 end", "case when a0 * b2 <= 0.000001 then a0 else 0 end")
+_SUMS = " union all ".join(f"select {i} as i, '{n}' as node, sum(case when y = 0 then {x} else 0 end) as s0, sum(case when y = 1 then {x} else 0 end) as s1, sum(case when y = 2 then {x} else 0 end) as s2 from k" for i, (n, x) in enumerate(_NODES.items()))
+_TREE = f"""{o.memberships()}, k as (select *, {o.CLASS} as y from m), su as ({_SUMS}), sh as (select *, case when s0 >= s1 and s0 >= s2 then 0 when s1 >= s2 then 1 else 2 end as said, s0 + s1 + s2 as s from su),
+ g as (select *, {', '.join(f'{x} as g{i}' for i, x in enumerate(_SPOKEN))} from k), wi as (select *, greatest(g0, g1, g2, g3, g4) as degree, case greatest(g0, g1, g2, g3, g4) when g0 then 0 when g1 then 1 when g2 then 2 when g3 then 3 else 4 end as i from g)"""
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, FuzzyTree]:
+    df = table(spark, sf_dir, "lineitem")
+    return df, FuzzyTree(fit_partitions(df, FEATURES), CLASSES).grow(df, LABEL, PATHS)
+
+
+@query(f"with {_TREE} select node, said, round(s / (select count(*) from k), 6) as coverage, round(1 - (s0 * s0 + s1 * s1 + s2 * s2) / (s * s), 6) as gini from sh")
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of a tree of given paths: what they say, how much of the rows they cover and how pure they are."""
+    from lumifuzz.operators.tree import coverage, majority
+
+    _, tree = _grown(spark, sf_dir)
+    rows = [(n.name, majority(n.sums), coverage(n.sums, tree.rows), gini(n.sums)) for n in tree.root.walk()]
+    return spark.createDataFrame(rows, "node string, said int, coverage double, gini double").withColumns({c: F.round(c, 6) for c in ("coverage", "gini")})
+
+
+@query(f"with {_TREE} select sh.node as path, said as predicted, count(*) as n, round(avg(degree), 6) as degree from wi join sh on sh.i = wi.i group by 1, 2")
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, tree = _grown(spark, sf_dir)
+    return tree.predict_with_path(df).groupBy("path", "predicted").agg(F.count("*").alias("n"), F.round(F.avg("degree"), 6).alias("degree"))
+
+
+@query(f"with {_TREE} select round(avg(case when said = y then 1.0 else 0.0 end), 6) as accuracy from wi join sh on sh.i = wi.i")
+def tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, tree = _grown(spark, sf_dir)
+    return spark.createDataFrame([(tree.score(df, LABEL),)], "accuracy double").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"with {_TREE}, sc as (select {', '.join(f'max(s{c} / s) filter (i = {i}) as q{c}_{i}' for c in range(3) for i in range(5))} from sh), ma as (select {', '.join(' + '.join(f'g{i} * q{c}_{i}' for i in range(5)) + f' as p{c}' for c in range(3))} from g, sc) select {', '.join(f'round(avg(coalesce(p{c} / nullif(p0 + p1 + p2, 0), 1 / 3.0)), 6) as c{c}' for c in range(3))} from ma")
+def tree_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, tree = _grown(spark, sf_dir)
+    return tree.predict_proba(df).agg(*(F.round(F.avg(F.col("probabilities")[c]), 6).alias(f"c{c}") for c in range(3)))
+
+
+@query(f"with {_TREE} select round(avg(a2), 6) as l0, round(avg(c1), 6) as l1, round(avg(a0 * b2), 6) as l2 from k")
+def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean membership in each leaf."""
+    df, tree = _grown(spark, sf_dir)
+    return tree.predict_all_leaves_matrix(df).agg(*(F.round(F.avg(F.col("leaf_memberships")[i]), 6).alias(f"l{i}") for i in range(3)))
+
+
+#: What the subtree of the inner node gains: the wrong mass of the node less that of its only leaf.
+_COST = "(s - greatest(s0, s1, s2)) / (select count(*) from k)"
+
+
+@query(f"with {_TREE}, co as (select max({_COST}) filter (node = 'root') as r, max({_COST}) filter (node = 'root_F0_L0') as i, max({_COST}) filter (node = 'root_F0_L0_F1_L2') as l, max({_COST}) filter (node = 'root_F0_L2') as a, max({_COST}) filter (node = 'root_F2_L1') as c from sh), we as (select (r - (l + a + c)) / 2 as whole, i - l as part from co) select case when whole <= part then 'root' else 'root_F0_L0' end as node, round(least(whole, part), 6) as gain from we")
+def tree_weakest_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inner node that pruning would cut first."""
+    _, tree = _grown(spark, sf_dir)
+    gain, node = tree.weakest_link()
+    return spark.createDataFrame([(node.name, gain)], "node string, gain double").withColumn("gain", F.round("gain", 6))
+
+
 def _tree(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, FuzzyTree]:
     df = table(spark, sf_dir, "lineitem")
     return df, FuzzyTree(fit_partitions(df, FEATURES), CLASSES, **({"max_rules": 4, "min_improvement": 0.0} | options)).fit(df, LABEL)
@@ -691,7 +753,7 @@ def _keyed(df: DataFrame) -> DataFrame:
 @query()
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
-    got = validation.with_intervals(_keyed(df), base, LABEL, "row_key", 20)
+    got = validation.with_intervals(_keyed(df), base, LABEL, "row_key")
     return spark.createDataFrame([(i, *r.support_interval, *r.confidence_interval) for i, r in enumerate(got.rules)], "rule long, support_lo double, support_hi double, confidence_lo double, confidence_hi double")
 
 
@@ -705,13 +767,13 @@ def permutation_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def null_rule_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)
-    return _values(spark, [r.p_values[0] for r in validation.rule_p_values(df, base, LABEL, 30).rules])
+    return _values(spark, [r.p_values[0] for r in validation.rule_p_values(df, base, LABEL).rules])
 
 
 @query()
 def evolved_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
-    found = evolve.FuzzyRulesEstimator(FEATURES, n_rules=6, n_ants=2, variables=fit_partitions(df, FEATURES), classes=CLASSES).fit(df, LABEL, evolve.Search(n_gen=2, pop_size=8))
+    found = evolve.FuzzyRulesEstimator(FEATURES, n_rules=6, n_ants=2, variables=fit_partitions(df, FEATURES), classes=CLASSES).fit(df, LABEL, evolve.Search())
     return found.base.frame(spark)
 
 
@@ -719,7 +781,7 @@ def evolved_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stable_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _keyed(table(spark, sf_dir, "lineitem"))
     variables = fit_partitions(df, FEATURES)
-    one = stability.Stabilizer(lambda: evolve.FuzzyRulesEstimator(FEATURES, 4, 2, variables=variables, classes=CLASSES), "row_key").generate(df, LABEL, 2, how=evolve.Search(n_gen=1, pop_size=6))
+    one = stability.Stabilizer(lambda: evolve.FuzzyRulesEstimator(FEATURES, 4, 2, variables=variables, classes=CLASSES), "row_key").generate(df, LABEL, 10, how=evolve.Search(n_gen=2, pop_size=8))
     return one.counts(spark)
 
 
