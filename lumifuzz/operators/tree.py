@@ -6,7 +6,7 @@ candidate membership (and, for the accuracy index, how many rows a split would t
 bounded width. Prediction is a projection.
 
 split="label" adds one child at a time (a set of a feature); split="feature" adds a child for every set of a feature. metric: "purity"
-(weighted Gini improvement) or "cci" (relative accuracy gain). Ties go to the shallower node, then the lower feature, then the
+(weighted Gini improvement), "cci" (relative accuracy gain) or "validity" (relative gain of right less wrong mass, from the class sums alone). Ties go to the shallower node, then the lower feature, then the
 lower set. The variables are used unclipped. max_depth is honoured.
 """
 
@@ -51,6 +51,18 @@ def cci(right_before: float, right_after: float, rows: float) -> float:
     return (after - before) / before if before else after
 
 
+def validity(sums: Sequence[float], rows: float) -> float:
+    """The mass of a node that its majority gets right, less what it gets wrong, over all rows."""
+    return (2 * max(sums, default=0.0) - sum(sums)) / rows if rows else 0.0
+
+
+def validity_gain(before: float, after: float) -> float:
+    """Relative gain of validity; where the two differ in sign, or there was none, the new one itself."""
+    if before == 0 or (before < 0) != (after < 0):
+        return after
+    return (after - before) / before
+
+
 def majority(sums: Sequence[float]) -> int:
     """The first class with the largest sum."""
     return max(range(len(sums)), key=lambda c: (sums[c], -c)) if sums else 0
@@ -82,8 +94,8 @@ class Node:
 
 class FuzzyTree:
     def __init__(self, variables: Sequence[Variable], classes: Sequence[str], max_rules: int = 10, max_depth: int | None = None, coverage_threshold: float = 0.0, min_improvement: float = 0.01, ccp_alpha: float = 0.0, metric: str = "cci", split: str = "label"):
-        if metric not in ("cci", "purity") or split not in ("label", "feature"):
-            raise ValueError("metric is cci or purity, split is label or feature")
+        if metric not in ("cci", "purity", "validity") or split not in ("label", "feature"):
+            raise ValueError("metric is cci, purity or validity, split is label or feature")
         self.variables = [v.unclipped() for v in variables]
         self.classes, self.max_rules, self.max_depth, self.coverage_threshold, self.min_improvement, self.ccp_alpha, self.metric, self.split = list(classes), max_rules, max_depth, coverage_threshold, min_improvement, ccp_alpha, metric, split
         self.root = Node()
@@ -175,8 +187,12 @@ class FuzzyTree:
             for i in range(0, len(stats), rule_quality.WIDTH):
                 got |= guess.agg(*stats[i : i + rule_quality.WIDTH]).first().asDict()
             gains = [cci(got["right"] or 0, got[f"r{i}"] or 0, self.rows) for i in range(len(made))]
+        if self.metric == "validity":
+            gains = [validity_gain(validity(node.sums, self.rows), validity(child.sums, self.rows)) for node, child in made]
         purity = [gini(node.sums) - fuzzy_purity(child.sums, self.rows, self.coverage_threshold) for node, child in made]
         allowed = [coverage(c.sums, self.rows) >= self.coverage_threshold and sum(c.sums) > 0 for _, c in made]
+        if not any(allowed):
+            return None  # no split that is left can cover enough
         if self.split == "label":
             order = [(gains[i] if gains else purity[i], purity[i], -i) for i in range(len(made)) if allowed[i] and purity[i] > -float("inf")]
             if not order:
@@ -193,11 +209,23 @@ class FuzzyTree:
             weight = sum(sum(made[i][1].sums) for i in good)
             if not weight:
                 continue
-            value = sum(sum(made[i][1].sums) * (gains[i] if gains else purity[i]) for i in good) / weight
+            if self.metric == "validity":
+                # the children's validity, weighted by their mass, against the node's
+                after = sum(sum(made[i][1].sums) * validity(made[i][1].sums, self.rows) for i in good) / weight
+                value = validity_gain(validity(made[good[0]][0].sums, self.rows), after)
+            else:
+                value = sum(sum(made[i][1].sums) * (gains[i] if gains else purity[i]) for i in good) / weight
             if best is None or value > best[0]:
                 best = value, made[good[0]][0], [made[i][1] for i in good]
         return best
 
+    def best_possible_coverage(self, df: DataFrame, label: str, coded: bool = False) -> float:
+        """The greatest coverage that any split that is left could have: below the threshold, growth ends."""
+        y = F.col(label).cast("int") if coded else class_place(label, self.classes)
+        rows = self._with_mu(df.withColumn("_y", y).where("_y is not null"))
+        asked = self._candidates()
+        return max((coverage(s, self.rows) for s in self._sums(rows, asked)), default=0.0) if asked else 0.0
+
     def _sums(self, rows: DataFrame, asked: list[tuple[Node, int, int]]) -> list[list[float]]:
         """Class sums of every candidate child's membership."""
         out: list[list[float]] = []

@@ -199,6 +199,35 @@ def rulewise_label_permutation_test(df: DataFrame, base: RuleBase, label: str, k
     return out
 
 
+def _own_errors(base: RuleBase, won: dict[int, dict[int, int]], total: dict[int, int]) -> list[float]:
+    """For each rule, the error of the one-against-all classifier that says its class where it wins."""
+    n, out = sum(total.values()), []
+    for i, r in enumerate(base.rules):
+        by = won.get(i, {})
+        out.append((sum(by.values()) + total.get(r.consequent, 0) - 2 * by.get(r.consequent, 0)) / n if n else 1.0)
+    return out
+
+
+def rulewise_column_permutation_test(df: DataFrame, base: RuleBase, label: str, key: str, k: int = 20, whole_rows: bool = True, seed: int = 33) -> list[float]:
+    """For each rule, the p-value of its one-against-all error when the rows of its class are exchanged among each other. whole_rows: as they are, which leaves every error unchanged, so that the p-value says how many exchanges there were; else each column by itself, in one exchange of all classes for all rules, of which each rule counts the rows of its class."""
+    won = _by_winner(df, base, label)
+    total: dict[int, int] = {}
+    for by in won.values():
+        for c, n in by.items():
+            total[c] = total.get(c, 0) + n
+    seen = _own_errors(base, won, total)
+    if whole_rows:
+        return [p_permutation([e] * k, e) for e in seen]
+    features, errors = [v.name for v in base.variables], [[] for _ in base.rules]
+    for i in range(k):
+        moved = _by_winner(_exchanged(df, features, label, key, seed + i), base, label)
+        for j, r in enumerate(base.rules):
+            # rows of other classes stay as they were
+            mixed = {**{c: n for c, n in won.get(j, {}).items() if c != r.consequent}, r.consequent: moved.get(j, {}).get(r.consequent, 0)}
+            errors[j].append((sum(mixed.values()) + total.get(r.consequent, 0) - 2 * mixed[r.consequent]) / max(1, sum(total.values())))
+    return [p_permutation(e, s) for e, s in zip(errors, seen, strict=True)]
+
+
 def with_validation(df: DataFrame, base: RuleBase, label: str, key: str, n: int = 100) -> RuleBase:
     """The base with label-permutation p-values and bootstrap intervals."""
     p = rulewise_label_permutation_test(df, base, label, n)

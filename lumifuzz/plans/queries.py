@@ -764,6 +764,38 @@ def permutation_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([*rows, (-1, validation.label_permutation_test(df, base, LABEL))], "rule long, p double")
 
 
+@query(f"with {o.fired()}, r(rule, class) as (values {', '.join(f'({i}, {c})' for i, (_, c) in enumerate(RULES))}) select cast(rule as bigint) as rule, round(avg(case when (winner = rule) <> (y = class) then 1.0 else 0.0 end), 6) as error, round(1 / 21.0, 6) as p from r, w group by rule")
+def rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule's one-against-all error, and its p-value when whole rows are exchanged."""
+    df, base = fitted(spark, sf_dir)
+    won = validation._by_winner(df, base, LABEL)
+    total = {c: sum(by.get(c, 0) for by in won.values()) for c in range(len(CLASSES))}
+    p = validation.rulewise_column_permutation_test(df, base, LABEL, "l_orderkey")
+    rows = [(i, e, x) for i, (e, x) in enumerate(zip(validation._own_errors(base, won, total), p, strict=True))]
+    return spark.createDataFrame(rows, "rule long, error double, p double").withColumns({c: F.round(c, 6) for c in ("error", "p")})
+
+
+_VALIDITY_SQL = f"""with {o.memberships()}, k as (select *, {o.CLASS} as y from m), n as (select count(*) as n, max(c) as top from (select count(*) as c from k group by y), (select count(*) as n from k)), rw as (select count(*) as n from k),
+ ch as ({' union all '.join(f"select '{x}' as feature, sum({v}{j}) as s, greatest(sum(case when y = 0 then {v}{j} else 0 end), sum(case when y = 1 then {v}{j} else 0 end), sum(case when y = 2 then {v}{j} else 0 end)) as t from k" for v, x in o.LETTERS.items() for j in range(3))}),
+ va as (select feature, sum(s * (2 * t - s) / (select n from rw)) / sum(s) as after from ch group by feature), be as (select (2 * top - (select n from rw)) / (select n from rw) as before from n)
+ select feature, round(case when before = 0 or (before < 0) <> (after < 0) then after else (after - before) / before end, 6) as gain from va, be"""
+
+
+@query(_VALIDITY_SQL)
+def tree_validity_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What splitting the root by each feature gains in validity."""
+    from lumifuzz.operators.tree import validity, validity_gain
+
+    df = table(spark, sf_dir, "lineitem")
+    tree = FuzzyTree(fit_partitions(df, FEATURES), CLASSES).grow(df, LABEL, [((f, s),) for f in range(len(FEATURES)) for s in range(3)])
+    before, out = validity(tree.root.sums, tree.rows), []
+    for f, name in enumerate(FEATURES):
+        own = [c.sums for c in tree.root.children if c.path[0][0] == f]
+        after = sum(sum(s) * validity(s, tree.rows) for s in own) / sum(map(sum, own))
+        out.append((name, validity_gain(before, after)))
+    return spark.createDataFrame(out, "feature string, gain double").withColumn("gain", F.round("gain", 6))
+
+
 @query()
 def null_rule_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, base = fitted(spark, sf_dir)

@@ -119,7 +119,7 @@ def test_conformal(rows, base):
 
 
 def test_trees(rows, variables):
-    for split, metric in (("label", "cci"), ("label", "purity"), ("feature", "purity"), ("feature", "cci")):
+    for split, metric in (("label", "cci"), ("label", "purity"), ("label", "validity"), ("feature", "purity"), ("feature", "cci"), ("feature", "validity")):
         t = tree.FuzzyTree(variables, CLASSES, max_rules=6, min_improvement=0.0, metric=metric, split=split).fit(rows, "y")
         assert t.score(rows, "y") > 0.5, (split, metric)
         p = np.array([r["probabilities"] for r in t.predict_proba(rows).collect()])
@@ -216,3 +216,18 @@ def test_streams(spark, sf, tmp_path):
     q = scoring.winner_counts(stream, b, "ts").writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counted").agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_growth_ends_where_nothing_covers_enough(rows, variables):
+    t = tree.FuzzyTree(variables, CLASSES, max_rules=8, min_improvement=0.0, coverage_threshold=0.9).fit(rows, "y")
+    assert not t.root.children and 0 < t.best_possible_coverage(rows, "y") < 0.9
+    grown = tree.FuzzyTree(variables, CLASSES).grow(rows, "y", [((0, 0),), ((0, 0), (1, 1))])
+    assert grown.stats() == {"nodes": 3, "leaves": 1, "depth": 2} and grown.predict(rows).count() == 240
+    with pytest.raises(ValueError):
+        grown.grow(rows, "y", [((0, 0), (1, 1))])
+
+
+def test_rulewise_column_exchange(rows, base):
+    assert validation.rulewise_column_permutation_test(rows, base, "y", "k", 4) == [pytest.approx(0.2)] * 3
+    p = validation.rulewise_column_permutation_test(rows, base, "y", "k", 2, whole_rows=False)
+    assert len(p) == 3 and all(0 < x <= 1 for x in p)
