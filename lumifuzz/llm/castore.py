@@ -67,26 +67,27 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.marks = {m: array("I", self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ",."}
 
+    def _known(self, memo: dict[str, bytes], wanted: set[str], old: dict[str, bytes]) -> set[str]:
+        """Those of the wanted pieces that neither memo holds; the others are in the younger one then."""
+        missing = wanted.difference(memo)
+        again = missing.intersection(old)
+        if again:
+            memo.update({x: old[x] for x in again})
+            missing -= again
+        return missing
+
     def _fill(self, memo: dict[str, bytes], wanted: set[str], before: str) -> None:
-        old, missing, ended = self.old if before else {}, [], []
-        for x in wanted.difference(memo):
-            if (held := old.get(x)) is not None:
-                memo[x] = held
-            elif x[-1:] in self.marks and x[:-1].isalpha():
-                # the pre-tokeniser always cuts between a letter and such a mark
-                ended.append(x)
-            else:
-                missing.append(x)
-        cores = {x[:-1] for x in ended}.difference(memo, missing)
-        for x in cores:
-            if (held := old.get(x)) is None:
-                missing.append(x)
-            else:
-                memo[x] = held
-        for x, e in zip(missing, self.library.encode_batch_fast([before + x for x in missing], add_special_tokens=False), strict=True):
-            memo[x] = array("I", e.ids).tobytes()
-        for x in ended:
-            memo[x] = memo[x[:-1]] + self.marks[x[-1]]
+        old = self.old if before else {}
+        missing = self._known(memo, wanted, old)
+        # the pre-tokeniser always cuts between a letter and such a mark
+        ended = [x for x in missing if x[-1:] in self.marks and x[:-1].isalpha()]
+        if ended:
+            missing.difference_update(ended)
+            missing |= self._known(memo, {x[:-1] for x in ended}, old)
+        asked = list(missing)
+        encoded = self.library.encode_batch_fast([before + x for x in asked] if before else asked, add_special_tokens=False)
+        memo.update(zip(asked, [array("I", e.ids).tobytes() for e in encoded], strict=True))
+        memo.update({x: memo[x[:-1]] + self.marks[x[-1]] for x in ended})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of whole texts."""
@@ -95,11 +96,8 @@ class Encoder:
         self.bare.clear()
         pieces = [[t] if "<|" in t or _UNSAFE.search(t) else t.split(" ") for t in texts]
         first = [p.pop(0) for p in pieces]
-        wanted: set[str] = set()
-        for p in pieces:
-            wanted.update(p)
         self._fill(self.bare, set(first), "")
-        self._fill(self.spaced, wanted, " ")
+        self._fill(self.spaced, set().union(*pieces), " ")
         held = self.spaced.__getitem__
         return [self.bare[f] + b"".join(map(held, p)) for f, p in zip(first, pieces, strict=True)]
 
