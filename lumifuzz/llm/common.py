@@ -118,11 +118,19 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/lumifuzz-checkpoints"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
+def reads(df: DataFrame, *made: DataFrame) -> DataFrame:
+    """df, which is read from what cut() wrote for these, so that the caller can give that back when df itself has been written."""
+    df._lumifuzz_reads = made
+    return df
+
+
+def cut(df: DataFrame, name: str, last: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing. last: df is not read any more after this, so what it was read from is deleted."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
+    if last:
+        drop(*getattr(df, "_lumifuzz_reads", ()))
     out = spark.read.schema(df.schema).parquet(path)
     out._lumifuzz_folder = path
     return out

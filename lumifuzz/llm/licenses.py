@@ -80,7 +80,7 @@ FAMILIES = {
     "proprietary": ("(?:proprietary|commercial|end user)", "proprietary|commercial|user", "licenseref [a-z0-9 ]{1,40}"),
 }
 
-#: label, words of which all must occur, and words of whole license texts.
+#: label, words of which all must occur (with bars: one of them), and words of whole license texts.
 TEXTS = (
     ("mit", "hereby person", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "permission hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -102,6 +102,48 @@ TEXTS = (
     ("psf", "python agreement", "this license agreement is between the python software foundation"),
     ("postgresql", "permission documentation", "permission to use copy modify and distribute this software and its documentation for any purpose without fee"),
     ("vim", "vim restrictions", "there are no restrictions on distributing unmodified copies of vim"),
+    ("bsd", "endorse contributors", "neither the name of .{1,80} nor the names of (?:its|any) contributors may be used to endorse or promote products derived from this software"),
+    ("apache", "apache january", "apache license version 2 0 january 2004"),
+    ("apache", "apache includes", "this product includes software developed (?:by|at) the apache software foundation"),
+    ("gpl", "general 1991|2007", "(?<!lesser |affero )general public license version (?:2 june 1991|3 29 june 2007)"),
+    ("gpl", "general received", "you should have received a copy of the gnu general public license along with"),
+    ("lgpl", "lesser 1999|2007", "lesser general public license version (?:2 1 february 1999|3 29 june 2007)"),
+    ("lgpl", "received lesser|library", "you should have received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("agpl", "affero 2007", "affero general public license version 3 19 november 2007"),
+    ("agpl", "received affero", "you should have received a copy of the gnu affero general public license along with"),
+    ("gfdl", "permission documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl", "mozilla contents", "the contents of this file are subject to the mozilla public license version"),
+    ("mpl", "mpl distributed", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "eclipse accompanies", "which accompanies this distribution and is available at (?:.{1,60} )?eclipse"),
+    ("cpl", "common accompanying", "the accompanying program is provided under the terms of this common public license"),
+    ("ipl", "ibm accompanying", "the accompanying program is provided under the terms of this ibm public license"),
+    ("zlib", "altered removed", "this notice may not be removed or altered from any source distribution"),
+    ("artistic", "artistic preamble", "the artistic license(?: 2 0)? (?:.{1,60} )?preamble"),
+    ("beerware", "retain stuff", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("json", "good evil", "the software shall be used for good not evil"),
+    ("unlicense", "compile distribute", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("openssl", "openssl includes", "this product includes (?:cryptographic )?software (?:developed|written) by the openssl project"),
+    ("php", "php includes", "this product includes php software freely available from"),
+    ("ruby", "verbatim restriction", "you may make and give away verbatim copies of the source form of (?:the|this) software without restriction"),
+    ("ofl", "goals font", "the goals of the open font license"),
+    ("ms-pl", "governs accompanying", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("eupl", "european provisions", "this european union public licence (?:.{1,120} )?applies to the work (?:.{1,80} )?provisions"),
+    ("afl", "academic applies", "this academic free license (?:.{1,60} )?applies to any original work of authorship"),
+    ("osl", "open applies", "this open software license (?:.{1,60} )?applies to any original work of authorship"),
+    ("upl", "condition larger", "subject to the condition set forth below permission is hereby granted (?:.{1,400} )?larger works?"),
+    ("bsl", "licensor production", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("sspl", "server october", "server side public license version 1 october 16 2018"),
+    ("elastic", "elastic acceptance", "elastic license 2 0 (?:.{1,80} )?acceptance by using the software you agree"),
+    ("odbl", "database available", "is made available under the open database license"),
+    ("hpnd", "supporting notice", "both that copyright notice and this permission notice appear in supporting documentation"),
+    ("cecill", "cecill french", "this software is governed by the cecill(?: [bc])? license under french law"),
+    ("ncsa", "university ncsa", "university of illinois (?:.{1,20} )?ncsa open source license"),
+    ("cc0", "deed dedicated", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by-sa", "remix contributions", "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by", "appropriate changes", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("isc", "software disclaims", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("proprietary", "unauthorized confidential", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential"),
+    ("proprietary", "confidential disclose", "confidential and proprietary information (?:.{1,120} )?shall not disclose such confidential information"),
 )
 HINTS = (
     ("public-domain", "public domain", "(?:in|into|to) the public domain"),
@@ -128,9 +170,9 @@ GRANTS = ("licensed", "licenced", "released", "distributed", "available", "publi
 
 
 def _all(words: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Needs of a rule whose words (one or two) must all occur."""
-    first, *rest = words.split(" ")
-    return (first,), tuple(rest or [first])
+    """Needs of a rule whose words (one or two, or one of several) must all occur."""
+    first, *rest = (tuple(w.split("|")) for w in words.split(" "))
+    return first, rest[0] if rest else first
 
 
 def rules() -> tuple[Rule, ...]:

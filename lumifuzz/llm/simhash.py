@@ -161,4 +161,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text
     named = common.cut(grouped.join(component, "root").select("fp", "n", "component_id"), "simhash-named")
     common.drop(nodes)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return common.join_counted(marked, named, "fp").select(key, hexed.alias("fingerprint"), "component_id")
+    return common.reads(common.join_counted(marked, named, "fp").select(key, hexed.alias("fingerprint"), "component_id"), marked, named)
