@@ -19,7 +19,8 @@ columns play no part in links; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +44,15 @@ _ODD = np.random.default_rng(20240305).integers(1 << 62, 1 << 63, (BANDS, ROWS +
 _AT_ONCE = 200_000
 
 
-def shingles(text: str) -> tuple[int, np.ndarray]:
-    """Digest of a text's words and its sorted distinct shingles."""
+def shingles(text: str, n: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """Digest of a text's words and its sorted distinct shingles of n words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     whole = xxh64_intdigest(b" ".join(words), SEED)
-    if len(words) <= SHINGLE:
+    if len(words) <= n:
         return whole, np.array([whole] if words else [], np.uint64)
-    return whole, np.unique(np.array([xxh64_intdigest(x, SEED) for x in map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))], np.uint64))
+    return whole, np.unique(np.array([xxh64_intdigest(x, SEED) for x in map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))], np.uint64))
 
 
 def _cells(sets: list[np.ndarray]) -> np.ndarray:
@@ -69,7 +70,18 @@ def _cells(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _marks(texts: list[str]) -> list[pa.Array]:
+@dataclass(frozen=True)
+class Scheme:
+    """Words of a shingle, and what gives the cells of sets (as rows) that candidates share."""
+
+    shingle: int = SHINGLE
+    cells: Callable[[list[np.ndarray]], np.ndarray] = _cells
+
+
+FIVE_WORDS = Scheme()
+
+
+def _marks(texts: list[str], scheme: Scheme) -> list[pa.Array]:
     """Node, number of shingles and cells of each text."""
     common.release()
     nodes, sizes = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
@@ -77,20 +89,20 @@ def _marks(texts: list[str]) -> list[pa.Array]:
     waiting: list[tuple[int, np.ndarray]] = []
     size = 0
     for i, t in enumerate(texts):
-        nodes[i], found = shingles(t)
+        nodes[i], found = shingles(t, scheme.shingle)
         sizes[i] = len(found)
         if len(found):
             waiting.append((i, found))
             size += len(found)
         if waiting and (size > _AT_ONCE or i + 1 == len(texts)):
-            for (at, _), row in zip(waiting, _cells([s for _, s in waiting]).view(np.int64).tolist(), strict=True):
+            for (at, _), row in zip(waiting, scheme.cells([s for _, s in waiting]).view(np.int64).tolist(), strict=True):
                 cells[at] = row
             waiting, size = [], 0
     return [pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(cells, pa.list_(pa.int64()))]
 
 
-def _sets(texts: list[str]) -> dict[str, pa.Array]:
-    return {"shingles": pa.array([shingles(t)[1].view(np.int64) for t in texts], pa.list_(pa.int64()))}
+def _sets(n: int) -> Callable[[list[str]], dict[str, pa.Array]]:
+    return lambda texts: {"shingles": pa.array([shingles(t, n)[1].view(np.int64) for t in texts], pa.list_(pa.int64()))}
 
 
 def similar(shared, one, other):
@@ -144,9 +156,9 @@ def _blocks(size, n):
     return F.greatest(F.lit(1), F.ceil(F.least(size / BLOCK, n / MEMBERS))).cast("long")
 
 
-def _open(members: DataFrame, found: DataFrame, cut) -> DataFrame:
+def _open(members: DataFrame, found: DataFrame, cut, made: list[DataFrame]) -> DataFrame:
     """The members of cells that are not settled by the links found: cell, node, root, apart, size, and both sides' numbers of blocks."""
-    placed = members.where("n > 2").join(components(found), "node", "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
+    placed = members.where("n > 2").join(components(found, made), "node", "left").select("cell", "node", "size", F.coalesce("root", "node").alias("root"))
     placed = cut(placed, "minhash-placed")
     # a row for each component in a cell, then one for each cell
     sized = placed.groupBy("cell", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("size").alias("least"), F.max("size").alias("most"))
@@ -174,7 +186,7 @@ def _between(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return both.join(sets, "node").groupBy("cell", "part", "block").applyInArrow(_search_between, "a long, b long")
 
 
-def links(marked: DataFrame, made: list[DataFrame]) -> DataFrame:
+def links(marked: DataFrame, made: list[DataFrame], shingle: int = SHINGLE) -> DataFrame:
     """Links (a, b) that join exactly the nodes that are similar and share a cell; marked: node, size, cells, words. made: gets the written tables that the links are read from."""
 
     def cut(df: DataFrame, name: str) -> DataFrame:
@@ -196,43 +208,52 @@ def links(marked: DataFrame, made: list[DataFrame]) -> DataFrame:
     needed = star.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.where("n > 2").select("node"))
     needed = cut(needed.distinct(), "minhash-needed")
     texts = common.filtered(marked.select("node", "words"), needed, "node", "left_semi").groupBy("node").agg(F.max("words").alias("words"))
-    sets = cut(common.map_texts(texts, _sets, "shingles array<long>", "node", "words"), "minhash-sets")
+    sets = cut(common.map_texts(texts, _sets(shingle), "shingles array<long>", "node", "words"), "minhash-sets")
     one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     alike = star.join(one, "a").join(other, "b").where(similar(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b")
     found = cut(alike, "minhash-links")
-    open_ = _open(members, found, cut)
+    open_ = _open(members, found, cut, made)
     return found if open_.isEmpty() else found.unionByName(_between(open_, sets))
 
 
-def _roots(marked: DataFrame) -> DataFrame:
+def _roots(marked: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, list[DataFrame]]:
+    """node and root, and the written tables that they are read from."""
     made: list[DataFrame] = []
-    out = components(links(marked, made))
+    held: list[DataFrame] = []
+    out = components(links(marked, made, shingle), held)
     common.drop(*made)
-    return out
+    return out, held
 
 
-def marked(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), words: bool = True) -> DataFrame:
+def marked(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), words: bool = True, scheme: Scheme = FIVE_WORDS) -> DataFrame:
     """keep (columns of docs), and node, size and cells of each text, with the text as words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in common.slices(batch, "_words"):
                 more = {"words": pa.array(texts, pa.string())} if words else {}
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_marks(texts), *more.values()], [*keep, "node", "size", "cells", *more])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_marks(texts, scheme), *more.values()], [*keep, "node", "size", "cells", *more])
 
     kind = StructType([docs.schema[c] for c in keep]).add("node", "long").add("size", "long").add("cells", ArrayType(LongType()))
     return docs.select(*keep, F.col(text).alias("_words")).mapInArrow(run, kind.add("words", "string") if words else kind)
 
 
+def grouped(docs: DataFrame, key: str, text: str, scheme: Scheme) -> DataFrame:
+    """_key, size (number of shingles) and component_id (the smallest key reachable over links) of each row; equal sequences of words are one node, the empty one as well."""
+    made = common.cut(marked(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_text", ("_key",), scheme=scheme), "minhash-nodes")
+    roots, held = _roots(made, scheme.shingle)
+    nodes = made.groupBy("node").agg(F.min("_key").alias("least"), F.count("*").alias("n")).withColumnRenamed("node", "own")
+    rooted = nodes.join(roots, nodes["own"] == roots["node"], "left").select("own", "least", "n", F.coalesce("root", "own").alias("root"))
+    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = common.cut(rooted.join(component, "root").select(F.col("own").alias("node"), "n", "component_id"), "minhash-named")
+    common.drop(*held)
+    return common.reads(common.join_counted(made.select("_key", "node", "size"), named, "node").select("_key", "size", "component_id"), made, named)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and component_id (the smallest key reachable over links)."""
-    made = common.cut(marked(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", ("_key",)), "minhash-nodes")
-    roots = _roots(made)
-    nodes = made.groupBy("node").agg(F.min("_key").alias("least"), F.count("*").alias("n")).withColumnRenamed("node", "own")
-    grouped = nodes.join(roots, nodes["own"] == roots["node"], "left").select("own", "least", "n", F.coalesce("root", "own").alias("root"))
-    component = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.cut(grouped.join(component, "root").select(F.col("own").alias("node"), "n", "component_id"), "minhash-named")
-    return common.reads(common.join_counted(made.select("_key", "node"), named, "node").select(F.col("_key").alias(key), "component_id"), made, named)
+    found = grouped(docs, key, text, FIVE_WORDS)
+    return common.reads(found.select(F.col("_key").alias(key), "component_id"), *found._lumifuzz_reads)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,11 +264,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     # the number of a row is made once, and written with it
     made = marked(numbered, "_text", ("_key", "_digest", "_whole"), words=False).withColumn("_row", F.monotonically_increasing_id())
     made = common.cut(made, "minhash-rows")
-    roots = _roots(made.select("node", "size", "cells", F.coalesce(F.col("_whole")[text], F.lit("")).alias("words")))
+    roots, held = _roots(made.select("node", "size", "cells", F.coalesce(F.col("_whole")[text], F.lit("")).alias("words")))
     order = F.struct(F.col("_key").isNull().alias("none"), "_key", "_digest", "_row")
     # first within each text, so that a text with a third of all rows is one row from each task
     least = made.groupBy("node").agg(F.min(order).alias("least")).withColumnRenamed("node", "own")
     grouped = least.join(roots, least["own"] == roots["node"], "left").select("least", F.coalesce("root", "own").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
     gone = common.cut(made.select("_row").join(kept, "_row", "left_anti"), "minhash-gone")
+    common.drop(*held)
     return common.reads(common.filtered(made.select("_row", "_whole"), gone, "_row", "left_anti").select("_whole.*"), made, gone)

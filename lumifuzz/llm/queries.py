@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumifuzz.llm import bpe, castore, common, decontam, licenses, linequality, quality, secretscan, simhash, tokencount, toxicity
+from lumifuzz.llm import bpe, castore, common, decontam, fastsketch, licenses, linequality, quality, secretscan, simhash, tokencount, toxicity
 
 TOKEN_LIMIT = 4096
 END_ID = 0
@@ -61,12 +61,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fastsketch.near_duplicates(common.documents(spark, sf_dir))
+
+
 def _with_fold(rated: DataFrame, mod: int, held_out: int) -> DataFrame:
     return rated.select("doc_id", (common.crc_mod("doc_id", mod) == held_out).alias("held_out"), "score", "predicted")
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_token_counts, op4_licenses, op5_toxicity, op6_line_quality, op7_content_store, op8_quality, op9_secrets, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_token_counts, op4_licenses, op5_toxicity, op6_line_quality, op7_content_store, op8_quality, op9_secrets, op10_simhash, op13_minhash)}
 
 
 def llm_oracle_sql() -> dict[str, str]:

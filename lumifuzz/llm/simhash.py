@@ -108,15 +108,18 @@ def neighbours(fp: Column) -> Column:
     return F.array(fp, *(fp.bitwiseXOR(_signed(1 << b)) for b in range(64)))
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that join exactly the distinct fingerprints (column fp) at most RADIUS bits apart; b is a fingerprint or a shared neighbour's value."""
+def links(nodes: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
+    """Links (a, b) that join exactly the distinct fingerprints (column fp) at most RADIUS bits apart; b is a fingerprint or a shared neighbour's value. made: gets the written tables that the links are read from."""
     # a node makes up to 65 rows here, so the nodes, few bytes each, are dealt to all cores first
     spread = nodes.select("fp").repartition(common.partitions(nodes.sparkSession), "fp")
     gridded = spread.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
     shared = common.cut(gridded.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "simhash-cells")
+    made = [] if made is None else made
+    made.append(shared)
     pairs = shared.where("n = 2").where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= RADIUS).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     crowded = shared.where("n > 2").select("cell")
     members = common.cut(gridded.join(crowded, "cell", "left_semi").select("fp").distinct(), "simhash-crowd")
+    made.append(members)
     near = members.repartition(common.partitions(nodes.sparkSession), "fp").select("fp", F.explode(neighbours(F.col("fp"))).alias("at"))
     met = near.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at")
     hubs = near.join(met, "at", "left_semi").select(F.col("fp").alias("a"), F.col("at").alias("b")).where("a <> b")
@@ -124,8 +127,8 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(hubs).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node it is connected to) for every node of edges (a, b): alternating large-star and small-star steps, each written to the shared folder, until nothing changes."""
+def components(edges: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
+    """node and root (the smallest node it is connected to) for every node of edges (a, b): alternating large-star and small-star steps, each written to the shared folder, until nothing changes. made: gets the written table that the result is read from."""
     now = common.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "simhash-edges")
     before, held = None, now
     while True:
@@ -144,6 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
+    if made is not None:
+        made.append(now)
     rooted = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
 
@@ -154,11 +159,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text
         raise ValueError("the grid is built for segments of 2 bits and a distance of 2")
     marked = common.cut(fingerprints(docs, shingle, key, text), "simhash-fingerprints")
     nodes = common.cut(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "simhash-nodes")
-    roots = components(links(nodes))
+    made: list[DataFrame] = []
+    held: list[DataFrame] = []
+    roots = components(links(nodes, made), held)
+    common.drop(*made)
     # nodes in no link are their own component; values that are only shared neighbours fall away here
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     component = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = common.cut(grouped.join(component, "root").select("fp", "n", "component_id"), "simhash-named")
-    common.drop(nodes)
+    common.drop(nodes, *held)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return common.reads(common.join_counted(marked, named, "fp").select(key, hexed.alias("fingerprint"), "component_id"), marked, named)
