@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumifuzz.llm import bpe, castore, common, decontam, divergence, fastsketch, licenses, linequality, quality, secretscan, simhash, tokencount, toxicity
+from lumifuzz.llm import bpe, castore, common, decontam, divergence, fastsketch, licenses, linequality, quality, secretscan, simhash, tokencount, toxicity, whitening
 
 TOKEN_LIMIT = 4096
 END_ID = 0
@@ -90,6 +90,10 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastsketch.near_duplicates(common.documents(spark, sf_dir))
 
@@ -99,7 +103,7 @@ def _with_fold(rated: DataFrame, mod: int, held_out: int) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_token_counts, op4_licenses, op5_toxicity, op6_line_quality, op7_content_store, op8_quality, op9_secrets, op10_simhash, op11_divergence, op13_minhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_token_counts, op4_licenses, op5_toxicity, op6_line_quality, op7_content_store, op8_quality, op9_secrets, op10_simhash, op11_divergence, op12_whitening, op13_minhash)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
