@@ -250,31 +250,50 @@ def _variable(feature: str, v: list[float], n: int, shape: str, kind: Kind, reso
     return Variable(feature, tuple(general))
 
 
-def validate_partitions(df: DataFrame, variables: Sequence[Variable], permutations: int = 1000, sample: int = 2000, p_needed: float = 0.05) -> dict[str, dict[str, bool]]:
-    """For each type-1 variable: at most one set is full at any value, every set is a fuzzy number that reaches 1, the sets cover all values, they are ordered at the ends of the domain, and neighbours differ (a permutation test of mean memberships, on a sample of at most `sample` rows). The first three are one aggregate over all rows."""
+def validate_partitions(df: DataFrame, variables: Sequence[Variable], permutations: int = 1000, sample: int = 2000, p_needed: float = 0.05, key: Sequence[str] = ()) -> dict[str, dict[str, bool]]:
+    """The six properties of each type-1 variable, and valid, which holds if all do.
+
+    one_full: at most one set is full at any value. fuzzy_numbers: every set reaches 1. covered: no value is outside all sets. ordered: the first set is full at the left end
+    of the domain and the last one at the right end. distinct: the memberships of neighbouring sets differ, by a permutation test of their
+    mean distance over the root of the product of their variances. The first three are one aggregate over all rows and all variables.
+
+    The test takes a sample of at most `sample` rows: those with the least hash of their key, which every task finds among its own rows before they
+    are merged. key: columns that tell rows apart; by default all columns together with the row's place, so that rows of equal values are drawn as often as others.
+    A row without a value belongs to no set. A table without rows has no distinct sets.
+    """
+    places = [(i, j) for i, v in enumerate(variables) for j in range(len(v))]
+    columns = [F.coalesce(F.expr(t), F.lit(0.0)).alias(f"m{i}_{j}") for i, v in enumerate(variables) for j, t in enumerate(v.texts())]
+    rows = df.select(*columns)
+    checks = []
+    for i, v in enumerate(variables):
+        m = [F.col(f"m{i}_{j}") for j in range(len(v))]
+        checks += [F.max(sum((F.when(x >= 1.0 - 1e-9, 1).otherwise(0) for x in m), F.lit(0))).alias(f"full{i}"), F.min(F.greatest(*m) if len(m) > 1 else m[0]).alias(f"least{i}")]
+    row = rows.agg(*checks, *(F.max(f"m{i}_{j}").alias(f"top{i}_{j}") for i, j in places)).first()
+    told = [F.col(f"`{c}`") for c in key] or [*(F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))), F.monotonically_increasing_id()]
+    drawn = df.select(*columns, F.xxhash64(F.lit(33), *told).alias("_draw")).orderBy("_draw").limit(sample).drop("_draw").collect()
+    drawn = np.array([list(r) for r in drawn], float).reshape(len(drawn), len(places))
     out = {}
-    for v in variables:
-        m = [F.coalesce(F.expr(t), F.lit(0.0)) for t in v.texts()]
-        full = sum((F.when(x >= 1.0 - 1e-9, 1).otherwise(0) for x in m), F.lit(0))
-        row = df.agg(F.max(full).alias("full"), F.min(F.greatest(*m) if len(m) > 1 else m[0]).alias("least"), *(F.max(x).alias(f"top{i}") for i, x in enumerate(m))).first()
-        known = {"one_full": (row["full"] or 0) <= 1, "covered": (row["least"] or 0) > 0, "fuzzy_numbers": all((row[f"top{i}"] or 0) > 0.99 for i in range(len(m)))}
+    for i, v in enumerate(variables):
+        known = {"one_full": (row[f"full{i}"] or 0) <= 1, "covered": (row[f"least{i}"] or 0) > 0, "fuzzy_numbers": all((row[f"top{i}_{j}"] or 0) > 0.99 for j in range(len(v)))}
         if v.domain and hasattr(v.sets[0], "at"):
-            ends = np.array([[float(np.asarray(s.at(np.array([e]))).ravel()[0]) for s in v.sets] for e in v.domain])
-            known["ordered"] = bool(ends[0].argmax() == 0 and ends[1].argmax() == len(m) - 1)
-        rows = np.array([list(r) for r in df.select(*m).orderBy(F.xxhash64(q.name(v.name))).limit(sample).collect()], float)
-        known["distinct"] = all(_differs(rows[:, i], rows[:, i + 1], permutations) < p_needed for i in range(len(m) - 1)) if len(rows) else False
+            first, last = (float(np.asarray(s.at(np.array([e]))).ravel()[0]) for s, e in ((v.sets[0], v.domain[0]), (v.sets[-1], v.domain[1])))
+            known["ordered"] = first >= 0.99 and last >= 0.99
+        own = drawn[:, [k for k, (place, _) in enumerate(places) if place == i]]
+        known["distinct"] = len(own) > 1 and all(permutation_p(own[:, j], own[:, j + 1], permutations) < p_needed for j in range(len(v) - 1))
         out[v.name] = known | {"valid": all(known.values())}
     return out
 
 
-def _differs(a: np.ndarray, b: np.ndarray, permutations: int) -> float:
-    """p-value of the largest gap between sorted memberships under exchange of the two sets, row by row."""
-    draw = np.random.default_rng(33)
-    d = a - b
-    seen = np.abs(d).mean()
-    both = np.concatenate([a, b])
-    hits = 0
-    for _ in range(permutations):
-        s = draw.permutation(both)
-        hits += np.abs(s[: len(a)] - s[len(a) :]).mean() >= seen
-    return (hits + 1) / (permutations + 1)
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean distance of paired memberships over the root of the product of their variances, of each row of pairs."""
+    return np.abs(a - b).mean(axis=-1) / (np.sqrt(a.var(axis=-1, ddof=1) * b.var(axis=-1, ddof=1)) + 1e-10)
+
+
+def permutation_p(a: np.ndarray, b: np.ndarray, permutations: int = 1000, seed: int = 33) -> float:
+    """Two-sided p-value of how far apart two sets' memberships of the same rows are, where all memberships are dealt to both sets anew."""
+    draw = np.random.default_rng(seed)
+    seen, both = _apart(a, b), np.concatenate([a, b])
+    null = np.array([_apart(*np.split(draw.permutation(both), 2)) for _ in range(permutations)])
+    near = 1e-12 * abs(seen)
+    low, high = ((null <= seen + near).sum() + 1) / (permutations + 1), ((null >= seen - near).sum() + 1) / (permutations + 1)
+    return float(min(1.0, 2 * min(low, high)))

@@ -117,6 +117,14 @@ def three_trapezoid_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memberships(spark, sf_dir, "three_trapezoid")
 
 
+#: Whether neighbouring sets differ, without chance: by how far the mean distance of their memberships is from the mean distance of any two of both sets' memberships, each over the root of the product of variances.
+_DISTINCT_PAIRS = " union all ".join(
+    f"select '{x}' as feature, {j} as pair, {v}{j} as one, {v}{j + 1} as other from m" for v, x in o.LETTERS.items() for j in range(2)
+)
+_DISTINCT = f"""pr as ({_DISTINCT_PAIRS}), se as (select feature, pair, avg(abs(one - other)) / sqrt(var_samp(one) * var_samp(other)) as seen from pr group by 1, 2),
+ po as (select feature, pair, v, row_number() over (partition by feature, pair order by v) as r, count(*) over (partition by feature, pair) as n from (select feature, pair, one as v from pr union all select feature, pair, other from pr)),
+ nu as (select feature, pair, 2 * sum((2.0 * r - n - 1) * v) / (max(n) * (max(n) - 1.0)) / var_samp(v) as expected from po group by 1, 2),
+ di as (select feature, min(abs(seen / expected - 1)) > 0.2 as "distinct" from se join nu using (feature, pair) group by feature)"""
 _CHECKS = " union all ".join(
     f"""select '{x}' as feature, max(cast({v}0 >= 1 - 1e-9 as int) + cast({v}1 >= 1 - 1e-9 as int) + cast({v}2 >= 1 - 1e-9 as int)) <= 1 as one_full, min(greatest({v}0, {v}1, {v}2)) > 0 as covered,
  (select {v}[1] <= {v}[2] and {v}[5] <= {v}[6] and {v}[1] < {v}[6] from q) as ordered, least(max({v}0), max({v}1), max({v}2)) > 0.99 as fuzzy_numbers from m"""
@@ -124,12 +132,13 @@ _CHECKS = " union all ".join(
 )
 
 
-@query(f"with {o.memberships()} {_CHECKS}")
+@query(f"""with {o.memberships()}, {_DISTINCT}, ch as ({_CHECKS}) select ch.*, "distinct", one_full and covered and ordered and fuzzy_numbers and "distinct" as valid from ch join di using (feature)""")
 def partition_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The validity properties that hold or fail without chance."""
+    """All six validity properties and the verdict."""
     df = table(spark, sf_dir, "lineitem")
-    found = validate_partitions(df, fit_partitions(df, FEATURES), permutations=20)
-    return spark.createDataFrame([(f, x["one_full"], x["covered"], x["ordered"], x["fuzzy_numbers"]) for f, x in found.items()], "feature string, one_full boolean, covered boolean, ordered boolean, fuzzy_numbers boolean")
+    names = ("one_full", "covered", "ordered", "fuzzy_numbers", "distinct", "valid")
+    found = validate_partitions(df, fit_partitions(df, FEATURES))
+    return spark.createDataFrame([(f, *(bool(x[n]) for n in names)) for f, x in found.items()], "feature string, " + ", ".join(f"{n} boolean" for n in names))
 
 
 @query("select c_mktsegment as value, count(*) as n, round(sum(c_acctbal), 2) as acctbal from customer where c_mktsegment is not null group by c_mktsegment")

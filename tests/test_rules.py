@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumifuzz.functions.membership import Kind, Trapezoid, Variable
 from lumifuzz.operators import rule_quality as rq
-from lumifuzz.operators.partitions import crisp, even, fit_partitions, quantiles, validate_partitions
+from lumifuzz.operators.partitions import crisp, even, fit_partitions, permutation_p, quantiles, validate_partitions
 from lumifuzz.operators.rules import Rule, RuleBase, RuleError, forward, infer_interval, infer_type1, rule_base
 
 SETS = (Trapezoid("Low", (0, 0, 0.3, 0.5), domain=(0, 1)), Trapezoid("Medium", (0.3, 0.5, 0.5, 0.7), domain=(0, 1)), Trapezoid("High", (0.5, 0.7, 1, 1), domain=(0, 1)))
@@ -223,3 +223,27 @@ def test_type_reduction_of_many_rows_is_that_of_each():
     c = np.array([0.2, 0.2, 0.5, 0.5, 0.8, 0.8])
     lo, hi = consequent_centroids(firing, np.stack([c, c], axis=1))
     assert np.allclose(lo, [one(f, c, 1) for f in firing]) and np.allclose(hi, [one(f, c, 0) for f in firing])
+
+
+def test_few_values_are_sampled_row_by_row(spark):
+    """A column of nine values: a sample by the value's own hash would be the rows of one or two of them."""
+    rows = spark.range(6000).selectExpr("(id % 9) / 100.0 as tax", "id as key")
+    variables = fit_partitions(rows, ["tax"])
+    got = validate_partitions(rows, variables)["tax"]
+    assert got["distinct"] and got["valid"]
+    assert validate_partitions(rows, variables, key=["key"])["tax"] == got
+    assert not validate_partitions(rows.where("key < 0"), variables)["tax"]["valid"]
+
+
+def test_sets_of_equal_memberships_are_not_distinct(spark):
+    rows = spark.range(500).selectExpr("id / 500.0 as a")
+    flat = Trapezoid("x", (-1.0, 0.0, 1.0, 2.0), domain=(0.0, 1.0))
+    got = validate_partitions(rows, [Variable("a", (flat, Trapezoid("y", (-1.0, 0.0, 1.0, 2.0), domain=(0.0, 1.0))))], permutations=200)["a"]
+    assert not got["distinct"] and not got["one_full"] and got["covered"]
+
+
+def test_permutation_p_of_the_definition():
+    draw = np.random.default_rng(0)
+    same = draw.random(400)
+    assert permutation_p(same, draw.random(400), 300) > 0.05
+    assert permutation_p(same, 1 - same, 300) < 0.05
