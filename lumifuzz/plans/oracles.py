@@ -197,3 +197,18 @@ def general(v: str) -> str:
     inside = f"case when lo = hi then case when u = lo then 1 else 0 end when u <= {peak} then (u - lo) / ({peak} - lo) else (hi - u) / (hi - {peak}) end"
     reached = f"select x{v}, label, alpha, min(u) as first, max(u) as last from g_{v}, un, al where {inside} >= alpha - 0.000000001 group by 1, 2, 3"
     return f"g_{v} as ({rows}), r_{v} as ({reached}), cut_{v} as (select g.x{v} as value, g.label, al.alpha, coalesce(first, 0) as lo, coalesce(last, 0) as hi from g_{v} g cross join al left join r_{v} r on r.x{v} = g.x{v} and r.label = g.label and r.alpha = al.alpha)"
+
+
+def shaped(steps: dict[str, tuple[int, ...]]) -> str:
+    """CTEs up to f: the rules' strengths over partitions whose eleven steps (each plus one) divide a feature's range; the corners are the first eight points, counted from 0. Low is full up to the second and ends at the third, Medium stands on the second to the fifth, High rises from the fourth to the fifth."""
+    ends = "d as (select " + ", ".join(f"min({x}) as {v}lo, max({x}) - min({x}) as {v}w" for v, x in LETTERS.items()) + " from lineitem)"
+    corners = []
+    for v, own in steps.items():
+        total = sum(own) + len(own)
+        corners += [f"{v}lo + {v}w * ({sum(own[:k]) + k}.0 / {total}) as {v}_{k}" for k in (2, 3, 4, 5)]
+    sets = []
+    for v, x in LETTERS.items():
+        sets.append(f"case when {x} <= {v}_2 then 1 when {x} >= {v}_3 then 0 else ({v}_3 - {x}) / ({v}_3 - {v}_2) end as {v}0")
+        sets.append(f"case when {x} <= {v}_2 or {x} >= {v}_5 then 0 when {x} < {v}_3 then ({x} - {v}_2) / ({v}_3 - {v}_2) when {x} <= {v}_4 then 1 else ({v}_5 - {x}) / ({v}_5 - {v}_4) end as {v}1")
+        sets.append(f"case when {x} >= {v}_5 then 1 when {x} <= {v}_4 then 0 else ({x} - {v}_4) / ({v}_5 - {v}_4) end as {v}2")
+    return f"{ends}, k0 as (select {', '.join(corners)} from d), m as (select {CLASS} as y, {', '.join(sets)} from lineitem, k0), f as (select y, {PRODUCTS} from m)"

@@ -848,6 +848,37 @@ def population_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "base long, fitness double").withColumn("fitness", F.round("fitness", 6))
 
 
+#: Genes of three partitions: eleven steps for each feature.
+SHAPES = tuple({v: tuple((7 * g + 13 * (11 * i + j)) % 40 for j in range(11)) for i, v in enumerate(o.LETTERS)} for g in range(3))
+_VOTES = {
+    "winner": f"case greatest({', '.join(f'f{i} * s{i}' for i in range(6))}) " + " ".join(f"when f{i} * s{i} then {c}" for i, (_, c) in enumerate(RULES)) + " end",
+    "additive": "case greatest(f0 + f1, f2 + f3, f4 + f5) when f0 + f1 then 0 when f2 + f3 then 1 else 2 end",
+}
+
+
+def _shaped_sql() -> str:
+    """For each individual and vote: rules scored by support times confidence, predictions, correlation."""
+    rows = []
+    for g, steps in enumerate(SHAPES):
+        scores = ", ".join(f"coalesce(sum(case when y = {c} then f{i} end) / count(*) * (sum(case when y = {c} then f{i} end) / nullif(sum(f{i}), 0)), 0) as s{i}" for i, (_, c) in enumerate(RULES))
+        for vote, said in _VOTES.items():
+            rows.append(f"select cast({g} as bigint) as individual, '{vote}' as vote, (with {o.shaped(steps)}, sc as (select {scores} from f), k as (select y as actual, {said} as predicted, count(*) as n from f, sc group by 1, 2), {o.MERIT} select round(mcc, 6) from merit) as fitness")
+    return " union all ".join(rows)
+
+
+@query(_shaped_sql)
+def shaped_population_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three individuals with partitions of their own, rated together under both votes: two jobs for the first, one for the second."""
+    df = table(spark, sf_dir, "lineitem")
+    low = df.agg(*(x for f in FEATURES for x in (F.min(f), F.max(f)))).first()
+    genes = evolve.PartitionGenes(tuple((f, float(low[2 * i]), float(low[2 * i + 1])) for i, f in enumerate(FEATURES)), 3)
+    bases = [RuleBase(genes.decode(np.array([x for own in steps.values() for x in own])), _rules(), CLASSES) for steps in SHAPES]
+    rows = evolve.Population(df, None, LABEL, CLASSES, features=FEATURES)
+    found = [(i, vote, v) for vote in _VOTES for i, v in enumerate(rows.rate(bases, vote=vote, scores=False)[0])]
+    rows.uncache()
+    return spark.createDataFrame(found, "individual long, vote string, fitness double").withColumn("fitness", F.round("fitness", 6))
+
+
 @query(f"with {o.fired()} select winner, count(*) as n from w group by 1")
 def decoded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winners of a rule base that went through its gene."""
