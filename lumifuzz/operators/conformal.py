@@ -1,8 +1,8 @@
 """Conformal prediction over a rule base: calibrated p-values, prediction sets and their coverage.
 
-Scores are between 0 and 1 and are told apart in STEPS steps, far finer than a p-value can show. So a calibration is one aggregate, and what
-reaches the driver and goes back to the executors is at most STEPS + 1 numbers a class, however many rows there are. A row's rank among
-them is a binary search, for a whole Arrow batch at once.
+A calibration is a written table of scores, told apart to the last bit and counted: by class the nonconformity of its rows, by rule its strengths on the rows
+of its class. A row's rank among them comes from one exact rank join (`ranks`), for any number of calibration rows and of new rows. What reaches the driver is
+one number for each class and rule, and one for each range of scores.
 """
 
 from __future__ import annotations
@@ -11,23 +11,43 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumifuzz.functions import sqltext as q
+from lumifuzz.operators import ranks
+from lumifuzz.operators.partitions import at_ranks
 from lumifuzz.operators.rule_quality import class_place
 from lumifuzz.operators.rules import RuleBase
+from lumifuzz.sources import shared
 
 SCORES = ("membership", "association", "entropy")
-STEPS = 1_000_000
 
 
-def split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(training, calibration) rows, by a hash of the key: the same rows at every run, about the same share of every class."""
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000))
-    return df.where(place >= int(share * 10_000)), df.where(place < int(share * 10_000))
+def draw(key: str, seed: int = 42) -> Column:
+    """A whole number below 2 ** 52 from a key's text, as a double."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double")
+
+
+def split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42, label: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(training, calibration) rows, the same at every run.
+
+    label: exactly that share (rounded to whole rows) of each class, found as the row of that rank by a draw from the key, which must tell rows apart; rows without a class are for training. Without
+    a label, about the share of all rows. A null key draws like an empty one.
+    """
+    drawn = df.withColumn("_draw", F.coalesce(draw(key, seed), F.lit(0.0)))
+    if label is None:
+        held = F.col("_draw") < share * 2.0**52
+    else:
+        counts = [(r[label], r["count"]) for r in df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(label).collect()]  # a row for each class
+        wanted = [(c, round(share * n)) for c, n in counts if round(share * n)]
+        values = drawn.select(*(F.when(F.col(label) == c, F.col("_draw")).alias(f"v{i}") for i, (c, _) in enumerate(wanted)))
+        found = at_ranks(values, [n - 1 for _, n in wanted])
+        held = F.lit(False)
+        for (c, _), most in zip(wanted, found, strict=True):
+            held = held | ((F.col(label) == c) & (F.col("_draw") <= most))
+        held = F.coalesce(held, F.lit(False))
+    return drawn.where(~held).drop("_draw"), drawn.where(held).drop("_draw")
 
 
 def score_text(base: RuleBase, kind: str, c: int) -> str:
@@ -45,115 +65,104 @@ def score_text(base: RuleBase, kind: str, c: int) -> str:
     raise ValueError(f"unknown score: {kind}")
 
 
-@dataclass(frozen=True)
-class Ranks:
-    """Ascending steps that some rows score, and at each how many rows score as much or more (or: or less)."""
-
-    at: np.ndarray
-    n: np.ndarray
-    rows: int
-
-    @classmethod
-    def at_least(cls, counts: dict[int, int]) -> Ranks:
-        at = np.array(sorted(counts), np.int64)
-        n = np.array([counts[k] for k in at.tolist()], np.int64)
-        return cls(at, np.cumsum(n[::-1])[::-1], int(n.sum()))
-
-    @classmethod
-    def at_most(cls, counts: dict[int, int]) -> Ranks:
-        at = np.array(sorted(counts), np.int64)
-        n = np.cumsum(np.array([counts[k] for k in at.tolist()], np.int64))
-        return cls(at, n, int(n[-1]) if len(n) else 0)
-
-    def above(self, score: Column) -> Column:
-        """How many rows score as much as a row or more."""
-        at, n = self.at, np.append(self.n, 0)
-
-        @F.pandas_udf("long")
-        def rank(s: pd.Series) -> pd.Series:
-            return pd.Series(n[np.searchsorted(at, s.to_numpy(), "left")])
-
-        return rank(_place(score))
-
-    def below(self, score: Column) -> Column:
-        """How many rows score as much as a row or less."""
-        at, n = self.at, np.insert(self.n, 0, 0)
-
-        @F.pandas_udf("long")
-        def rank(s: pd.Series) -> pd.Series:
-            return pd.Series(n[np.searchsorted(at, s.to_numpy(), "right")])
-
-        return rank(_place(score))
-
-
 @dataclass(frozen=True)
 class Calibrated:
     base: RuleBase
     kind: str
-    #: For each class, the scores of its rows.
-    ranks: tuple[Ranks, ...]
-    #: For each rule, its strengths on the rows of its class.
-    rule_ranks: tuple[Ranks, ...] = ()
+    #: group, value, n: groups below the number of classes are classes, those after them rules.
+    scores: DataFrame
+    #: Calibration rows of each group.
+    rows: tuple[int, ...]
+
+    def forget(self) -> None:
+        """Deletes the written scores."""
+        shared.drop(self.scores)
 
 
-def _place(score: Column) -> Column:
-    return F.round(score * STEPS).cast("long")
+def _values(columns: Sequence[tuple[int, str]], when: Sequence[Column] | None = None) -> Column:
+    """An array of (group, value) for inline(); when: where each of them counts."""
+    made = [F.struct(F.lit(g).alias("group"), (F.expr(x) + F.lit(0.0)).alias("value")) for g, x in columns]
+    return F.array(*made) if when is None else F.filter(F.array(*(F.when(w, x) for w, x in zip(when, made, strict=True))), lambda x: x.isNotNull())
 
 
 def calibrate(df: DataFrame, base: RuleBase, label: str, kind: str = "membership", coded: bool = False, with_rules: bool = True) -> Calibrated:
-    """Counts the scores of each class, step by step, in one aggregate, and in another the strengths of each rule on the rows of its class."""
-    y = F.col(label).cast("int") if coded else class_place(label, base.classes)
+    """Counts the scores of each class, and the strengths of each rule on the rows of its class, in one aggregate."""
+    y, k = F.col(label).cast("int") if coded else class_place(label, base.classes), len(base.classes)
     made = base.with_classes(df).withColumn("_y", y).where("_y is not null")
-    own = F.lit(None)
-    for c in range(len(base.classes)):
-        own = F.when(F.col("_y") == c, _place(F.expr(score_text(base, kind, c)))).otherwise(own)
-    by: dict[int, dict[int, int]] = {}
-    for r in made.groupBy("_y", own.alias("s")).count().collect():
-        by.setdefault(r["_y"], {})[r["s"]] = r["count"]
-    rules = []
+    columns, when = [(c, score_text(base, kind, c)) for c in range(k)], [F.col("_y") == c for c in range(k)]
     if with_rules:
-        strengths = F.array(*(F.when(F.col("_y") == r.consequent, _place(F.col(f"_f{i}"))) for i, r in enumerate(base.rules)))
-        seen: dict[int, dict[int, int]] = {}
-        for r in made.select(F.posexplode(strengths).alias("rule", "s")).where("s is not null").groupBy("rule", "s").count().collect():
-            seen.setdefault(r["rule"], {})[r["s"]] = r["count"]
-        rules = [Ranks.at_most(seen.get(i, {})) for i in range(len(base))]
-    return Calibrated(base, kind, tuple(Ranks.at_least(by.get(c, {})) for c in range(len(base.classes))), tuple(rules))
+        columns += [(k + i, f"_f{i}") for i in range(len(base))]
+        when += [F.col("_y") == r.consequent for r in base.rules]
+    each = made.select(F.inline(_values(columns, when)))
+    scores = shared.cut(each.groupBy("group", "value").agg(F.count("*").alias("n")), "conformal-scores")
+    found = {r["group"]: r["n"] for r in scores.groupBy("group").agg(F.sum("n").alias("n")).collect()}
+    return Calibrated(base, kind, scores, tuple(found.get(g, 0) for g in range(k + (len(base) if with_rules else 0))))
+
+
+def _ranked(df: DataFrame, cal: Calibrated, kind: str, rules: bool = False) -> DataFrame:
+    """df, _at_least (for each class the calibration rows that score as much as a row or more) and, for rules, _strengths and _at_most (the calibration rows on which each rule fired as strongly or less)."""
+    base, k = cal.base, len(cal.base.classes)
+    made = base.with_classes(df)
+    columns = [(c, score_text(base, kind, c)) for c in range(k)]
+    strengths = F.array(*(F.col(f"_f{i}") for i in range(len(base))))
+    if rules:
+        columns += [(k + i, f"_f{i}") for i in range(len(base))]
+    # written, so that a row keeps its number
+    kept = made.select(*(F.col(f"`{c}`") for c in df.columns), _values(columns).alias("_values"), *([strengths.alias("_strengths")] if rules else []), F.monotonically_increasing_id().alias("_row"))
+    kept = shared.cut(kept, "conformal-rows")
+    # rules that do not fire are asked for nothing
+    asked = kept.select(F.col("_row").alias("row"), F.inline("_values")).where((F.col("group") < k) | (F.col("value") > 0))
+    scores = cal.scores if rules else cal.scores.where(F.col("group") < k)
+    found, _ = ranks.rank(scores, asked, F.col("group") >= k)
+    of = lambda g: F.max(F.when(F.col("group") == g, F.col("n")))
+    at_least = F.array(*(F.lit(cal.rows[c]) - of(c) for c in range(k))).alias("_at_least")
+    at_most = F.array(*(of(k + i) for i in range(len(base)))).alias("_at_most")
+    by_row = found.groupBy("row").agg(at_least, *([at_most] if rules else [])).withColumnRenamed("row", "_row")
+    return kept.drop("_values").join(by_row, "_row").drop("_row")
+
+
+def _p_values(ranked: DataFrame, cal: Calibrated) -> Column:
+    return F.array(*((F.col("_at_least")[c] + 1) / F.lit(float(n + 1)) if n else F.lit(0.0) for c, n in enumerate(cal.rows[: len(cal.base.classes)]))).alias("p_values")
 
 
 def p_values(df: DataFrame, cal: Calibrated, kind: str = "membership") -> DataFrame:
     """df and p_values: for each class (calibration rows with at least the score + 1) / (rows + 1); 0 for a class that was not seen. New rows are scored by membership unless another kind is asked for."""
-    out = [(ranks.above(F.expr(score_text(cal.base, kind, c))) + 1) / F.lit(float(ranks.rows + 1)) if ranks.rows else F.lit(0.0) for c, ranks in enumerate(cal.ranks)]
-    return cal.base.with_classes(df).select(*(F.col(f"`{c}`") for c in df.columns), F.array(*out).alias("p_values"))
+    ranked = _ranked(df, cal, kind)
+    return ranked.select(*(F.col(f"`{c}`") for c in df.columns), _p_values(ranked, cal))
 
 
-def predict_set(df: DataFrame, cal: Calibrated, alpha: float = 0.1, kind: str = "membership") -> DataFrame:
-    """df, p_values and prediction_set: the places of the classes whose p-value is above alpha."""
-    made = p_values(df, cal, kind)
+def _with_set(made: DataFrame, alpha: float) -> DataFrame:
     placed = F.filter(F.transform("p_values", lambda p, i: F.when(p > alpha, i)), lambda x: x.isNotNull())
     return made.withColumn("prediction_set", placed)
 
 
+def predict_set(df: DataFrame, cal: Calibrated, alpha: float = 0.1, kind: str = "membership") -> DataFrame:
+    """df, p_values and prediction_set: the places of the classes whose p-value is above alpha."""
+    return _with_set(p_values(df, cal, kind), alpha)
+
+
 def predict_set_with_rules(df: DataFrame, cal: Calibrated, alpha: float = 0.1) -> DataFrame:
     """predict_set and contributions: the firing rules, the strongest first, with the share of calibration rows of their class on which they fired at most as strongly."""
-    base = cal.base
+    base, k = cal.base, len(cal.base.classes)
+    if len(cal.rows) < k + len(base):
+        raise ValueError("calibrate with the rules first")
+    ranked = _ranked(df, cal, "membership", rules=True)
     said = []
-    for i, (r, ranks) in enumerate(zip(base.rules, cal.rule_ranks, strict=True)):
-        strength = F.col("_strengths")[i]
-        sure = ranks.below(strength) / F.lit(float(ranks.rows)) if ranks.rows else F.lit(0.0)
-        said.append(F.struct(strength.alias("strength"), F.lit(-i).alias("order"), F.lit(i).alias("rule"), F.lit(r.consequent).alias("class"), sure.alias("confidence")))
-    fired = base.firing(df).withColumnRenamed("firing", "_strengths")
+    for i, r in enumerate(base.rules):
+        n = cal.rows[k + i]
+        sure = F.col("_at_most")[i] / F.lit(float(n)) if n else F.lit(0.0)
+        said.append(F.struct(F.col("_strengths")[i].alias("strength"), F.lit(-i).alias("order"), F.lit(i).alias("rule"), F.lit(r.consequent).alias("class"), sure.alias("confidence")))
     ordered = F.sort_array(F.filter(F.array(*said), lambda x: x["strength"] > 0), asc=False)
-    made = fired.withColumn("contributions", F.transform(ordered, lambda x: F.struct(x["rule"].alias("rule"), x["class"].alias("class"), x["strength"].alias("strength"), x["confidence"].alias("confidence")))).drop("_strengths")
-    return predict_set(made, cal, alpha)
+    contributions = F.transform(ordered, lambda x: F.struct(x["rule"].alias("rule"), x["class"].alias("class"), x["strength"].alias("strength"), x["confidence"].alias("confidence")))
+    return _with_set(ranked.select(*(F.col(f"`{c}`") for c in df.columns), contributions.alias("contributions"), _p_values(ranked, cal)), alpha)
 
 
 def calibration_info(cal: Calibrated) -> list[dict]:
     """By class: rows, and the mean, least and greatest score."""
-    out = []
-    for name, r in zip(cal.base.classes, cal.ranks, strict=True):
-        n = -np.diff(np.append(r.n, 0))
-        out.append({"class": name, "rows": r.rows, "mean": float((r.at * n).sum()) / r.rows / STEPS if r.rows else None, "least": float(r.at[0]) / STEPS if r.rows else None, "most": float(r.at[-1]) / STEPS if r.rows else None})
-    return out
+    k = len(cal.base.classes)
+    found = cal.scores.where(F.col("group") < k).groupBy("group").agg(F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    by = {r["group"]: r for r in found.collect()}
+    return [{"class": name, "rows": by[c]["rows"] if c in by else 0, **{x: by[c][x] if c in by else None for x in ("mean", "least", "most")}} for c, name in enumerate(cal.base.classes)]
 
 
 def coverage(df: DataFrame, cal: Calibrated, label: str, alpha: float = 0.1, coded: bool = False) -> tuple[dict[str, float], dict[str, float]]:
@@ -178,7 +187,7 @@ class ConformalClassifier:
         self.base, self.estimator, self.score_type, self.calibrated = base, estimator, score_type, None
 
     def fit(self, df: DataFrame, label: str, key: str, share: float = 0.2, **options) -> ConformalClassifier:
-        train, rest = split(df, key, share)
+        train, rest = split(df, key, share, label=label)
         if self.estimator is not None:
             self.base = self.estimator.fit(train, label=label, **options).base
         return self.calibrate(rest, label)

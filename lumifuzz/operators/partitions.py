@@ -64,6 +64,15 @@ def quantiles(df: DataFrame, features: Sequence[str], probabilities: Sequence[fl
     return out
 
 
+def at_ranks(values: DataFrame, ranks: Sequence[int]) -> list[float]:
+    """The value of rank ranks[i], from 0, among those of column v<i> that are not null."""
+    if not ranks:
+        return []
+    row = values.agg(*(x for i in range(len(ranks)) for x in (F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"least{i}"), F.max(f"v{i}").alias(f"most{i}")))).first()
+    found = _select(values, {(i, r): (row[f"least{i}"], row[f"most{i}"]) for i, r in enumerate(ranks)}, {i: row[f"n{i}"] for i in range(len(ranks))})
+    return [found[i, r] for i, r in enumerate(ranks)]
+
+
 def _ranks(p: float, n: int) -> tuple[int, int]:
     """The ranks, from 0, between which a quantile lies."""
     return int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1)))

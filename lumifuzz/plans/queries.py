@@ -699,11 +699,11 @@ def _calibrated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, conformal.
     return df, conformal.calibrate(df.where("l_orderkey % 5 = 0"), base, LABEL)
 
 
-_SCORES = ", ".join(f"cast(round((1 - {x}) * {conformal.STEPS}) as bigint) as s{c}" for c, x in enumerate(o.CLASS_BEST))
+_SCORES = ", ".join(f"1 - {x} as s{c}" for c, x in enumerate(o.CLASS_BEST))
 _RANKS = ", ".join(f"r{c} as (select s, sum(n) over (order by s desc) as n, sum(n) over () as total from (select s{c} as s, count(*) as n from e where l_orderkey % 5 = 0 and y = {c} group by 1))" for c in range(3))
 _PS = ", ".join(f"(coalesce(x{c}.n, 0) + 1) / (t{c}.total + 1) as p{c}" for c in range(3))
 _MET = " ".join(f"cross join (select any_value(total) as total from r{c}) t{c} asof left join r{c} x{c} on e.s{c} <= x{c}.s" for c in range(3))
-#: Up to p: the p-values of every row outside the calibration part, which is every fifth order.
+#: Up to p: the p-values of every row outside the calibration part, which is every fifth order. Scores are compared as they are.
 _CONFORMAL = f"with {o.fired()}, e as materialized (select *, {_SCORES} from w), {_RANKS}, p as (select e.*, {_PS} from e {_MET} where l_orderkey % 5 <> 0)"
 _SET_SIZE = "(case when p0 > 0.3 then 1 else 0 end) + (case when p1 > 0.3 then 1 else 0 end) + (case when p2 > 0.3 then 1 else 0 end)"
 
@@ -730,8 +730,8 @@ def conformal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(total["coverage"], total["average_set_size"])], "coverage double, average_set_size double").withColumns({c: F.round(c, 6) for c in ("coverage", "average_set_size")})
 
 
-_FIRED_RANKS = " union all ".join(f"select {i} as rule, cast(round(f{i} * {conformal.STEPS}) as bigint) as s, count(*) as n from w where l_orderkey % 5 = 0 and y = {c} group by 2" for i, (_, c) in enumerate(RULES))
-_FIRED = " union all ".join(f"select {i} as rule, cast(round(f{i} * {conformal.STEPS}) as bigint) as s from w where l_orderkey % 5 <> 0 and f{i} > 0" for i in range(6))
+_FIRED_RANKS = " union all ".join(f"select {i} as rule, f{i} as s, count(*) as n from w where l_orderkey % 5 = 0 and y = {c} group by 2" for i, (_, c) in enumerate(RULES))
+_FIRED = " union all ".join(f"select {i} as rule, f{i} as s from w where l_orderkey % 5 <> 0 and f{i} > 0" for i in range(6))
 
 
 @query(f"""with {o.fired()}, c as (select rule, s, sum(n) over (partition by rule order by s) as n, sum(n) over (partition by rule) as total from ({_FIRED_RANKS})), f2 as ({_FIRED})
@@ -752,6 +752,19 @@ def calibration_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "class string, rows long, mean double, least double, most double").withColumns({c: F.round(c, 4) for c in ("mean", "least", "most")})
 
 
+_SPLIT_DRAW = "cast('0x' || substr(md5('42|' || cast(o_orderkey as varchar)), 1, 13) as bigint)"
+
+
+@query(f"""with d as (select o_orderkey, o_orderpriority, row_number() over (partition by o_orderpriority order by {_SPLIT_DRAW}) as r, count(*) over (partition by o_orderpriority) as n from orders where o_orderpriority is not null)
+ select o_orderpriority, count(*) filter (r <= round_even(0.2 * n, 0)) as calibration, count(*) filter (r > round_even(0.2 * n, 0)) as training, cast(sum(o_orderkey) filter (r <= round_even(0.2 * n, 0)) as bigint) as keys from d group by 1""")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly a fifth of the orders of each priority for calibration."""
+    train, held = conformal.split(table(spark, sf_dir, "orders"), "o_orderkey", 0.2, label="o_orderpriority")
+    both = held.withColumn("held", F.lit(1)).unionByName(train.withColumn("held", F.lit(0)))
+    counts = [F.sum((F.col("held") == x).cast("long")).alias(name) for x, name in ((1, "calibration"), (0, "training"))]
+    return both.groupBy("o_orderpriority").agg(*counts, F.sum(F.when(F.col("held") == 1, F.col("o_orderkey"))).alias("keys"))
+
+
 # validation, search, graphs
 
 

@@ -106,9 +106,13 @@ def test_conformal(rows, base):
     assert total["coverage"] >= 0.75 and set(by) == set(CLASSES)
     sizes = [c.predict_set(rest, a).agg(F.avg(F.size("prediction_set"))).first()[0] for a in (0.05, 0.3)]
     assert sizes[0] >= sizes[1]
-    ranks = conformal.Ranks.at_least({0: 2, 500_000: 1, 1_000_000: 3})
-    asked = rows.sparkSession.createDataFrame([(0.0,), (0.1,), (0.5,), (0.500001,), (1.0,)], "s double")
-    assert [r[0] for r in asked.select(ranks.above(F.col("s"))).collect()] == [6, 4, 4, 3, 3]
+    # p-values by the definition, to the last bit
+    scored = base.class_membership(rows).collect()
+    for p in c.predict_set(rest).select("k", "p_values").collect():
+        own = next(r["memberships"] for r in scored if r["k"] == p["k"])
+        for i, name in enumerate(CLASSES):
+            seen = [1 - r["memberships"][i] for r in scored if r["k"] % 2 == 0 and r["y"] == name]
+            assert p["p_values"][i] == (sum(s >= 1 - own[i] for s in seen) + 1) / (len(seen) + 1)
     said = c.predict_set_with_rules(rest).first()["contributions"]
     assert [x["strength"] for x in said] == sorted((x["strength"] for x in said), reverse=True)
     assert c.calibration_info()[0]["rows"] == 40
