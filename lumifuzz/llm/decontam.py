@@ -289,7 +289,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     spans_kind = "array<struct<item_id:long,first:long,after:long,matched:long>>"
     span = pa.list_(pa.struct([(x, pa.int64()) for x in ("item_id", "first", "after", "matched")]))
     out, n = None, 0
-    docs, _ = _possible(docs.select(key, text), benchmark, text)
+    docs, made = _possible(docs.select(key, text), benchmark, text)
     for block in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -316,7 +316,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     nulls_last = F.array_sort(F.transform("overlaps", lambda x: F.struct(x["item_id"].isNull().alias("none"), F.coalesce(x["item_id"], F.lit(0)).alias("id"), x["first"].alias("first"), x["after"].alias("after"), x["matched"].alias("matched"))))
     ordered = F.transform(nulls_last, lambda x: F.struct(F.when(~x["none"], x["id"]).alias("item_id"), x["first"].alias("first"), x["after"].alias("after"), x["matched"].alias("matched"))).cast(spans_kind)
     ids = F.array_distinct(F.transform("overlaps", lambda x: x["item_id"]))
-    return out.select(key, ordered.alias("overlaps")).select(key, ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), F.array_max(F.transform("overlaps", lambda x: x["matched"])).alias("matched_words"), "overlaps")
+    out = out.select(key, ordered.alias("overlaps")).select(key, ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"), F.array_max(F.transform("overlaps", lambda x: x["matched"])).alias("matched_words"), "overlaps")
+    return common.reads(out, *([made] if made is not None else []))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

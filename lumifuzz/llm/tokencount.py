@@ -54,7 +54,6 @@ class Transducer:
         self.pieces = list(self.score)
         self.number = {p: i for i, p in enumerate(self.pieces)}
         self._automaton()
-        self.follows: dict[tuple[int, int], bool] = {}
         self.reset()
         #: Counts of chunk maps: of words after a space, and of chunks as they are.
         self.spaced = common.Memo(lambda word: self.chunk_map(SPACE + word)[1])
@@ -93,6 +92,8 @@ class Transducer:
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.trans: list[dict[str, tuple[int, int]]] = []
+        #: Pairs of pieces that the compiled transitions asked about; they go with them.
+        self.follows: dict[tuple[int, int], bool] = {}
         self.state((0, "", ((START, 0),)))
 
     def state(self, key: tuple) -> int:

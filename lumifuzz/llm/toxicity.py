@@ -369,10 +369,20 @@ def _string(word: str) -> list[int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
+    made: list[DataFrame] = []
+    try:
+        return _fit(docs, labels, learn, label, key, text, made)
+    finally:
+        common.drop(*made)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str, key: str, text: str, made: list[DataFrame]) -> Model:
+    """made: gets the written tables, of which nothing is read any more once the model is there."""
     spark = docs.sparkSession
     picked = labelled.sample(docs, labels, label, learn, {0: MAX_CLEAN, 1: MAX_TOXIC}, key, text)
     marked = picked.mapInArrow(_buckets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema) + ", bucket long")
     picked = common.cut(marked, "toxicity-sample")
+    made.append(picked)
     # of near copies one, the first by key
     apart = picked.groupBy("bucket", "label").agg(F.min(F.struct("key", "text")).alias("one")).select("label", "one.text")
     n = {r["label"]: r["count"] for r in apart.groupBy("label").count().collect()}
@@ -380,6 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         return Model(None)
     found = apart.mapInArrow(_instances, "word string, " + ", ".join(f"{c} long" for c in _COUNTS))
     words = common.cut(found.groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS)), "toxicity-words")
+    made.append(words)
     every = words.where("word = ''").first()
     words = words.where("word <> ''")
     a, b = F.col("toxic") / n[1], F.col("clean") / n[0]
