@@ -582,3 +582,39 @@ def test_every_query_returns_its_columns(spark, sf):
         df = queries.llm_queries()[name](spark, sf)
         assert columns <= set(df.columns), name
         assert df.count() == n, name
+
+
+def test_store_encodes_long_and_odd_texts_as_the_library():
+    one = castore.Encoder(common.tokenizer_path("byte_bpe_50k.json"))
+    assert one.quick is not None
+    texts = ODD + random_texts(300, 9) + ["x" * 300_000, " " * 300_000 + "a", "\n \t" * 50_000, "\t\n" * 9_990 + "a", "日本" * 50_000, "a\u2028b\u3000c\ufeff d \x1f 'll 'S don't", "<|endoftext|>" * 3, "<|x|>"]
+    for t, got in zip(texts, one.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == one.library.encode(t, add_special_tokens=False).ids, t[:40]
+    # the way for vocabularies that are not numbered by merges
+    one.quick = None
+    short = [t for t in texts if len(t) < 1000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in one.encode(short)] == [one.library.encode(t, add_special_tokens=False).ids for t in short]
+    assert castore._by_rank(__import__("tokenizers").Tokenizer.from_file(common.tokenizer_path("word_bpe_49k.json"))) is None
+
+
+def test_samples_hold_one_row_for_each_key(spark):
+    from lumifuzz.llm import labelled
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (3, "c"), (3, None)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    got = sorted((r["key"], r["label"]) for r in labelled.sample(docs, labels, "toxic", F.lit(True), {0: 5, 1: 5}).collect())
+    assert got == [(1, 1), (2, 0), (3, 1)]
+
+
+def test_folders_of_operators_go_with_their_results(spark, monkeypatch):
+    import pathlib
+
+    docs = spark.createDataFrame([(i, f"some words {i % 7} of a text that is read {'you fool ' * (i % 3 == 0)}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    benchmark = spark.createDataFrame([(i, " ".join(f"b{i}x{j}" for j in range(40))) for i in range(4)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_SEEDS", 100)
+    top = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(top.iterdir()) if top.exists() else set()
+    made = [common.cut(df, "result", last=True) for df in (simhash.near_duplicates(docs), decontam.mark(docs, benchmark), toxicity.rate(docs, toxicity.fit(docs, labels, F.lit(True))))]
+    assert {p.name.rsplit("-", 1)[0] for p in set(top.iterdir()) - before} == {"result"}
+    assert made[0].count() == made[2].count() == 60
