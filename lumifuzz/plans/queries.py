@@ -16,6 +16,7 @@ from lumifuzz.operators.rules import MamdaniRule, Rule, RuleBase, infer_interval
 from lumifuzz.operators.tree import FuzzyTree, gini
 from lumifuzz.plans import oracles as o
 from lumifuzz.sources import text_format
+from lumifuzz.streaming import state
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LABEL, CLASSES = "l_returnflag", ("A", "N", "R")
@@ -765,6 +766,18 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("o_orderpriority").agg(*counts, F.sum(F.when(F.col("held") == 1, F.col("o_orderkey"))).alias("keys"))
 
 
+# streams
+
+
+@query(f"""with {o.memberships(letters={'a': 'value'}, table='events', keep='event_type, ts')}, w as (select event_type, ts, greatest(a0, a1, a2) as strength, case greatest(a0, a1, a2) when a0 then 0 when a1 then 1 else 2 end as winner from m where ts is not null)
+ select event_type, strftime(ts, '%Y-%m-%d') as day, winner, count(*) as n, count(*) filter (strength < 0.75) as doubtful from w group by 1, 2, 3""")
+def streamed_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events through a stream to its end: winners by type and day from keyed state."""
+    base = RuleBase(tuple(fit_partitions(table(spark, sf_dir, "events"), ["value"])), tuple(Rule((i,), i) for i in range(3)), ("low", "medium", "high"), 1)
+    told = state.run(state.read_table(spark, f"{sf_dir}/events.parquet"), base, "ts", "event_type", doubt=0.75)
+    return state.totals(told).select(F.col("key").alias("event_type"), F.date_format("window_start", "yyyy-MM-dd").alias("day"), "winner", "n", "doubtful")
+
+
 # validation, search, graphs
 
 
