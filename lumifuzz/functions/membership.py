@@ -284,6 +284,73 @@ class GeneralType2(FuzzySet):
         return [tuple(_unless_far(x, self._looked_up(x, self.table[:, j, side])) for side in (0, 1)) for j in range(n)]
 
 
+@dataclass(frozen=True)
+class TriangularType2(FuzzySet):
+    """General type 2 in closed form: at every value, the secondary set is a triangle between the bounds of an interval set, with its peak half way.
+
+    Values go to a grid of step 10 ** -decimals that begins at start (truncated towards zero, outside the grid to its ends). An alpha cut is the first and the last multiple of
+    resolution at which the triangle reaches alpha, or (0, 0) where it reaches it at none; both follow from the bounds by one rounding, so nothing is held for the grid's
+    points, of which there may be any number.
+    """
+
+    of: FuzzySet
+    start: float = 0.0
+    points: int = 1
+    decimals: int = 1
+    cuts: tuple[float, ...] = (0.2, 0.4, 0.5, 0.7, 0.9, 1.0)
+    resolution: float = 0.01
+    kind = Kind.GT2
+    shape = "general"
+    #: What counts as reached, as a share of alpha, and as a share of a step.
+    near = (1e-9, 1e-10)
+
+    def snapped(self, x: str) -> str:
+        ten, first = 10**self.decimals, round(self.start * 10**self.decimals)
+        place = f"cast(least(greatest({x} * {q.number(ten)} + 1e-9, {q.number(first)}), {q.number(first + self.points - 1)}) as bigint) - {first}"
+        return f"({q.number(self.start)} + ({place}) * {q.number(10.0**-self.decimals)})"
+
+    def grid(self, x: np.ndarray) -> np.ndarray:
+        k = np.trunc(np.asarray(x, float) * 10**self.decimals + 1e-9) - round(self.start * 10**self.decimals)
+        return self.start + np.clip(k, 0, self.points - 1) * 10.0**-self.decimals
+
+    def all_cuts(self, x: np.ndarray) -> np.ndarray:
+        """(values, cuts, 2)"""
+        m = self.of.at(self.grid(x))
+        steps = 1 / self.resolution
+        inside = (np.array(self.cuts) - self.near[0]) / 2 * steps * (m[:, 1] - m[:, 0])[:, None]
+        first, last = np.ceil(m[:, 0, None] * steps + inside - self.near[1]), np.floor(m[:, 1, None] * steps - inside + self.near[1])
+        return np.where((first > last)[..., None], 0.0, np.stack([first, last], axis=-1) * self.resolution)
+
+    def at(self, x: np.ndarray) -> np.ndarray:
+        a = np.array(self.cuts)
+        return (self.all_cuts(x) * a[None, :, None]).sum(axis=1) / a.sum()
+
+    def edges(self, x: str) -> tuple[str, str]:
+        """The bounds at a value that is never null (FAR where there is none), never null themselves."""
+        return tuple(_unless_far(x, t) for t in self.of.sure(self.snapped(x)))
+
+    def cut_arrays(self, low: str, high: str) -> tuple[str, str]:
+        """Arrays of the lower and of the upper ends of all alpha cuts, for bounds that are columns. One short lambda for all cuts, so that the code of a rule base does not grow with them."""
+        steps = 1 / self.resolution
+        halves = ", ".join(q.number((a - self.near[0]) / 2 * steps) for a in self.cuts)
+        first, last = f"ceil({low} * {q.number(steps)} + _h * ({high} - {low}) - {q.number(self.near[1])})", f"floor({high} * {q.number(steps)} - _h * ({high} - {low}) + {q.number(self.near[1])})"
+        return tuple(f"transform(array({halves}), _h -> case when {first} > {last} then 0e0 else {x} * {q.number(self.resolution)} end)" for x in (first, last))
+
+    def bounds(self, x: str) -> tuple[str, str]:
+        weights = f"array({', '.join(q.number(a / sum(self.cuts)) for a in self.cuts)})"
+        cuts = [f"zip_with({t}, {weights}, (c, w) -> c * w)" for t in self.cut_arrays(*(f"get({side}, 0)" for side in ("_s.lo", "_s.hi")))]
+        held = f"array(named_struct('lo', array({self.of.bounds(self.snapped(x))[0]}), 'hi', array({self.of.bounds(self.snapped(x))[1]})))"
+        # the bounds are worked out once, then summed over the cuts
+        return tuple(f"(case when {q.clean(x)} is null then null else transform({held}, _s -> aggregate({t}, 0e0, (s, c) -> s + c))[0] end)" for t in cuts)
+
+    def sure(self, x: str) -> tuple[str, str]:
+        return tuple(_unless_far(x, t) for t in self.bounds(x))
+
+    def sure_cuts(self, x: str, n: int) -> list[tuple[str, str]]:
+        low, high = self.cut_arrays(*self.edges(x))
+        return [(f"get({low}, {j})", f"get({high}, {j})") for j in range(n)]
+
+
 @dataclass(frozen=True)
 class TemporalSet(FuzzySet):
     """A set whose membership is scaled by a frequency for each time step: of the time column, or of one fixed step."""

@@ -16,15 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumifuzz.functions import sqltext as q
-from lumifuzz.functions.membership import EPSILON, Category, Gaussian, GeneralType2, IntervalCategory, IntervalGaussian, IntervalTrapezoid, Kind, Trapezoid, Triangle, Variable
+from lumifuzz.functions.membership import EPSILON, Category, Gaussian, IntervalCategory, IntervalGaussian, IntervalTrapezoid, Kind, Trapezoid, Triangle, TriangularType2, Variable
 
 #: The probabilities of the quantile sets.
 QUARTILES = (0, 0.25, 0.5, 1)
 FIXED = (0, 0.2, 0.3, 0.45, 0.55, 0.7, 0.8, 1)
 THREE = (0, 0.2, 0.5, 0.8, 1)
 TRIANGLE = (0, 0.25, 0.5, 0.75, 1)
-#: Grid points of a general type-2 set at most.
-MOST_POINTS = 20_000
 
 
 def even(n: int) -> list[float]:
@@ -247,16 +245,9 @@ def _variable(feature: str, v: list[float], n: int, shape: str, kind: Kind, reso
         sets = tuple(IntervalTrapezoid(s, lo, up, domain=domain) for s, (lo, up) in zip(labels_for(n), interval_trapezoids(v, n), strict=True))
     if kind is Kind.T2:
         return Variable(feature, sets)
-    step = 10.0**-resolution
-    grid = np.arange(v[0], v[-1] + step, step)
-    if len(grid) > MOST_POINTS:
-        raise ValueError(f"{feature}: {len(grid)} grid points; take a coarser resolution")
-    general = []
-    for s in sets:
-        m = s.at(grid)
-        secondary = {float(x): Trapezoid(str(x), (lo, (lo + hi) / 2, (lo + hi) / 2, hi)) for x, (lo, hi) in zip(grid, m, strict=True)}
-        general.append(GeneralType2.over(s.name, secondary, resolution, domain=domain))
-    return Variable(feature, tuple(general))
+    # a grid point for every step from the least value to the greatest
+    points = int(np.ceil((v[-1] + 10.0**-resolution - v[0]) / 10.0**-resolution))
+    return Variable(feature, tuple(TriangularType2(s.name, s, float(v[0]), points, resolution, domain=domain) for s in sets))
 
 
 def validate_partitions(df: DataFrame, variables: Sequence[Variable], permutations: int = 1000, sample: int = 2000, p_needed: float = 0.05, key: Sequence[str] = ()) -> dict[str, dict[str, bool]]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumifuzz.functions import sqltext as q
-from lumifuzz.functions.membership import FuzzySet, Kind, Variable
+from lumifuzz.functions.membership import FAR, FuzzySet, Kind, TriangularType2, Variable
 
 
 class RuleError(ValueError):
@@ -209,9 +209,12 @@ class RuleBase:
         if not self.rules:
             raise RuleError("the rule base has no rules")
         n, cuts, sides = range(len(self.rules)), self._cuts(), "l" if self.kind is Kind.T1 else "lu"
+        scaled = self.kind is Kind.GT2 if scaled is None else scaled
+        if self._in_batches():
+            return [[f"get(_gt.{side}, {i}) as _f{side}{i}" for side in sides for i in n], *self._degrees()]
         out = [x for x in self._firing() if x]
         held = {(side, i, j): f"_f{side}{i}_{j}" for side in sides for i in n for j in range(len(cuts))}
-        if scaled if scaled is not None else self.kind is Kind.GT2:
+        if scaled:
             sums = [(side, c, j) for side in sides for c in sorted({r.consequent for r in self.rules}) for j in range(len(cuts))]
             out.append([f"{q.total([held[side, i, j] for i in n if self.rules[i].consequent == c])} as _s{side}{c}_{j}" for side, c, j in sums])
             for (side, i, j), x in held.items():
@@ -222,7 +225,12 @@ class RuleBase:
         else:
             reduced = {(side, i): held[side, i, 0] for side in sides for i in n}
         out.append([f"{x} as _f{side}{i}" for (side, i), x in reduced.items()])
-        out.append([f"_fl{i} as _f{i}" if sides == "l" else f"(_fl{i} + _fu{i}) / 2e0 as _f{i}" for i in n])
+        return [*out, *self._degrees()]
+
+    def _degrees(self) -> list[list[str]]:
+        """Projections over the bounds of the strengths: their means, association degrees, the best of those and its rule."""
+        n, out = range(len(self.rules)), []
+        out.append([f"_fl{i} as _f{i}" if self.kind is Kind.T1 else f"(_fl{i} + _fu{i}) / 2e0 as _f{i}" for i in n])
         out.append([f"_f{i} * {q.number(self.factor(r))} as _a{i}" for i, r in enumerate(self.rules)])
         out.append([f"array({', '.join(f'_a{i}' for i in n)}) as _as"])
         out.append(["array_max(_as) as _best"])
@@ -230,7 +238,40 @@ class RuleBase:
         out.append([f"case when _best = 0e0 then -1 else {place} end as _winner" if self.allow_unknown else f"{place} as _winner"])
         return out
 
+    def _in_batches(self) -> bool:
+        """Whether strengths are computed over Arrow batches: a dozen cuts of each closed general type-2 set would be more generated code than the JVM compiles."""
+        return any(isinstance(self.variables[v][a], TriangularType2) for r in self.rules for v, a, _ in r.parts())
+
+    def _cut_strengths(self, scaled: bool) -> Callable[..., pd.DataFrame]:
+        """Values of the used variables to the strengths of all rules, weighted over the alpha cuts."""
+        alphas = np.array(self._cuts())
+        parts = [r.parts() for r in self.rules]
+        used = sorted({v for own in parts for v, _, _ in own})
+        sets = {(v, a): self.variables[v][a] for own in parts for v, a, _ in own}
+        own_class, least = np.array(self.consequents()), self.tnorm == "min"
+
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            values = {v: batch.iloc[:, i].to_numpy(float) for i, v in enumerate(used)}
+            cut = {(v, a): np.where((values[v] == FAR)[:, None, None], 0.0, one.all_cuts(values[v])) for (v, a), one in sets.items()}
+            f = np.zeros((len(parts), len(batch), len(alphas), 2))
+            for i, own in enumerate(parts):
+                if own:
+                    each = [cut[v, a] if m == 1.0 else cut[v, a] ** m for v, a, m in own]
+                    f[i] = np.minimum.reduce(each) if least else np.multiply.reduce(each)
+            if scaled:
+                for c in np.unique(own_class):
+                    total = f[own_class == c].sum(axis=0)
+                    f[own_class == c] /= np.where(total > 0, total, 1.0)
+            reduced = (f * alphas[:, None]).sum(axis=2) / alphas.sum()
+            return pd.DataFrame({"l": list(reduced[:, :, 0].T), "u": list(reduced[:, :, 1].T)})
+
+        return run
+
     def applied(self, df: DataFrame, scaled: bool | None = None) -> DataFrame:
+        if self.rules and self._in_batches():
+            used = sorted({v for r in self.rules for v, _, _ in r.parts()})
+            run = F.pandas_udf(self._cut_strengths(self.kind is Kind.GT2 if scaled is None else scaled), "l array<double>, u array<double>")
+            df = df.withColumn("_gt", run(F.struct(*(F.expr(self.variables[v].sure_value()).alias(f"x{v}") for v in used))))
         for step in self.steps(scaled):
             df = df.select("*", *map(F.expr, step))
         return df

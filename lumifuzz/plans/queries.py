@@ -186,6 +186,16 @@ def gt2_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("l_discount").agg(F.count("*").alias("n"), *(F.round(F.first(F.expr(t)), 6).alias(f"{side}_{j}") for j, b in enumerate(v.bounds()) for side, t in zip(("lo", "hi"), b, strict=True)))
 
 
+@query(f"""with {o.memberships()}, {o.CUTS}, {o.general('b')}, red as (select value, label, {_REDUCED} from cut_b group by 1, 2)
+ select l_returnflag, label, count(*) as n, round(avg(lo), 4) as lo, round(avg(hi), 4) as hi from lineitem join red on red.value = l_extendedprice group by 1, 2""")
+def gt2_wide_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """General type-2 sets over a column of any number of values, in closed form."""
+    df = table(spark, sf_dir, "lineitem")
+    (v,) = fit_partitions(df, ["l_extendedprice"], kind=Kind.GT2, resolution=2)
+    each = F.array(*(F.struct(F.lit(j).alias("label"), F.expr(lo).alias("lo"), F.expr(hi).alias("hi")) for j, (lo, hi) in enumerate(v.bounds())))
+    return df.select(LABEL, F.inline(each)).groupBy(LABEL, "label").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in ("lo", "hi")))
+
+
 @query("""select l_returnflag, round(avg(case when l_quantity < 1 or l_quantity > 30 then 0 when l_quantity < 10 then (l_quantity - 1) / 9 when l_quantity <= 20 then 1 else (30 - l_quantity) / 10 end * exp(-power((l_discount - 0.05) / 0.02, 2))), 6) as degree,
  round(avg(least(case when l_quantity < 1 or l_quantity > 30 then 0 when l_quantity < 10 then (l_quantity - 1) / 9 when l_quantity <= 20 then 1 else (30 - l_quantity) / 10 end, exp(-power((l_discount - 0.05) / 0.02, 2)))), 6) as least_degree from lineitem group by l_returnflag""")
 def mamdani_rule(spark: SparkSession, sf_dir: str) -> DataFrame:

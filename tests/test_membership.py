@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumifuzz.functions.membership import Category, Gaussian, GeneralType2, IntervalCategory, IntervalGaussian, IntervalTrapezoid, Kind, TemporalSet, Trapezoid, Triangle, Variable, cache, extended_kinds
+from lumifuzz.functions.membership import Category, Gaussian, GeneralType2, IntervalCategory, IntervalGaussian, IntervalTrapezoid, Kind, TemporalSet, Trapezoid, Triangle, TriangularType2, Variable, cache, extended_kinds
 from lumifuzz.operators import centroids
 from lumifuzz.operators.rules import MamdaniRule
 
@@ -100,3 +100,26 @@ def test_mamdani_rule(spark):
     assert df.select(r.membership()).first()[0] == pytest.approx(0.25)
     assert df.select(r.membership(F.least)).first()[0] == pytest.approx(0.5)
     assert r.consequent_centroid() == pytest.approx(0.5, abs=0.05)
+
+
+def test_closed_general_type_2_is_the_table(spark):
+    """Against a table of secondary triangles, one for each grid point, in numpy, as a column and in a rule."""
+    from lumifuzz.operators.rules import Rule, RuleBase
+
+    for of in (IntervalTrapezoid("s", (0.2, 0.4, 0.5, 0.7), (0.13, 0.4, 0.5, 0.9)), IntervalGaussian("s", (0.5, 0.1), (0.5, 0.25)), IntervalTrapezoid("s", (0.0, 0.0, 0.305, 0.6), (-0.01, 0.0, 0.305, 0.65))):
+        grid = 0.03 + 0.01 * np.arange(98)
+        table = GeneralType2.over("s", {float(x): Trapezoid("z", (lo, (lo + hi) / 2, (lo + hi) / 2, hi)) for x, (lo, hi) in zip(grid, of.at(grid), strict=True)}, 2)
+        closed = TriangularType2("s", of, 0.03, 98, 2, domain=(0.03, 1.0))
+        x = np.r_[grid + 1e-6, 0.0, 5.0, -3.0, np.random.default_rng(0).random(200)]
+        assert np.allclose(closed.all_cuts(x), table.all_cuts(x))
+        got = column(spark, closed, [*x.tolist(), None, float("nan")])
+        assert np.allclose([(r["lo"], r["hi"]) for r in got[: len(x)]], table.at(x))
+        rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        fired = [[r["firing"][0] for r in RuleBase((Variable("x", (one,), clipped=False),), (Rule((0,), 0), Rule((-1,), 0)), ("c",), 1).firing(rows, scaled=False).collect()] for one in (closed, table)]
+        assert np.allclose(*fired) and fired[0][-1] == 0
+
+
+def test_closed_general_type_2_has_no_limit_of_points(spark):
+    of = IntervalTrapezoid("s", (0.0, 4e8, 5e8, 8e8), (0.0, 3e8, 6e8, 9e8))
+    (m,) = column(spark, TriangularType2("s", of, 0.0, 10**11, 2), [2e8])
+    assert m["lo"] < m["hi"]
