@@ -145,6 +145,51 @@ TEXTS = (
     ("proprietary", "unauthorized confidential", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential"),
     ("proprietary", "confidential disclose", "confidential and proprietary information (?:.{1,120} )?shall not disclose such confidential information"),
 )
+#: How notices name a license and its version in one breath: glued or bare versions, identifiers outside an SPDX line, names with the version before "license".
+NOTICES = (
+    ("gpl", "gplv1|gplv2|gplv3|gpl1|gpl2|gpl3", r"(?:gnu )?gplv?[123](?: 0)?(?: (?:only|plus|or (?:at your option )?(?:any )?later(?: versions?)?))?"),
+    ("gpl", "gpl", r"(?:gnu )?gpl (?:version |v ?)?[123](?: 0)?(?: (?:only|plus|or (?:at your option )?(?:any )?later(?: versions?)?))?"),
+    ("gpl", "gpl", r"gpl v[123](?: 0)?(?: (?:only|plus|or (?:any )?later(?: versions?)?))?"),
+    ("gpl", "general", r"(?<!lesser )(?<!affero )(?<!library )general public licen[sc]e (?:version |v ?)?[123](?: 0)?(?: or (?:at your option )?(?:any )?later(?: versions?)?)?"),
+    ("lgpl", "lgplv2|lgplv3|lgpl2|lgpl3", r"(?:gnu )?lgplv?[23](?: [01])?(?: (?:only|plus|or (?:any )?later(?: versions?)?))?"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl (?:version |v ?)?[23](?: [01])?(?: (?:only|plus|or (?:any )?later(?: versions?)?))?"),
+    ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v ?)?[23](?: [01])?(?: or (?:at your option )?(?:any )?later(?: versions?)?)?"),
+    ("agpl", "agplv3|agpl3", r"(?:gnu )?agplv?3(?: 0)?(?: (?:only|plus|or (?:any )?later(?: versions?)?))?"),
+    ("agpl", "agpl", r"(?:gnu )?agpl (?:version |v ?)?3(?: 0)?(?: (?:only|plus|or (?:any )?later(?: versions?)?))?"),
+    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e (?:version |v ?)?3(?: 0)?(?: or (?:at your option )?(?:any )?later(?: versions?)?)?"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl (?:version |v ?)?1(?: [123])?(?: or later)?"),
+    ("apache", "apache", r"apache(?: software)?(?: licen[sc]e)? (?:version |v ?)?2(?: 0)?(?: licen[sc]e)?"),
+    ("apache", "apache2|asl2|alv2", r"(?:apache2|asl2|alv2)(?: 0)?"),
+    ("mit", "mit", r"mit (?:expat|x11)(?: licen[sc]e)?"),
+    ("mit", "expat", r"expat (?:mit )?licen[sc]e"),
+    ("bsd", "bsd", r"bsd (?:[0234]|zero|two|three|four) clause(?: (?:clear|new|modified|simplified))?(?: licen[sc]e)?"),
+    ("bsd", "bsd", r"(?:[0234]|zero|two|three|four) clause (?:new |modified |simplified )?bsd(?: licen[sc]e)?"),
+    ("bsd", "bsd2|bsd3|0bsd", r"(?:bsd[23]|0bsd)"),
+    ("mpl", "mpl", r"mpl (?:version |v ?)?[12](?: [01])?"),
+    ("mpl", "mplv2|mpl2", r"mplv?2(?: 0)?"),
+    ("mpl", "mozilla", r"mozilla public licen[sc]e (?:version |v ?)?[12] [01]"),
+    ("epl", "epl", r"epl (?:version |v ?)?[12] 0"),
+    ("epl", "eclipse", r"eclipse public licen[sc]e (?:version |v ?)?[12](?: 0)?"),
+    ("cddl", "cddl", r"cddl (?:version |v ?)?1(?: [01])?"),
+    ("eupl", "eupl", r"eupl (?:version |v ?)?1 [0-2]"),
+    ("boost", "bsl", r"bsl 1 0"),
+    ("bsl", "busl", r"busl 1 1"),
+    ("artistic", "artistic", r"artistic (?:licen[sc]e )?(?:version |v ?)?[12] 0"),
+    ("ofl", "ofl", r"(?:sil )?ofl (?:version |v ?)?1 [01]"),
+    ("cc0", "cc0", r"cc0(?: (?:version |v ?)?1 0)?(?: universal)?(?: public domain dedication)?"),
+    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: \d \d)?(?: (?:international|unported))?"),
+    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: \d \d)?(?: (?:international|unported))?"),
+    ("cc-by-nc", "cc", r"cc by nc(?! (?:nd|sa))(?: \d \d)?(?: (?:international|unported))?"),
+    ("cc-by-nd", "cc", r"cc by nd(?: \d \d)?(?: (?:international|unported))?"),
+    ("cc-by-sa", "cc", r"cc by sa(?: \d \d)?(?: (?:international|unported))?"),
+    ("cc-by", "cc", r"cc by \d \d(?: (?:international|unported))?"),
+    ("cc-by-nc-nd", "commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: \d \d)?(?: (?:international|unported|generic))?(?: public)?(?: licen[sc]e)?"),
+    ("cc-by-nc-sa", "commons", r"creative commons attribution non ?commercial share ?alike(?: \d \d)?(?: (?:international|unported|generic))?(?: public)?(?: licen[sc]e)?"),
+    ("cc-by-nc", "commons", r"creative commons attribution non ?commercial(?! (?:no ?deriv|share ?alike))(?: \d \d)?(?: (?:international|unported|generic))?(?: public)?(?: licen[sc]e)?"),
+    ("cc-by-nd", "commons", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: \d \d)?(?: (?:international|unported|generic))?(?: public)?(?: licen[sc]e)?"),
+    ("cc-by-sa", "commons", r"creative commons attribution share ?alike(?: \d \d)?(?: (?:international|unported|generic))?(?: public)?(?: licen[sc]e)?"),
+    ("cc-by", "commons", r"creative commons attribution(?: \d \d)?(?: (?:international|unported|generic))?(?: public)? licen[sc]e"),
+)
 HINTS = (
     ("public-domain", "public domain", "(?:in|into|to) the public domain"),
     ("all-rights-reserved", "rights reserved", "all rights reserved"),
@@ -176,18 +221,19 @@ def _all(words: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
 
 
 def rules() -> tuple[Rule, ...]:
-    """The ordered rules: whole texts and hints as they are written, and for each family one rule of each form."""
+    """The ordered rules: whole texts, notices and hints as they are written, and for each family one rule of each form."""
     out = [Rule(label, 0, _all(needs), words, 1.0) for label, needs, words in TEXTS]
+    out += [Rule(label, 2, _all(needs), words, 0.9) for label, needs, words in NOTICES]
     under = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|governed|shared|offered) (?:under|by|with)"
     for label, (name, held, identifier) in FAMILIES.items():
-        licensed = rf"(?:the )?{name}(?: licen[sc]e)?"
+        licensed = rf"(?:the |an? )?{name}(?: licen[sc]e)?"
         version = r"(?:(?: licen[sc]e)? (?:version |v ?)?\d+(?: \d+)*)"
         named = tuple(held.split("|"))
         out += [
             Rule(label, 1, _all("spdx identifier"), rf"spdx license identifier (?:{identifier})", 1.0),
             Rule(label, 2, (named, GRANTS), rf"{under} (?:the terms (?:and conditions )?of )?{licensed}{version}?", 0.9),
             Rule(label, 3, (named, LICENSE), rf"licen[sc]e (?:is )?{name}{version}?", 0.9),
-            Rule(label, 4, (named, LICENSE), rf"{name} licen[sc]e(?:d|s)?{version}?", 0.7),
+            Rule(label, 4, (named, LICENSE), rf"{name}(?: (?:version |v ?)?\d+(?: \d+)*)? licen[sc]e(?:d|s)?{version}?", 0.7),
         ]
         if label not in UNSTYLED:
             out.append(Rule(label, 3, (named, LICENSE), rf"{name} style licen[sc]e", 0.7))

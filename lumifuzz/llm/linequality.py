@@ -28,6 +28,8 @@ SYMBOLS = "#*$%&|<>"
 NAVIGATION = re.compile(r"(?:[|»›•>]\s*\S[^|»›•>]*){3,}|^\W*(?:home|menu|log ?in|sign ?(?:in|up)|next|previous|back to top|share|search|contact(?: us)?|about(?: us)?|sitemap)\W*$", re.I)
 #: Fixed phrases, and marks of a template that was not filled in; other braces may be code or mathematics.
 BOILERPLATE = re.compile(r"lorem ipsum|enable javascript|uses? cookies|cookie policy|privacy policy|terms (?:of use|and conditions)|all rights reserved|click here|subscribe to our|page not found|\{\{[^{}\n]*\}\}", re.I)
+#: Characters of a line up to which one such phrase is enough.
+SHORT = 100
 _ODD = np.random.default_rng(20240301).integers(1 << 61, 1 << 62, WINDOW + 1, dtype=np.int64) | 1
 
 
@@ -41,11 +43,13 @@ def line_fails(line: str) -> str:
         return "symbols" if "|" not in text and ">" not in text else "navigation"
     if n < 200 and NAVIGATION.search(text):
         return "navigation"
-    if BOILERPLATE.search(text):
+    # a paragraph may speak of a privacy policy; a line that is little else is one
+    said = sum(len(m[0]) for m in BOILERPLATE.finditer(text))
+    if said and (n <= SHORT or 2 * said >= n):
         return "boilerplate"
     if "!!" in text and 4 * text.count("!!") >= words:
         return "punctuation"
-    if n >= 20 and text.isupper():
+    if n >= 20 and text.isupper() and 2 * sum(map(str.isupper, text)) >= _solid(text):
         return "punctuation"
     if words > 60 and not any(c in text for c in ".,;:!?…。"):
         return "punctuation"

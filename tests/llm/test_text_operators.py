@@ -618,3 +618,42 @@ def test_folders_of_operators_go_with_their_results(spark, monkeypatch):
     made = [common.cut(df, "result", last=True) for df in (simhash.near_duplicates(docs), decontam.mark(docs, benchmark), toxicity.rate(docs, toxicity.fit(docs, labels, F.lit(True))))]
     assert {p.name.rsplit("-", 1)[0] for p in set(top.iterdir()) - before} == {"result"}
     assert made[0].count() == made[2].count() == 60
+
+
+NOTICES = {
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+    "Licensed under GPLv3.": "gpl",
+    "Released under the GPLv2 or later.": "gpl",
+    "SPDX: Apache-2.0": "apache",
+    "Images are CC BY-NC 4.0, text CC BY-SA": "cc-by-nc,cc-by-sa",
+    "Licensed under the Apache License, Version 2.0 (the License)": "apache",
+    "under the BSD 3-Clause License": "bsd",
+    "Distributed under the Boost Software License, Version 1.0.": "boost",
+    "GNU Affero General Public License v3.0": "agpl,gpl",
+    "GNU Lesser General Public License version 2.1": "gpl,lgpl",
+    "This project uses the MIT license": "mit",
+    "MPL-2.0 or EPL-2.0": "epl,mpl",
+    "available under an ISC license": "isc",
+    "CC0 1.0 Universal": "cc0",
+    "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International": "cc-by-nc-nd",
+    "Creative Commons Attribution 4.0 International License": "cc-by",
+    "LGPL-3.0-or-later": "lgpl",
+    "licensed under the terms of the two-clause BSD license": "bsd",
+    "a permit to fish in the river, 2 0 fish a day, cc by email": "",
+    "the apache helicopter and the mit campus have no notice": "",
+}
+
+
+def test_real_notices(spark):
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(NOTICES)} == NOTICES
+
+
+def test_sound_lines_stay():
+    policy = "The city council discussed its new privacy policy for libraries at length last night, and all rights reserved for readers under the old rules were confirmed by a clear majority of members."
+    assert linequality.line_fails(policy) == ""
+    assert linequality.line_fails("AI 在中国的发展非常迅速，许多公司都在研究 AI 技术，并且取得了重要的成果") == ""
+    assert linequality.line_fails("Privacy Policy") == linequality.line_fails("© 2020 Example. All rights reserved.") == "boilerplate"
+    assert linequality.line_fails("BUY NOW AND SAVE MORE THAN EVER BEFORE") == "punctuation"
+    assert linequality.clean(f"{policy}\nThis site uses cookies.\nA second line.") == f"{policy}\nA second line."
