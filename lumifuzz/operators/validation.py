@@ -12,14 +12,17 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from lumifuzz.functions.membership import Variable
 from lumifuzz.operators import rule_quality
 from lumifuzz.operators.rule_quality import class_place
 from lumifuzz.operators.rules import Rule, RuleBase
 from lumifuzz.operators.spread import over_cores
+from lumifuzz.sources import shared
 
 
 def poisson_weight(key: str, replicate: int, seed: int = 33):
@@ -149,32 +152,105 @@ def label_permutation_test(df: DataFrame, base: RuleBase, label: str, k: int = 1
     return p_permutation(_shuffled_errors(table, k, np.random.default_rng(seed)), 1 - rule_quality.accuracy_score(table))
 
 
-def column_permutation_test(df: DataFrame, base: RuleBase, label: str, key: str, k: int = 20, whole_rows: bool = False, seed: int = 33) -> float:
-    """p-value of the error when each column's values are exchanged among rows of the same class: values and rows are paired by two hash orders inside blocks of the class, so no class is sorted in one task. whole_rows: rows are exchanged as they are, which leaves the error unchanged."""
-    seen = 1 - rule_quality.classification(df, base, label)["accuracy"]
+def column_permutation_test(df: DataFrame, base: RuleBase, label: str, key: str = "", k: int = 20, whole_rows: bool = False, seed: int = 33) -> float:
+    """p-value of the error when each column's values are exchanged among all rows of the same class. whole_rows: rows are exchanged as they are, which leaves the error unchanged. Rows without a class have no part in it."""
+    seen = _error(base, _by_winner(df, base, label))
     if whole_rows:
         return p_permutation([seen] * k, seen)
-    features = [v.name for v in base.variables]
-    errors = [1 - rule_quality.classification(_exchanged(df, features, label, key, seed + i), base, label)["accuracy"] for i in range(k)]
-    return p_permutation(errors, seen)
-
-
-def _exchanged(df: DataFrame, features: Sequence[str], label: str, key: str, seed: int, block: int = 4096) -> DataFrame:
-    """Each feature shuffled among rows of a class that fall into one block of about `block` rows; blocks differ from feature to feature."""
-    from pyspark.sql import Window
-
-    blocks = max(1, df.count() // block)
-    out = df.select(key, label, *features)
-    for j, f in enumerate(features):
-        at = F.pmod(F.xxhash64(F.lit(seed), F.lit(j), F.col(key)), F.lit(blocks))
-        w = Window.partitionBy(label, "_b")
-        placed = out.withColumn("_b", at)
-        placed = placed.withColumn("_r", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 1), F.lit(j), F.col(key)), key)))
-        values = placed.select(F.col(label).alias("_l"), F.col("_b").alias("_vb"), F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 2), F.lit(j), F.col(key)), key)).alias("_vr"), F.col(f).alias("_v"))
-        out = placed.join(values, placed[label].eqNullSafe(values["_l"]) & (placed["_b"] == values["_vb"]) & (placed["_r"] == values["_vr"])).select(key, label, *(F.col("_v").alias(c) if c == f else F.col(c) for c in features))
+    return p_permutation([_error(base, won) for won in _exchanged_winners(df, base, label, k, seed)], seen)
+
+
+def permuted(x: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A pseudo-random bijection of the whole numbers below n: a Feistel network on the next even power of two, applied again to what falls outside."""
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    keys = np.random.default_rng(seed).integers(1 << 62, 1 << 63, (6, 2), dtype=np.uint64) | np.uint64(1)
+
+    def once(v: np.ndarray) -> np.ndarray:
+        left, right = v >> np.uint64(half), v & mask
+        for a, b in keys:
+            h = (right + b) * a
+            h ^= h >> np.uint64(31)
+            left, right = right, (left ^ (h * b >> np.uint64(20))) & mask
+        return left << np.uint64(half) | right
+
+    out = once(np.asarray(x, np.uint64))
+    while (outside := np.flatnonzero(out >= n)).size:
+        out[outside] = once(out[outside])
+    return out.astype(np.int64)
+
+
+def exchanged(df: DataFrame, features: Sequence[str], y: Column, k: int, seed: int = 33) -> DataFrame:
+    """_y, replicate and the features: k copies of the rows whose class place y is not null, in each of which every feature's values are permuted among all rows of a class.
+
+    Rows are numbered by class where they lie: a task counts its own, and what the tasks before it have is added (one number for each task and class goes through the driver). Each value then knows the row it
+    goes to in each replicate, by a bijection of its class's numbers, and all replicates meet their rows in one shuffle, whose keys are as many as the rows.
+    """
+    text = [f for f in features if not isinstance(df.schema[f].dataType, NumericType)]
+    plain = [f for f in features if f not in text]
+    kind = "_y int, _part int, _at long, " + ", ".join([*(f"`{f}` double" for f in plain), *(f"`{f}` string" for f in text)])
+    values = df.select(y.cast("int").alias("_y"), *(F.col(f"`{f}`").cast("double").alias(f) for f in plain), *(F.col(f"`{f}`").cast("string").alias(f) for f in text)).where("_y is not null")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            c = batch.column("_y").to_numpy()
+            at = np.empty(len(c), np.int64)
+            for v in np.unique(c).tolist():
+                own = np.flatnonzero(c == v)
+                at[own] = held.get(v, 0) + np.arange(len(own))
+                held[v] = held.get(v, 0) + len(own)
+            yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(np.full(len(c), part, np.int32)), pa.array(at), *(batch.column(f) for f in (*plain, *text))], ["_y", "_part", "_at", *plain, *text])
+
+    numbered = shared.cut(values.mapInArrow(number, kind), "exchange-rows")
+    sizes: dict[int, int] = {}
+    before: dict[tuple[int, int], int] = {}
+    for r in numbered.groupBy("_part", "_y").count().orderBy("_part").collect():  # tasks x classes
+        before[r["_part"], r["_y"]] = sizes.get(r["_y"], 0)
+        sizes[r["_y"]] = sizes.get(r["_y"], 0) + r["count"]
+    sent = df.sparkSession.sparkContext.broadcast((before, sizes))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, sizes = sent.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                c, at = batch.column("_y").to_numpy(), batch.column("_at").to_numpy().copy()
+                for p, v in set(zip(batch.column("_part").to_pylist(), c.tolist(), strict=True)):
+                    at[(batch.column("_part").to_numpy() == p) & (c == v)] += before[p, v]
+                for i in range(k):
+                    for j, f in enumerate((*plain, *text)):
+                        to = np.empty(len(c), np.int64)
+                        for v in np.unique(c).tolist():
+                            to[c == v] = permuted(at[c == v], sizes[v], (seed << 24) + (i << 12) + j)
+                        n, own = len(c), batch.column(f)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("_y"), pa.array(np.full(n, i, np.int32)), pa.array(to), pa.array(np.full(n, j, np.int32)), own if f in plain else pa.nulls(n, pa.float64()), own if f in text else pa.nulls(n, pa.string())],
+                            ["_y", "replicate", "_to", "_j", "v", "t"],
+                        )
+
+    dealt = numbered.mapInArrow(deal, "_y int, replicate int, _to long, _j int, v double, t string")
+    met = dealt.groupBy("_y", "replicate", "_to").agg(*(F.max(F.when(F.col("_j") == j, F.col("v" if f in plain else "t"))).alias(f) for j, f in enumerate((*plain, *text))))
+    return met.select("_y", "replicate", *(F.col(f"`{f}`").cast(df.schema[f].dataType).alias(f) for f in features))
+
+
+def _exchanged_winners(df: DataFrame, base: RuleBase, label: str, k: int, seed: int) -> list[dict[int, dict[int, int]]]:
+    """For each of k exchanges, the rows of each class by winning rule, all in one job."""
+    made = base.applied(exchanged(df, [v.name for v in base.variables], class_place(label, base.classes), k, seed))
+    out: list[dict[int, dict[int, int]]] = [{} for _ in range(k)]
+    for r in made.groupBy("replicate", "_winner", "_y").count().collect():  # replicates x rules x classes
+        out[r["replicate"]].setdefault(r["_winner"], {})[r["_y"]] = r["count"]
     return out
 
 
+def _error(base: RuleBase, won: dict[int, dict[int, int]]) -> float:
+    n = sum(sum(by.values()) for by in won.values())
+    right = sum(by.get(base.rules[i].consequent, 0) for i, by in won.items() if i >= 0)
+    return 1 - right / n if n else 1.0
+
+
 def _by_winner(df: DataFrame, base: RuleBase, label: str) -> dict[int, dict[int, int]]:
     made = base.applied(df).withColumn("_y", class_place(label, base.classes)).where("_y is not null")
     out: dict[int, dict[int, int]] = {}
@@ -208,7 +284,7 @@ def _own_errors(base: RuleBase, won: dict[int, dict[int, int]], total: dict[int,
     return out
 
 
-def rulewise_column_permutation_test(df: DataFrame, base: RuleBase, label: str, key: str, k: int = 20, whole_rows: bool = True, seed: int = 33) -> list[float]:
+def rulewise_column_permutation_test(df: DataFrame, base: RuleBase, label: str, key: str = "", k: int = 20, whole_rows: bool = True, seed: int = 33) -> list[float]:
     """For each rule, the p-value of its one-against-all error when the rows of its class are exchanged among each other. whole_rows: as they are, which leaves every error unchanged, so that the p-value says how many exchanges there were; else each column by itself, in one exchange of all classes for all rules, of which each rule counts the rows of its class."""
     won = _by_winner(df, base, label)
     total: dict[int, int] = {}
@@ -218,9 +294,8 @@ def rulewise_column_permutation_test(df: DataFrame, base: RuleBase, label: str,
     seen = _own_errors(base, won, total)
     if whole_rows:
         return [p_permutation([e] * k, e) for e in seen]
-    features, errors = [v.name for v in base.variables], [[] for _ in base.rules]
-    for i in range(k):
-        moved = _by_winner(_exchanged(df, features, label, key, seed + i), base, label)
+    errors: list[list[float]] = [[] for _ in base.rules]
+    for moved in _exchanged_winners(df, base, label, k, seed):
         for j, r in enumerate(base.rules):
             # rows of other classes stay as they were
             mixed = {**{c: n for c, n in won.get(j, {}).items() if c != r.consequent}, r.consequent: moved.get(j, {}).get(r.consequent, 0)}
