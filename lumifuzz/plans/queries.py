@@ -61,11 +61,6 @@ def fitted(spark: SparkSession, sf_dir: str, shape: str = "trapezoid", kind: Kin
     return df, base_of(fit_partitions(df, FEATURES, 3, shape, kind), **options)
 
 
-def _unfitted() -> RuleBase:
-    """The rules over sets of which only the names count."""
-    return base_of([Variable(f, tuple(Trapezoid(n, (0, 0, 1, 1)) for n in ("Low", "Medium", "High"))) for f in FEATURES])
-
-
 # partitions and memberships
 
 
@@ -420,10 +415,21 @@ def quality_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, validation.rule_quality_gaps(*fitted(spark, sf_dir), LABEL))
 
 
-@query("select * from (values ('IF l_quantity IS Low', 'A'), ('IF l_extendedprice IS Low AND l_discount IS High', 'A'), ('IF l_quantity IS High AND l_extendedprice IS High', 'N'), ('IF l_quantity IS Medium AND l_tax IS High', 'N'), ('IF l_extendedprice IS Medium AND l_discount IS Low', 'R'), ('IF l_quantity IS Low AND l_discount IS Medium AND l_tax IS Low', 'R')) as t(text, class)")
+def _kept_base(spark: SparkSession, sf_dir: str) -> RuleBase:
+    """The rules that score enough on the data."""
+    df, base = fitted(spark, sf_dir)
+    return rule_quality.full_evaluation(df, base, LABEL).purged(0.008)
+
+
+_KEPT = f"{_SCORED}, kept as (select rule from sc where score >= 0.008 and accuracy <> 0)"
+_TEXTS = ("IF l_quantity IS Low", "IF l_extendedprice IS Low AND l_discount IS High", "IF l_quantity IS High AND l_extendedprice IS High", "IF l_quantity IS Medium AND l_tax IS High", "IF l_extendedprice IS Medium AND l_discount IS Low", "IF l_quantity IS Low AND l_discount IS Medium AND l_tax IS Low")
+
+
+@query(f"with {_KEPT}, t(rule, text, class) as (values {', '.join(f'({i}, {x!r}, {c!r})' for i, (x, c) in enumerate(zip(_TEXTS, 'AANNRR', strict=True)))}) select text, class from t join kept using (rule)")
 def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _unfitted()
-    return spark.createDataFrame([(base.rule_text(r), base.classes[r.consequent]) for r in base.rules], "text string, class string")
+    """The rules that score enough, as text without their scores."""
+    base = _kept_base(spark, sf_dir)
+    return spark.createDataFrame([(base.rule_text(replace(r, score=None)), base.classes[r.consequent]) for r in base.rules], "text string, class string")
 
 
 @query(f"with {o.quantiles()}, g as (select a[1] + (a[6] - a[1]) * i / 10.0 as xa, a from q, range(11) as r(i)) select round(xa, 6) as value, unnest(['Low', 'Medium', 'High']) as label, round(unnest([{', '.join(o._over(o.TRAPEZOIDS, 'a'))}]), 6) as membership from g")
@@ -450,20 +456,25 @@ def t2_centroid_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer_interval(base, OUTPUT, df).groupBy(LABEL).agg(F.round(F.avg("inferred.lo"), 6).alias("lo"), F.round(F.avg("inferred.hi"), 6).alias("hi"))
 
 
-@query(f"with {o.OUTPUT} select unnest(['Low', 'Medium', 'High']) as label, round(unnest([k0, k1, k2]), 6) as centroid from oc")
+#: Points of l_discount from its least value to its greatest, a thousandth apart, with the memberships of its three sets.
+_DISCOUNTS = f"""pt as (select c[1] + i * 0.001 as xc, c from q, range(10000) as r(i) where c[1] + i * 0.001 < c[6])"""
+
+
+@query(f"with {o.quantiles()}, {_DISCOUNTS}, mc as (select xc, {', '.join(f'{t} as m{j}' for j, t in enumerate(o._over(o.TRAPEZOIDS, 'c')))} from pt) " + " union all ".join(f"select '{name}' as label, round(sum(xc * m{j}) / sum(m{j}), 6) as centroid from mc" for j, name in enumerate(("Low", "Medium", "High"))))
 def output_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.name, centroids.set_centroid(s)) for s in OUTPUT.sets], "label string, centroid double").withColumn("centroid", F.round("centroid", 6))
+    """Centres of the sets that were fitted to a column."""
+    (v,) = fit_partitions(table(spark, sf_dir, "lineitem"), ["l_discount"])
+    return spark.createDataFrame([(s.name, centroids.set_centroid(s)) for s in v.sets], "label string, centroid double").withColumn("centroid", F.round("centroid", 6))
 
 
-_INTERVAL_OUTPUT = """o as (select i / 1000.0 as z, 0.8 * case when i / 1000.0 < 0.2 or i / 1000.0 > 0.7 then 0 when i / 1000.0 < 0.4 then (i / 1000.0 - 0.2) / 0.2 when i / 1000.0 <= 0.5 then 1 else (0.7 - i / 1000.0) / 0.2 end as low,
- case when i / 1000.0 < 0.1 or i / 1000.0 > 0.9 then 0 when i / 1000.0 < 0.3 then (i / 1000.0 - 0.1) / 0.2 when i / 1000.0 <= 0.6 then 1 else (0.9 - i / 1000.0) / 0.3 end as high from range(1000) as r(i))"""
+_DISCOUNT_INTERVAL = f"{o.quantiles()}, {_DISCOUNTS}, o as (select xc as z, {o._over(o.INNER, 'c')[1]} as low, {o._over(o.TRAPEZOIDS, 'c')[1]} as high from pt)"
 
 
-@query(f"select * from (with {_INTERVAL_OUTPUT}, {o.settled(True)} select round(y, 6) as lo from y10), (with {_INTERVAL_OUTPUT}, {o.settled(False)} select round(y, 6) as hi from y10)")
+@query(f"select * from (with {_DISCOUNT_INTERVAL}, {o.settled(True)} select round(y, 6) as lo from y10), (with {_DISCOUNT_INTERVAL}, {o.settled(False)} select round(y, 6) as hi from y10)")
 def interval_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both ends of the centroid of an interval set."""
-    s = IntervalTrapezoid("Some", (0.2, 0.4, 0.5, 0.7), (0.1, 0.3, 0.6, 0.9), 0.8, domain=(0.0, 1.0))
-    return spark.createDataFrame([centroids.interval_centroid(s)], "lo double, hi double").withColumns({c: F.round(c, 6) for c in ("lo", "hi")})
+    """Both ends of the centroid of an interval set that was fitted to a column."""
+    (v,) = fit_partitions(table(spark, sf_dir, "lineitem"), ["l_discount"], kind=Kind.T2)
+    return spark.createDataFrame([tuple(map(float, centroids.interval_centroid(v[1])))], "lo double, hi double").withColumns({c: F.round(c, 6) for c in ("lo", "hi")})
 
 
 # mining
@@ -946,22 +957,22 @@ def decoded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph_sql() -> str:
     rows = " union all ".join(f"select {i} as r, {c} as class, {v} as v, {s} as l" for i, (a, c) in enumerate(RULES) for v, s in enumerate(a) if s >= 0)
-    return f"with u as ({rows}) select a.class as class, a.v as from_variable, a.l as from_label, b.v as to_variable, b.l as to_label, count(*) / 2e0 as weight from u a join u b on a.r = b.r and (a.v <> b.v or a.l <> b.l) group by 1, 2, 3, 4, 5"
+    return f"with {_KEPT}, u as (select x.* from ({rows}) x join kept on rule = r) select a.class as class, a.v as from_variable, a.l as from_label, b.v as to_variable, b.l as to_label, count(*) / 2e0 as weight from u a join u b on a.r = b.r and (a.v <> b.v or a.l <> b.l) group by 1, 2, 3, 4, 5"
 
 
 @query(_graph_sql)
 def rule_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_graph.connections(_unfitted(), spark)
+    return rule_graph.connections(_kept_base(spark, sf_dir), spark)
 
 
 def _usage_sql() -> str:
-    rows = " union all ".join(f"select {v} as variable, {s} as label" for a, _ in RULES for v, s in enumerate(a) if s >= 0)
-    return f"select variable, label, count(*) as n from ({rows}) group by 1, 2"
+    rows = " union all ".join(f"select {i} as r, {v} as variable, {s} as label" for i, (a, _) in enumerate(RULES) for v, s in enumerate(a) if s >= 0)
+    return f"with {_KEPT} select variable, label, count(*) as n from ({rows}) x join kept on rule = r group by 1, 2"
 
 
 @query(_usage_sql)
 def rule_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_graph.histogram(_unfitted(), spark)
+    return rule_graph.histogram(_kept_base(spark, sf_dir), spark)
 
 
 #: A map of regions: the nations' keys say how strongly each moves another, with a sign.
