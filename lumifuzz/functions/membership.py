@@ -288,7 +288,7 @@ class GeneralType2(FuzzySet):
 class TriangularType2(FuzzySet):
     """General type 2 in closed form: at every value, the secondary set is a triangle between the bounds of an interval set, with its peak half way.
 
-    Values go to a grid of step 10 ** -decimals that begins at start (truncated towards zero, outside the grid to its ends). An alpha cut is the first and the last multiple of
+    Values go to a grid of step 10 ** -decimals that begins at start (truncated towards zero, outside the grid to its ends, the last of which is the end of the domain). An alpha cut is the first and the last multiple of
     resolution at which the triangle reaches alpha, or (0, 0) where it reaches it at none; both follow from the bounds by one rounding, so nothing is held for the grid's
     points, of which there may be any number.
     """
@@ -307,11 +307,13 @@ class TriangularType2(FuzzySet):
     def snapped(self, x: str) -> str:
         ten, first = 10**self.decimals, round(self.start * 10**self.decimals)
         place = f"cast(least(greatest({x} * {q.number(ten)} + 1e-9, {q.number(first)}), {q.number(first + self.points - 1)}) as bigint) - {first}"
-        return f"({q.number(self.start)} + ({place}) * {q.number(10.0**-self.decimals)})"
+        at = f"({q.number(self.start)} + ({place}) * {q.number(10.0**-self.decimals)})"
+        return f"least({at}, {q.number(self.domain[1])})" if self.domain else at
 
     def grid(self, x: np.ndarray) -> np.ndarray:
         k = np.trunc(np.asarray(x, float) * 10**self.decimals + 1e-9) - round(self.start * 10**self.decimals)
-        return self.start + np.clip(k, 0, self.points - 1) * 10.0**-self.decimals
+        at = self.start + np.clip(k, 0, self.points - 1) * 10.0**-self.decimals
+        return np.minimum(at, self.domain[1]) if self.domain else at
 
     def all_cuts(self, x: np.ndarray) -> np.ndarray:
         """(values, cuts, 2)"""

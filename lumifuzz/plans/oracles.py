@@ -194,7 +194,8 @@ def general(v: str) -> str:
     pieces = [(lo, hi) for lo, hi in zip(_over(INNER, v), _over(TRAPEZOIDS, v), strict=True)]
     rows = " union all ".join(f"select distinct x{v}, {j} as label, {lo} as lo, {hi} as hi from x" for j, (lo, hi) in enumerate(pieces))
     peak = "(lo + hi) / 2"
-    inside = f"case when lo = hi then case when u = lo then 1 else 0 end when u <= {peak} then (u - lo) / ({peak} - lo) else (hi - u) / (hi - {peak}) end"
+    # ends that agree to a billionth are one point, wherever rounding put them
+    inside = f"case when hi - lo < 1e-9 then case when abs(u - lo) < 1e-9 then 1 else 0 end when u <= {peak} then (u - lo) / ({peak} - lo) else (hi - u) / (hi - {peak}) end"
     reached = f"select x{v}, label, alpha, min(u) as first, max(u) as last from g_{v}, un, al where {inside} >= alpha - 0.000000001 group by 1, 2, 3"
     return f"g_{v} as ({rows}), r_{v} as ({reached}), cut_{v} as (select g.x{v} as value, g.label, al.alpha, coalesce(first, 0) as lo, coalesce(last, 0) as hi from g_{v} g cross join al left join r_{v} r on r.x{v} = g.x{v} and r.label = g.label and r.alpha = al.alpha)"
 

@@ -837,7 +837,7 @@ _VALIDITY_SQL = f"""with {o.memberships()}, k as (select *, {o.CLASS} as y from
  select feature, round(case when before = 0 or (before < 0) <> (after < 0) then after else (after - before) / before end, 6) as gain from va, be"""
 
 
-_KEPT_MOMENTS = ", ".join(f"round(sum({x}), 2) as sum_{v}, round(sum({x} * {x}), 2) as square_{v}, min({x}) as least_{v}, max({x}) as most_{v}, count(distinct {x}) as distinct_{v}" for v, x in o.LETTERS.items())
+_KEPT_MOMENTS = ", ".join(f"round(sum({x}), 2) as sum_{v}, round(stddev_pop({x}), 4) as spread_{v}, min({x}) as least_{v}, max({x}) as most_{v}, count(distinct {x}) as distinct_{v}" for v, x in o.LETTERS.items())
 
 
 @query(f"select cast(range as bigint) as replicate, l_returnflag, count(*) as n, {_KEPT_MOMENTS} from lineitem cross join range(3) group by 1, 2")
@@ -846,7 +846,7 @@ def exchanged_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
     moved = validation.exchanged(df, FEATURES, rule_quality.class_place(LABEL, CLASSES), 3)
     names = F.array(*map(F.lit, CLASSES))
-    kept = [x for v, f in o.LETTERS.items() for x in (F.round(F.sum(f), 2).alias(f"sum_{v}"), F.round(F.sum(F.col(f) * F.col(f)), 2).alias(f"square_{v}"), F.min(f).alias(f"least_{v}"), F.max(f).alias(f"most_{v}"), F.count_distinct(f).alias(f"distinct_{v}"))]
+    kept = [x for v, f in o.LETTERS.items() for x in (F.round(F.sum(f), 2).alias(f"sum_{v}"), F.round(F.stddev_pop(f), 4).alias(f"spread_{v}"), F.min(f).alias(f"least_{v}"), F.max(f).alias(f"most_{v}"), F.count_distinct(f).alias(f"distinct_{v}"))]
     return moved.groupBy(F.col("replicate").cast("long").alias("replicate"), names[F.col("_y")].alias(LABEL)).agg(F.count("*").alias("n"), *kept)
 
 
