@@ -160,6 +160,12 @@ def column_permutation_test(df: DataFrame, base: RuleBase, label: str, key: str
     return p_permutation([_error(base, won) for won in _exchanged_winners(df, base, label, k, seed)], seen)
 
 
+def column_permutation_tests(df: DataFrame, base: RuleBase, label: str, k: int = 20, seed: int = 33) -> tuple[float, list[float]]:
+    """column_permutation_test and, for each rule, rulewise_column_permutation_test, each column by itself, from the same exchanges."""
+    won, moved = _by_winner(df, base, label), _exchanged_winners(df, base, label, k, seed)
+    return p_permutation([_error(base, x) for x in moved], _error(base, won)), _rulewise(base, won, moved)
+
+
 def permuted(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     """A pseudo-random bijection of the whole numbers below n: a Feistel network on the next even power of two, applied again to what falls outside."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
@@ -180,16 +186,70 @@ def permuted(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: Distinct values of a column up to which its exchanges are drawn from their counts; rows of a class that numpy draws from; rows of a piece that a task orders at once, and the entries of all replicates' pieces.
+FEW, MOST_DRAWN, PIECE, ENTRIES = 1000, 10**9, 65_536, 12_000_000
+
+
+class _Pieces:
+    """Random orders of values that are known by their counts, one piece of rows at a time: each half of the pieces draws its values from the whole's without replacement, by a seed of its own, so that any task finds any piece by itself."""
+
+    def __init__(self, counts: dict[tuple[int, int], np.ndarray], parts: dict[int, list[tuple[int, int]]], size: int, seed: int):
+        self.counts, self.size, self.seed = counts, size, seed
+        self.parts = {y: {p: i for i, (p, _) in enumerate(own)} for y, own in parts.items()}
+        self.before = {y: np.r_[0, np.cumsum([n for _, n in own])] for y, own in parts.items()}
+        self.paths: dict[tuple[int, int, int], list[tuple[tuple[int, int], np.ndarray]]] = {}
+        self.last: dict[tuple[int, int, int], tuple[tuple[int, int], np.ndarray]] = {}
+
+    def _begin(self, y: int, at: tuple[int, int]) -> int:
+        """Number in its class of the first row of piece at[1] of the part in place at[0]."""
+        before = self.before[y]
+        return int(min(before[at[0]] + at[1] * self.size, before[at[0] + 1])) if at[0] + 1 < len(before) else int(before[-1])
+
+    def codes(self, i: int, j: int, y: int, part: int, piece: int) -> np.ndarray:
+        """Places of the values of column j in the rows of a piece, in replicate i."""
+        key, at = (i, j, y), (self.parts[y][part], piece)
+        if key in self.last and self.last[key][0] == at:
+            return self.last[key][1]
+        # halves of the parts, then of the part's pieces; what the last piece's path has in common with this one's is kept
+        low, high, inner, path, held = 0, len(self.parts[y]), False, [], self.paths.get(key, [])
+        counts = self.counts[y, j]
+        while True:
+            if not inner and high - low == 1:
+                low, high, inner = 0, -(-int(self.before[y][at[0] + 1] - self.before[y][at[0]]) // self.size), True
+            if high - low == 1:
+                break
+            mid = (low + high) // 2
+            first, middle, end = ((at[0], x) if inner else (x, 0) for x in (low, mid, high))
+            begin, cut = self._begin(y, first), self._begin(y, middle)
+            left = (at[1] if inner else at[0]) < mid
+            node = (begin, cut if left else self._begin(y, end))
+            if len(path) < len(held) and held[len(path)][0] == node:
+                counts = held[len(path)][1]
+            else:
+                held = held[: len(path)]
+                drawn = np.random.default_rng((self.seed, i, j, y, begin, cut)).multivariate_hypergeometric(counts, cut - begin, method="marginals")
+                counts = drawn if left else counts - drawn
+            path.append((node, counts))
+            low, high = (low, mid) if left else (mid, high)
+        self.paths[key] = path
+        out = np.repeat(np.arange(len(counts), dtype=np.uint16 if len(counts) <= 1 << 16 else np.uint32), counts)
+        np.random.default_rng((self.seed, i, j, y, *at, 1)).shuffle(out)
+        self.last[key] = at, out
+        return out
+
+
 def exchanged(df: DataFrame, features: Sequence[str], y: Column, k: int, seed: int = 33) -> DataFrame:
     """_y, replicate and the features: k copies of the rows whose class place y is not null, in each of which every feature's values are permuted among all rows of a class.
 
-    Rows are numbered by class where they lie: a task counts its own, and what the tasks before it have is added (one number for each task and class goes through the driver). Each value then knows the row it
-    goes to in each replicate, by a bijection of its class's numbers, and all replicates meet their rows in one shuffle, whose keys are as many as the rows.
+    Rows are numbered by class where they lie: a task counts its own, and what the tasks before it have is added (one number for each task and class goes through the driver). The column of most distinct values
+    stays where it is, since only how the columns lie to each other counts. A column of FEW distinct values at most needs no shuffle: which of its values a piece of rows gets is drawn from their counts (`_Pieces`).
+    The values of any other column know the row they go to in each replicate, by a bijection of the class's numbers, and all replicates meet their rows in one shuffle, whose keys are as many as the rows.
     """
     text = [f for f in features if not isinstance(df.schema[f].dataType, NumericType)]
     plain = [f for f in features if f not in text]
-    kind = "_y int, _part int, _at long, " + ", ".join([*(f"`{f}` double" for f in plain), *(f"`{f}` string" for f in text)])
-    values = df.select(y.cast("int").alias("_y"), *(F.col(f"`{f}`").cast("double").alias(f) for f in plain), *(F.col(f"`{f}`").cast("string").alias(f) for f in text)).where("_y is not null")
+    every = [*plain, *text]
+    of = {f: "double" if f in plain else "string" for f in every}
+    values = df.select(y.cast("int").alias("_y"), *(F.col(f"`{f}`").cast(of[f]).alias(f) for f in every)).where("_y is not null")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -202,37 +262,81 @@ def exchanged(df: DataFrame, features: Sequence[str], y: Column, k: int, seed: i
                 own = np.flatnonzero(c == v)
                 at[own] = held.get(v, 0) + np.arange(len(own))
                 held[v] = held.get(v, 0) + len(own)
-            yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(np.full(len(c), part, np.int32)), pa.array(at), *(batch.column(f) for f in (*plain, *text))], ["_y", "_part", "_at", *plain, *text])
+            yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(np.full(len(c), part, np.int32)), pa.array(at), *(batch.column(f) for f in every)], ["_y", "_part", "_at", *every])
 
-    numbered = shared.cut(values.mapInArrow(number, kind), "exchange-rows")
+    numbered = shared.cut(values.mapInArrow(number, "_y int, _part int, _at long, " + ", ".join(f"`{f}` {of[f]}" for f in every)), "exchange-rows")
     sizes: dict[int, int] = {}
     before: dict[tuple[int, int], int] = {}
+    parts: dict[int, list[tuple[int, int]]] = {}
     for r in numbered.groupBy("_part", "_y").count().orderBy("_part").collect():  # tasks x classes
         before[r["_part"], r["_y"]] = sizes.get(r["_y"], 0)
+        parts.setdefault(r["_y"], []).append((r["_part"], r["count"]))
         sizes[r["_y"]] = sizes.get(r["_y"], 0) + r["count"]
-    sent = df.sparkSession.sparkContext.broadcast((before, sizes))
+    about = numbered.agg(*(F.approx_count_distinct(F.col(f"`{f}`"), 0.02).alias(f"n{j}") for j, f in enumerate(every))).first()
+    stays, *others = sorted(range(len(every)), key=lambda j: (-about[f"n{j}"], j))
+    few = [j for j in others if about[f"n{j}"] <= FEW and max(sizes.values(), default=0) < MOST_DRAWN]
+    sent_on = [j for j in others if j not in few]
+    names, counts = {j: [] for j in few}, {}
+    if few:
+        each = F.array(*(F.struct(F.lit(j).alias("j"), (F.col(f"`{every[j]}`") if every[j] in plain else F.lit(None).cast("double")).alias("v"), (F.col(f"`{every[j]}`") if every[j] in text else F.lit(None).cast("string")).alias("t")) for j in few))
+        found: dict[tuple[int, int], dict[object, int]] = {}
+        for r in numbered.select("_y", F.inline(each)).groupBy("_y", "j", "v", "t").count().orderBy("j", "v", "t", "_y").collect():  # columns x classes x FEW
+            value = r["v"] if every[r["j"]] in plain else r["t"]
+            place = "nan" if value != value else value
+            if place not in found.setdefault((-1, r["j"]), {}):
+                found[-1, r["j"]][place] = len(names[r["j"]])
+                names[r["j"]].append(value)
+            found.setdefault((r["_y"], r["j"]), {})[found[-1, r["j"]][place]] = r["count"]
+        counts = {(c, j): np.array([own.get(i, 0) for i in range(len(names[j]))]) for (c, j), own in found.items() if c >= 0}
+    size = max(1024, min(PIECE, ENTRIES // max(1, k * len(few) * max(1, len(sizes)))))
+    sent = df.sparkSession.sparkContext.broadcast((before, sizes, parts, counts, names))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, sizes = sent.value
+        before, sizes, parts, counts, names = sent.value
+        pieces = _Pieces(counts, parts, size, seed)
+        listed = {j: pa.array(names[j], pa.float64() if every[j] in plain else pa.string()) for j in few}
         for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
-                c, at = batch.column("_y").to_numpy(), batch.column("_at").to_numpy().copy()
-                for p, v in set(zip(batch.column("_part").to_pylist(), c.tolist(), strict=True)):
-                    at[(batch.column("_part").to_numpy() == p) & (c == v)] += before[p, v]
+            for start in range(0, whole.num_rows, 16_384):
+                batch = whole.slice(start, 16_384)
+                n = batch.num_rows
+                c, part, at = (batch.column(x).to_numpy() for x in ("_y", "_part", "_at"))
+                own = {}
+                for p, v in set(zip(part.tolist(), c.tolist(), strict=True)):
+                    mine = np.flatnonzero((part == p) & (c == v))
+                    for piece in np.unique(at[mine] // size).tolist():
+                        rows = mine[at[mine] // size == piece]
+                        own[v, p, piece] = rows, at[rows] - piece * size
+                number = np.empty(n, np.int64)
+                for (v, p, _), (rows, _) in own.items():
+                    number[rows] = at[rows] + before[p, v]
                 for i in range(k):
-                    for j, f in enumerate((*plain, *text)):
-                        to = np.empty(len(c), np.int64)
-                        for v in np.unique(c).tolist():
-                            to[c == v] = permuted(at[c == v], sizes[v], (seed << 24) + (i << 12) + j)
-                        n, own = len(c), batch.column(f)
+                    codes = {j: np.empty(n, np.int64) for j in few}
+                    for j in few:
+                        for (v, p, piece), (rows, inside) in own.items():
+                            codes[j][rows] = pieces.codes(i, j, v, p, piece)[inside]
+                    drawn = {j: listed[j].take(pa.array(codes[j])) for j in few}
+                    if not sent_on:
+                        yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(np.full(n, i, np.int32)), *(drawn[j] if j in drawn else batch.column(f) for j, f in enumerate(every))], ["_y", "replicate", *every])
+                        continue
+                    for j in (stays, *sent_on):
+                        to = number.copy() if j == stays else np.empty(n, np.int64)
+                        if j != stays:
+                            for v in np.unique(c).tolist():
+                                to[c == v] = permuted(number[c == v], sizes[v], (seed << 24) + (i << 12) + j)
+                        f = every[j]
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column("_y"), pa.array(np.full(n, i, np.int32)), pa.array(to), pa.array(np.full(n, j, np.int32)), own if f in plain else pa.nulls(n, pa.float64()), own if f in text else pa.nulls(n, pa.string())],
-                            ["_y", "replicate", "_to", "_j", "v", "t"],
-                        )
-
-    dealt = numbered.mapInArrow(deal, "_y int, replicate int, _to long, _j int, v double, t string")
-    met = dealt.groupBy("_y", "replicate", "_to").agg(*(F.max(F.when(F.col("_j") == j, F.col("v" if f in plain else "t"))).alias(f) for j, f in enumerate((*plain, *text))))
+                            [
+                                batch.column("_y"), pa.array(np.full(n, i, np.int32)), pa.array(to), pa.array(np.full(n, j, np.int32)), batch.column(f) if f in plain else pa.nulls(n, pa.float64()),
+                                batch.column(f) if f in text else pa.nulls(n, pa.string()), *(drawn[x] if j == stays else pa.nulls(n, listed[x].type) for x in few),
+                            ],
+                            ["_y", "replicate", "_to", "_j", "v", "t", *(f"d{x}" for x in few)],
+                        )
+
+    if not sent_on:
+        met = numbered.mapInArrow(deal, "_y int, replicate int, " + ", ".join(f"`{f}` {of[f]}" for f in every))
+    else:
+        dealt = numbered.mapInArrow(deal, "_y int, replicate int, _to long, _j int, v double, t string" + "".join(f", d{j} {of[every[j]]}" for j in few))
+        met = dealt.groupBy("_y", "replicate", "_to").agg(*(F.max(f"d{j}").alias(f) if j in few else F.max(F.when(F.col("_j") == j, F.col("v" if f in plain else "t"))).alias(f) for j, f in enumerate(every)))
     return met.select("_y", "replicate", *(F.col(f"`{f}`").cast(df.schema[f].dataType).alias(f) for f in features))
 
 
@@ -287,20 +391,28 @@ def _own_errors(base: RuleBase, won: dict[int, dict[int, int]], total: dict[int,
 def rulewise_column_permutation_test(df: DataFrame, base: RuleBase, label: str, key: str = "", k: int = 20, whole_rows: bool = True, seed: int = 33) -> list[float]:
     """For each rule, the p-value of its one-against-all error when the rows of its class are exchanged among each other. whole_rows: as they are, which leaves every error unchanged, so that the p-value says how many exchanges there were; else each column by itself, in one exchange of all classes for all rules, of which each rule counts the rows of its class."""
     won = _by_winner(df, base, label)
+    if whole_rows:
+        return [p_permutation([e] * k, e) for e in _own_errors(base, won, _by_class(won))]
+    return _rulewise(base, won, _exchanged_winners(df, base, label, k, seed))
+
+
+def _by_class(won: dict[int, dict[int, int]]) -> dict[int, int]:
     total: dict[int, int] = {}
     for by in won.values():
         for c, n in by.items():
             total[c] = total.get(c, 0) + n
-    seen = _own_errors(base, won, total)
-    if whole_rows:
-        return [p_permutation([e] * k, e) for e in seen]
+    return total
+
+
+def _rulewise(base: RuleBase, won: dict[int, dict[int, int]], exchanges: list[dict[int, dict[int, int]]]) -> list[float]:
+    total = _by_class(won)
     errors: list[list[float]] = [[] for _ in base.rules]
-    for moved in _exchanged_winners(df, base, label, k, seed):
+    for moved in exchanges:
         for j, r in enumerate(base.rules):
             # rows of other classes stay as they were
             mixed = {**{c: n for c, n in won.get(j, {}).items() if c != r.consequent}, r.consequent: moved.get(j, {}).get(r.consequent, 0)}
             errors[j].append((sum(mixed.values()) + total.get(r.consequent, 0) - 2 * mixed[r.consequent]) / max(1, sum(total.values())))
-    return [p_permutation(e, s) for e, s in zip(errors, seen, strict=True)]
+    return [p_permutation(e, s) for e, s in zip(errors, _own_errors(base, won, total), strict=True)]
 
 
 def with_validation(df: DataFrame, base: RuleBase, label: str, key: str, n: int = 100) -> RuleBase:
