@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumifuzz.functions.membership import Kind, Trapezoid, Variable
-from lumifuzz.operators import evolve, rule_quality
+from lumifuzz.operators import evolve, rule_quality, stability
 from lumifuzz.operators.rules import Rule, RuleBase
 
 FEATURES, CLASSES = ["a", "b"], ("x", "y", "z")
@@ -115,3 +115,35 @@ def test_a_search_cut_in_two_is_the_search_in_one_piece(spark, table, tmp_path):
     assert fit(6, folder).history == whole.history
     with pytest.raises(ValueError):
         evolve.FuzzyRulesEstimator(FEATURES, 5, 2, variables=variables).fit(table, "y", evolve.Search(n_gen=1, pop_size=8), folder=folder)
+
+
+def test_rows_that_agree_are_one_row_with_their_number(table):
+    """Memory and time of a generation are those of the different rows."""
+    sets = tuple(Trapezoid(n, c, domain=(0, 1)) for n, c in (("Low", (0, 0, 0.2, 0.6)), ("High", (0.4, 0.7, 1, 1))))
+    variables = (Variable("a", sets), Variable("b", sets))
+    one = RuleBase(variables, (Rule((0, 1), 0), Rule((1, -1), 2), Rule((-1, 0), 1)), CLASSES)
+    many = table.unionByName(table).unionByName(table)
+    first, copied = evolve.Population(table, variables, "y", CLASSES), evolve.Population(many, variables, "y", CLASSES)
+    assert copied.rows.count() == first.rows.count() < first.n and copied.n == 3 * first.n
+    assert copied.rate([one])[0] == pytest.approx(first.rate([one])[0])
+    first.uncache(), copied.uncache()
+
+
+def test_refits_read_the_rows_once(spark, table, monkeypatch):
+    """The same rules and accuracies as refits to the rows of each split themselves."""
+    sets = tuple(Trapezoid(n, c, domain=(0, 1)) for n, c in (("Low", (0, 0, 0.2, 0.6)), ("High", (0.4, 0.7, 1, 1))))
+    variables = (Variable("a", sets), Variable("b", sets))
+    make = lambda: evolve.FuzzyRulesEstimator(FEATURES, 4, 2, variables=variables, classes=CLASSES)
+    how = evolve.Search(n_gen=2, pop_size=6)
+    seen = []
+    fit = evolve.FuzzyRulesEstimator.fit
+    monkeypatch.setattr(evolve.FuzzyRulesEstimator, "fit", lambda self, df, *a, **b: (seen.append(b.get("weight")), fit(self, df, *a, **b))[1])
+    counted = stability.Stabilizer(make, "k").generate(table, "y", 3, how=how)
+    assert seen == ["_train0", "_train1", "_train2"]
+    monkeypatch.setattr(evolve.FuzzyRulesEstimator, "reads", lambda self: None)
+    plain_ = stability.Stabilizer(make, "k").generate(table, "y", 3, how=how)
+    assert seen[3:] == [None] * 3
+    assert counted.accuracies == pytest.approx(plain_.accuracies)
+    for a, b in zip(counted.bases, plain_.bases, strict=True):
+        assert [(r.antecedents, r.consequent) for r in a.rules] == [(r.antecedents, r.consequent) for r in b.rules]
+        assert [(r.score, r.accuracy) for r in a.rules] == [pytest.approx((r.score, r.accuracy)) for r in b.rules]
