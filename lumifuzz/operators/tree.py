@@ -23,6 +23,8 @@ from lumifuzz.functions import sqltext as q
 from lumifuzz.functions.membership import Variable
 from lumifuzz.operators import rule_quality
 from lumifuzz.operators.rule_quality import class_place
+from lumifuzz.operators.spread import over_cores
+from lumifuzz.sources import shared
 
 #: A row takes a split's class if its membership in the child is above this.
 ACTIVE = 0.01
@@ -117,10 +119,13 @@ class FuzzyTree:
 
     def fit(self, df: DataFrame, label: str, patience: int = 3, coded: bool = False) -> FuzzyTree:
         y = F.col(label).cast("int") if coded else class_place(label, self.classes)
-        rows = self._with_mu(df.withColumn("_y", y).where("_y is not null"))
+        # every iteration asks rows of a class with the same memberships the same, so these are worked out and counted once
+        each = self._with_mu(df.withColumn("_y", y).where("_y is not null")).select("_y", *(f"_t{i}_{j}" for i, v in enumerate(self.variables) for j in range(len(v))))
+        counted = shared.cut(each.groupBy(*each.columns).agg(F.count("*").cast("double").alias("_w")), "tree-rows")
+        rows = over_cores(counted).persist()
         k = range(len(self.classes))
-        first = rows.agg(F.count("*").alias("n"), *(F.sum((F.col("_y") == c).cast("double")).alias(f"c{c}") for c in k)).first()
-        self.rows = float(first["n"])
+        first = rows.agg(F.sum("_w").alias("n"), *(F.sum((F.col("_y") == c).cast("double") * F.col("_w")).alias(f"c{c}") for c in k)).first()
+        self.rows = float(first["n"] or 0)
         self.root = Node((), tuple(float(first[f"c{c}"] or 0) for c in k))
         bad = 0
         while len(self.root.leaves()) < self.max_rules and bad < patience:
@@ -131,6 +136,8 @@ class FuzzyTree:
             if gain < self.min_improvement:
                 bad += 1
             node.children += children
+        rows.unpersist()
+        shared.drop(counted)
         if self.ccp_alpha:
             self.prune(self.ccp_alpha)
         return self
@@ -179,10 +186,10 @@ class FuzzyTree:
         if self.metric == "cci":
             now = self._predicted_text()
             guess = rows.select("*", F.expr(f"cast({now} as int)").alias("_now"))
-            stats = [F.sum((F.col("_now") == F.col("_y")).cast("double")).alias("right")]
+            stats = [F.sum((F.col("_now") == F.col("_y")).cast("double") * F.col("_w")).alias("right")]
             for i, (_, child) in enumerate(made):
                 turned = F.when(F.expr(f"{self._path(child.path)} > {q.number(ACTIVE)}"), majority(child.sums)).otherwise(F.col("_now"))
-                stats.append(F.sum((turned == F.col("_y")).cast("double")).alias(f"r{i}"))
+                stats.append(F.sum((turned == F.col("_y")).cast("double") * F.col("_w")).alias(f"r{i}"))
             got: dict[str, float] = {}
             for i in range(0, len(stats), rule_quality.WIDTH):
                 got |= guess.agg(*stats[i : i + rule_quality.WIDTH]).first().asDict()
@@ -227,12 +234,13 @@ class FuzzyTree:
         return max((coverage(s, self.rows) for s in self._sums(rows, asked)), default=0.0) if asked else 0.0
 
     def _sums(self, rows: DataFrame, asked: list[tuple[Node, int, int]]) -> list[list[float]]:
-        """Class sums of every candidate child's membership."""
+        """Class sums of every candidate child's membership; a row counts as often as its column _w says, if there is one."""
+        weight = " * _w" if "_w" in rows.columns else ""
         out: list[list[float]] = []
         width = max(1, rule_quality.WIDTH)
         for i in range(0, len(asked), width):
             part = asked[i : i + width]
-            got = {r["_y"]: r for r in rows.groupBy("_y").agg(*(F.sum(F.expr(self._path((*node.path, (f, s))))).alias(f"s{j}") for j, (node, f, s) in enumerate(part))).collect()}
+            got = {r["_y"]: r for r in rows.groupBy("_y").agg(*(F.sum(F.expr(self._path((*node.path, (f, s))) + weight)).alias(f"s{j}") for j, (node, f, s) in enumerate(part))).collect()}
             out += [[float(got[c][f"s{j}"] or 0) if c in got else 0.0 for c in range(len(self.classes))] for j in range(len(part))]
         return out
 

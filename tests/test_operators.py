@@ -235,3 +235,15 @@ def test_rulewise_column_exchange(rows, base):
     assert validation.rulewise_column_permutation_test(rows, base, "y", "k", 4) == [pytest.approx(0.2)] * 3
     p = validation.rulewise_column_permutation_test(rows, base, "y", "k", 2, whole_rows=False)
     assert len(p) == 3 and all(0 < x <= 1 for x in p)
+
+
+def test_trees_grow_on_counted_rows(rows, variables, monkeypatch):
+    """Rows of a class with the same memberships are worked out and counted once, not in every iteration."""
+    seen, split = [], tree.FuzzyTree._best_split
+    monkeypatch.setattr(tree.FuzzyTree, "_best_split", lambda self, r: (seen.append(r.count()), split(self, r))[1])
+    make = lambda df: tree.FuzzyTree(variables, CLASSES, max_rules=6, min_improvement=0.0).fit(df, "y")
+    one, three = make(rows), make(rows.unionByName(rows).unionByName(rows))
+    assert max(seen) <= rows.count() and len(set(seen)) == 1
+    assert [n.path for n in three.root.walk()] == [n.path for n in one.root.walk()] and three.rows == 3 * one.rows
+    for a, b in zip(one.root.walk(), three.root.walk(), strict=True):
+        assert [3 * s for s in a.sums] == pytest.approx(list(b.sums))
