@@ -4,10 +4,13 @@ import random
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumifuzz.functions.membership import Trapezoid, Variable
 from lumifuzz.operators import conformal, ranks
+from lumifuzz.operators.rules import Rule, RuleBase
 
 
 @pytest.fixture
@@ -60,3 +63,28 @@ def test_splits_hold_exactly_the_share_of_each_class(spark):
     plain = conformal.split(df, "k", 0.25)[1].count()
     assert 600 < plain < 900
     assert conformal.split(df.where("k < 0"), "k", 0.25, label="y")[1].count() == 0
+
+
+def test_rows_of_the_same_scores_are_asked_for_once(spark, monkeypatch):
+    sets = (Trapezoid("Low", (0, 0, 0.3, 0.6), domain=(0, 1)), Trapezoid("High", (0.3, 0.6, 1, 1), domain=(0, 1)))
+    base = RuleBase((Variable("a", sets),), (Rule((0,), 0), Rule((1,), 1)), ("x", "y"), 1)
+    rows = [(i, (i % 25) / 24, "xy"[i % 3 == 0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, a double, y string").repartition(3)
+    cal = conformal.calibrate(df.where("k < 200"), base, "y")
+    asked, rank = [], ranks.rank
+    monkeypatch.setattr(ranks, "rank", lambda points, rows, inclusive: (asked.append(rows.count()), rank(points, rows, inclusive))[1])
+    one = conformal.predict_set_with_rules(df.where("k >= 200"), cal, 0.1)
+    assert asked[0] <= 25 * 4
+    got = {r["k"]: r for r in one.collect()}
+    assert sorted(got) == list(range(200, 600)) and one.columns[:3] == df.columns
+    low, high = (s.at(np.array([x for _, x, _ in rows])) for s in sets)
+    for i in range(200, 600):
+        for c, m in enumerate((low, high)):
+            own = [1 - m[j] for j in range(200) if (rows[j][2] == "y") == c]
+            assert got[i]["p_values"][c] == pytest.approx((sum(s >= 1 - m[i] for s in own) + 1) / (len(own) + 1))
+        told = {x["rule"]: x for x in got[i]["contributions"]}
+        for c, m in enumerate((low, high)):
+            assert (c in told) == (m[i] > 0)
+            if c in told:
+                own = [m[j] for j in range(200) if (rows[j][2] == "y") == c]
+                assert told[c]["confidence"] == pytest.approx(sum(s <= m[i] for s in own) / len(own)) and told[c]["strength"] == pytest.approx(m[i])
