@@ -123,3 +123,24 @@ def test_closed_general_type_2_has_no_limit_of_points(spark):
     of = IntervalTrapezoid("s", (0.0, 4e8, 5e8, 8e8), (0.0, 3e8, 6e8, 9e8))
     (m,) = column(spark, TriangularType2("s", of, 0.0, 10**11, 2), [2e8])
     assert m["lo"] < m["hi"]
+
+
+def test_general_sets_are_worked_out_once_for_each_value(spark, sf):
+    """Not once for each row: the rows of a value are counted first."""
+    from lumifuzz.plans.queries import QUERIES
+
+    plan = QUERIES["gt2_wide_memberships"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x.strip(" +-:") for x in plan.splitlines()]
+    generate = next(i for i, x in enumerate(lines) if "Generate" in x)
+    assert any(x.startswith("Aggregate") for x in lines[generate:])
+
+
+def test_partition_checks_draw_rows_before_their_memberships(spark, sf, monkeypatch):
+    from lumifuzz.operators.partitions import fit_partitions, validate_partitions
+
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_quantity", "l_tax")
+    variables, seen = fit_partitions(df, df.columns), []
+    sort = type(df).orderBy
+    monkeypatch.setattr(type(df), "orderBy", lambda self, *a, **b: (seen.append(self.columns), sort(self, *a, **b))[1])
+    assert validate_partitions(df, variables, 20, 200)["l_quantity"]["covered"]
+    assert seen == [["l_quantity", "l_tax", "_draw"]]
