@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from lumifuzz.llm import common
+from lumifuzz.llm import common, simhash
 from lumifuzz.llm.simhash import components
 
 SEED = 42
@@ -186,8 +186,8 @@ def _between(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return both.join(sets, "node").groupBy("cell", "part", "block").applyInArrow(_search_between, "a long, b long")
 
 
-def links(marked: DataFrame, made: list[DataFrame], shingle: int = SHINGLE) -> DataFrame:
-    """Links (a, b) that join exactly the nodes that are similar and share a cell; marked: node, size, cells, words. made: gets the written tables that the links are read from."""
+def links(marked: DataFrame, made: list[DataFrame], shingle: int = SHINGLE, more: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that join exactly the nodes that are similar and share a cell; marked: node, size, cells, words; more: node and cell of further cells. made: gets the written tables that the links are read from."""
 
     def cut(df: DataFrame, name: str) -> DataFrame:
         made.append(common.cut(df, name))
@@ -195,6 +195,8 @@ def links(marked: DataFrame, made: list[DataFrame], shingle: int = SHINGLE) -> D
 
     nodes = cut(marked.groupBy("node").agg(F.min("size").alias("size"), F.min("cells").alias("cells")), "minhash-distinct")
     gridded = nodes.select("node", "size", F.explode("cells").alias("cell"))
+    if more is not None:
+        gridded = gridded.unionByName(nodes.where("size > 0").join(more, "node").select("node", "size", "cell"))
     # cells of the same members are one: told by their number, least member and two digests
     digest = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor("node").alias("y")]
     shared = gridded.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("a"), *digest).where("n > 1")
@@ -216,26 +218,27 @@ def links(marked: DataFrame, made: list[DataFrame], shingle: int = SHINGLE) -> D
     return found if open_.isEmpty() else found.unionByName(_between(open_, sets))
 
 
-def _roots(marked: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, list[DataFrame]]:
+def _roots(marked: DataFrame, shingle: int = SHINGLE, more: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """node and root, and the written tables that they are read from."""
     made: list[DataFrame] = []
     held: list[DataFrame] = []
-    out = components(links(marked, made, shingle), held)
+    out = components(links(marked, made, shingle, more), held)
     common.drop(*made)
     return out, held
 
 
-def marked(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), words: bool = True, scheme: Scheme = FIVE_WORDS) -> DataFrame:
-    """keep (columns of docs), and node, size and cells of each text, with the text as words."""
+def marked(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), words: bool = True, scheme: Scheme = FIVE_WORDS, prints: bool = False) -> DataFrame:
+    """keep (columns of docs), and node, size and cells of each text, with the text as words and its SimHash fingerprint as fp where asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in common.slices(batch, "_words"):
-                more = {"words": pa.array(texts, pa.string())} if words else {}
+                more = ({"words": pa.array(texts, pa.string())} if words else {}) | ({"fp": simhash.prints(texts)} if prints else {})
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_marks(texts, scheme), *more.values()], [*keep, "node", "size", "cells", *more])
 
     kind = StructType([docs.schema[c] for c in keep]).add("node", "long").add("size", "long").add("cells", ArrayType(LongType()))
-    return docs.select(*keep, F.col(text).alias("_words")).mapInArrow(run, kind.add("words", "string") if words else kind)
+    kind = kind.add("words", "string") if words else kind
+    return docs.select(*keep, F.col(text).alias("_words")).mapInArrow(run, kind.add("fp", "long") if prints else kind)
 
 
 def grouped(docs: DataFrame, key: str, text: str, scheme: Scheme) -> DataFrame:
@@ -256,15 +259,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return common.reads(found.select(F.col("_key").alias(key), "component_id"), *found._lumifuzz_reads)
 
 
+def near_prints(made: DataFrame) -> DataFrame:
+    """node and cell, written, for each node (with its fingerprint fp) in a SimHash component of several nodes: fingerprints that reach each other over links of at most 2 bits, as the grid of `simhash` finds them."""
+    once = common.cut(made.groupBy("node").agg(F.min("fp").alias("fp")), "minhash-prints")
+    nodes = common.cut(once.groupBy("fp").agg(F.count("*").alias("n")), "minhash-fingerprints")
+    found: list[DataFrame] = []
+    linked: list[DataFrame] = []
+    roots = components(simhash.links(nodes, linked), found)
+    common.drop(*linked)
+    # equal fingerprints of different texts are near, too; what is linked with a shared neighbour alone falls away here
+    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    several = grouped.groupBy("root").agg(F.sum("n").alias("all")).where("all > 1").select("root")
+    out = common.cut(once.join(grouped.join(several, "root").select("fp", "root"), "fp").select("node", F.xxhash64(F.lit("simhash"), "root").alias("cell")), "minhash-near")
+    common.drop(once, nodes, *found)
+    return out
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns, with one row of each component: that with the least key (null keys last); of several rows with that key, the one with the least digest of all its columns. So every distinct text has a row linked to it that stays, whatever the keys are."""
+    """docs, all columns, with one row of each component, candidates being the members of a SimHash component (`near_prints`) as well as those of a MinHash cell: the row with the least key (null keys last); of several rows with that key, the one with the least digest of all its columns. So every distinct text has a row linked to it that stays, whatever the keys are."""
     names = [F.col(f"`{c}`") for c in docs.columns]
     hashable = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
     numbered = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), F.xxhash64(*(F.col(f"`{c}`") for c in hashable)).alias("_digest"), F.struct(*names).alias("_whole"))
     # the number of a row is made once, and written with it
-    made = marked(numbered, "_text", ("_key", "_digest", "_whole"), words=False).withColumn("_row", F.monotonically_increasing_id())
+    made = marked(numbered, "_text", ("_key", "_digest", "_whole"), words=False, prints=True).withColumn("_row", F.monotonically_increasing_id())
     made = common.cut(made, "minhash-rows")
-    roots, held = _roots(made.select("node", "size", "cells", F.coalesce(F.col("_whole")[text], F.lit("")).alias("words")))
+    near = near_prints(made)
+    roots, held = _roots(made.select("node", "size", "cells", F.coalesce(F.col("_whole")[text], F.lit("")).alias("words")), more=near)
+    common.drop(near)
     order = F.struct(F.col("_key").isNull().alias("none"), "_key", "_digest", "_row")
     # first within each text, so that a text with a third of all rows is one row from each task
     least = made.groupBy("node").agg(F.min(order).alias("least")).withColumnRenamed("node", "own")

@@ -49,22 +49,24 @@ def _hashes(text: str, shingle: int) -> list[int]:
 def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and fp: the fingerprint of each whole text as a signed long."""
 
-    def work(texts: list[str]) -> dict[str, pa.Array]:
-        common.release()
-        out = np.zeros(len(texts), np.uint64)
-        start = 0
-        hashes: list[int] = []
-        sizes: list[int] = []
-        for i, t in enumerate(texts):
-            h = _hashes(t, shingle)
-            hashes += h
-            sizes.append(len(h))
-            if len(hashes) > 200_000 or i + 1 == len(texts):
-                out[start : i + 1] = _majority(np.array(hashes, np.uint64), np.array(sizes))
-                start, hashes, sizes = i + 1, [], []
-        return {"fp": pa.array(out.view(np.int64))}
-
-    return common.map_texts(docs, work, "fp long", key, text)
+    return common.map_texts(docs, lambda texts: {"fp": prints(texts, shingle)}, "fp long", key, text)
+
+
+def prints(texts: list[str], shingle: int = 3) -> pa.Array:
+    """The fingerprint of each text, as signed longs."""
+    common.release()
+    out = np.zeros(len(texts), np.uint64)
+    start = 0
+    hashes: list[int] = []
+    sizes: list[int] = []
+    for i, t in enumerate(texts):
+        h = _hashes(t, shingle)
+        hashes += h
+        sizes.append(len(h))
+        if len(hashes) > 200_000 or i + 1 == len(texts):
+            out[start : i + 1] = _majority(np.array(hashes, np.uint64), np.array(sizes))
+            start, hashes, sizes = i + 1, [], []
+    return pa.array(out.view(np.int64))
 
 
 def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -154,3 +154,24 @@ def test_empty_tables(spark, sf):
     docs = common.documents(spark, sf).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_candidates_come_from_fingerprints_too(spark, monkeypatch):
+    """Near copies within 2 bits are found by SimHash alone, and only if they are similar by the exact count."""
+    from lumifuzz.llm import simhash
+
+    draw = random.Random(2)
+    words = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(4000)]
+    text = draw.choices(words, k=3000)
+    near = [*text[:-1], "other"]
+    texts = [" ".join(x) for x in (text, near, draw.choices(words, k=200))]
+    a, b = (simhash.fingerprint_of(x) for x in texts[:2])
+    assert (a ^ b).bit_count() <= 2
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    # no MinHash cell is shared
+    scheme = minhash.Scheme(cells=lambda sets: minhash.np.array([[int(x[0] >> minhash.np.uint64(1)) + i for i in range(minhash.BANDS)] for x in map(lambda s: minhash.np.sort(s * minhash.np.uint64(len(s) * 2 + int(s[-1] & minhash.np.uint64(0xFFFE)) + 1)), sets)], minhash.np.uint64))
+    monkeypatch.setattr(minhash.marked, "__defaults__", ("text", (), True, scheme, False))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()) == [0, 2]
+    # candidates that are not similar enough stay
+    monkeypatch.setattr(minhash, "SIMILAR", (9999, 10_000))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()) == [0, 1, 2]
