@@ -1,9 +1,13 @@
 """Stateful winner counts against batches, with rows in any order."""
 
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lumifuzz.functions.membership import Trapezoid, Variable
@@ -76,3 +80,32 @@ def test_settings_of_the_session_are_left_as_they_were(spark, tmp_path):
     write(spark, [(0, datetime(2024, 1, 1), 0.1, "k")], source)
     assert state.totals(state.run(state.read_table(spark, source), BASE, "ts", "kind", folder=f"file://{tmp_path}/out")).count() == 1
     assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(state._PROVIDER)) == before
+
+
+def test_the_processor_loads_where_the_library_is_not(tmp_path):
+    (tmp_path / "processor").write_bytes(cloudpickle.dumps(state.Winners(1000)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import importlib.util, pickle; assert not importlib.util.find_spec('lumifuzz'); print(pickle.load(open('processor', 'rb')).size)"
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert ran.stdout.split() == ["1000"], ran.stderr[-500:]
+
+
+def test_times_beyond_those_of_pandas_are_counted(spark, tmp_path):
+    rows = [(0, datetime(1, 1, 2, 5), 0.1, "k"), (1, datetime(2024, 1, 1), 0.9, "k"), (2, datetime(9999, 12, 30, 23), 0.9, "k"), (3, datetime(9999, 12, 30, 22), 0.5, "k")]
+    source = f"file://{tmp_path}/source"
+    write(spark, rows, source)
+    told = state.run(state.read_table(spark, source), BASE, "ts", "kind", folder=f"file://{tmp_path}/out", doubt=0.7)
+    assert counted(state.totals(told)) == batch(rows)
+
+
+def test_small_files_share_a_micro_batch(spark, tmp_path):
+    source = f"file://{tmp_path}/source"
+    rows = [(i, datetime(2024, 1, 1 + i), 0.1, "k") for i in range(5)]
+    for row in rows:
+        write(spark, [row], source)
+    told = state.run(state.read_table(spark, source), BASE, "ts", "kind", folder=f"file://{tmp_path}/out")
+    assert told.where("kind = 'running'").select("batch").distinct().count() == 1
+    # files of more than the limit come one by one, to the same counts
+    apart = state.run(state.read_table(spark, source, 1), BASE, "ts", "kind", folder=f"file://{tmp_path}/apart")
+    assert apart.where("kind <> 'closed'").select("batch").distinct().count() == 5
+    assert counted(state.totals(told)) == counted(state.totals(apart)) == batch(rows)
