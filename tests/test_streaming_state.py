@@ -82,6 +82,18 @@ def test_settings_of_the_session_are_left_as_they_were(spark, tmp_path):
     assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(state._PROVIDER)) == before
 
 
+def test_runs_where_the_session_leaves_the_number_of_partitions_at_its_default(spark, tmp_path):
+    source, name = f"file://{tmp_path}/source", "spark.sql.shuffle.partitions"
+    write(spark, [(0, datetime(2024, 1, 1), 0.1, "k")], source)
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        assert state.totals(state.run(state.read_table(spark, source), BASE, "ts", "kind", folder=f"file://{tmp_path}/out")).count() == 1
+        assert spark.conf.get(name, None) is None
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_the_processor_loads_where_the_library_is_not(tmp_path):
     (tmp_path / "processor").write_bytes(cloudpickle.dumps(state.Winners(1000)))
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
